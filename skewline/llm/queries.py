@@ -21,6 +21,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, prefix_targets
+
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return digests(prefix_targets(turns.unionByName(probe)))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, token_pieces
 
@@ -32,6 +40,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op7_chat_formatting": op7_chat_formatting,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
 
