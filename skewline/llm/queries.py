@@ -49,6 +49,26 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, docs.count())
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import fit, quality_rules
+
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import fit, graded
+
+    docs = read(spark, sf_dir, "documents")
+    return graded(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
@@ -56,6 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_quality_classifier": op10_quality_classifier,
+        "pipeline": pipeline,
     }
 
 

@@ -204,3 +204,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ids = written(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = written(joined.join(ids, "root").select("f", "component_id"))
     return prints.join(classes, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Rows of `docs` with one of each group of near-duplicates: the smallest (doc_id, hash of the text), nulls last.
+
+    Rows that are alike in both are one. Ids and fingerprints decide; the texts are dealt once, by (doc_id, hash), to meet
+    the short list of rows to keep.
+    """
+    names = docs.columns
+    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    keyed = rows.select(F.struct("doc_id", "_hash").alias("_key"), "text")
+    prints = written(fingerprints(keyed, "_key").select("doc_id.doc_id", "doc_id._hash", "f"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash")
+    distinct = written(prints.groupBy("f").agg(F.min(order).alias("least")))
+    roots = components(links(distinct, distinct.count(), radius))
+    keep = distinct.join(roots, "f", "left").groupBy(F.coalesce("root", "f").alias("root")).agg(F.min("least").alias("least"))
+    keep = written(keep.select(F.col("least.doc_id").alias("_id"), F.col("least._hash").alias("_hash_kept")))
+    same = rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_hash"] == F.col("_hash_kept"))
+    return rows.join(keep, same).dropDuplicates(["doc_id", "_hash"]).select(*names)
