@@ -21,6 +21,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k, whole_numbers
+
+    rows = whole_numbers(read(spark, sf_dir, "embeddings"))
+    return top_k(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -72,6 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op4_top_k": op4_top_k,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_mixing": op6_mixing,
         "op7_chat_formatting": op7_chat_formatting,
