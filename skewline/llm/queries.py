@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_tree import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k, whole_numbers
 
@@ -79,6 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op3_html_extraction": op3_html_extraction,
         "op4_top_k": op4_top_k,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_mixing": op6_mixing,
