@@ -96,8 +96,11 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int = TOP_GRADE, epochs: int = 16, batch: int = 64, rate: float = 0.3, ridge: float = 1e-6, seed: int = 5) -> Ordinal:
-    """Maximum likelihood by adaptive gradient steps; thresholds are a first one and positive gaps, so they stay ordered."""
+def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades: np.ndarray, top: int = TOP_GRADE, epochs: int = 16, batch: int = 64, rate: float = 0.3, ridge: float = 1e-6, seed: int = 5) -> Ordinal:
+    """Maximum likelihood by adaptive gradient steps; thresholds are a first one and positive gaps, so they stay ordered.
+
+    `slots` and `values` hold the documents' features end to end, `sizes` of them each.
+    """
     weights, squares = np.zeros(1 << HASH_BITS), np.full(1 << HASH_BITS, 1e-8)
     if len(set(grades.tolist())) < 2:
         return Ordinal(weights, np.full(top, -60.0))
@@ -105,17 +108,15 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, t
     cuts = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(top) * 1e-3)
     free, free_squares = np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))]), np.full(top, 1e-8)
     random = np.random.default_rng(seed)
-    slots, values = np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows])
-    sizes = np.array([len(s) for s, _ in rows])
     is_top = grades == top
     use = telling(slots, np.repeat(is_top, sizes), int(is_top.sum()), int((~is_top).sum()))
     use[_REPEAT] = True
     kept = use[slots]
-    sizes = np.bincount(np.repeat(np.arange(len(rows)), sizes)[kept], minlength=len(rows))
+    sizes = np.bincount(np.repeat(np.arange(len(grades), dtype=np.int32), sizes)[kept], minlength=len(grades))
     slots, values = slots[kept], values[kept]
     starts = np.concatenate(([0], np.cumsum(sizes)))
     for _ in range(epochs):
-        order = random.permutation(len(rows))
+        order = random.permutation(len(grades))
         for lo in range(0, len(order), batch):
             some = order[lo : lo + batch]
             pick = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in some])
@@ -154,10 +155,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     chosen = labelled_sample(docs, labels, sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    data = chosen.select("doc_id", grade.alias("grade"), "text").mapInArrow(compute, f"doc_id {kind}, grade int, slots binary, shares binary").toPandas().sort_values(["doc_id", "grade", "slots"], kind="stable")
-    rows = [(np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for s, v in zip(data["slots"], data["shares"], strict=True)]
-    return fit_ordinal(rows, data["grade"].to_numpy(np.int64))
-
+    data = chosen.select("doc_id", grade.alias("grade"), "text").mapInArrow(compute, f"doc_id {kind}, grade int, slots binary, shares binary").toArrow()
+    data = data.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("slots", "ascending")]).combine_chunks()
+    grades = data.column("grade").to_numpy().astype(np.int64)
+    raw = data.column("slots").to_pylist()
+    sizes = np.array([len(x) // 4 for x in raw], np.int64)
+    slots = np.frombuffer(b"".join(raw), "<i4")
+    raw = data.column("shares").to_pylist()
+    values = np.frombuffer(b"".join(raw), "<f4")
+    del data, raw
+    return fit_ordinal(slots, values, sizes, grades)
 
 
 def score_text(text: bytes, model: Ordinal, shares: dict[bytes, float], presences: dict[bytes, float]) -> float:
