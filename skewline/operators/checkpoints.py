@@ -13,17 +13,6 @@ SHARD = r"\A__\d+_\d+\.distcp\z"
 METADATA = ".metadata"
 
 
-def is_storage(name: Column) -> Column:
-    return (name == METADATA) | name.rlike(SHARD)
-
-
-def inventory(files: DataFrame) -> DataFrame:
-    """(checkpoint, path, bytes, sha256) of the storage files of a `binaryFile` listing."""
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select(F.element_at(F.split("path", "/"), -2).alias("checkpoint"), name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return rows.filter(is_storage(F.col("path")))
-
-
 def seal(rows: DataFrame) -> DataFrame:
     """(checkpoint, files, files_sha256): a checkpoint's inventory with one hash over it."""
     entries = F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256")))

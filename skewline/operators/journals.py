@@ -22,7 +22,7 @@ def committed(files: DataFrame) -> DataFrame:
     prefix = F.substring(F.col("content"), F.lit(1), F.col("bytes").cast("int"))
     checked = files.withColumn("prefix", prefix).withColumn("intact", (F.octet_length("prefix") == F.col("bytes")) & (F.sha2("prefix", 256) == F.col("sha256")))
     ends = (F.col("bytes") == 0) | (F.substring(F.col("prefix"), F.col("bytes").cast("int"), F.lit(1)) == F.lit(b"\n"))
-    lines = F.filter(F.split(F.decode("prefix", F.lit("UTF-8")), "\n", -1), lambda x: x != "")
+    lines = F.filter(F.split(F.decode("prefix", "UTF-8"), "\n", -1), lambda x: x != "")
     checked = checked.withColumn("lines", F.when(F.col("intact") & ends, lines).otherwise(F.expr("array()").cast("array<string>")))
     return checked.withColumn("intact", F.col("intact") & ends & (F.size("lines") == F.col("rows")) & ~F.exists("lines", lambda x: F.octet_length(x) + 1 > MAX_ROW_BYTES))
 
