@@ -1,8 +1,10 @@
 """LM scoring by online logistic context mixing.
 
-A text is its lower-cased words and an end. A word's bytes and the blank behind it (for the end, a line break) are coded
-bit by bit, most significant first. Six hashed contexts predict each bit from the counts of the training words: the place
-in the word, the 1, 2, 3 and 4 bytes before, and the whole word so far. Their logits are combined by weights that a gate
+A text is its lower-cased words and an end. First its class is coded, in even bits: documents fall into `CLASSES` classes by
+their commonest words, found from how often the `ANCHORS` commonest words of the training texts occur together (languages,
+in a mixed corpus). Then a word's bytes and the blank behind it (for the end, a line break) are coded bit by bit, most
+significant first. Seven hashed contexts predict each bit from the counts of the training words: the place in the word, the
+1, 2, 3 and 4 bytes before, and the whole word so far, each within the class, and the whole word so far in any class. Their logits are combined by weights that a gate
 picks: by the longest context seen, and by how often each context was seen. The weights are learned online, in one pass
 over the training words in which a word's own token is left out of its counts, by every task on its share, and averaged.
 An adaptive table then corrects the mixed probability, per gate and size. Last, within a document the word's probability is
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import written
 from .tokenization import texts_of
 
-#: Slots of the tables of the six contexts, as powers of two.
-TABLE_BITS = (16, 16, 20, 20, 20, 22)
+#: Slots of the tables of the seven contexts, as powers of two.
+TABLE_BITS = (16, 18, 20, 20, 20, 22, 22)
+CLASSES = 8
+ANCHORS = 256
 OFFSETS = tuple(int(x) for x in np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))))
 SLOTS = OFFSETS[-1]
 BLOCK = 1 << 16
@@ -45,6 +49,8 @@ END = b"\n"
 #: Tasks that learn from the word counts: each holds tables of a fixed size.
 LEARNERS = 24
 SEGMENT = 1 << 14
+#: Bytes of words that one step of learning takes.
+BATCH = 1 << 12
 CACHE_WORDS = 300_000
 FLUSH_WORDS = 400_000
 PRIOR = 0.3
@@ -67,8 +73,8 @@ def units(word: bytes) -> list[bytes]:
     return [coded] if len(coded) <= SEGMENT else [coded[i : i + SEGMENT] for i in range(0, len(coded), SEGMENT)]
 
 
-def contexts(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each context at each byte, the bytes, the segment of each byte)."""
+def contexts(segments: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each context at each byte, the bytes, the segment of each byte); `classes` has the segments' classes."""
     data = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint64)
     n = len(data)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
@@ -87,9 +93,12 @@ def contexts(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         up = np.cumprod(np.concatenate(([1], np.full(n, _BASE, np.uint64))).astype(np.uint64))
         down = np.cumprod(np.concatenate(([1], np.full(n, _INVERSE, np.uint64))).astype(np.uint64))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[:n])))
-        out[5] = (total[:n] - total[starts]) * down[starts] + place.astype(np.uint64)
+        out[5] = out[6] = (total[:n] - total[starts]) * down[starts] + place.astype(np.uint64)
+        within = np.repeat(classes.astype(np.uint64) + np.uint64(1), sizes) * _SALT[6]
         for i in range(len(out)):
             h = (out[i] + _SALT[i]) * _MIX
+            if i < 6:
+                h = (h ^ (h >> np.uint64(31)) ^ within) * _MIX
             out[i] = h ^ (h >> np.uint64(29))
     return out, data, np.repeat(np.arange(len(segments)), sizes)
 
@@ -149,23 +158,24 @@ class Model:
         mixed = np.clip((self.weights[at] * logit).sum(axis=0), -11.9, 11.9)
         return 1 / (1 + np.exp(-mixed)), gate * BUCKETS + np.round((mixed + 12) * (BUCKETS - 1) / 24).astype(np.int64)
 
-    def log2_words(self, words: list[bytes]) -> np.ndarray:
-        """log2 of each word's probability."""
+    def log2_words(self, words: list[tuple[int, bytes]]) -> np.ndarray:
+        """log2 of the probability of each (class, word), given the class."""
         out = np.zeros(len(words))
-        segments, owner, size = [], [], 0
-        for i, w in enumerate(words):
+        segments, owner, kinds, size = [], [], [], 0
+        for i, (k, w) in enumerate(words):
             for u in units(w):
                 segments.append(u)
                 owner.append(i)
+                kinds.append(k)
                 size += len(u)
             if size >= SEGMENT or i == len(words) - 1:
-                hashes, data, of = contexts(segments)
+                hashes, data, of = contexts(segments, np.array(kinds))
                 slots, bits = bit_slots(hashes, data)
                 p, bucket = self.probability(*self.inputs(slots, False, bits))
                 p = (p + (self.ones[bucket] + p) / (self.all[bucket] + 1)) / 2
                 got = np.log2(np.where(bits, p, 1 - p)).reshape(-1, 8).sum(axis=1)
                 np.add.at(out, np.array(owner)[of], got)
-                segments, owner, size = [], [], 0
+                segments, owner, kinds, size = [], [], [], 0
         return out
 
 
@@ -177,42 +187,103 @@ def is_held_out(id_column: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """(word binary, n long) of all texts, each with its end."""
+def word_counts(docs: DataFrame, topics: np.ndarray | None = None, anchors: dict[bytes, int] | None = None) -> DataFrame:
+    """(kind int, word binary, n long) of all texts by class (0 without classes), each with its end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[Counter[bytes]] = [Counter() for _ in range(CLASSES if anchors else 1)]
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return batch
+            kinds = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
+            words, n = [w for h in held for w in h], [n for h in held for n in h.values()]
+            for h in held:
+                h.clear()
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["kind", "word", "n"])
 
         for batch in batches:
             for text in texts_of(batch.column(0)):
-                held.update(text.lower().split())
-                held[END] += 1
-                if len(held) > FLUSH_WORDS:
+                words = text.lower().split()
+                own = held[class_of(words, topics, anchors) if anchors else 0]
+                own.update(words)
+                own[END] += 1
+                if sum(map(len, held)) > FLUSH_WORDS:
                     yield flush()
         yield flush()
 
-    return docs.select(text_column).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "kind int, word binary, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
-def _word_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, list[int]]]:
-    """Segments of about `SEGMENT` bytes together, with their counts."""
-    segments, counts, size = [], [], 0
+def class_of(words: list[bytes], topics: np.ndarray, anchors: dict[bytes, int]) -> int:
+    """The class under which a text's anchor words are likeliest; the first, without any."""
+    found = [a for a in map(anchors.get, words) if a is not None]
+    return int(np.argmax(topics @ np.bincount(found, minlength=topics.shape[1]))) if found else 0
+
+
+def topic_table(docs: DataFrame, anchors: dict[bytes, int]) -> np.ndarray:
+    """(class, anchor) log probabilities, from the number of texts of all the corpus in which two anchors occur together.
+
+    Tasks give one matrix of fixed size each. Anchors are grouped by the leading directions of their associations; the
+    groups start from anchors far apart, so the result is the same on every run.
+    """
+    size = len(anchors)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            rows = []
+            for text in texts_of(batch.column(0)):
+                found = sorted({a for a in map(anchors.get, text.lower().split()) if a is not None})
+                rows.append(np.bincount(found, minlength=size) if found else np.zeros(size, np.int64))
+            if rows:
+                seen = np.array(rows, np.float32)
+                total += seen.T @ seen
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["one", "counts"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size * size)
+        for raw in rows["counts"]:
+            total += np.frombuffer(raw, float)
+        return pd.DataFrame({"counts": [total.tobytes()]})
+
+    # Partial sums first: a few tasks add up many matrices, the driver the rest.
+    parts = docs.select("text").mapInArrow(together, "one int, counts binary").withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16)))
+    partial = parts.groupBy("part").applyInPandas(lambda rows: add(rows), "counts binary").toPandas()["counts"]
+    n = np.sum([np.frombuffer(x, float) for x in partial], axis=0).reshape(size, size) if len(partial) else np.zeros((size, size))
+    single = np.maximum(np.diag(n), 1)
+    link = np.maximum(0, np.log((n + 0.5) * single.max() / np.outer(single, single) / 2 + 1e-9) + 3)
+    values, vectors = np.linalg.eigh(link)
+    k = min(CLASSES, size)
+    points = vectors[:, -k:] * np.sqrt(np.abs(values[-k:]))
+    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+    centers = [points[0]]
+    for _ in range(k - 1):
+        centers.append(points[np.argmax(np.min([((points - c) ** 2).sum(1) for c in centers], axis=0))])
+    for _ in range(30):
+        group = np.argmin([((points - c) ** 2).sum(1) for c in centers], axis=0)
+        centers = [points[group == g].mean(0) if (group == g).any() else centers[g] for g in range(k)]
+    tables = np.zeros((CLASSES, size))
+    for g in range(k):
+        use = n[group == g].sum(axis=0) + 0.5
+        tables[g] = np.log(use / use.sum())
+    tables[k:] = tables[:1] - 1
+    return tables
+
+
+def _word_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Segments of about `BATCH` bytes together, with their counts and classes."""
+    segments, counts, kinds, size = [], [], [], 0
     for batch in frames:
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for kind, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             for u in units(word):
                 segments.append(u)
                 counts.append(n)
+                kinds.append(kind)
                 size += len(u)
-            if size >= SEGMENT:
-                yield segments, np.array(counts, float), []
-                segments, counts, size = [], [], 0
+            if size >= BATCH:
+                yield segments, np.array(counts, float), np.array(kinds)
+                segments, counts, kinds, size = [], [], [], 0
     if segments:
-        yield segments, np.array(counts, float), []
+        yield segments, np.array(counts, float), np.array(kinds)
 
 
 def count_tables(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -220,9 +291,9 @@ def count_tables(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, ones, any_ = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32), False
-        for segments, counts, _ in _word_batches(batches):
+        for segments, counts, kinds in _word_batches(batches):
             any_ = True
-            hashes, data, of = contexts(segments)
+            hashes, data, of = contexts(segments, kinds)
             slots, bits = bit_slots(hashes, data)
             c = np.repeat(counts[of], 8).astype(np.float32)
             for row in slots:
@@ -259,8 +330,8 @@ def learn(words: DataFrame) -> Model:
         first = sent.value
         model = Model(first.logit, first.seen, first.weights.copy(), first.ones.copy(), first.all.copy())
         squares, mass = np.full(len(model.weights), 1e-6), 0.0
-        for segments, counts, _ in _word_batches(batches):
-            hashes, data, of = contexts(segments)
+        for segments, counts, kinds in _word_batches(batches):
+            hashes, data, of = contexts(segments, kinds)
             slots, bits = bit_slots(hashes, data)
             x, at, gate = model.inputs(slots, True, bits)
             p, bucket = model.probability(x, at, gate)
@@ -327,16 +398,21 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), is_held_out(id_column).alias("held_out"))
-    counts = written(word_counts(rows.filter(~F.col("held_out"))))
+    training = rows.filter(~F.col("held_out"))
+    whole = word_counts(training).select("word", "n").orderBy(F.desc("n"), "word").limit(ANCHORS)
+    anchors = {bytes(r[0]): i for i, r in enumerate(whole.collect())}
+    topics = topic_table(training, anchors)
+    by_class = written(word_counts(training, topics, anchors))
+    counts = written(by_class.groupBy("word").agg(F.sum("n").alias("n")))
     n_train, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = learn(counts.coalesce(learners))
+    model = learn(by_class.coalesce(learners))
     top = dict(counts.orderBy(F.desc("n"), "word").limit(top_words).toPandas().itertuples(index=False))
     bound = math.log10(n_train + 0.5 * (n_distinct + 1))
-    sent = spark.sparkContext.broadcast((model, {bytes(w): int(n) for w, n in top.items()}))
+    sent = spark.sparkContext.broadcast((model, {bytes(w): int(n) for w, n in top.items()}, topics, anchors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top = sent.value
-        static: dict[bytes, float] = {}
+        model, top, topics, anchors = sent.value
+        static: dict[tuple[int, bytes], float] = {}
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = texts_of(batch.column(1))
@@ -349,10 +425,11 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 split = [[*t.lower().split(), END] for t in texts[lo:hi]]
                 if len(static) > CACHE_WORDS:
                     static.clear()
-                fresh = list({w for words in split for w in words if w not in static})
+                kinds = [class_of(words, topics, anchors) if anchors else 0 for words in split]
+                fresh = list({(k, w) for k, words in zip(kinds, split, strict=True) for w in words if (k, w) not in static})
                 static.update(zip(fresh, (model.log2_words(fresh) * math.log10(2)).tolist(), strict=True))
                 out: list[list] = [[], [], [], [], [], [], [], []]
-                for i, words in enumerate(split, lo):
+                for i, (kind, words) in enumerate(zip(kinds, split, strict=True), lo):
                     own = Counter(words)
                     known, base, far = 0, 0.0, []
                     for w, n in own.items():
@@ -362,7 +439,7 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                         else:
                             known += n
                             base += n * math.log10(c + 0.5)
-                    got = score_document(words, [static[w] for w in words])
+                    got = score_document(words, [static[kind, w] for w in words]) - math.log10(CLASSES)
                     # A key with a blank is no word: the document's own row meets nothing in the join, and is dealt anywhere.
                     entries = [(row, i, b" %d" % row, len(words), known, base, got, len(texts[i]))]
                     entries += [(row, None, w, n, 0, 0.0, 0.0, 0) for w, n in far]

@@ -422,8 +422,8 @@ def test_lm_probabilities_are_proper_and_learned():
     from skewline.llm.context_mixing import GATES, BUCKETS, SLOTS, Model, blank_weights, score_document
 
     blank = Model(np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.uint8), blank_weights(), np.zeros(GATES * BUCKETS), np.zeros(GATES * BUCKETS))
-    assert np.allclose(blank.log2_words([b"ab", b"\n"]), [-24, -8])
-    first = blank.log2_words([bytes([b]) for b in range(256) if b not in b" \t\n\r\x0b\x0c"])
+    assert np.allclose(blank.log2_words([(0, b"ab"), (3, b"\n")]), [-24, -8])
+    first = blank.log2_words([(1, bytes([b])) for b in range(256) if b not in b" \t\n\r\x0b\x0c"])
     assert (2.0 ** (first + 8)).sum() <= 256 + 1e-9
     alone = score_document([b"a"] * 50, [-5.0] * 50)
     assert -5.0 * 50 < alone < -5 and score_document([b"a"], [-5.0]) == -5.0
