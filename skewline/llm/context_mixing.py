@@ -226,6 +226,8 @@ def topic_table(docs: DataFrame, anchors: dict[bytes, int]) -> np.ndarray:
     groups start from anchors far apart, so the result is the same on every run.
     """
     size = len(anchors)
+    if not size:
+        return np.zeros((CLASSES, 0))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
