@@ -39,6 +39,8 @@ TOP_GRADE = 2
 CACHE_WORDS = 300_000
 #: Scale of the shares, so that rare but telling words move the score within a few steps.
 SCALE = 20.0
+#: Gradient steps at least, however small the sample.
+MIN_STEPS = 1200
 #: Standard errors between grades from which a feature is used.
 MIN_Z = 3.5
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -115,7 +117,7 @@ def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades
     sizes = np.bincount(np.repeat(np.arange(len(grades), dtype=np.int32), sizes)[kept], minlength=len(grades))
     slots, values = slots[kept], values[kept]
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-MIN_STEPS * batch // len(grades)))):
         order = random.permutation(len(grades))
         for lo in range(0, len(order), batch):
             some = order[lo : lo + batch]
