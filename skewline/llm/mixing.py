@@ -212,19 +212,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     place = F.struct("bucket", "h", "doc_id", "size")
     ends = placed(sizes, targets, n_sources).filter((F.col("at") < rest) & (F.col("at") + F.col("size") >= rest) & (F.col("size") > 0))
     ends = ends.groupBy("source_no").agg(F.max(place).alias("end"), F.max(rest - F.col("at")).alias("words"))
-    cut = targets.join(ends, "source_no", "left").select(F.col("source").alias("_source"), F.floor(F.col("take") / F.greatest("source_size", F.lit(1))).alias("_whole"), F.col("buckets").alias("_buckets"), F.col("end").alias("_end"), F.col("words").alias("_words"))
+    cut = targets.join(ends, "source_no", "left").select(F.col("source").alias("__mix_source"), F.floor(F.col("take") / F.greatest("source_size", F.lit(1))).alias("__mix_whole"), F.col("buckets").alias("__mix_buckets"), F.col("end").alias("__mix_end"), F.col("words").alias("__mix_words"))
     cut = written(cut)
     names = docs.columns
-    rows = docs.withColumn("_size", word_count("text")).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "_size"))
-    rows = rows.join(broadcast_if(cut, n_sources, MAX_BROADCAST), rows["source"].cast("string").eqNullSafe(F.col("_source")))
-    here = F.struct(F.pmod(F.col("_h"), F.col("_buckets")).alias("bucket"), F.col("_h").alias("h"), F.col("doc_id").alias("doc_id"), F.col("_size").alias("size"))
-    more = F.when(F.col("_end").isNull() | (F.col("_size") == 0), 0).when(here < F.col("_end"), F.col("_size")).when(here == F.col("_end"), F.col("_words")).otherwise(0).cast("long")
-    rows = rows.withColumn("_more", more)
-    copies = F.concat(F.array_repeat(F.col("_size"), F.when(F.col("_size") > 0, F.col("_whole")).otherwise(0).cast("int")), F.when(F.col("_more") > 0, F.array("_more")).otherwise(_no_longs()))
-    rows = rows.withColumn("_take", F.explode(copies))
+    rows = docs.withColumn("__mix_size", word_count("text")).withColumn("__mix_h", F.xxhash64(F.lit(seed), "doc_id", "__mix_size"))
+    rows = rows.join(broadcast_if(cut, n_sources, MAX_BROADCAST), rows["source"].cast("string").eqNullSafe(F.col("__mix_source")))
+    here = F.struct(F.pmod(F.col("__mix_h"), F.col("__mix_buckets")).alias("bucket"), F.col("__mix_h").alias("h"), F.col("doc_id").alias("doc_id"), F.col("__mix_size").alias("size"))
+    more = F.when(F.col("__mix_end").isNull() | (F.col("__mix_size") == 0), 0).when(here < F.col("__mix_end"), F.col("__mix_size")).when(here == F.col("__mix_end"), F.col("__mix_words")).otherwise(0).cast("long")
+    rows = rows.withColumn("__mix_more", more)
+    copies = F.concat(F.array_repeat(F.col("__mix_size"), F.when(F.col("__mix_size") > 0, F.col("__mix_whole")).otherwise(0).cast("int")), F.when(F.col("__mix_more") > 0, F.array("__mix_more")).otherwise(_no_longs()))
+    rows = rows.withColumn("__mix_take", F.explode(copies))
     matches = F.regexp_extract_all("text", F.lit(f"({WORD})[\\x20\\x09-\\x0D]*"), F.lit(0))
-    first = F.array_join(F.slice(matches, F.lit(1), F.col("_take").cast("int")), "")
-    part = F.col("_take") < F.col("_size")
+    first = F.array_join(F.slice(matches, F.lit(1), F.col("__mix_take").cast("int")), "")
+    part = F.col("__mix_take") < F.col("__mix_size")
     rows = rows.withColumn("text", F.when(part, first).otherwise(F.col("text")))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.when(part, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

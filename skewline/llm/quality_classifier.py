@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,10 +99,10 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -60, 60)))
 
 
-def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades: np.ndarray, top: int = TOP_GRADE, epochs: int = 16, batch: int = 64, rate: float = 0.3, ridge: float = 1e-6, seed: int = 5) -> Ordinal:
+def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades: np.ndarray, rows: np.ndarray | None = None, top: int = TOP_GRADE, epochs: int = 16, batch: int = 64, rate: float = 0.3, ridge: float = 1e-6, seed: int = 5) -> Ordinal:
     """Maximum likelihood by adaptive gradient steps; thresholds are a first one and positive gaps, so they stay ordered.
 
-    `slots` and `values` hold the documents' features end to end, `sizes` of them each.
+    `slots` and `values` hold the documents' features end to end, `sizes` of them each; `rows` is the order to learn in.
     """
     weights, squares = np.zeros(1 << HASH_BITS), np.full(1 << HASH_BITS, 1e-8)
     if len(set(grades.tolist())) < 2:
@@ -118,7 +119,7 @@ def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades
     slots, values = slots[kept], values[kept]
     starts = np.concatenate(([0], np.cumsum(sizes)))
     for _ in range(max(epochs, -(-MIN_STEPS * batch // len(grades)))):
-        order = random.permutation(len(grades))
+        order = random.permutation(len(grades)) if rows is None else rows[random.permutation(len(grades))]
         for lo in range(0, len(order), batch):
             some = order[lo : lo + batch]
             pick = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in some])
@@ -158,15 +159,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     chosen = labelled_sample(docs, labels, sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
     data = chosen.select("doc_id", grade.alias("grade"), "text").mapInArrow(compute, f"doc_id {kind}, grade int, slots binary, shares binary").toArrow()
-    data = data.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("slots", "ascending")]).combine_chunks()
     grades = data.column("grade").to_numpy().astype(np.int64)
-    raw = data.column("slots").to_pylist()
-    sizes = np.array([len(x) // 4 for x in raw], np.int64)
-    slots = np.frombuffer(b"".join(raw), "<i4")
-    raw = data.column("shares").to_pylist()
-    values = np.frombuffer(b"".join(raw), "<f4")
-    del data, raw
-    return fit_ordinal(slots, values, sizes, grades)
+    # The features stay where Arrow has them; only the rows' order is sorted, for the same steps on every run.
+    key = pa.array([xxhash.xxh64_intdigest(bytes(x.as_buffer())) for x in data.column("slots")], pa.uint64())
+    order = pc.sort_indices(pa.table([data.column("doc_id"), data.column("grade"), key], names=["a", "b", "c"]), [("a", "ascending"), ("b", "ascending"), ("c", "ascending")]).to_numpy()
+    sizes = pc.binary_length(data.column("slots")).to_numpy().astype(np.int64) // 4
+    flat = lambda name, kind: np.concatenate([np.frombuffer(c.buffers()[2], kind)[int(_starts(c)[0]) // 4 : int(_starts(c)[-1]) // 4] for c in data.column(name).chunks if len(c)] or [np.zeros(0, kind)])
+    slots, values = flat("slots", "<i4"), flat("shares", "<f4")
+    del data
+    return fit_ordinal(slots, values, sizes, grades, order)
+
+
+def _starts(chunk: pa.Array) -> np.ndarray:
+    """Offsets of a binary array's values, the last one's end included."""
+    return np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
 
 
 def score_text(text: bytes, model: Ordinal, shares: dict[bytes, float], presences: dict[bytes, float]) -> float:

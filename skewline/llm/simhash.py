@@ -213,13 +213,13 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     the short list of rows to keep.
     """
     names = docs.columns
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
-    keyed = rows.select(F.struct("doc_id", "_hash").alias("_key"), "text")
-    prints = written(fingerprints(keyed, "_key").select("doc_id.doc_id", "doc_id._hash", "f"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash")
+    rows = docs.withColumn("__dedup_hash", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    keyed = rows.select(F.struct("doc_id", "__dedup_hash").alias("__dedup_key"), "text")
+    prints = written(fingerprints(keyed, "__dedup_key").select("doc_id.doc_id", "doc_id.__dedup_hash", "f"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__dedup_hash")
     distinct = written(prints.groupBy("f").agg(F.min(order).alias("least")))
     roots = components(links(distinct, distinct.count(), radius))
     keep = distinct.join(roots, "f", "left").groupBy(F.coalesce("root", "f").alias("root")).agg(F.min("least").alias("least"))
-    keep = written(keep.select(F.col("least.doc_id").alias("_id"), F.col("least._hash").alias("_hash_kept")))
-    same = rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_hash"] == F.col("_hash_kept"))
-    return rows.join(keep, same).dropDuplicates(["doc_id", "_hash"]).select(*names)
+    keep = written(keep.select(F.col("least.doc_id").alias("__dedup_id"), F.col("least.__dedup_hash").alias("__dedup_hash_kept")))
+    same = rows["doc_id"].eqNullSafe(F.col("__dedup_id")) & (rows["__dedup_hash"] == F.col("__dedup_hash_kept"))
+    return rows.join(keep, same).dropDuplicates(["doc_id", "__dedup_hash"]).select(*names)
