@@ -22,10 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MAX_TOKENS = 2048
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 SPLIT_BYTES = 1 << 16
 #: Parts of words remembered by one Python worker; some 200 bytes each.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 400_000
 #: Longer chunks go to the library whole and are not remembered.
 CACHE_PART_BYTES = 96
 
