@@ -51,7 +51,7 @@ LEARNERS = 24
 SEGMENT = 1 << 14
 #: Bytes of words that one step of learning takes.
 BATCH = 1 << 12
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 FLUSH_WORDS = 400_000
 PRIOR = 0.3
 GATES = len(TABLE_BITS) + 1
@@ -124,7 +124,7 @@ def quantized(n: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SEEN = np.concatenate((np.arange(9), 8 * 2 ** ((np.arange(9, 256) - 8) / 8)))
-_LEVEL = np.minimum(LEVELS - 1, np.concatenate(([0], 1 + np.floor(np.log2(_SEEN[1:])).astype(int)))).astype(np.int64)
+_LEVEL = np.minimum(LEVELS - 1, np.concatenate(([0], 1 + np.floor(np.log2(_SEEN[1:])).astype(int)))).astype(np.int32)
 
 
 @dataclass
@@ -148,14 +148,17 @@ class Model:
             logit[few] = np.log((ones + PRIOR) / (n - ones + PRIOR))
             seen = seen.copy()
             seen[few] = np.where(n <= 8, np.round(n), seen[few])
-        level = _LEVEL[seen]
-        gate = ((level > 0) * (np.arange(len(slots)) + 1)[:, None]).max(axis=0)
-        at = (gate[None, :] * len(slots) + np.arange(len(slots))[:, None]) * LEVELS + level
+        gate = np.zeros(slots.shape[1], np.int32)
+        for i in range(len(slots)):
+            gate[seen[i] > 0] = i + 1
+        at = _LEVEL[seen]
+        at += (np.arange(len(slots), dtype=np.int32) * LEVELS)[:, None]
+        at += gate * np.int32(len(slots) * LEVELS)
         return logit, at, gate
 
     def probability(self, logit: np.ndarray, at: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mixed P(bit = 1), bucket of the correcting table)."""
-        mixed = np.clip((self.weights[at] * logit).sum(axis=0), -11.9, 11.9)
+        mixed = np.clip(np.einsum("ij,ij->j", self.weights[at], logit), -11.9, 11.9)
         return 1 / (1 + np.exp(-mixed)), gate * BUCKETS + np.round((mixed + 12) * (BUCKETS - 1) / 24).astype(np.int64)
 
     def log2_words(self, words: list[tuple[int, bytes]]) -> np.ndarray:
@@ -271,8 +274,8 @@ def topic_table(docs: DataFrame, anchors: dict[bytes, int]) -> np.ndarray:
     return tables
 
 
-def _word_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Segments of about `BATCH` bytes together, with their counts and classes."""
+def _word_batches(frames: Iterator[pa.RecordBatch], batch_bytes: int = BATCH) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Segments of about `batch_bytes` bytes together, with their counts and classes."""
     segments, counts, kinds, size = [], [], [], 0
     for batch in frames:
         for kind, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -281,7 +284,7 @@ def _word_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes
                 counts.append(n)
                 kinds.append(kind)
                 size += len(u)
-            if size >= BATCH:
+            if size >= batch_bytes:
                 yield segments, np.array(counts, float), np.array(kinds)
                 segments, counts, kinds, size = [], [], [], 0
     if segments:
@@ -292,19 +295,20 @@ def count_tables(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The hashed tables: every task adds up its words in tables of fixed size, and their blocks are summed by number."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ones, any_ = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32), False
-        for segments, counts, kinds in _word_batches(batches):
+        both, any_ = np.zeros(2 * SLOTS, np.float32), False
+        for segments, counts, kinds in _word_batches(batches, SEGMENT):
             any_ = True
             hashes, data, of = contexts(segments, kinds)
             slots, bits = bit_slots(hashes, data)
             c = np.repeat(counts[of], 8).astype(np.float32)
             for row in slots:
-                np.add.at(n, row, c)
-                np.add.at(ones, row, c * bits)
+                np.add.at(both, 2 * row + bits, c)
+        ones = both[1::2]
+        n = both[::2] + ones
         for b in range(SLOTS // BLOCK if any_ else 0):
             part = slice(b * BLOCK, (b + 1) * BLOCK)
             if n[part].any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([n[part].tobytes()], pa.binary()), pa.array([ones[part].tobytes()], pa.binary())], names=["block", "n", "ones"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([n[part].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(ones[part]).tobytes()], pa.binary())], names=["block", "n", "ones"])
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         n, ones = np.zeros(BLOCK), np.zeros(BLOCK)
@@ -358,42 +362,65 @@ def learn(words: DataFrame) -> Model:
     return start
 
 
-def score_document(words: list[bytes], static: list[float]) -> float:
-    """log10 of a document's probability, given the static log10 of each word: mixed with what the document did before."""
+def score_document(words: list[bytes], chances: list[float], used: dict[bytes, int] | None = None) -> float:
+    """log10 of a document's probability, given each word's static probability: mixed with what the document did before.
+
+    A probability too small for a float is given by its log10, a negative number. `used` is filled with the words' counts.
+    """
+    used = {} if used is None else used
+    first_a, first_u, first_m = EXPERTS
     a, u, m = EXPERTS
-    used: dict[bytes, int] = {}
+    alone_a, alone_u = SHARE * first_a / (first_a + first_u), SHARE * first_u / (first_a + first_u)
+    share_a, share_u, share_m, rest = SHARE * first_a, SHARE * first_u, SHARE * first_m, 1 - SHARE
     after: dict[bytes, bytes] = {}
-    before, total, log10 = b"", 0.0, math.log10
-    for t, (w, lp) in enumerate(zip(words, static, strict=True)):
-        guess = after.get(before)
-        if not t:
-            total += lp
-        else:
-            if guess is None:  # the third expert is asleep: its weight goes to the others
+    before, total, product, t, log10 = b"", 0.0, 1.0, 0, math.log10
+    known, follows = used.get, after.get
+    for w, q in zip(words, chances):
+        n = known(w, 0)
+        if t:
+            guess = follows(before)
+            if guess is None:  # the third expert is asleep: the others share all, and keep their part of the weight
                 scale = 1 / (a + u)
-                qa, qu, qm = a * scale, u * scale, 0.0
-            else:
-                qa, qu, qm = a, u, m
-            n = used.get(w, 0)
-            pa_ = qa * 10.0**lp if lp > -290 else 0.0
-            pu, pm = qu * n / t, qm if guess == w else 0.0
-            p = pa_ + pu + pm
-            if p > 0.0:
-                total += log10(p)
+                pa_ = a * q * scale if q >= 0.0 else 0.0
+                pu = u * scale * n / t
+                p = pa_ + pu
+                if p <= 0.0:
+                    total += log10(a * scale) + q
+                    pa_ = p = 1.0
+                else:
+                    product *= p
+                keep, awake = rest / p, 1 - m
+                a, u = awake * (keep * pa_ + alone_a), awake * (keep * pu + alone_u)
             else:
-                total += log10(qa) + lp
-                pa_ = p = 1.0
-            keep = (1 - SHARE) / p
-            if guess is None:
-                rest = 1 - m
-                a = rest * (keep * pa_ + SHARE * EXPERTS[0] / (EXPERTS[0] + EXPERTS[1]))
-                u = rest * (keep * pu + SHARE * EXPERTS[1] / (EXPERTS[0] + EXPERTS[1]))
-            else:
-                a, u, m = keep * pa_ + SHARE * EXPERTS[0], keep * pu + SHARE * EXPERTS[1], keep * pm + SHARE * EXPERTS[2]
-        used[w] = used.get(w, 0) + 1
+                pa_ = a * q if q >= 0.0 else 0.0
+                pu = u * n / t
+                pm = m if guess == w else 0.0
+                p = pa_ + pu + pm
+                if p <= 0.0:
+                    total += log10(a) + q
+                    pa_ = p = 1.0
+                else:
+                    product *= p
+                keep = rest / p
+                a, u, m = keep * pa_ + share_a, keep * pu + share_u, keep * pm + share_m
+            if product < 1e-250:
+                total += log10(product) if product > 0.0 else -math.inf
+                product = 1.0
+        elif q >= 0.0:
+            product = q
+        else:
+            total += q
+        used[w] = n + 1
         after[before] = w
         before = w
-    return total
+        t += 1
+    return total + log10(product)
+
+
+def chance(log2: np.ndarray) -> list[float]:
+    """Probabilities; those below 1e-40 by their log10, so that a product of a few never leaves a float's range."""
+    log10 = log2 * math.log10(2)
+    return np.where(log10 > -40, 10.0 ** np.maximum(log10, -40), log10).tolist()
 
 
 def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", top_words: int = TOP_WORDS, learners: int = LEARNERS) -> DataFrame:
@@ -408,13 +435,12 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     counts = written(by_class.groupBy("word").agg(F.sum("n").alias("n")))
     n_train, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     model = learn(by_class.coalesce(learners))
-    top = dict(counts.orderBy(F.desc("n"), "word").limit(top_words).toPandas().itertuples(index=False))
+    top = {bytes(w): math.log10(n + 0.5) for w, n in counts.orderBy(F.desc("n"), "word").limit(top_words).toPandas().itertuples(index=False)}
     bound = math.log10(n_train + 0.5 * (n_distinct + 1))
-    sent = spark.sparkContext.broadcast((model, {bytes(w): int(n) for w, n in top.items()}, topics, anchors))
+    sent = spark.sparkContext.broadcast((model, top, topics, anchors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, top, topics, anchors = sent.value
-        static: dict[tuple[int, bytes], float] = {}
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = texts_of(batch.column(1))
@@ -425,32 +451,40 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                     size += len(texts[hi])
                     hi += 1
                 split = [[*t.lower().split(), END] for t in texts[lo:hi]]
-                if len(static) > CACHE_WORDS:
-                    static.clear()
+                # The worker keeps the words' chances for its next tasks: the model is the same object there.
+                static = model.__dict__.setdefault("chances", [{} for _ in range(CLASSES)])
+                if sum(map(len, static)) > CACHE_WORDS:
+                    for known in static:
+                        known.clear()
                 kinds = [class_of(words, topics, anchors) if anchors else 0 for words in split]
-                fresh = list({(k, w) for k, words in zip(kinds, split, strict=True) for w in words if (k, w) not in static})
-                static.update(zip(fresh, (model.log2_words(fresh) * math.log10(2)).tolist(), strict=True))
-                out: list[list] = [[], [], [], [], [], [], [], []]
-                for i, (kind, words) in enumerate(zip(kinds, split, strict=True), lo):
-                    own = Counter(words)
-                    known, base, far = 0, 0.0, []
-                    for w, n in own.items():
-                        c = top.get(w)
-                        if c is None:
-                            far.append((w, n))
+                fresh: list[set[bytes]] = [set() for _ in range(CLASSES)]
+                for k, words in zip(kinds, split, strict=True):
+                    fresh[k].update(words)
+                for k, new in enumerate(fresh):
+                    new = list(new.difference(static[k]))
+                    static[k].update(zip(new, chance(model.log2_words([(k, w) for w in new])), strict=True))
+                docs_, far_words, far_n, far_rows = [], [], [], []
+                for i, (k, words) in enumerate(zip(kinds, split, strict=True), lo):
+                    used: dict[bytes, int] = {}
+                    got = score_document(words, list(map(static[k].__getitem__, words)), used) - math.log10(CLASSES)
+                    known, base, start = 0, 0.0, len(far_words)
+                    for w, n in used.items():
+                        log = top.get(w)
+                        if log is None:
+                            far_words.append(w)
+                            far_n.append(n)
                         else:
                             known += n
-                            base += n * math.log10(c + 0.5)
-                    got = score_document(words, [static[kind, w] for w in words]) - math.log10(CLASSES)
+                            base += n * log
+                    far_rows.append((row, len(far_words) - start))
                     # A key with a blank is no word: the document's own row meets nothing in the join, and is dealt anywhere.
-                    entries = [(row, i, b" %d" % row, len(words), known, base, got, len(texts[i]))]
-                    entries += [(row, None, w, n, 0, 0.0, 0.0, 0) for w, n in far]
-                    for e in entries:
-                        for column, value in zip(out, e, strict=True):
-                            column.append(value)
+                    docs_.append((row, i, b" %d" % row, len(words), known, base, got, len(texts[i])))
                     row += 1
-                take = pa.array(out[1], pa.int64())
-                columns = [pa.array(out[0], pa.int64()), batch.column(0).take(take), batch.column(2).take(take), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.float64()), pa.array(out[6], pa.float64()), pa.array(out[7], pa.int64())]
+                far = len(far_words)
+                column = lambda j, kind, fill: pa.array([d[j] for d in docs_] + [fill] * far, kind)  # noqa: B023, E731
+                take = column(1, pa.int64(), None)
+                number = np.concatenate([np.array([d[0] for d in docs_], np.int64), np.repeat(*(np.array(x, np.int64) for x in zip(*far_rows)))])
+                columns = [pa.array(number), batch.column(0).take(take), batch.column(2).take(take), pa.array([d[2] for d in docs_] + far_words, pa.binary()), pa.array([d[3] for d in docs_] + far_n, pa.int64()), column(4, pa.int64(), 0), column(5, pa.float64(), 0.0), column(6, pa.float64(), 0.0), column(7, pa.int64(), 0)]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "word", "n", "known", "base", "score", "n_bytes"])
                 lo = hi
 

@@ -425,10 +425,11 @@ def test_lm_probabilities_are_proper_and_learned():
     assert np.allclose(blank.log2_words([(0, b"ab"), (3, b"\n")]), [-24, -8])
     first = blank.log2_words([(1, bytes([b])) for b in range(256) if b not in b" \t\n\r\x0b\x0c"])
     assert (2.0 ** (first + 8)).sum() <= 256 + 1e-9
-    alone = score_document([b"a"] * 50, [-5.0] * 50)
-    assert -5.0 * 50 < alone < -5 and score_document([b"a"], [-5.0]) == -5.0
+    alone = score_document([b"a"] * 50, [1e-5] * 50)
+    assert -5.0 * 50 < alone < -5 and score_document([b"a"], [1e-5]) == pytest.approx(-5.0)
+    assert -705 < score_document([b"a", b"b", b"a"], [-300.0, -400.0, -300.0]) < -700
     vocabulary, history = [b"a", b"b", b"c"], [b"a", b"b", b"a"]
-    total = sum(10 ** (score_document([*history, w], [math.log10(1 / 3)] * 4) - score_document(history, [math.log10(1 / 3)] * 3)) for w in vocabulary)
+    total = sum(10 ** (score_document([*history, w], [1 / 3] * 4) - score_document(history, [1 / 3] * 3)) for w in vocabulary)
     assert abs(total - 1) < 1e-9
 
 
