@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,19 +204,50 @@ def word_counts(docs: DataFrame, topics: np.ndarray | None = None, anchors: dict
                 h.clear()
             return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["kind", "word", "n"])
 
-        for batch in batches:
-            for text in texts_of(batch.column(0)):
-                words = text.lower().split()
-                own = held[class_of(words, topics, anchors) if anchors else 0]
-                own.update(words)
-                own[END] += 1
-                if sum(map(len, held)) > FLUSH_WORDS:
-                    yield flush()
+        for texts in _text_batches(batches):
+            words, sizes = split_words(texts)
+            kinds = classes_of(words, sizes, topics, anchors) if anchors else np.zeros(len(sizes), np.int64)
+            for k in np.unique(kinds).tolist():
+                own = words if not anchors else words.filter(pa.array(np.repeat(kinds == k, sizes)))
+                found, into = own.cast(pa.binary()).value_counts(), held[k]
+                for w, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                    if w:
+                        into[w] += n
+                held[k][END] += int((kinds == k).sum())
+            if sum(map(len, held)) > FLUSH_WORDS:
+                yield flush()
         yield flush()
 
     return docs.select("text").mapInArrow(count, "kind int, word binary, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
+def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """Texts of the first column, lower-cased in ASCII, null as empty, a bounded number of them at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            yield pc.ascii_lower(pc.fill_null(batch.column(0).slice(lo, 2048), ""))
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, end to end, and how many each has); a text's outer white space gives an empty word."""
+    lists = pc.ascii_split_whitespace(texts)
+    return lists.flatten(), np.asarray(pc.list_value_length(lists))
+
+
+def anchor_counts(words: pa.Array, sizes: np.ndarray, anchors: dict[bytes, int]) -> np.ndarray:
+    """(text, anchor) counts."""
+    at = pc.index_in(words, value_set=pa.array([a.decode() for a in anchors], pa.string()))
+    found = np.flatnonzero(np.asarray(at.is_valid()))
+    owner = np.repeat(np.arange(len(sizes)), sizes)[found]
+    flat = owner * len(anchors) + at.drop_null().to_numpy()
+    return np.bincount(flat, minlength=len(sizes) * len(anchors)).reshape(len(sizes), len(anchors))
+
+
+def classes_of(words: pa.Array, sizes: np.ndarray, topics: np.ndarray, anchors: dict[bytes, int]) -> np.ndarray:
+    """`class_of` of all texts at once."""
+    return np.argmax(anchor_counts(words, sizes, anchors) @ topics.T, axis=1)
+
+
 def class_of(words: list[bytes], topics: np.ndarray, anchors: dict[bytes, int]) -> int:
     """The class under which a text's anchor words are likeliest; the first, without any."""
     found = [a for a in map(anchors.get, words) if a is not None]
@@ -234,14 +266,9 @@ def topic_table(docs: DataFrame, anchors: dict[bytes, int]) -> np.ndarray:
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
-        for batch in batches:
-            rows = []
-            for text in texts_of(batch.column(0)):
-                found = sorted({a for a in map(anchors.get, text.lower().split()) if a is not None})
-                rows.append(np.bincount(found, minlength=size) if found else np.zeros(size, np.int64))
-            if rows:
-                seen = np.array(rows, np.float32)
-                total += seen.T @ seen
+        for texts in _text_batches(batches):
+            seen = (anchor_counts(*split_words(texts), anchors) > 0).astype(np.float32)
+            total += seen.T @ seen
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["one", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
