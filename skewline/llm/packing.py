@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokenization import BATCH_BYTES, SPLIT_BYTES, balanced, encoder, texts_of
+from .tokenization import BATCH_BYTES, SPLIT_BYTES, ChunkEncoder, balanced, encoder, texts_of
 
 CAPACITY = 2048
 GROUP_DOCS = 4096
@@ -35,7 +35,32 @@ GROUP_DOCS = 4096
 WEIGHTS = (1.0, 1e-3, 1e-3)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def whole_ids(texts: list[bytes], enc: ChunkEncoder, batch_bytes: int, split_bytes: int) -> Iterator[tuple[int, bytes]]:
+    """(text number, its ids) in order. A round's last text may go on in the next round, so it is given once another text begins."""
+    done, held = [[] for _ in texts], 0
+    for rows, parts in balanced(texts, batch_bytes, split_bytes, enc.by_chunk):
+        ids, n = enc.ids(parts)
+        raw, ends = ids.tobytes(), np.cumsum(n * 4).tolist()
+        for i, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
+            done[i].append(raw[a:b])
+        for i in range(held, rows[-1]):
+            yield i, b"".join(done[i])
+            done[i] = None
+        held = rows[-1]
+    if texts:
+        yield held, b"".join(done[held])
+
+
+def token_pieces(
+    docs: DataFrame,
+    vocabulary: str,
+    capacity: int = CAPACITY,
+    end_id: int = 0,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    batch_bytes: int = BATCH_BYTES,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
     """(id, piece int, start long, length long, row_no long, ids binary of little-endian unsigned 32-bit ids).
 
     Only a document of more than `capacity` tokens is cut, into pieces of `capacity`, the last one shorter. No shuffle.
@@ -49,28 +74,18 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
         for batch in batches:
             keys = batch.column(0)
             texts = texts_of(batch.column(1))
-            done, held = [[] for _ in texts], 0
             out, size = ([], [], [], [], [], []), 0
-            for rows, parts in balanced(texts, BATCH_BYTES, SPLIT_BYTES, enc.by_chunk):
-                ids, n = enc.ids(parts)
-                raw, ends = ids.tobytes(), np.cumsum(n * 4).tolist()
-                for i, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
-                    done[i].append(raw[a:b])
-                for i in range(held, rows[-1] + (rows[-1] == len(texts) - 1)):  # whole now, or at the next batch
-                    data = b"".join(done[i]) + end
-                    done[i] = None
-                    for k, at in enumerate(range(0, len(data), step)):
-                        piece = data[at : at + step]
-                        for column, value in zip(out, (i, k, at // 4, len(piece) // 4, row_no, piece), strict=True):
-                            column.append(value)
-                        row_no += 1
-                        size += len(piece)
-                    held = i + 1
-                    if size >= BATCH_BYTES:
-                        yield _piece_batch(keys, out, id_column)
-                        out, size = ([], [], [], [], [], []), 0
-            if held < len(texts) and texts:  # the last batch ended inside the last text
-                raise AssertionError("texts left over")
+            for i, ids in whole_ids(texts, enc, batch_bytes, split_bytes):
+                data = ids + end
+                for k, at in enumerate(range(0, len(data), step)):
+                    piece = data[at : at + step]
+                    for column, value in zip(out, (i, k, at // 4, len(piece) // 4, row_no, piece), strict=True):
+                        column.append(value)
+                    row_no += 1
+                    size += len(piece)
+                if size >= BATCH_BYTES:
+                    yield _piece_batch(keys, out, id_column)
+                    out, size = ([], [], [], [], [], []), 0
             if out[0]:
                 yield _piece_batch(keys, out, id_column)
 

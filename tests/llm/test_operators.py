@@ -107,6 +107,16 @@ def test_packing(docs, rows, empty):
     assert pack(token_pieces(empty, VOCABULARY), 0).count() == 0
 
 
+def test_pieces_of_texts_that_span_encode_batches(spark):
+    from skewline.llm.packing import token_pieces
+
+    texts = ["", "one two " * 40, "x" * 300, None, "and " * 30, "last text of the batch " * 50]
+    for some in (texts, texts[-1:]):
+        frame = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").coalesce(1)
+        pieces = lambda **sizes: sorted(map(tuple, token_pieces(frame, VOCABULARY, capacity=64, **sizes).collect()))  # noqa: B023, E731
+        assert pieces(batch_bytes=64, split_bytes=16) == pieces()
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_vector_best_fit_keeps_every_capacity(rule):
     from skewline.llm.packing import vector_best_fit
