@@ -6,10 +6,12 @@ Importance is entropy: an element that all pages present alike, or a block that
 for an element both are composed as (1 - g^l) presentation + g^l content, l being its number of presentations, g 0.9.
 Branches and blocks of low importance are removed from each page. What a page says about itself counts as well: elements
 named as menus, headers, footers, side bars, notices, adverts, forms or comments have no importance, and link lists little;
-inside an article only what nearly every page repeats is low.
+inside an article only what nearly every page repeats is low. Pages of a host that say the same, by their articles or else
+as a whole, count as one page in the tree; where more than half of an article's text would be low, its pages are near
+copies of each other, and all of it stays.
 
-Scale: pages are parsed where they are; counts of (host, element, what it shows) are added up on the map side first, so a
-host with a third of all pages is a few rows a task. The list of low branches is broadcast only up to `MAX_BROADCAST` rows;
+Scale: pages are parsed where they are; copies are folded, and counts of (host, element, what it shows) added up, on the
+map side first, and dealt by what a page says and by element, so a host with a third of all pages is spread. The list of low branches is broadcast only up to `MAX_BROADCAST` rows;
 beyond it each host's list is joined to its pages.
 
 Defined results: a null page or one without text gives an empty string; a null or odd url belongs to the host named by
@@ -23,6 +25,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -192,12 +195,14 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def page_nodes(page: str) -> set[tuple[int, int, bool, bool]]:
-    """(element, what it shows, whether that is a block, in an article) of a page's own part of the tree."""
+def page_nodes(page: str) -> tuple[int, list[tuple[int, int, bool, bool]]]:
+    """What a page says, hashed (its article, or all of it without one), and (element, what it shows, whether that is a block, in an article) of its own part of the tree, in order."""
     blocks, elements = parse(page)
+    shown = [(b.owner, b.text()) for b in blocks if not b.owner.dropped]
+    article = [t for e, t in shown if e.in_article and t]
     out = {(_hash(e.path), _hash(" ".join(e.children)), False, e.in_article) for e in elements if e.children and not e.dropped}
-    out |= {(_hash(b.owner.path), _hash(b.text()), True, b.owner.in_article) for b in blocks if not b.owner.dropped}
-    return out
+    out |= {(_hash(e.path), _hash(t), True, e.in_article) for e, t in shown}
+    return _hash("\n".join(article or [t for _, t in shown])), sorted(out)
 
 
 def main_text(page: str, low: frozenset[tuple[int, int]] | set[tuple[int, int]]) -> str:
@@ -219,41 +224,42 @@ def main_text(page: str, low: frozenset[tuple[int, int]] | set[tuple[int, int]])
             cache[e.path] = _hash(e.path)
         return cache[e.path]
 
+    article = [(len(t), (key(b.owner), _hash(t)) in low) for b, t in shown if t and b.owner.in_article] if low else []
+    copied = 2 * sum(n for n, is_low in article if is_low) > sum(n for n, _ in article)
     for b, t in shown:
         e = b.owner
         if not t or (has_article and not e.in_article):
             continue
         if e.tag == "li" and not e.in_article and linked[e.path] > LINK_SHARE * lists[e.path]:
             continue
-        if low and ((key(e), _hash(t)) in low or any((key(x), 0) in low for x in b.trail if not x.in_article)):
+        if low and ((not copied or not e.in_article) and (key(e), _hash(t)) in low or any((key(x), 0) in low for x in b.trail if not x.in_article)):
             continue
         out.append(t)
     return "\n".join(out)
 
 
 def tree_counts(pages: DataFrame) -> DataFrame:
-    """(host, element, shows, is_block, in_article, n): pages of a host by what an element of theirs shows."""
+    """(host, element, shows, is_block, in_article, n): distinct pages of a host by what an element of theirs shows.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            keys = list(held)
-            columns = list(zip(*keys)) if keys else [[]] * 5
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, list(held.values())], (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()), strict=True)], names=["host", "element", "shows", "is_block", "in_article", "n"])
-            held.clear()
-            return batch
+    Pages of a host that say the same are one, that with the least nodes in order.
+    """
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: dict[tuple[str, int], list] = {}
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host = host_of(url)
-                held.update((host, *node) for node in page_nodes(page or ""))
-                if len(held) > 100_000:
-                    yield flush()
-        yield flush()
-
-    rows = pages.select("url", "html").mapInArrow(count, "host string, element bigint, shows bigint, is_block boolean, in_article boolean, n bigint")
-    return rows.groupBy("host", "element", "shows", "is_block", "in_article").agg(F.sum("n").alias("n"))
+                says, nodes = page_nodes(page or "")
+                key = (host_of(url), says)
+                held[key] = min(held.get(key, nodes), nodes)
+            flat = list(zip(*(x for nodes in held.values() for x in nodes))) or [[]] * 4
+            kinds = {"element": pa.int64(), "shows": pa.int64(), "is_block": pa.bool_(), "in_article": pa.bool_()}
+            nodes = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, kinds.values(), strict=True)], names=list(kinds))
+            ends = pa.array([0, *accumulate(map(len, held.values()))], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.string()), pa.array([x for _, x in held], pa.int64()), pa.ListArray.from_arrays(ends, nodes)], names=["host", "says", "nodes"])
+
+    rows = pages.select("url", "html").mapInArrow(count, "host string, says bigint, nodes array<struct<element: bigint, shows: bigint, is_block: boolean, in_article: boolean>>")
+    distinct = rows.groupBy("host", "says").agg(F.min("nodes").alias("nodes"))
+    return distinct.select("host", F.explode("nodes").alias("node")).select("host", "node.*").groupBy("host", "element", "shows", "is_block", "in_article").agg(F.count(F.lit(1)).alias("n"))
 
 
 def low_branches(counts: DataFrame) -> DataFrame:

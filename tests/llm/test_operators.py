@@ -412,6 +412,32 @@ def test_site_tree_removes_what_all_pages_repeat(spark, most):
         assert r["text"] == f"Own text number {r['page_id']} of this page\nand more {r['page_id'] * 7}"
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("copies", [7, 8, 40])
+def test_site_tree_counts_distinct_pages(spark, copies, most):
+    from skewline.llm.site_tree import extract
+
+    article = lambda own, n: f"<nav>seen {n}</nav><article><h1>Head of {own}</h1><p>First paragraph of {own}<p>Second one{{}}</article>"
+    plain = "<body><div class=x><p>A page without an article<p>has its text</div>"
+    rows = [(i, "https://one.example/a", article("a mirror", i).format("")) for i in range(copies)]
+    rows += [(100 + i, "https://two.example/b", plain) for i in range(copies)]
+    rows += [(200 + i, "https://near.example/c", article("near copies", 0).format(f"<p>Read {i} times")) for i in range(copies)]
+    rows += [(300 + i, f"https://many.example/{i % 20}", article(f"page {i % 20}, with words of its own", i).format("<p>Tell us")) for i in range(20 * copies // 4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for r in extract(frame, most).collect():
+        i = r["page_id"]
+        if i < 100:
+            want = "Head of a mirror\nFirst paragraph of a mirror\nSecond one"
+        elif i < 200:
+            want = "A page without an article\nhas its text"
+        elif i < 300:
+            want = f"Head of near copies\nFirst paragraph of near copies\nSecond one\nRead {i - 200} times"
+        else:
+            own = f"page {(i - 300) % 20}, with words of its own"
+            want = f"Head of {own}\nFirst paragraph of {own}"
+        assert r["text"] == want
+
+
 def test_lm_scores(docs, rows, empty):
     from skewline.llm.context_mixing import lm_scores
 
