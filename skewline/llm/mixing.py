@@ -10,7 +10,8 @@ blocks, and is shuffled locally by `order_key`. All draws come from hashes of `s
 Targets: sources by code point, null last, weigh 3, 1, 2, repeating; they share `share` times all words; no target passes
 `max_epochs` times its source's words, and the excess goes to the others by weight until none passes (water level).
 
-Scale: texts are read once for their word counts; what is shuffled is a few numbers a document. The running word offset of
+Scale: texts are read once for their word counts; what is shuffled is a few numbers a document, except for
+`mixed_documents`, which reads texts again and shuffles them to where the slices are dealt. The running word offset of
 a document is found in two levels (buckets of about `BUCKET_DOCS` documents by hash, then within a bucket), so a hot source
 is spread over as many tasks as it has buckets. The table of sources is broadcast only up to `MAX_BROADCAST` rows.
 
@@ -35,6 +36,8 @@ SEED = 17
 SHARDS = 16
 BLOCK_WORDS = 4096
 BUCKET_DOCS = 256
+#: Words of a partition of the mixed documents: some 8 MB of text.
+PART_WORDS = 1_200_000
 MAX_BROADCAST = 20_000
 #: A prime larger than any number of blocks; multiples of it, modulo that number, permute the blocks.
 PERMUTE = 2_654_435_761
@@ -44,10 +47,11 @@ def word_count(text: str | Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
-def sized(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, h): the only pass over the texts, kept as a small table."""
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), word_count(text_column).alias("size"))
-    return written(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")))
+def sized(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", seed: int = SEED, whole: bool = False) -> DataFrame:
+    """(doc_id, source, size, h), and with `whole` the row itself as `row`."""
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), word_count(text_column).alias("size"), *row)
+    return rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -141,12 +145,19 @@ def shard_quotas(targets: DataFrame, shards: int = SHARDS, block_words: int = BL
     return dealt.select("source_no", "n_blocks", ends.alias("ends"))
 
 
-def placed(sizes: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
-    """(doc_id, source, source_no, size, h, source_size, target, take, at): `at` is the document's first word in its source's order."""
-    small = broadcast_if(targets, n_sources, MAX_BROADCAST)
-    rows = sizes.join(small.withColumnRenamed("source", "_source"), sizes["source"].eqNullSafe(F.col("_source"))).drop("_source", "n_docs")
-    rows = rows.withColumn("bucket", F.pmod(F.col("h"), F.col("buckets"))).drop("buckets")
-    sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
+def placed(rows: DataFrame, sizes: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
+    """(doc_id, source, source_no, size, h, source_size, target, take, at) and what else `rows` have: `at` is the document's first word in its source's order.
+
+    `rows` are `sizes` or have their columns and more; the sums of the buckets come from `sizes`.
+    """
+    small = broadcast_if(targets, n_sources, MAX_BROADCAST).withColumnRenamed("source", "_source")
+
+    def in_buckets(rows: DataFrame) -> DataFrame:
+        rows = rows.join(small, rows["source"].eqNullSafe(F.col("_source"))).drop("_source", "n_docs")
+        return rows.withColumn("bucket", F.pmod(F.col("h"), F.col("buckets"))).drop("buckets")
+
+    sums = in_buckets(sizes).groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
+    rows = in_buckets(rows)
     ahead = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_no", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")).alias("base"))
     within = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,11 +182,17 @@ def mix(
     slices: array<struct<epoch, block, shard, order_key, start, length>>, the word ranges [start, start + length) that the
     mix takes of it; `order_key` orders a shard's blocks, `block` is a number within the source.
     """
-    sizes = sized(docs, id_column, source_column, text_column, seed)
+    sizes = written(sized(docs, id_column, source_column, text_column, seed))
     targets = written(source_targets(sizes, weights, share, max_epochs))
+    rows = dealt_slices(sizes, sizes, targets, max_epochs, shards, block_words, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "slices")
+
+
+def dealt_slices(rows: DataFrame, sizes: DataFrame, targets: DataFrame, max_epochs: int, shards: int, block_words: int, seed: int) -> DataFrame:
+    """What `placed` gives, with `slices`."""
     n_sources = targets.count()
     quotas = written(shard_quotas(targets, shards, block_words, seed))
-    rows = placed(sizes, targets, n_sources).join(broadcast_if(quotas, n_sources, MAX_BROADCAST), "source_no")
+    rows = placed(rows, sizes, targets, n_sources).join(broadcast_if(quotas, n_sources, MAX_BROADCAST), "source_no")
 
     def cut(epoch: int) -> Column:
         lo = F.col("at") + F.col("source_size") * epoch
@@ -191,7 +208,7 @@ def mix(
         return F.when(hi > lo, F.transform(F.sequence(first, last), slice_of))
 
     slices = F.flatten(F.array_compact(F.array(*[cut(e) for e in range(max_epochs)])))
-    return rows.select("doc_id", "source", "size", "source_size", "target", slices.alias("slices"))
+    return rows.withColumn("slices", slices)
 
 
 def taken(mixed: DataFrame) -> DataFrame:
@@ -199,33 +216,51 @@ def taken(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", F.aggregate("slices", F.lit(0).cast("long"), lambda a, s: a + s["length"]).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mix itself, with the columns of `docs`: a row as often as the mix takes it, the last one of a source cut to the words taken.
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    max_epochs: int = MAX_EPOCHS,
+    shards: int = SHARDS,
+    block_words: int = BLOCK_WORDS,
+    seed: int = SEED,
+    part_words: int = PART_WORDS,
+) -> DataFrame:
+    """The mix itself, with the columns of `docs`: a row for each slice that `mix` takes, cut to its words.
 
-    The rows that a source's stream takes once more are those up to one place in its order, so a few numbers a source
-    decide, and texts are not shuffled. Repeated rows at that place share what is taken there.
+    Rows come shard after shard, and within a shard by `order_key`: a partition holds a range of one shard's order keys, for
+    about `part_words` words. Rows are shuffled twice, to their places in the sources' orders and to their shards.
     """
-    sizes = sized(docs, seed=seed)
-    targets = written(source_targets(sizes, weights, share, max_epochs))
-    n_sources = targets.count()
-    rest = F.col("take") - F.col("source_size") * F.floor(F.col("take") / F.greatest("source_size", F.lit(1)))
-    place = F.struct("bucket", "h", "doc_id", "size")
-    ends = placed(sizes, targets, n_sources).filter((F.col("at") < rest) & (F.col("at") + F.col("size") >= rest) & (F.col("size") > 0))
-    ends = ends.groupBy("source_no").agg(F.max(place).alias("end"), F.max(rest - F.col("at")).alias("words"))
-    cut = targets.join(ends, "source_no", "left").select(F.col("source").alias("__mix_source"), F.floor(F.col("take") / F.greatest("source_size", F.lit(1))).alias("__mix_whole"), F.col("buckets").alias("__mix_buckets"), F.col("end").alias("__mix_end"), F.col("words").alias("__mix_words"))
-    cut = written(cut)
     names = docs.columns
-    rows = docs.withColumn("__mix_size", word_count("text")).withColumn("__mix_h", F.xxhash64(F.lit(seed), "doc_id", "__mix_size"))
-    rows = rows.join(broadcast_if(cut, n_sources, MAX_BROADCAST), rows["source"].cast("string").eqNullSafe(F.col("__mix_source")))
-    here = F.struct(F.pmod(F.col("__mix_h"), F.col("__mix_buckets")).alias("bucket"), F.col("__mix_h").alias("h"), F.col("doc_id").alias("doc_id"), F.col("__mix_size").alias("size"))
-    more = F.when(F.col("__mix_end").isNull() | (F.col("__mix_size") == 0), 0).when(here < F.col("__mix_end"), F.col("__mix_size")).when(here == F.col("__mix_end"), F.col("__mix_words")).otherwise(0).cast("long")
-    rows = rows.withColumn("__mix_more", more)
-    copies = F.concat(F.array_repeat(F.col("__mix_size"), F.when(F.col("__mix_size") > 0, F.col("__mix_whole")).otherwise(0).cast("int")), F.when(F.col("__mix_more") > 0, F.array("__mix_more")).otherwise(_no_longs()))
-    rows = rows.withColumn("__mix_take", F.explode(copies))
-    matches = F.regexp_extract_all("text", F.lit(f"({WORD})[\\x20\\x09-\\x0D]*"), F.lit(0))
-    first = F.array_join(F.slice(matches, F.lit(1), F.col("__mix_take").cast("int")), "")
-    part = F.col("__mix_take") < F.col("__mix_size")
-    rows = rows.withColumn("text", F.when(part, first).otherwise(F.col("text")))
+    sizes = written(sized(docs, seed=seed))
+    targets = written(source_targets(sizes, weights, share, max_epochs))
+    n_words = targets.agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
+    parts = max(1, math.ceil(n_words / shards / part_words))
+    rows = dealt_slices(sized(docs, seed=seed, whole=True), sizes, targets, max_epochs, shards, block_words, seed)
+    text = F.col("row.text")
+
+    def cut(words: Column) -> Column:
+        part = lambda s: F.when(s["length"] == F.col("size"), text).otherwise(F.array_join(F.slice(words, s["start"].cast("int") + 1, s["length"].cast("int")), ""))
+        return F.transform("slices", lambda s: F.struct(s.alias("slice"), part(s).alias("text")))
+
+    whole = F.forall("slices", lambda s: s["length"] == F.col("size"))
+    uncut = F.transform("slices", lambda s: F.struct(s.alias("slice"), text.alias("text")))
+    # Words are found once a document, and only where one is cut.
+    pieces = F.when(whole, uncut).otherwise(let(F.regexp_extract_all(text, F.lit(f"({WORD})[\\x20\\x09-\\x0D]*"), F.lit(0)), cut))
+    rows = rows.withColumn("piece", F.explode(pieces))
+    place = F.col("piece.slice.order_key")
+    range_ = F.least(F.lit(parts - 1), F.floor((place.cast("double") / float(1 << 64) + 0.5) * parts)).cast("int")
+    values = {c: F.col(f"row.`{c}`") for c in names} | {"text": F.col("piece.text")}
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(part, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+        is_part = F.col("piece.slice.length") != F.col("size")
+        values["n_chars"] = F.when(is_part, F.char_length("piece.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    position = F.col("at") + F.col("piece.slice.epoch") * F.col("source_size") + F.col("piece.slice.start")
+    out = rows.select(
+        F.struct(*(v.alias(c) for c, v in values.items())).alias("row"),
+        (F.col("piece.slice.shard") * parts + range_).cast("int").alias("part"),
+        place.alias("order_key"),
+        "source_no",
+        position.alias("position"),
+    )
+    leaves = 1 << max(0, math.ceil(math.log2(shards)))
+    return out.repartitionById(leaves * parts, "part").sortWithinPartitions("order_key", "source_no", "position").select("row.*")

@@ -231,6 +231,21 @@ def test_mixing(docs, rows, empty):
     assert mix(empty).count() == 0 and mixed_documents(empty).count() == 0
 
 
+def test_mixed_documents_are_the_dealt_slices(docs):
+    from skewline.llm.mixing import mix, mixed_documents
+
+    for part_words in (1 << 30, 500):
+        got = [(r["doc_id"], r["source"], len(WORD.findall(r["text"]))) for r in mixed_documents(docs, shards=4, block_words=64, part_words=part_words).collect()]
+        blocks = {}
+        for r in mix(docs, shards=4, block_words=64).collect():
+            for s in r["slices"]:
+                blocks.setdefault((s["shard"], s["order_key"], r["source"] is None, r["source"] or ""), []).append((r["doc_id"], r["source"], s["length"]))
+        assert len({b[0] for b in blocks}) == 4 and len(got) == sum(map(len, blocks.values()))
+        for b in sorted(blocks):  # by shard, and by order_key within it
+            own, got = got[: len(blocks[b])], got[len(blocks[b]) :]
+            assert Counter(own) == Counter(blocks[b])
+
+
 def test_hypergeometric_draws(spark):
     from skewline.llm.mixing import hypergeometric, uniform
 
