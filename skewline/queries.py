@@ -398,7 +398,7 @@ def oracle_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def campaign_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.summarize(campaign.run_campaign(spark, (17,), 2_000))
+    return campaign.summarize(campaign.run_campaign(spark))
 
 
 @query(f"WITH {SQL_OBSERVATIONS} SELECT rank, batch, width, round(ms, 6) AS ms FROM med")

@@ -425,6 +425,18 @@ def test_published_campaign_counts():
     assert sum(r[2] == "feasible" for r in by["fleet_beam"]) >= sum(r[2] == "feasible" for r in by["fleet_local"]) > sum(r[2] == "feasible" for r in by["random"])
 
 
+def test_campaign_summary_has_all_cases(spark):
+    got = {r["method"]: (r["feasible_cases"], r["proven_cases"], r["optimum_reached"]) for r in engine.campaign_summary(spark, SF).collect()}
+    want = {}
+    for case in campaign.cases((17, 23, 31, 43)):
+        for r in campaign.evaluate(case, 100_000):
+            n = want.setdefault(r[1], [0, 0, 0])
+            n[0] += r[2] == "feasible"
+            n[1] += r[9] is not None
+            n[2] += r[9] is not None and r[9] < 1e-12
+    assert got == {m: tuple(n) for m, n in want.items()} and max(n[1] for n in want.values()) > 48
+
+
 def test_costs_and_model_rules(spark):
     m = {"quadratic": 2.0, "linear": 3.0, "overhead": 5.0, "max_samples": 4, "max_padded_tokens": 12, "max_attention_cells": 40}
     row = spark.createDataFrame([tuple(m.values())], "quadratic double, linear double, overhead double, max_samples long, max_padded_tokens long, max_attention_cells long")
