@@ -124,11 +124,16 @@ def search(tree: BallTree, points: np.ndarray, ids: np.ndarray, query_ids: np.nd
 
 
 def distinct_points(ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each vector the k + 1 rows of smallest id: one may be the query's own."""
-    order = np.lexsort((ids, np.unique(points, axis=0, return_inverse=True)[1].reshape(-1)))
-    same = np.concatenate(([False], (points[order[1:]] == points[order[:-1]]).all(axis=1)))
-    run = np.arange(len(order)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    keep = order[run <= k]
+    """Of each vector the k + 1 smallest ids, as one may be the query's own, with up to k rows each."""
+    group = np.unique(points, axis=0, return_inverse=True)[1].reshape(-1)
+    order = np.lexsort((ids, group))
+    at = np.arange(len(order))
+    new_vector = np.concatenate(([True], group[order[1:]] != group[order[:-1]]))[: len(order)]
+    new_id = new_vector | np.concatenate(([True], ids[order[1:]] != ids[order[:-1]]))[: len(order)]
+    nth = np.cumsum(new_id)
+    nth_id = nth - np.maximum.accumulate(np.where(new_vector, nth, 0))
+    nth_row = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    keep = order[(nth_id <= k) & (nth_row < k)]
     return ids[keep], points[keep]
 
 

@@ -387,6 +387,15 @@ def test_top_k(spark):
     assert top_k(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_top_k_of_a_repeated_query_row(spark):
+    from skewline.llm.topk import top_k, whole_numbers
+
+    data = [(0, [1.0, 2.0])] * 8 + [(i, [1.0, 2.0]) for i in (3, 3, 4, 6, 7, 8)] + [(i, [0.5, 0.25 * i]) for i in (1, 2)]
+    rows = whole_numbers(spark.createDataFrame(data, "vec_id long, embedding array<float>").coalesce(1))
+    got = top_k(rows, rows.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 5 * 256 * 256) for i in (3, 3, 4, 6, 7)]
+
+
 def test_ball_tree_skips_leaves():
     from skewline.llm.topk import NONE, BallTree, Best, search
 
