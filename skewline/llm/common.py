@@ -13,12 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session has none (local tests)."""
+    """The folder that driver and executors share. Set here only where the session has none and runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext
         path = sc.getCheckpointDir()
         if not path:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = tempfile.mkdtemp(prefix="skewline-checkpoint-")
             sc.setCheckpointDir(path)
             path = sc.getCheckpointDir()
@@ -31,7 +33,17 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete scratch tables that `written` made, once all that reads them has been written itself."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_or_empty(text: str | Column) -> Column:

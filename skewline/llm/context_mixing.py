@@ -1,81 +1,205 @@
 """LM scoring by online logistic context mixing.
 
-A text is its lower-cased words and an end. First its class is coded, in even bits: documents fall into `CLASSES` classes by
-their commonest words, found from how often the `ANCHORS` commonest words of the training texts occur together (languages,
-in a mixed corpus). Then a word's bytes and the blank behind it (for the end, a line break) are coded bit by bit, most
-significant first. Seven hashed contexts predict each bit from the counts of the training words: the place in the word, the
-1, 2, 3 and 4 bytes before, and the whole word so far, each within the class, and the whole word so far in any class. Their logits are combined by weights that a gate
-picks: by the longest context seen, and by how often each context was seen. The weights are learned online, in one pass
-over the training words in which a word's own token is left out of its counts, by every task on its share, and averaged.
-An adaptive table then corrects the mixed probability, per gate and size. Last, within a document the word's probability is
-refined adaptively: it is mixed with how often, and after which word, the document has used the word before, under weights
-that follow each document. All steps give proper probabilities, so `score` is log10 of the text's.
-
-What is gathered from the corpus, a count of every distinct training word, grows with it; the hashed tables made from these
-counts have a fixed size (`TABLE_BITS`), so what is broadcast is bounded, as is the list of the `TOP_WORDS` commonest words,
-which resolves most tokens where they are; the counts of all other words are joined to them, exactly.
+A text is its lower-cased words and an end, coded as bits: a word of the dictionary (the `TOP_WORDS` commonest training words
+that occur `MIN_COUNT` times) by its path in a Huffman tree, any other by the path of an escape and then by what it is. Five
+predictors give a logit for each bit of a path, from hashed contexts:
+  * the tree node alone, from all training texts;
+  * the node after the word before (a common word itself, of others the last two bytes), from all training texts;
+  * the node in what the passage itself has said so far;
+  * the word that followed the word before when the passage last had it, for as long as the path agrees with it;
+  * the corpus memory: the word that most often followed the two words before, likewise.
+They are mixed logistically: the weights hang on how often each context was seen and on a gate, the state of the memory (how
+often the word followed, and how contested). The weights are learned online, by gradient steps through each block of training
+texts, and averaged over the blocks. A table then corrects the mixed probability adaptively, per gate and size. An escaped
+word is told by further bits, whose probabilities are adaptive: is it the one that the memory expects, is it one that the
+passage has used; else it is a mixture of the corpus's counts of rare words and of a spelling, coded bit by bit by a mixer of
+the same kind over the bytes before it. All steps give probabilities that sum to one at most, so `score` is log10 of a
+proper code's probability of the text.
+
+What is gathered grows with the corpus and is exact: the count of every distinct word, and the memory, the followers of every
+pair of words. Neither is broadcast: counts are joined; the memory is cut into shards by a hash of the pair, of about
+`SHARD_KEYS` pairs each, as many as the corpus needs, and every block of texts asks each shard once and gets its answers back.
+Of a pair a block tells its `TELL` commonest followers, so even a pair found everywhere brings a shard a few rows a block.
+What is broadcast has a fixed size: the dictionary, the table of words after words before (`AFTER_BITS`) and the tables of
+the spelling (`TABLE_BITS`).
+
+Own text is left out: where a training text is scored, its own occurrences are taken from the counts that predict it.
+A passage is a text, or a part of `PASSAGE` tokens of a longer one.
 
 Defined results: a null text counts as empty and has its end only; a null id counts as the text "" in the split into
-training and held-out; repeated rows are scored and learned one by one; with no training text nothing is known and scores
-come from even bits; an empty table gives an empty table; other columns are not looked at.
+training and held-out; repeated rows are scored and learned one by one; with no training text nothing is known and words are
+spelled in even bits; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokenization import texts_of
+from .common import dropped, written
 
-#: Slots of the tables of the seven contexts, as powers of two.
-TABLE_BITS = (16, 18, 20, 20, 20, 22, 22)
-CLASSES = 8
-ANCHORS = 256
-OFFSETS = tuple(int(x) for x in np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))))
-SLOTS = OFFSETS[-1]
-BLOCK = 1 << 16
-TOP_WORDS = 50_000
 END = b"\n"
-#: Tasks that learn from the word counts: each holds tables of a fixed size.
-LEARNERS = 24
+TOP_WORDS = 200_000
+MIN_COUNT = 3
+FLUSH_WORDS = 400_000
+#: A block's text, about, and its texts at most; tokens of a passage at most.
+BLOCK_BYTES = 8 << 20
+BLOCK_TEXTS = 1 << 14
+PASSAGE = 1 << 16
+UNIT = 1 << 13
+#: The corpus memory: pairs of words in a shard, followers of a pair that a block tells.
+SHARD_KEYS = 1 << 21
+TELL = 8
+#: Words whose context is themselves; of the others it is their end.
+OWN_CONTEXT = 8192
+AFTER_BITS = 22
+PARTS = 16
+#: Codes of words in the memory: the dictionary's numbers, and hashes of other words from here to 2^24.
+RARE_CODE = 1 << 18
+
+#: Spelling: slots of the tables of its six contexts, as powers of two; words in a group that learns by itself.
+TABLE_BITS = (12, 16, 18, 20, 20, 22)
+GROUP_WORDS = 1 << 17
 SEGMENT = 1 << 14
-#: Bytes of words that one step of learning takes.
 BATCH = 1 << 12
-CACHE_WORDS = 500_000
-FLUSH_WORDS = 400_000
+STEP = 1 << 11
+
 PRIOR = 0.3
-GATES = len(TABLE_BITS) + 1
 LEVELS = 8
 BUCKETS = 33
-#: First weights of: the static model, the document's own word counts, the word that came next last time.
-EXPERTS = (0.9, 0.07, 0.03)
-SHARE = 0.01
+INPUTS = 5
+STATES = 16
+RATE = 0.06
 
 _SALT = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(8)], np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BASE = np.uint64(0x100000001B3)
 _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+_START = np.uint64(0x5851F42D4C957F2D)
+_LOW24 = np.uint64((1 << 24) - 1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x + _SALT[1]) * _MIX
+        x ^= x >> np.uint64(31)
+        x *= _MIX
+        return x ^ (x >> np.uint64(29))
+
+
+def quantized(n: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A slot's logit in sixteenths, and how often it was seen: 0 to 8 as such, then by eighths of a doubling."""
+    logit = np.log((ones + PRIOR) / (n - ones + PRIOR))
+    seen = np.where(n <= 8, np.round(n), 8 + np.floor(8 * np.log2(np.maximum(n, 8) / 8)))
+    return np.clip(np.round(16 * logit), -127, 127).astype(np.int8), np.minimum(seen, 255).astype(np.uint8)
+
+
+_SEEN = np.concatenate((np.arange(9), 8 * 2 ** ((np.arange(9, 256) - 8) / 8))).astype(np.float32)
+_LEVEL_OF = np.minimum(LEVELS - 1, np.concatenate(([0], 1 + np.floor(np.log2(np.arange(1, 1 << LEVELS)))))).astype(np.int32)
+_LEVEL = np.minimum(LEVELS - 1, np.concatenate(([0], 1 + np.floor(np.log2(_SEEN[1:])).astype(int)))).astype(np.int32)
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    """0 for nothing seen, then by doublings."""
+    return _LEVEL_OF[np.minimum(n, len(_LEVEL_OF) - 1).astype(np.int32)]
+
+
+def less_own(logit: np.ndarray, seen: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(logit, level) of slots that were seen, once the bit itself is taken out of their counts."""
+    n = _SEEN[seen]
+    ones = (n + np.float32(2 * PRIOR)) / (1 + np.exp(-logit)) - np.float32(PRIOR)
+    n = n - 1
+    return _logit(n, np.minimum(np.maximum(ones - bits, 0), n)), level_of(n)
+
+
+@dataclass
+class Mixer:
+    """Weights by gate, input and level, and the correcting table by gate and size."""
+
+    weights: np.ndarray
+    ones: np.ndarray
+    all: np.ndarray
+
+    @staticmethod
+    def blank(gates: int, inputs: int) -> Mixer:
+        return Mixer(np.full(gates * inputs * LEVELS, 0.3, np.float32), np.zeros(gates * BUCKETS), np.zeros(gates * BUCKETS))
+
+    def probability(self, x: np.ndarray, at: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(mixed P(bit = 1), bucket of the correcting table); `at` has the weight of each input."""
+        dot = np.clip(np.einsum("ij,ij->j", self.weights[at], x), -11.9, 11.9)
+        return 1 / (1 + np.exp(-dot)), gate * BUCKETS + np.round((dot + 12) * ((BUCKETS - 1) / 24)).astype(np.int32)
+
+    def corrected(self, p: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return (p + ((self.ones[bucket] + p) / (self.all[bucket] + 1))) / 2
+
+    def learn(self, x: np.ndarray, at: np.ndarray, gate: np.ndarray, bits: np.ndarray, squares: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """Online steps of `STEP` bits; `counts` is how often each bit occurred."""
+        for lo in range(0, len(bits), STEP):
+            s = slice(lo, lo + STEP)
+            p, bucket = self.probability(x[:, s], at[:, s], gate[s])
+            b, c = bits[s], None if counts is None else counts[s]
+            self.ones += np.bincount(bucket, b if c is None else b * c, len(self.ones))
+            self.all += np.bincount(bucket, c, len(self.all))
+            error = p - b
+            if c is not None:
+                error = error * (c / c.mean())
+            slope = np.bincount(at[:, s].ravel(), (error[None, :] * x[:, s]).ravel(), len(self.weights)) / len(b)
+            squares += slope * slope
+            self.weights -= (RATE * slope / np.sqrt(squares)).astype(np.float32)
+
+    def values(self) -> np.ndarray:
+        return np.concatenate([self.weights, self.ones, self.all])
+
+
+def summed(rows: DataFrame) -> np.ndarray:
+    """The sum of `values array<double>` by place, exact to six decimals in any order; empty without rows."""
+    parts = rows.select(F.posexplode("values").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x").cast("decimal(30,6)")).cast("double").alias("x"))
+    got = parts.toPandas().sort_values("i")
+    return got["x"].to_numpy(float)
+
+
+def averaged(total: np.ndarray, like: Mixer) -> Mixer:
+    """A mixer from summed values whose weights were multiplied by the mass, which comes first."""
+    k, t = len(like.weights), len(like.ones)
+    if not len(total) or not total[0]:
+        return like
+    return Mixer((total[1 : k + 1] / total[0]).astype(np.float32), total[k + 1 : k + 1 + t], total[k + 1 + t : k + 1 + 2 * t])
+
+
+def packed_values(mass: float, mixer: Mixer, more: np.ndarray | None = None) -> np.ndarray:
+    return np.concatenate([[mass], mixer.weights * mass, mixer.ones, mixer.all, *([] if more is None else [more])])
+
+
+# Spelling: words outside the dictionary, bit by bit.
+
+OFFSETS = tuple(int(x) for x in np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))))
+SLOTS = OFFSETS[-1]
+GATES = len(TABLE_BITS) + 1
 
 
 def units(word: bytes) -> list[bytes]:
     """What is coded for a word: its bytes and a blank, in segments; contexts start anew at a segment."""
-    coded = END if word == END else word + b" "
+    coded = word + b" "
     return [coded] if len(coded) <= SEGMENT else [coded[i : i + SEGMENT] for i in range(0, len(coded), SEGMENT)]
 
 
-def contexts(segments: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each context at each byte, the bytes, the segment of each byte); `classes` has the segments' classes."""
+def contexts(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each context at each byte, the bytes, the segment of each byte).
+
+    The contexts are the place in the word, the 1, 2, 3 and 4 bytes before, and the word so far.
+    """
     data = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint64)
     n = len(data)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
@@ -94,13 +218,9 @@ def contexts(segments: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np
         up = np.cumprod(np.concatenate(([1], np.full(n, _BASE, np.uint64))).astype(np.uint64))
         down = np.cumprod(np.concatenate(([1], np.full(n, _INVERSE, np.uint64))).astype(np.uint64))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[:n])))
-        out[5] = out[6] = (total[:n] - total[starts]) * down[starts] + place.astype(np.uint64)
-        within = np.repeat(classes.astype(np.uint64) + np.uint64(1), sizes) * _SALT[6]
+        out[5] = (total[:n] - total[starts]) * down[starts] + place.astype(np.uint64)
         for i in range(len(out)):
-            h = (out[i] + _SALT[i]) * _MIX
-            if i < 6:
-                h = (h ^ (h >> np.uint64(31)) ^ within) * _MIX
-            out[i] = h ^ (h >> np.uint64(29))
+            out[i] = mixed(out[i] + _SALT[i])
     return out, data, np.repeat(np.arange(len(segments)), sizes)
 
 
@@ -111,424 +231,785 @@ def bit_slots(hashes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     bits = ((data[:, None] >> (np.uint64(7) - shift)[None, :]) & np.uint64(1)).astype(np.uint8)
     slots = np.empty((len(hashes), len(data) * 8), np.int64)
     with np.errstate(over="ignore"):
-        mixed = node * _SALT[7]
+        salted = node * _SALT[7]
         for i, b in enumerate(TABLE_BITS):
-            slots[i] = (((hashes[i][:, None] ^ mixed) * _MIX) >> np.uint64(64 - b)).astype(np.int64).ravel() + OFFSETS[i]
+            slots[i] = (((hashes[i][:, None] ^ salted) * _MIX) >> np.uint64(64 - b)).astype(np.int64).ravel() + OFFSETS[i]
     return slots, bits.ravel()
 
 
-def quantized(n: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A slot's logit in sixteenths, and how often it was seen: 0 to 8 as such, then by eighths of a doubling."""
-    logit = np.log((ones + PRIOR) / (n - ones + PRIOR))
-    seen = np.where(n <= 8, np.round(n), 8 + np.floor(8 * np.log2(np.maximum(n, 8) / 8)))
-    return np.clip(np.round(16 * logit), -127, 127).astype(np.int8), np.minimum(seen, 255).astype(np.uint8)
-
-
-_SEEN = np.concatenate((np.arange(9), 8 * 2 ** ((np.arange(9, 256) - 8) / 8)))
-_LEVEL = np.minimum(LEVELS - 1, np.concatenate(([0], 1 + np.floor(np.log2(_SEEN[1:])).astype(int)))).astype(np.int32)
-
-
 @dataclass
-class Model:
+class Speller:
     logit: np.ndarray
     seen: np.ndarray
-    weights: np.ndarray
-    ones: np.ndarray
-    all: np.ndarray
-
-    def inputs(self, slots: np.ndarray, leave_out: bool, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(logits, weight index of each input, gate), with the token itself left out of the counts where asked."""
-        logit, seen = self.logit[slots].astype(np.float32) / 16, self.seen[slots]
-        if leave_out:
-            few = (seen > 0) & (seen <= 64)
-            n = _SEEN[seen[few]]
-            p = 1 / (1 + np.exp(-logit[few].astype(float)))
-            ones = np.clip(p * (n + 2 * PRIOR) - PRIOR, 0, n)
-            b = np.broadcast_to(bits, slots.shape)[few]
-            n, ones = n - 1, np.clip(ones - b, 0, n - 1)
-            logit[few] = np.log((ones + PRIOR) / (n - ones + PRIOR))
-            seen = seen.copy()
-            seen[few] = np.where(n <= 8, np.round(n), seen[few])
+    mixer: Mixer
+
+    def inputs(self, slots: np.ndarray, own: bool, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits, weight of each, gate: the longest context seen), with the word itself left out of the counts if `own`."""
+        seen = self.seen[slots]
+        x, levels = self.logit[slots] * np.float32(1 / 16), _LEVEL[seen]
+        if own:
+            few = np.nonzero((seen > 0) & (levels < LEVELS - 1))
+            x[few], levels[few] = less_own(x[few], seen[few], bits[few[1]])
+        found = levels > 0
         gate = np.zeros(slots.shape[1], np.int32)
         for i in range(len(slots)):
-            gate[seen[i] > 0] = i + 1
-        at = _LEVEL[seen]
-        at += (np.arange(len(slots), dtype=np.int32) * LEVELS)[:, None]
-        at += gate * np.int32(len(slots) * LEVELS)
-        return logit, at, gate
-
-    def probability(self, logit: np.ndarray, at: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(mixed P(bit = 1), bucket of the correcting table)."""
-        mixed = np.clip(np.einsum("ij,ij->j", self.weights[at], logit), -11.9, 11.9)
-        return 1 / (1 + np.exp(-mixed)), gate * BUCKETS + np.round((mixed + 12) * (BUCKETS - 1) / 24).astype(np.int64)
-
-    def log2_words(self, words: list[tuple[int, bytes]]) -> np.ndarray:
-        """log2 of the probability of each (class, word), given the class."""
+            gate[found[i]] = i + 1
+        at = levels + (np.arange(len(slots), dtype=np.int32) * LEVELS)[:, None] + gate * np.int32(len(slots) * LEVELS)
+        return x, at, gate
+
+    def log2_words(self, words: list[bytes], own: bool) -> np.ndarray:
+        """log2 of the probability of each word, in batches of a bounded size."""
         out = np.zeros(len(words))
-        segments, owner, kinds, size = [], [], [], 0
-        for i, (k, w) in enumerate(words):
+        segments, owner, size = [], [], 0
+
+        def flush() -> None:
+            hashes, data, of = contexts(segments)
+            slots, bits = bit_slots(hashes, data)
+            p, bucket = self.mixer.probability(*self.inputs(slots, own, bits))
+            p = self.mixer.corrected(p, bucket)
+            got = np.log2(np.where(bits, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+            np.add.at(out, np.array(owner)[of], got)
+            segments.clear()
+            owner.clear()
+
+        for i, w in enumerate(words):
             for u in units(w):
                 segments.append(u)
                 owner.append(i)
-                kinds.append(k)
                 size += len(u)
-            if size >= SEGMENT or i == len(words) - 1:
-                hashes, data, of = contexts(segments, np.array(kinds))
-                slots, bits = bit_slots(hashes, data)
-                p, bucket = self.probability(*self.inputs(slots, False, bits))
-                p = (p + (self.ones[bucket] + p) / (self.all[bucket] + 1)) / 2
-                got = np.log2(np.where(bits, p, 1 - p)).reshape(-1, 8).sum(axis=1)
-                np.add.at(out, np.array(owner)[of], got)
-                segments, owner, kinds, size = [], [], [], 0
+                if size >= SEGMENT:
+                    flush()
+                    size = 0
+        if segments:
+            flush()
         return out
 
 
-def blank_weights() -> np.ndarray:
-    return np.full(GATES * len(TABLE_BITS) * LEVELS, 0.3)
+def _word_batches(words: list[bytes], counts: list[int], batch_bytes: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    segments, of, size = [], [], 0
+    for word, n in zip(words, counts, strict=True):
+        for u in units(word):
+            segments.append(u)
+            of.append(n)
+            size += len(u)
+            if size >= batch_bytes:
+                yield segments, np.array(of, float)
+                segments, of, size = [], [], 0
+    if segments:
+        yield segments, np.array(of, float)
+
+
+def _table_parts(zeros: np.ndarray, ones: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, raw): slices of two tables of counts, those that aren't empty."""
+    width = -(-len(zeros) // parts)
+    for i in range(parts):
+        part = np.stack([zeros[i * width : (i + 1) * width], ones[i * width : (i + 1) * width]])
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([squeezed(part.astype(np.int64))], pa.binary())], names=["part", "raw"])
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Compressed, after its shape: all first bytes of the numbers, all second bytes, and so on."""
+    raw = np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(x.size, x.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def expanded(raw: bytes, kind: str) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, kind)
+    size, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    plain = pa.decompress(raw[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def quantized_table(parts: DataFrame, n_tasks: int, slots: int, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tables of (part, raw) rows added up, in two levels so that no group meets more than about a root of the tasks, and quantized."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(0, np.int64)
+        for raw in rows.column("raw"):
+            one = expanded(raw.as_py(), "<i8")
+            total = one.copy() if not len(total) else total + one
+        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "raw": pa.array([squeezed(total)], pa.binary())})
+
+    width = -(-slots // n_parts)
+    salts = max(1, math.isqrt(n_tasks))
+    if salts > 1:
+        salted = parts.withColumn("salt", F.pmod(F.xxhash64("raw"), F.lit(salts)))
+        parts = salted.groupBy("part", "salt").applyInArrow(lambda rows: add(rows), "part int, raw binary")
+    logit, seen = np.zeros(width * n_parts, np.int8), np.zeros(width * n_parts, np.uint8)
+    for part, raw in parts.groupBy("part").applyInArrow(lambda rows: add(rows), "part int, raw binary").toPandas().itertuples(index=False):
+        zeros, ones = expanded(raw, "<i8").reshape(2, -1).astype(float)
+        at = slice(part * width, part * width + len(ones))
+        logit[at], seen[at] = quantized(zeros + ones, ones)
+    return logit[:slots], seen[:slots]
+
+
+def learn_spelling(rare: DataFrame, n_words: int) -> Speller:
+    """From the distinct words outside the dictionary and their counts, in groups by hash, each sorted, so reruns agree."""
+    groups = max(1, -(-n_words // GROUP_WORDS))
+    grouped = rare.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(groups)))
+    speller = Speller(np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.uint8), Mixer.blank(GATES, len(TABLE_BITS)))
+    if not n_words:
+        return speller
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        both = np.zeros(2 * SLOTS, np.int64)
+        for segments, counts in _word_batches(rows.column("word").to_pylist(), rows.column("n").to_pylist(), SEGMENT):
+            hashes, data, of = contexts(segments)
+            slots, bits = bit_slots(hashes, data)
+            at, n = (2 * slots + bits).ravel(), np.tile(np.repeat(counts[of], 8), len(slots))
+            order = np.argsort(at)
+            cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            both[at[order][cuts]] += np.add.reduceat(n[order], cuts).astype(np.int64)
+        return pa.Table.from_batches(list(_table_parts(both[::2], both[1::2], PARTS)))
+
+    parts = grouped.groupBy("part").applyInArrow(lambda rows: add_up(rows), "part int, raw binary")
+    speller.logit, speller.seen = quantized_table(parts, groups, SLOTS, PARTS)
+    sent = rare.sparkSession.sparkContext.broadcast((speller.logit, speller.seen))
+
+    def online(rows: pa.Table) -> pa.Table:
+        own, squares, mass = Speller(*sent.value, Mixer.blank(GATES, len(TABLE_BITS))), np.full(GATES * len(TABLE_BITS) * LEVELS, 1e-6), 0.0
+        rows = rows.sort_by("word")
+        for segments, counts in _word_batches(rows.column("word").to_pylist(), rows.column("n").to_pylist(), BATCH):
+            hashes, data, of = contexts(segments)
+            slots, bits = bit_slots(hashes, data)
+            c = np.repeat(counts[of], 8)
+            own.mixer.learn(*own.inputs(slots, True, bits), bits, squares, c)
+            mass += float(c.sum())
+        return pa.table({"values": pa.array([packed_values(mass, own.mixer).tolist()], pa.list_(pa.float64()))})
+
+    speller.mixer = averaged(summed(grouped.groupBy("part").applyInArrow(lambda rows: online(rows), "values array<double>")), speller.mixer)
+    return speller
+
+
+# The dictionary and its code.
+
+
+@dataclass
+class Dictionary:
+    """Words by falling count and the paths of their code; the escape's number is that of words."""
+
+    number: dict[bytes, int]
+    log10_n: np.ndarray
+    starts: np.ndarray
+    depth: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    node_n: np.ndarray
+    node_ones: np.ndarray
+    node_logit: np.ndarray
+    node_level: np.ndarray
+    hashes: np.ndarray
+    after: np.ndarray
+
+
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, depths, nodes, bits, n, ones): the path of each symbol from the root, end to end, and the counts of each node."""
+    m = len(counts)
+    heap = [(int(c), i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent, side = np.zeros(2 * m - 1, np.int64), np.zeros(2 * m - 1, np.uint8)
+    n, ones = np.zeros(max(1, m - 1)), np.zeros(max(1, m - 1))
+    for k in range(m - 1):
+        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[i] = parent[j] = m + k
+        side[i] = 1
+        n[k], ones[k] = a + b, a
+        heapq.heappush(heap, (a + b, m + k))
+    at, levels = np.arange(m), []
+    while (at != 2 * m - 2).any():
+        on = at != 2 * m - 2
+        levels.append((on, np.where(on, parent[at] - m, 0), np.where(on, side[at], 0)))
+        at = np.where(on, parent[at], at)
+    depth = np.sum([on for on, _, _ in levels], axis=0, dtype=np.int64) if levels else np.zeros(m, np.int64)
+    starts = np.cumsum(depth) - depth
+    nodes, bits = np.zeros(int(depth.sum()), np.int32), np.zeros(int(depth.sum()), np.uint8)
+    for up, (on, node, bit) in enumerate(levels):
+        where = starts[on] + depth[on] - 1 - up
+        nodes[where], bits[where] = node[on], bit[on]
+    return starts, depth, nodes, bits, n, ones
+
+
+def end_context(word: bytes) -> int:
+    """The context that a less common word makes for the next one: its last two bytes."""
+    return OWN_CONTEXT + 1 + int.from_bytes(word[-2:], "big")
+
+
+def dictionary_of(words: list[bytes], counts: list[int], n_rare: int) -> Dictionary:
+    c = np.array([*counts, n_rare + 1], np.int64)
+    starts, depth, nodes, bits, n, ones = huffman(c)
+    after = np.array([i + 1 if i < OWN_CONTEXT else end_context(w) for i, w in enumerate(words)], np.int32)
+    return Dictionary({w: i for i, w in enumerate(words)}, np.log10(np.array(counts, float) + 0.5), starts, depth, nodes, bits, n, ones, _logit(n, ones).astype(np.float32), level_of(n), mixed(np.arange(len(words), dtype=np.uint64)), after)
 
 
 def is_held_out(id_column: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def word_counts(docs: DataFrame, topics: np.ndarray | None = None, anchors: dict[bytes, int] | None = None) -> DataFrame:
-    """(kind int, word binary, n long) of all texts by class (0 without classes), each with its end."""
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, end to end, and how many each has)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    full = np.asarray(pc.greater(pc.binary_length(words), 0))
+    if not full.all():  # outer white space gives empty words
+        ends = np.concatenate(([0], np.cumsum(full)))
+        sizes = np.diff(ends[np.concatenate(([0], np.cumsum(sizes)))])
+        words = words.filter(pa.array(full))
+    return words, sizes
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Counter[bytes]] = [Counter() for _ in range(CLASSES if anchors else 1)]
 
-        def flush() -> pa.RecordBatch:
-            kinds = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
-            words, n = [w for h in held for w in h], [n for h in held for n in h.values()]
-            for h in held:
-                h.clear()
-            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["kind", "word", "n"])
-
-        for texts in _text_batches(batches):
-            words, sizes = split_words(texts)
-            kinds = classes_of(words, sizes, topics, anchors) if anchors else np.zeros(len(sizes), np.int64)
-            for k in np.unique(kinds).tolist():
-                own = words if not anchors else words.filter(pa.array(np.repeat(kinds == k, sizes)))
-                found, into = own.cast(pa.binary()).value_counts(), held[k]
-                for w, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
-                    if w:
-                        into[w] += n
-                held[k][END] += int((kinds == k).sum())
-            if sum(map(len, held)) > FLUSH_WORDS:
-                yield flush()
-        yield flush()
-
-    return docs.select("text").mapInArrow(count, "kind int, word binary, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-
-
-def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
-    """Texts of the first column, lower-cased in ASCII, null as empty, a bounded number of them at a time."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2048):
-            yield pc.ascii_lower(pc.fill_null(batch.column(0).slice(lo, 2048), ""))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word binary, n long) of all texts, each with its end."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(the words of all texts, end to end, and how many each has); a text's outer white space gives an empty word."""
-    lists = pc.ascii_split_whitespace(texts)
-    return lists.flatten(), np.asarray(pc.list_value_length(lists))
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            held.clear()
+            return out
 
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                some = batch.column(0).slice(lo, 2048)
+                words, _ = split_words(some)
+                found = words.cast(pa.binary()).value_counts()
+                held.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True)))
+                held[END] += len(some)
+                if len(held) > FLUSH_WORDS:
+                    yield flush()
+        if held:
+            yield flush()
 
-def anchor_counts(words: pa.Array, sizes: np.ndarray, anchors: dict[bytes, int]) -> np.ndarray:
-    """(text, anchor) counts."""
-    at = pc.index_in(words, value_set=pa.array([a.decode() for a in anchors], pa.string()))
-    found = np.flatnonzero(np.asarray(at.is_valid()))
-    owner = np.repeat(np.arange(len(sizes)), sizes)[found]
-    flat = owner * len(anchors) + at.drop_null().to_numpy()
-    return np.bincount(flat, minlength=len(sizes) * len(anchors)).reshape(len(sizes), len(anchors))
+    return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def classes_of(words: pa.Array, sizes: np.ndarray, topics: np.ndarray, anchors: dict[bytes, int]) -> np.ndarray:
-    """`class_of` of all texts at once."""
-    return np.argmax(anchor_counts(words, sizes, anchors) @ topics.T, axis=1)
+# Blocks of texts as symbols.
 
+_BLOCK = "block bigint, ids array<{kind}>, held array<boolean>, n_bytes array<bigint>, sizes array<bigint>, symbols binary, rare array<binary>"
 
-def class_of(words: list[bytes], topics: np.ndarray, anchors: dict[bytes, int]) -> int:
-    """The class under which a text's anchor words are likeliest; the first, without any."""
-    found = [a for a in map(anchors.get, words) if a is not None]
-    return int(np.argmax(topics @ np.bincount(found, minlength=topics.shape[1]))) if found else 0
 
+def blocks_of(rows: DataFrame, sent) -> DataFrame:
+    """One row a block: its texts' ids, and their words as numbers: of the dictionary, or -1 - place among the block's rare words."""
 
-def topic_table(docs: DataFrame, anchors: dict[bytes, int]) -> np.ndarray:
-    """(class, anchor) log probabilities, from the number of texts of all the corpus in which two anchors occur together.
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, block = sent.value.number, TaskContext.get().partitionId() << 20
+        end = number.get(END, 0)
+        for batch in batches:
+            texts = batch.column(1)
+            size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+            of = np.cumsum(size) // BLOCK_BYTES + np.arange(len(size)) // BLOCK_TEXTS
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                found, sizes = split_words(texts.slice(lo, hi - lo))
+                coded = found.cast(pa.binary()).dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                ids = np.array([number.get(w, -1) for w in distinct], np.int32)
+                rare = np.flatnonzero(ids < 0)
+                ids[rare] = -1 - np.arange(len(rare), dtype=np.int32)
+                ends = np.cumsum(sizes + 1) - 1
+                symbols = np.full(len(found) + len(sizes), end, np.int32)
+                is_word = np.ones(len(symbols), bool)
+                is_word[ends] = False
+                symbols[is_word] = ids[np.asarray(coded.indices)] if len(ids) else 0
+                one = lambda column, kind: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column if kind is None else pa.array(column, kind))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), one(pa.concat_arrays([batch.column(0).slice(lo, hi - lo)]), None), one(pa.concat_arrays([batch.column(2).slice(lo, hi - lo)]), None), one(size[lo:hi], pa.int64()), one(sizes + 1, pa.int64()), pa.array([squeezed(symbols)], pa.binary()), one([distinct[i] for i in rare.tolist()], pa.binary())],
+                    names=["block", "ids", "held", "n_bytes", "sizes", "symbols", "rare"],
+                )
+                block += 1
 
-    Tasks give one matrix of fixed size each. Anchors are grouped by the leading directions of their associations; the
-    groups start from anchors far apart, so the result is the same on every run.
-    """
-    size = len(anchors)
-    if not size:
-        return np.zeros((CLASSES, 0))
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size))
-        for texts in _text_batches(batches):
-            seen = (anchor_counts(*split_words(texts), anchors) > 0).astype(np.float32)
-            total += seen.T @ seen
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["one", "counts"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size * size)
-        for raw in rows["counts"]:
-            total += np.frombuffer(raw, float)
-        return pd.DataFrame({"counts": [total.tobytes()]})
-
-    # Partial sums first: a few tasks add up many matrices, the driver the rest.
-    parts = docs.select("text").mapInArrow(together, "one int, counts binary").withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16)))
-    partial = parts.groupBy("part").applyInPandas(lambda rows: add(rows), "counts binary").toPandas()["counts"]
-    n = np.sum([np.frombuffer(x, float) for x in partial], axis=0).reshape(size, size) if len(partial) else np.zeros((size, size))
-    single = np.maximum(np.diag(n), 1)
-    link = np.maximum(0, np.log((n + 0.5) * single.max() / np.outer(single, single) / 2 + 1e-9) + 3)
-    values, vectors = np.linalg.eigh(link)
-    k = min(CLASSES, size)
-    points = vectors[:, -k:] * np.sqrt(np.abs(values[-k:]))
-    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
-    centers = [points[0]]
-    for _ in range(k - 1):
-        centers.append(points[np.argmax(np.min([((points - c) ** 2).sum(1) for c in centers], axis=0))])
-    for _ in range(30):
-        group = np.argmin([((points - c) ** 2).sum(1) for c in centers], axis=0)
-        centers = [points[group == g].mean(0) if (group == g).any() else centers[g] for g in range(k)]
-    tables = np.zeros((CLASSES, size))
-    for g in range(k):
-        use = n[group == g].sum(axis=0) + 0.5
-        tables[g] = np.log(use / use.sum())
-    tables[k:] = tables[:1] - 1
-    return tables
-
-
-def _word_batches(frames: Iterator[pa.RecordBatch], batch_bytes: int = BATCH) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Segments of about `batch_bytes` bytes together, with their counts and classes."""
-    segments, counts, kinds, size = [], [], [], 0
-    for batch in frames:
-        for kind, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for u in units(word):
-                segments.append(u)
-                counts.append(n)
-                kinds.append(kind)
-                size += len(u)
-            if size >= batch_bytes:
-                yield segments, np.array(counts, float), np.array(kinds)
-                segments, counts, kinds, size = [], [], [], 0
-    if segments:
-        yield segments, np.array(counts, float), np.array(kinds)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text", "held_out").mapInArrow(cut, _BLOCK.format(kind=kind))
 
 
-def count_tables(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed tables: every task adds up its words in tables of fixed size, and their blocks are summed by number."""
+@dataclass
+class Block:
+    """A block's tokens, and what is told of each: its passage, whether that is held out, and the contexts it stands in."""
+
+    symbols: np.ndarray
+    passage: np.ndarray
+    held: np.ndarray
+    doc: np.ndarray
+    code: np.ndarray
+    pair: np.ndarray
+    after: np.ndarray
+
+    @staticmethod
+    def of(sizes: np.ndarray, held: np.ndarray, symbols: np.ndarray, rare: list[bytes], book: Dictionary) -> Block:
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(symbols)) - starts[doc]
+        per_doc = -(-sizes // PASSAGE)
+        passage = (np.cumsum(per_doc) - per_doc)[doc] + place // PASSAGE
+        rare_hash = np.array([xxhash.xxh64_intdigest(w) for w in rare], np.uint64)
+        is_rare = symbols < 0
+        hashes, code, after = np.empty(len(symbols), np.uint64), symbols.astype(np.int64), np.empty(len(symbols), np.int32)
+        known, at = symbols[~is_rare], -1 - symbols[is_rare]
+        hashes[~is_rare], after[~is_rare] = book.hashes[known], book.after[known]
+        hashes[is_rare] = rare_hash[at]
+        code[is_rare] = RARE_CODE + (rare_hash % np.uint64((1 << 24) - RARE_CODE)).astype(np.int64)[at]
+        after[is_rare] = np.array([end_context(w) for w in rare], np.int32)[at]
+        one, two = np.full(len(symbols), _START), np.full(len(symbols), _START)
+        one[1:], two[2:] = hashes[:-1], hashes[:-2]
+        one[place == 0], two[place <= 1] = _START, _START
+        with np.errstate(over="ignore"):
+            pair = mixed(one * _BASE + two)
+        before = np.zeros(len(symbols), np.int32)
+        before[1:] = after[:-1]
+        before[place == 0] = 0
+        return Block(symbols, passage, held[doc], doc, code, pair, before)
+
+    def part(self, use: np.ndarray) -> Block:
+        """The tokens marked, of whole passages."""
+        return Block(*(getattr(self, f.name)[use] for f in fields(self)))
+
+
+def _block_of(row: dict, book: Dictionary) -> Block:
+    return Block.of(np.array(row["sizes"], np.int64), np.array(row["held"], bool), expanded(row["symbols"], "<i4"), row["rare"], book)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+# The corpus memory.
+
+
+def shard_bits(n_tokens: int) -> int:
+    return min(31, max(0, math.ceil(math.log2(max(1, n_tokens / SHARD_KEYS)))))
+
+
+def pairs_of(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pairs, ordered, the place of each token's pair among them); a pair is known by `bits` + 32 bits of its hash."""
+    short = block.pair >> np.uint64(32 - bits)
+    order = np.argsort(short)
+    new = np.concatenate((np.ones(min(1, len(order)), bool), short[order[1:]] != short[order[:-1]]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return short[order][new], rank
+
+
+_ASK = "shard int, block bigint, keys binary, meta binary, words binary, n binary"
+_TOLD = "block bigint, shard int, best binary, best_n binary, next binary, next_n binary"
+
+
+def questions(blocks: DataFrame, bits: int, sent) -> DataFrame:
+    """Of each block, for each shard: the pairs it asks about, and the commonest training followers it knows of them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block = _block_of(row, sent.value)
+            if not len(block.symbols):
+                continue
+            pairs, rank = pairs_of(block, bits)
+            first, last = np.full(len(pairs), np.iinfo(np.int64).max), np.zeros(len(pairs), np.int64)
+            np.minimum.at(first, rank, block.passage)
+            np.maximum.at(last, rank, block.passage)
+            use = ~block.held
+            told = np.sort((rank[use] << 24) | block.code[use])
+            cuts = np.flatnonzero(np.diff(told, prepend=-1))
+            n = np.minimum(np.diff(np.append(cuts, len(told))), 255)
+            told = told[cuts]
+            # By pair, then by falling count, then by word.
+            ordered = np.sort(((told >> 24) << 32) | ((255 - n) << 24) | (told & ((1 << 24) - 1)))
+            owner = ordered >> 32
+            nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            ordered = ordered[nth < TELL]
+            owner, n, words = ordered >> 32, (255 - ((ordered >> 24) & 255)).astype(np.uint8), (ordered & ((1 << 24) - 1)).astype("<u4")
+            per_pair = np.bincount(owner, minlength=len(pairs))
+            meta = (per_pair | np.where(last > first, 128, 0)).astype(np.uint8)
+            shard = (pairs >> np.uint64(32)).astype(np.int64)
+            keys = (pairs & np.uint64((1 << 32) - 1)).astype(np.int64)
+            begin = np.concatenate(([0], np.cumsum(per_pair)))
+            edges = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+            columns: list[list] = [[], [], [], [], [], []]
+            for lo, hi in zip(edges, [*edges[1:], len(pairs)], strict=True):
+                some = slice(begin[lo], begin[hi])
+                values = (int(shard[lo]), row["block"], squeezed(np.diff(keys[lo:hi], prepend=0).astype("<u4")), squeezed(meta[lo:hi]), squeezed(words[some]), squeezed(n[some]))
+                for column, value in zip(columns, values, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["shard", "block", "keys", "meta", "words", "n"])
+
+    return blocks.mapInArrow(ask, _ASK)
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """Of each shard, for each block: the two commonest followers of the pairs asked about that more than one passage has."""
+
+    def tell(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(expanded(x.as_py(), "<u4").astype(np.int64)) for x in rows.column("keys")]
+        sizes = [len(k) for k in keys]
+        all_keys = np.concatenate(keys)
+        meta = np.concatenate([expanded(x.as_py(), "u1") for x in rows.column("meta")])
+        words = np.concatenate([expanded(x.as_py(), "<u4") for x in rows.column("words")]).astype(np.int64)
+        n = np.concatenate([expanded(x.as_py(), "u1") for x in rows.column("n")]).astype(np.int64)
+        distinct, at = np.unique(all_keys, return_inverse=True)
+        asked_by = np.bincount(at, minlength=len(distinct)) + np.bincount(at, meta >> 7, len(distinct))
+        owner = np.repeat(at, meta & 127)
+        told = np.sort((owner << 32) | (words << 8) | n)
+        cuts = np.flatnonzero(np.diff(told >> 8, prepend=-1))
+        total = np.add.reduceat(told & 255, cuts) if len(cuts) else np.zeros(0, np.int64)
+        told = told[cuts] >> 8
+        ordered = np.sort(((told >> 24) << 39) | ((32767 - np.minimum(total, 32767)) << 24) | (told & ((1 << 24) - 1)))
+        owner = ordered >> 39
+        nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        two = np.zeros((4, len(distinct)), np.uint32)
+        for k in (0, 1):
+            on = nth == k
+            two[2 * k, owner[on]] = ordered[on] & ((1 << 24) - 1)
+            two[2 * k + 1, owner[on]] = np.minimum(32767 - ((ordered[on] >> 24) & 32767), 255)
+        two[:, asked_by < 2] = 0
+        two = two[:, at]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        part = lambda i, kind: pa.array([squeezed(two[i, a:b].astype(kind)) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+        return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "best": part(0, "<u4"), "best_n": part(1, "u1"), "next": part(2, "<u4"), "next_n": part(3, "u1")})
+
+    return asked.groupBy("shard").applyInArrow(lambda rows: tell(rows), _TOLD)
+
+
+def expected(block: Block, bits: int, told: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the word the memory expects at each token or -1, its state or 0), a passage's own training counts left out."""
+    _, rank = pairs_of(block, bits)
+    words = [told[0][rank].astype(np.int64), told[2][rank].astype(np.int64)]
+    counts = [told[1][rank].astype(np.int64), told[3][rank].astype(np.int64)]
+    own = (block.passage[~block.held] << 47) | (rank[~block.held] << 24) | block.code[~block.held]
+    own, n = np.unique(own, return_counts=True)
+    for k in (0, 1):
+        at = np.flatnonzero((counts[k] > 0) & ~block.held)
+        key = (block.passage[at] << 47) | (rank[at] << 24) | words[k][at]
+        found = np.searchsorted(own, key)
+        found[found == len(own)] = 0
+        if len(own):
+            counts[k][at] -= np.where(own[found] == key, n[found], 0)
+    counts = np.maximum(counts, 0)
+    first = counts[0] >= counts[1]
+    best, other = np.where(first, counts[0], counts[1]), np.where(first, counts[1], counts[0])
+    contested = np.where(other == 0, 0, np.where(3 * other < best, 1, 2))
+    state = 1 + 3 * np.minimum(4, np.log2(np.maximum(best, 1)).astype(np.int64)) + contested
+    return np.where(best > 0, np.where(first, words[0], words[1]), -1).astype(np.int32), np.where(best > 0, state, 0).astype(np.uint8)
+
+
+def with_memory(blocks: DataFrame, bits: int, sent) -> DataFrame:
+    """The blocks with `expect` and `state`, four and one bytes a token."""
+    told = answers(questions(blocks, bits, sent))
+
+    def put(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("shard")
+        out = []
+        for row in left.to_pylist():
+            block = _block_of(row, sent.value)
+            got = [np.concatenate([expanded(x.as_py(), kind) for x in right.column(c)] or [np.zeros(0, kind)]) for c, kind in (("best", "<u4"), ("best_n", "u1"), ("next", "<u4"), ("next_n", "u1"))]
+            expect, state = expected(block, bits, got) if len(block.symbols) else (np.zeros(0, np.int32), np.zeros(0, np.uint8))
+            out.append((squeezed(expect), squeezed(state)))
+        return left.append_column("expect", pa.array([e for e, _ in out], pa.binary())).append_column("state", pa.array([s for _, s in out], pa.binary()))
+
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: put(a, b), _BLOCK.format(kind=kind) + ", expect binary, state binary")
+
+
+# Bits of tokens, their inputs and the score.
+
+
+def earlier(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """(bit, 4): how many bits there are before it with its key, how many of these are ones, and both for all of them."""
+    packed = (keys & ~_LOW24) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & _LOW24).astype(np.int64)
+    packed >>= np.uint64(24)
+    is_new = np.ones(len(packed), bool)
+    np.not_equal(packed[1:], packed[:-1], out=is_new[1:])
+    starts = np.flatnonzero(is_new)
+    sizes = np.diff(np.append(starts, len(packed)))
+    cum = np.zeros(len(keys) + 1, np.float32)
+    np.cumsum(bits[order], out=cum[1:])
+    got = np.empty((len(keys), 4), np.float32)
+    got[:, 0] = np.arange(len(keys)) - np.repeat(starts, sizes)
+    got[:, 1] = cum[:-1] - np.repeat(cum[starts], sizes)
+    got[:, 2] = np.repeat(sizes, sizes)
+    got[:, 3] = np.repeat(cum[starts + sizes] - cum[starts], sizes)
+    out = np.empty_like(got)
+    out[order] = got
+    return out
+
+
+def after_keys(after: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(after.astype(np.uint64) * _SALT[2] + nodes.astype(np.uint64))
+
+
+def paths(book: Dictionary, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, node, bit, place in the path) of each bit of the symbols' paths."""
+    leaf = np.where(symbols < 0, len(book.number), symbols)
+    depth = book.depth[leaf]
+    owner = np.repeat(np.arange(len(leaf), dtype=np.int32), depth)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(depth) - depth, depth)
+    at = book.starts[leaf][owner] + place
+    return owner, book.nodes[at], book.bits[at], place
+
+
+def last_followers(block: Block, some: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(the word that followed the word before when the passage last had it, or -1; 1, or 2 or 3 as it differs from the time before that or not)."""
+    code, passage = block.code[some], block.passage[some]
+    same = np.zeros(len(code), bool)
+    np.equal(passage[1:], passage[:-1], out=same[1:])
+    key = np.zeros(len(code), np.int64)
+    key[1:] = code[:-1]
+    key = np.where(same, key, (1 << 24) + np.arange(len(code))) | (passage - passage[0] << 40)
+    order = np.argsort(key, kind="stable")
+    k, c = key[order], code[order]
+    one, two = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    one[1:], two[2:] = k[1:] == k[:-1], k[2:] == k[:-2]
+    before, earlier_one = np.full(len(k), -1), np.full(len(k), -1)
+    before[1:][one[1:]] = c[:-1][one[1:]]
+    earlier_one[2:][two[2:]] = c[:-2][two[2:]]
+    guess, trust = np.empty(len(k), np.int32), np.empty(len(k), np.int32)
+    guess[order] = before
+    trust[order] = one * (1 + two + (two & (before == earlier_one)))
+    return guess, trust
+
+
+def spoken(book: Dictionary, guess: np.ndarray, owner: np.ndarray, place: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bits where the guessed words' paths agree so far, 1.5 or -1.5 for the bit each goes on with)."""
+    leaf = np.where(guess < RARE_CODE, guess, len(book.number))
+    start, depth = np.where(guess < 0, 0, book.starts[leaf]), np.where(guess < 0, 0, book.depth[leaf])
+    at = np.flatnonzero(place < depth[owner])
+    there = start[owner[at]] + place[at]
+    on = book.nodes[there] == node[at]
+    at = at[on]
+    return at, book.bits[there[on]] * np.float32(3) - np.float32(1.5)
+
+
+def token_bits(book: Dictionary, table: tuple[np.ndarray, np.ndarray], block: Block, expect: np.ndarray, state: np.ndarray, some: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, weight of each, gate, bits, token of each bit) of a slice of whole passages."""
+    owner, node, bits, place = paths(book, block.symbols[some])
+    learned = ~block.held[some][owner]
+    with np.errstate(over="ignore"):
+        said = earlier(mixed((block.passage[some].astype(np.uint64) * _SALT[3])[owner] + node.astype(np.uint64)), bits)
+    x, at = np.zeros((INPUTS, len(bits)), np.float32), np.zeros((INPUTS, len(bits)), np.int32)
+    x[0], at[0] = book.node_logit[node], book.node_level[node]
+    few = np.flatnonzero(learned & (at[0] < LEVELS - 1))  # else one's own are too few to tell
+    n = np.maximum(book.node_n[node[few]] - said[few, 2], 0)
+    x[0, few], at[0, few] = _logit(n, np.minimum(np.maximum(book.node_ones[node[few]] - said[few, 3], 0), n)), level_of(n)
+    slot = (after_keys(block.after[some][owner], node) >> np.uint64(64 - AFTER_BITS)).astype(np.int64)
+    seen = table[1][slot]
+    x[1], at[1] = table[0][slot] * np.float32(1 / 16), _LEVEL[seen]
+    few = np.flatnonzero(learned & (seen > 0) & (at[1] < LEVELS - 1))
+    x[1, few], at[1, few] = less_own(x[1, few], seen[few], bits[few])
+    x[2], at[2] = _logit(said[:, 0], said[:, 1]), level_of(said[:, 0])
+    guess, trust = last_followers(block, some)
+    there, says = spoken(book, guess, owner, place, node)
+    x[3, there], at[3, there] = says, trust[owner[there]]
+    gate = np.zeros(len(bits), np.int32)
+    there, says = spoken(book, expect[some], owner, place, node)
+    x[4, there], gate[there] = says, state[some][owner[there]]
+    at += (np.arange(INPUTS, dtype=np.int32) * LEVELS)[:, None]
+    at += gate * np.int32(INPUTS * LEVELS)
+    return x, at, gate, bits, owner
+
+
+def _logit(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((ones + np.float32(PRIOR)) / (n - ones + np.float32(PRIOR)))
+
+
+def passages(block: Block) -> Iterator[slice]:
+    """Slices of whole passages, of about `UNIT` tokens."""
+    starts = np.flatnonzero(np.diff(block.passage, prepend=-1))
+    lo = 0
+    for end in [*starts[1:].tolist(), len(block.passage)]:
+        if end - lo >= UNIT:
+            yield slice(lo, end)
+            lo = end
+    if lo < len(block.passage):
+        yield slice(lo, len(block.passage))
+
+
+def escapes(block: Block, expect: np.ndarray, state: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the rare tokens: where they are, whether the memory expects a rare word and whether it's the one, how many rare tokens the passage had before and how many of the word."""
+    at = np.flatnonzero(block.symbols < 0)
+    guess = expect[at]
+    offers = guess >= RARE_CODE
+    hit = offers & (guess == block.code[at])
+    passage, word = block.passage[at], (-1 - block.symbols[at]).astype(np.int64)
+    first = np.searchsorted(passage, passage)
+    before = np.arange(len(at)) - first
+    order = np.argsort((passage << 32) | word, kind="stable")
+    key = ((passage << 32) | word)[order]
+    uses = np.empty(len(at), np.int64)
+    uses[order] = np.arange(len(at)) - np.searchsorted(key, key)
+    return {"at": at, "offers": offers, "hit": hit, "state": state[at].astype(np.int64), "before": before, "uses": uses, "word": word, "size": np.minimum(np.log2(np.maximum(before, 1)).astype(np.int64), 15)}
+
+
+def escape_counts(e: dict[str, np.ndarray]) -> np.ndarray:
+    """How often the memory's rare word was offered and right, by state; how often a rare word could be one of the passage's and was, by their number."""
+    offers, asked = e["offers"], ~e["hit"] & (e["before"] > 0)
+    count = lambda at, of: np.bincount(e[of][at], minlength=STATES)[:STATES].astype(float)
+    return np.concatenate([count(offers & e["hit"], "state"), count(offers, "state"), count(asked & (e["uses"] > 0), "size"), count(asked, "size")])
+
+
+def escape_log2(e: dict[str, np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log2 of what follows the escape, without the spelling; which tokens are spelled)."""
+    right, offered, used, asked = counts.reshape(4, STATES)
+    p = ((right + 0.5) / (offered + 1))[e["state"]]
+    out = np.where(e["offers"], np.log2(np.where(e["hit"], p, 1 - p)), 0.0)
+    p = ((used + 0.5) / (asked + 1))[e["size"]]
+    again = (e["before"] > 0) & ~e["hit"]
+    known = again & (e["uses"] > 0)
+    out += np.where(again, np.log2(np.where(known, p * np.maximum(e["uses"], 1) / np.maximum(e["before"], 1), 1 - p)), 0.0)
+    return out, ~e["hit"] & ~known
+
+
+def after_table(blocks: DataFrame, n_blocks: int, sent) -> tuple[np.ndarray, np.ndarray]:
+    """The table of bits after words before, over all training passages: a task adds up its own in a table of fixed size."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, any_ = np.zeros(2 * SLOTS, np.float32), False
-        for segments, counts, kinds in _word_batches(batches, SEGMENT):
-            any_ = True
-            hashes, data, of = contexts(segments, kinds)
-            slots, bits = bit_slots(hashes, data)
-            c = np.repeat(counts[of], 8).astype(np.float32)
-            for row in slots:
-                np.add.at(both, 2 * row + bits, c)
-        ones = both[1::2]
-        n = both[::2] + ones
-        for b in range(SLOTS // BLOCK if any_ else 0):
-            part = slice(b * BLOCK, (b + 1) * BLOCK)
-            if n[part].any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([n[part].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(ones[part]).tobytes()], pa.binary())], names=["block", "n", "ones"])
-
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
-        n, ones = np.zeros(BLOCK), np.zeros(BLOCK)
-        for a, b in zip(rows["n"], rows["ones"], strict=True):
-            n += np.frombuffer(a, np.float32)
-            ones += np.frombuffer(b, np.float32)
-        logit, seen = quantized(n, ones)
-        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "logit": [logit.tobytes()], "seen": [seen.tobytes()]})
-
-    parts = words.mapInArrow(add_up, "block int, n binary, ones binary")
-    blocks = parts.groupBy("block").applyInPandas(total, "block int, logit binary, seen binary").toPandas()
-    logit, seen = np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.uint8)
-    for b, x, y in blocks.itertuples(index=False):
-        logit[b * BLOCK : (b + 1) * BLOCK], seen[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(x, np.int8), np.frombuffer(y, np.uint8)
-    return logit, seen
-
-
-def learn(words: DataFrame) -> Model:
-    """Fit the tables, then the weights and the correcting table in one online pass."""
-    logit, seen = count_tables(words)
-    start = Model(logit, seen, blank_weights(), np.zeros(GATES * BUCKETS), np.zeros(GATES * BUCKETS))
-    sent = words.sparkSession.sparkContext.broadcast(start)
+        both = np.zeros(2 << AFTER_BITS, np.int32)
+        for row in _rows(batches):
+            block = _block_of(row, sent.value)
+            block = block.part(~block.held)
+            for some in passages(block):
+                owner, node, bits, _ = paths(sent.value, block.symbols[some])
+                slot = (after_keys(block.after[some][owner], node) >> np.uint64(64 - AFTER_BITS)).astype(np.int64)
+                slot = np.sort(2 * slot + bits)
+                cuts = np.flatnonzero(np.diff(slot, prepend=-1))
+                both[slot[cuts]] += np.diff(np.append(cuts, len(slot))).astype(np.int32)
+        yield from _table_parts(both[::2], both[1::2], PARTS)
 
-    def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = sent.value
-        model = Model(first.logit, first.seen, first.weights.copy(), first.ones.copy(), first.all.copy())
-        squares, mass = np.full(len(model.weights), 1e-6), 0.0
-        for segments, counts, kinds in _word_batches(batches):
-            hashes, data, of = contexts(segments, kinds)
-            slots, bits = bit_slots(hashes, data)
-            x, at, gate = model.inputs(slots, True, bits)
-            p, bucket = model.probability(x, at, gate)
-            c = np.repeat(counts[of], 8)
-            model.ones += np.bincount(bucket, c * bits, len(model.ones))
-            model.all += np.bincount(bucket, c, len(model.all))
-            error = (p - bits) * (c / c.mean())
-            slope = np.bincount(at.ravel(), (error[None, :] * x).ravel(), len(model.weights)) / len(bits)
-            squares += slope * slope
-            model.weights -= 0.03 * slope / np.sqrt(squares)
-            mass += float(c.sum())
-        if mass:
-            values = np.concatenate([[mass], model.weights, model.ones, model.all])
-            yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary())], names=["values"])
-
-    rows = sorted(r[0] for r in words.mapInArrow(online, "values binary").collect())
-    if rows:
-        got = np.stack([np.frombuffer(bytes(r), float) for r in rows])
-        k = len(start.weights)
-        start.weights = np.average(got[:, 1 : k + 1], axis=0, weights=got[:, 0]).astype(np.float32)
-        start.ones, start.all = got[:, k + 1 : k + 1 + GATES * BUCKETS].sum(axis=0), got[:, k + 1 + GATES * BUCKETS :].sum(axis=0)
-    return start
+    return quantized_table(blocks.mapInArrow(add_up, "part int, raw binary"), n_blocks, 1 << AFTER_BITS, PARTS)
 
 
-def score_document(words: list[bytes], chances: list[float], used: dict[bytes, int] | None = None) -> float:
-    """log10 of a document's probability, given each word's static probability: mixed with what the document did before.
+def learn(blocks: DataFrame, table, sent) -> tuple[Mixer, np.ndarray]:
+    """The mixer and the counts after escapes, online through each block's training passages, averaged and summed over blocks."""
 
-    A probability too small for a float is given by its log10, a negative number. `used` is filled with the words' counts.
-    """
-    used = {} if used is None else used
-    first_a, first_u, first_m = EXPERTS
-    a, u, m = EXPERTS
-    alone_a, alone_u = SHARE * first_a / (first_a + first_u), SHARE * first_u / (first_a + first_u)
-    share_a, share_u, share_m, rest = SHARE * first_a, SHARE * first_u, SHARE * first_m, 1 - SHARE
-    after: dict[bytes, bytes] = {}
-    before, total, product, t, log10 = b"", 0.0, 1.0, 0, math.log10
-    known, follows = used.get, after.get
-    for w, q in zip(words, chances):
-        n = known(w, 0)
-        if t:
-            guess = follows(before)
-            if guess is None:  # the third expert is asleep: the others share all, and keep their part of the weight
-                scale = 1 / (a + u)
-                pa_ = a * q * scale if q >= 0.0 else 0.0
-                pu = u * scale * n / t
-                p = pa_ + pu
-                if p <= 0.0:
-                    total += log10(a * scale) + q
-                    pa_ = p = 1.0
-                else:
-                    product *= p
-                keep, awake = rest / p, 1 - m
-                a, u = awake * (keep * pa_ + alone_a), awake * (keep * pu + alone_u)
-            else:
-                pa_ = a * q if q >= 0.0 else 0.0
-                pu = u * n / t
-                pm = m if guess == w else 0.0
-                p = pa_ + pu + pm
-                if p <= 0.0:
-                    total += log10(a) + q
-                    pa_ = p = 1.0
-                else:
-                    product *= p
-                keep = rest / p
-                a, u, m = keep * pa_ + share_a, keep * pu + share_u, keep * pm + share_m
-            if product < 1e-250:
-                total += log10(product) if product > 0.0 else -math.inf
-                product = 1.0
-        elif q >= 0.0:
-            product = q
-        else:
-            total += q
-        used[w] = n + 1
-        after[before] = w
-        before = w
-        t += 1
-    return total + log10(product)
-
-
-def chance(log2: np.ndarray) -> list[float]:
-    """Probabilities; those below 1e-40 by their log10, so that a product of a few never leaves a float's range."""
-    log10 = log2 * math.log10(2)
-    return np.where(log10 > -40, 10.0 ** np.maximum(log10, -40), log10).tolist()
-
-
-def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", top_words: int = TOP_WORDS, learners: int = LEARNERS) -> DataFrame:
+    def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, after = sent.value, table.value
+        for row in _rows(batches):
+            block = _block_of(row, book)
+            use = ~block.held
+            block, expect, state = block.part(use), expanded(row["expect"], "<i4")[use], expanded(row["state"], "u1")[use]
+            mixer, mass = Mixer.blank(STATES, INPUTS), 0.0
+            squares = np.full(len(mixer.weights), 1e-6)
+            for some in passages(block):
+                x, at, gate, bits, _ = token_bits(book, after, block, expect, state, some)
+                mixer.learn(x, at, gate, bits, squares)
+                mass += len(bits)
+            if mass:
+                values = packed_values(mass, mixer, escape_counts(escapes(block, expect, state)))
+                yield pa.RecordBatch.from_arrays([pa.array([values.tolist()], pa.list_(pa.float64()))], names=["values"])
+
+    total = summed(blocks.mapInArrow(online, "values array<double>"))
+    mixer = averaged(total, Mixer.blank(STATES, INPUTS))
+    return mixer, total[-4 * STATES :] if len(total) else np.zeros(4 * STATES)
+
+
+def score_block(row: dict, book: Dictionary, table, mixer: Mixer, counts: np.ndarray, speller: Speller) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(log2 of each text, its number of dictionary tokens and their base log10 together, its distinct rare words)."""
+    block = _block_of(row, book)
+    docs = len(row["sizes"])
+    expect, state = expanded(row["expect"], "<i4"), expanded(row["state"], "u1")
+    log2 = np.zeros(docs)
+    for some in passages(block):
+        x, at, gate, bits, owner = token_bits(book, table, block, expect, state, some)
+        p, bucket = mixer.probability(x, at, gate)
+        p = mixer.corrected(p, bucket)
+        got = np.log2(np.where(bits, p, 1 - p))
+        log2 += np.bincount(block.doc[some][owner], got, docs)
+    e = escapes(block, expect, state)
+    got, spelled = escape_log2(e, counts)
+    doc = block.doc[e["at"]]
+    log2 += np.bincount(doc, got, docs)
+    known = block.symbols >= 0
+    base = np.bincount(block.doc[known], book.log10_n[block.symbols[known]], docs)
+    # Distinct rare words of a text: how often, how often spelled, and the spelling's log2.
+    key = (doc << 32) | e["word"]
+    pairs, at = np.unique(key, return_inverse=True)
+    times, far = np.bincount(at, minlength=len(pairs)), np.bincount(at, spelled, len(pairs))
+    of, word = pairs >> 32, pairs & ((1 << 32) - 1)
+    held = np.array(row["held"], bool)[of]
+    spelling = np.zeros(len(pairs))
+    for own in (False, True):
+        need = np.flatnonzero((far > 0) & (held != own))
+        words, where = np.unique(word[need], return_inverse=True)
+        spelling[need] = speller.log2_words([row["rare"][i] for i in words.tolist()], own)[where] if len(words) else 0.0
+    rare = {"doc": of, "word": word, "n": times, "far": far, "spelling": spelling * math.log10(2)}
+    return log2, np.stack([np.bincount(block.doc[known], minlength=docs).astype(float), base]), rare
+
+
+def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", top_words: int = TOP_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), is_held_out(id_column).alias("held_out"))
-    training = rows.filter(~F.col("held_out"))
-    whole = word_counts(training).select("word", "n").orderBy(F.desc("n"), "word").limit(ANCHORS)
-    anchors = {bytes(r[0]): i for i, r in enumerate(whole.collect())}
-    topics = topic_table(training, anchors)
-    by_class = written(word_counts(training, topics, anchors))
-    counts = written(by_class.groupBy("word").agg(F.sum("n").alias("n")))
+    spark: SparkSession = docs.sparkSession
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), is_held_out(id_column).alias("held_out"))
+    counts = written(word_counts(rows.filter(~F.col("held_out"))))
     n_train, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = learn(by_class.coalesce(learners))
-    top = {bytes(w): math.log10(n + 0.5) for w, n in counts.orderBy(F.desc("n"), "word").limit(top_words).toPandas().itertuples(index=False)}
-    bound = math.log10(n_train + 0.5 * (n_distinct + 1))
-    sent = spark.sparkContext.broadcast((model, top, topics, anchors))
+    is_end = F.col("word") == F.lit(END)
+    common = counts.filter((F.col("n") >= min_count) & ~is_end).orderBy(F.desc("n"), "word").limit(top_words).toPandas()
+    words, times = [END, *map(bytes, common["word"])], [sum(r[0] for r in counts.filter(is_end).select("n").collect()), *common["n"].tolist()]
+    book = dictionary_of(words, times, n_train - sum(times))
+    sent = spark.sparkContext.broadcast(book)
+    in_book = is_end if len(words) == 1 else is_end | (F.col("n") > times[-1]) | ((F.col("n") == times[-1]) & (F.col("word") <= F.lit(words[-1])))
+    rare = written(counts.filter(~in_book))
+    n_rare, n_rare_words, n_single = rare.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("n") == 1, 1))).first()
+    speller = learn_spelling(rare, n_rare_words)
+
+    bare = written(blocks_of(rows, sent))
+    n_blocks, n_tokens = bare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
+    table = spark.sparkContext.broadcast(after_table(bare, n_blocks, sent))
+    blocks = written(with_memory(bare, shard_bits(n_tokens), sent))
+    dropped(bare)
+    mixer, escaped = learn(blocks, table, sent)
+    model = spark.sparkContext.broadcast((mixer, escaped, speller))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top, topics, anchors = sent.value
-        row = TaskContext.get().partitionId() << 40
+        mixer, escaped, speller = model.value
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            lo = 0
-            while lo < len(texts):  # texts of a few megabytes together: their new words are coded at once
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1 << 22):
-                    size += len(texts[hi])
-                    hi += 1
-                split = [[*t.lower().split(), END] for t in texts[lo:hi]]
-                # The worker keeps the words' chances for its next tasks: the model is the same object there.
-                static = model.__dict__.setdefault("chances", [{} for _ in range(CLASSES)])
-                if sum(map(len, static)) > CACHE_WORDS:
-                    for known in static:
-                        known.clear()
-                kinds = [class_of(words, topics, anchors) if anchors else 0 for words in split]
-                fresh: list[set[bytes]] = [set() for _ in range(CLASSES)]
-                for k, words in zip(kinds, split, strict=True):
-                    fresh[k].update(words)
-                for k, new in enumerate(fresh):
-                    new = list(new.difference(static[k]))
-                    static[k].update(zip(new, chance(model.log2_words([(k, w) for w in new])), strict=True))
-                docs_, far_words, far_n, far_rows = [], [], [], []
-                for i, (k, words) in enumerate(zip(kinds, split, strict=True), lo):
-                    used: dict[bytes, int] = {}
-                    got = score_document(words, list(map(static[k].__getitem__, words)), used) - math.log10(CLASSES)
-                    known, base, start = 0, 0.0, len(far_words)
-                    for w, n in used.items():
-                        log = top.get(w)
-                        if log is None:
-                            far_words.append(w)
-                            far_n.append(n)
-                        else:
-                            known += n
-                            base += n * log
-                    far_rows.append((row, len(far_words) - start))
-                    # A key with a blank is no word: the document's own row meets nothing in the join, and is dealt anywhere.
-                    docs_.append((row, i, b" %d" % row, len(words), known, base, got, len(texts[i])))
-                    row += 1
-                far = len(far_words)
-                column = lambda j, kind, fill: pa.array([d[j] for d in docs_] + [fill] * far, kind)  # noqa: B023, E731
-                take = column(1, pa.int64(), None)
-                number = np.concatenate([np.array([d[0] for d in docs_], np.int64), np.repeat(*(np.array(x, np.int64) for x in zip(*far_rows)))])
-                columns = [pa.array(number), batch.column(0).take(take), batch.column(2).take(take), pa.array([d[2] for d in docs_] + far_words, pa.binary()), pa.array([d[3] for d in docs_] + far_n, pa.int64()), column(4, pa.int64(), 0), column(5, pa.float64(), 0.0), column(6, pa.float64(), 0.0), column(7, pa.int64(), 0)]
+            for b in range(batch.num_rows):
+                one = batch.slice(b, 1)
+                row = {c: one.column(c).to_pylist()[0] for c in one.schema.names if c != "ids"}
+                log2, base, far = score_block(row, sent.value, table.value, mixer, escaped, speller)
+                n, m = len(log2), len(far["n"])
+                number = (row["block"] << 23) + np.arange(n)
+                owner = np.concatenate([np.arange(n), far["doc"]])
+                none = pa.nulls(m, pa.float64())
+                # A key with a blank is no word: the text's own row meets nothing in the join, and is dealt anywhere.
+                keys = pa.array([b" %d" % i for i in number.tolist()] + [row["rare"][i] for i in far["word"].tolist()], pa.binary())
+                columns = [
+                    pa.array(number[owner]),
+                    one.column("ids").flatten().take(pa.array(owner)),
+                    pa.array(np.array(row["held"], bool)[owner]),
+                    keys,
+                    pa.array(np.concatenate([np.array(row["sizes"]), far["n"]]).astype(np.int64)),
+                    pa.array(np.concatenate([base[0], far["far"]])),
+                    pa.concat_arrays([pa.array(base[1]), none]),
+                    pa.array(np.concatenate([log2 * math.log10(2), far["spelling"]])),
+                    pa.array(np.concatenate([np.array(row["n_bytes"]), np.zeros(m)]).astype(np.int64)),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "word", "n", "known", "base", "score", "n_bytes"])
-                lo = hi
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = rows.select("doc_id", "text", "held_out").mapInArrow(score, f"row bigint, doc_id {kind}, held_out boolean, word binary, n bigint, known bigint, base double, score double, n_bytes bigint")
-    joined = parts.join(counts.withColumnRenamed("n", "c"), "word", "left")
-    is_doc = F.col("held_out").isNotNull()
-    far = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
+    parts = blocks.mapInArrow(score, f"row bigint, doc_id {kind}, held_out boolean, word binary, n bigint, known double, base double, score double, n_bytes bigint")
+    joined = parts.join(rare.withColumnRenamed("n", "c"), "word", "left")
+    is_doc = F.col("base").isNotNull()
+    far_base = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
+    # A rare word is one of the corpus, by its count without the text's own, or spelled: the share of the latter is that of words met once.
+    new = (n_single + 1) / (n_rare + 1)
+    others = F.greatest(F.coalesce("c", F.lit(0)) - F.when(F.col("held_out"), 0).otherwise(F.col("n")), F.lit(0)).cast("double")
+    from_count = others * ((1 - new) / max(1, n_rare))
+    told = F.when(from_count > 0, F.log10(from_count + new * F.pow(F.lit(10.0), F.greatest("score", F.lit(-300.0))))).otherwise(F.col("score") + math.log10(new))
     sums = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.max(F.when(is_doc, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(is_doc, F.col("known")).when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(is_doc, F.col("base")).otherwise(far)).alias("base"),
-        F.max(F.when(is_doc, F.col("score"))).alias("score"),
+        F.sum(F.when(is_doc, F.col("known").cast("long")).when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(is_doc, F.col("base")).otherwise(far_base)).alias("base"),
+        F.sum(F.when(is_doc, F.col("score")).otherwise(F.col("known") * told)).alias("score"),
         F.max(F.when(is_doc, F.col("n_bytes"))).alias("n_bytes"),
     )
+    bound = math.log10(n_train + 0.5 * (n_distinct + 1))
     return sums.select(
         "doc_id",
         "held_out",
