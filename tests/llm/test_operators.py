@@ -515,3 +515,86 @@ def test_stages_and_queries(spark, tmp_path):
                 good = set(labels.doc_id[(labels.quality == 1) & (labels.toxic == 0)])
                 assert k > 1 or len(good & set(now["doc_id"])) >= 0.9 * len(good)
     assert frame.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content has-sidebar"><p>{}</div>',
+        '<main class="layout-with-nav"><p>{}</main>',
+        '<div class="story share-enabled"><p>{}</div>',
+        '<body class="menu-open"><div class="sidebar-open"><p>{}</div><div class="menu"><p>Home</div>',
+        '<div class="x"><p>{}</div><article class="related"><h2>Teaser</h2></article>',
+    ],
+)
+def test_page_is_not_lost_to_a_name_or_a_teaser(page):
+    from skewline.llm.site_tree import main_text
+
+    text = "The main text of the page, which is longer than all the rest of it."
+    assert main_text(page.format(text), {}) == text
+
+
+def test_site_tree_decides(spark):
+    """Without telling names, the tree alone finds what the pages of a host share; hosts of one page are judged by the others."""
+    from skewline.llm.site_tree import extract, main_text
+
+    page = lambda h, i: f"<div class=k1><p>Welcome to host {h}<p>All rights kept</div><div class=k2><p>Text {i} of {h} says this<p>and that {i * 7 + h}</div><div class=k3><p>Write to {h}</div>"
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page(h, i)) for h, n in enumerate((30, 12, 5, 1)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for most, host_pages in ((100_000, 20_000), (0, 20_000), (0, 7)):
+        got = {r["page_id"]: r["text"] for r in extract(frame, most, host_pages).collect()}
+        for i, _, html in rows:
+            h, n = divmod(i, 100)
+            assert got[i] == f"Text {n} of {h} says this\nand that {n * 7 + h}" != main_text(html, {})
+
+
+def importance_by_force(pages):
+    """{(host, element, shows): importance} of all branches and repeated blocks, from lists of pages' (path, children) and (path, text)."""
+    from skewline.llm import site_tree as s
+
+    shows, own = {}, {}
+    for host, html in pages:
+        _, nodes = s.page_nodes(html)
+        for element, what, is_block, name in nodes:
+            shows.setdefault((host, element, is_block), Counter())[what] += 1
+            own[element] = name
+    most = {h: max(sum(c.values()) and max(c.values()) for (x, _, b), c in shows.items() if x == h and not b) for h, _ in pages}
+    parts, blocks = {}, {}
+    for host, element in {k[:2] for k in shows}:
+        style, text = shows.get((host, element, False), Counter()), shows.get((host, element, True), Counter())
+        m = sum(style.values())
+        presentation = 1 - sum(n * math.log(n) for n in style.values()) / (m * math.log(m)) if m > 1 else 1.0
+        all_blocks = sum(text.values())
+        pages_ = min(max(most[host], max(text.values(), default=0)), all_blocks)
+        one = lambda n: 1 - math.log(n) / math.log(pages_) if pages_ > 1 else 1.0  # noqa: B023, E731
+        content = 1 - sum(n * (1 - one(n)) for n in text.values() if n > 1) / all_blocks if all_blocks else 1.0
+        parts[host, element] = (s.DECAY ** len(style), presentation, content, max(m, pages_) - 1)
+        blocks.update({(host, element, w): (one(n), pages_ - 1) for w, n in text.items() if n > 1})
+    whole = {k: (1 - d) * p + d * c for k, (d, p, c, _) in parts.items()}
+    weight = {k: x[3] for k, x in parts.items()}
+    vote = {k: w / (w + s.BACKING) for k, w in weight.items()}
+    usual = lambda e, value: (sum(vote[k] * value(k) for k in parts if own[k[1]] == own[e]) + 1) / (sum(vote[k] for k in parts if own[k[1]] == own[e]) + 1)
+    out = {(*k, 0): (weight[k] * whole[k] + s.BACKING * usual(k[1], whole.get)) / (weight[k] + s.BACKING) for k in parts}
+    out.update({k: (w * v + s.BACKING * usual(k[1], lambda x: parts[x][2])) / (w + s.BACKING) for k, (v, w) in blocks.items()})
+    return out
+
+
+def test_site_tree_by_force(spark):
+    from skewline.llm import site_tree as s
+
+    rng = random.Random(8)
+    pages = []
+    for h, n in enumerate((14, 6, 1)):
+        for i in range(n):
+            shared = "".join(f"<p>shared {h} {rng.randrange(3)}" for _ in range(rng.randint(0, 3)))
+            pages.append((f"h{h}", f"<div class=a><div>{shared}</div></div><div class=b><h1>{i} {h}</h1>{'<p>own ' * rng.randint(1, 3)}{i}<ul><li>x<li>{rng.randrange(4)}</ul></div>"))
+    frame = spark.createDataFrame([(f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "url string, html string").repartition(3)
+    got = {(r["host"], r["element"], r["shows"]): r["importance"] for r in s.low_branches(s.tree_counts(frame)).collect()}
+    distinct = {}
+    for h, p in pages:
+        says, nodes = s.page_nodes(p)
+        if (h, says) not in distinct or nodes < distinct[h, says][0]:
+            distinct[h, says] = (nodes, p)
+    force = importance_by_force([(h, p) for (h, _), (_, p) in distinct.items()])
+    want = {k: v for k, v in force.items() if v < (s.LISTED_BLOCK if k[2] else s.LISTED_BRANCH) - 1e-9}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 5
