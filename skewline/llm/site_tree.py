@@ -11,7 +11,7 @@ counts alike, up to once, and one more says that all is important.
 A branch or block goes by its log-odds: what the tree says (`tree_odds`, from -3 to 5) and what the page says of itself, as a
 prior. Elements with the tags or roles of menus, headers, footers, side bars, forms and notices, and link lists, start so low
 that no importance lifts them; those that only a class or id names so start at `NAMED`, and stay if they are important and
-hold most of the page's text; those of an article, or the main element, start at `ARTICLE`. Where articles hold most of
+hold most of the page's text, with all of its articles; those of an article, or the main element, start at `ARTICLE`. Where articles hold most of
 the text, what lies outside them starts at `OUTSIDE`. Pages of a host that say the same, by their articles or else as a
 whole, count as one page in the tree; where more than half of an article's text would be low, its pages are near copies of
 each other, and all of it stays.
@@ -249,15 +249,18 @@ def main_text(page: str, low: Low) -> str:
     """The page without branches and blocks of low log-odds; `low` has the importance of (element, 0) for branches and (element, block) for blocks, where it isn't high."""
     blocks, _ = parse(page)
     shown = [(b, t) for b in blocks if not b.owner.gone and (t := b.text())]
-    total, within = sum(len(t) for _, t in shown), Counter()
+    total, within, articles = sum(len(t) for _, t in shown), Counter(), Counter()
     lists: Counter[str] = Counter()
     linked: Counter[str] = Counter()
     for b, t in shown:
         for e in b.trail:
             within[id(e)] += len(t)
+            if b.owner.in_article:
+                articles[id(e)] += len(t)
         if b.owner.tag == "li":
             lists[b.owner.path] += len(t)
             linked[b.owner.path] += min(len(t), b.linked)
+    in_articles = sum(len(t) for b, t in shown if b.owner.in_article)
     keys: dict[str, int] = {}
 
     def key(e: Element) -> int:
@@ -269,7 +272,8 @@ def main_text(page: str, low: Low) -> str:
 
     def stays(e: Element) -> bool:
         if id(e) not in branch:
-            most = MOST_OF_THE_TEXT if e.named and within[id(e)] > MOST * total else 0.0
+            whole = within[id(e)] > MOST * total and articles[id(e)] == in_articles
+            most = MOST_OF_THE_TEXT if e.named and whole else 0.0
             branch[id(e)] = _prior(e) + most + tree_odds(low.get((key(e), 0), 1.0)) > 0
         return branch[id(e)]
 
