@@ -35,6 +35,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.scratch_path = path
+    # Nothing refers to the write's plan any more: its shuffle files go with the driver's garbage.
+    spark.sparkContext._jvm.System.gc()
     return out
 
 

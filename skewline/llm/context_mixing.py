@@ -9,11 +9,12 @@ predictors give a logit for each bit of a path, from hashed contexts:
   * the word that followed the word before when the passage last had it, for as long as the path agrees with it;
   * the corpus memory: the word that most often followed the two words before, likewise.
 They are mixed logistically: the weights hang on how often each context was seen and on a gate, the state of the memory (how
-often the word followed, and how contested). The weights are learned online, by gradient steps through each block of training
-texts, and averaged over the blocks. A table then corrects the mixed probability adaptively, per gate and size. An escaped
+often the word followed, and how contested). The weights are learned online: in each block of texts, a step of bits is scored
+by the weights so far and then learned from, where the text is a training text. A table corrects the mixed probability
+adaptively, per gate and size, likewise. An escaped
 word is told by further bits, whose probabilities are adaptive: is it the one that the memory expects, is it one that the
-passage has used; else it is a mixture of the corpus's counts of rare words and of a spelling, coded bit by bit by a mixer of
-the same kind over the bytes before it. All steps give probabilities that sum to one at most, so `score` is log10 of a
+passage has used; else it is a mixture of the corpus's counts of rare words and of a spelling, whose bytes are coded by their Huffman
+paths and a mixer of the same kind over the bytes before. All steps give probabilities that sum to one at most, so `score` is log10 of a
 proper code's probability of the text.
 
 What is gathered grows with the corpus and is exact: the count of every distinct word, and the memory, the followers of every
@@ -68,12 +69,12 @@ PARTS = 16
 #: Codes of words in the memory: the dictionary's numbers, and hashes of other words from here to 2^24.
 RARE_CODE = 1 << 18
 
-#: Spelling: slots of the tables of its six contexts, as powers of two; words in a group that learns by itself.
+#: Spelling: slots of the tables of its six contexts, as powers of two; words of a group that learns by itself.
 TABLE_BITS = (12, 16, 18, 20, 20, 22)
 GROUP_WORDS = 1 << 17
 SEGMENT = 1 << 14
 BATCH = 1 << 12
-STEP = 1 << 11
+STEP = 1 << 12
 
 PRIOR = 0.3
 LEVELS = 8
@@ -124,6 +125,11 @@ def less_own(logit: np.ndarray, seen: np.ndarray, bits: np.ndarray) -> tuple[np.
     return _logit(n, np.minimum(np.maximum(ones - bits, 0), n)), level_of(n)
 
 
+def step_size(seen: int) -> int:
+    """Bits of the next online step: few at first, to get going on a small table."""
+    return min(STEP, max(STEP >> 5, seen >> 4))
+
+
 @dataclass
 class Mixer:
     """Weights by gate, input and level, and the correcting table by gate and size."""
@@ -131,6 +137,7 @@ class Mixer:
     weights: np.ndarray
     ones: np.ndarray
     all: np.ndarray
+    seen: int = 0
 
     @staticmethod
     def blank(gates: int, inputs: int) -> Mixer:
@@ -138,29 +145,41 @@ class Mixer:
 
     def probability(self, x: np.ndarray, at: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mixed P(bit = 1), bucket of the correcting table); `at` has the weight of each input."""
-        dot = np.clip(np.einsum("ij,ij->j", self.weights[at], x), -11.9, 11.9)
-        return 1 / (1 + np.exp(-dot)), gate * BUCKETS + np.round((dot + 12) * ((BUCKETS - 1) / 24)).astype(np.int32)
+        dot = np.einsum("ij,ij->j", self.weights.take(at), x)
+        np.clip(dot, -11.9, 11.9, out=dot)
+        bucket = ((dot + 12) * np.float32((BUCKETS - 1) / 24) + np.float32(0.5)).astype(np.int64)
+        bucket += gate * BUCKETS
+        np.negative(dot, out=dot)
+        np.exp(dot, out=dot)
+        dot += 1
+        return np.reciprocal(dot, out=dot), bucket
 
     def corrected(self, p: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        return (p + ((self.ones[bucket] + p) / (self.all[bucket] + 1))) / 2
-
-    def learn(self, x: np.ndarray, at: np.ndarray, gate: np.ndarray, bits: np.ndarray, squares: np.ndarray, counts: np.ndarray | None = None) -> None:
-        """Online steps of `STEP` bits; `counts` is how often each bit occurred."""
-        for lo in range(0, len(bits), STEP):
-            s = slice(lo, lo + STEP)
-            p, bucket = self.probability(x[:, s], at[:, s], gate[s])
-            b, c = bits[s], None if counts is None else counts[s]
-            self.ones += np.bincount(bucket, b if c is None else b * c, len(self.ones))
-            self.all += np.bincount(bucket, c, len(self.all))
+        return (p + (self.ones.take(bucket) + p) / (self.all.take(bucket) + 1)) / 2
+
+    def learn(self, x: np.ndarray, at: np.ndarray, gate: np.ndarray, bits: np.ndarray, squares: np.ndarray, use: np.ndarray | None = None) -> np.ndarray:
+        """log2 of the probability that each bit had when it came, in online steps, learned from the bits in `use`."""
+        out, lo = np.empty(len(bits)), 0
+        while lo < len(bits):
+            s = slice(lo, lo + step_size(self.seen + lo))
+            lo = s.stop
+            xs, ws, b = x[:, s], at[:, s], bits[s]
+            p, bucket = self.probability(xs, ws, gate[s])
+            told = self.corrected(p, bucket)
+            out[s] = np.log2(np.where(b, told, 1 - told))
             error = p - b
-            if c is not None:
-                error = error * (c / c.mean())
-            slope = np.bincount(at[:, s].ravel(), (error[None, :] * x[:, s]).ravel(), len(self.weights)) / len(b)
-            squares += slope * slope
-            self.weights -= (RATE * slope / np.sqrt(squares)).astype(np.float32)
-
-    def values(self) -> np.ndarray:
-        return np.concatenate([self.weights, self.ones, self.all])
+            if use is not None:
+                some = use[s]
+                error *= some
+                bucket, b = bucket[some], b[some]
+            if len(b):
+                self.ones += np.bincount(bucket, b, len(self.ones))
+                self.all += np.bincount(bucket, minlength=len(self.all))
+                slope = np.bincount(ws.ravel(), (error * xs).ravel(), len(self.weights)) / len(b)
+                squares += slope * slope
+                self.weights -= (RATE * slope / np.sqrt(squares)).astype(np.float32)
+        self.seen += len(bits)
+        return out
 
 
 def summed(rows: DataFrame) -> np.ndarray:
@@ -215,8 +234,8 @@ def contexts(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             before = np.where(place >= k, before + np.uint64(1), np.uint64(0))
             order = order * np.uint64(257) + before
             out[k] = order
-        up = np.cumprod(np.concatenate(([1], np.full(n, _BASE, np.uint64))).astype(np.uint64))
-        down = np.cumprod(np.concatenate(([1], np.full(n, _INVERSE, np.uint64))).astype(np.uint64))
+        powers = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+        up, down = powers(_BASE), powers(_INVERSE)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[:n])))
         out[5] = (total[:n] - total[starts]) * down[starts] + place.astype(np.uint64)
         for i in range(len(out)):
@@ -224,21 +243,32 @@ def contexts(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return out, data, np.repeat(np.arange(len(segments)), sizes)
 
 
-def bit_slots(hashes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot of each context at each bit, the bits); bits of a byte run from the most significant."""
-    shift = np.arange(8, dtype=np.uint64)
-    node = (np.uint64(1) << shift)[None, :] | (data[:, None] >> (np.uint64(8) - shift)[None, :])
-    bits = ((data[:, None] >> (np.uint64(7) - shift)[None, :]) & np.uint64(1)).astype(np.uint8)
-    slots = np.empty((len(hashes), len(data) * 8), np.int64)
+def bit_slots(code: tuple, hashes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot of each context at each bit, the bits, the byte of each): bits are those of the bytes' Huffman paths."""
+    starts, depth, nodes, bits = code
+    data = data.astype(np.int64)
+    sizes = depth[data]
+    owner = np.repeat(np.arange(len(data)), sizes)
+    at = starts[data][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    salted = nodes[at].astype(np.uint64) * _SALT[7]
+    slots = np.empty((len(hashes), len(owner)), np.uint32)
     with np.errstate(over="ignore"):
-        salted = node * _SALT[7]
         for i, b in enumerate(TABLE_BITS):
-            slots[i] = (((hashes[i][:, None] ^ salted) * _MIX) >> np.uint64(64 - b)).astype(np.int64).ravel() + OFFSETS[i]
-    return slots, bits.ravel()
+            slots[i] = (((hashes[i][owner] ^ salted) * _MIX) >> np.uint64(64 - b)).astype(np.uint32) + np.uint32(OFFSETS[i])
+    return slots, bits[at], owner
+
+
+def byte_code(words: list[bytes]) -> tuple:
+    """The Huffman code of bytes, from the letters of the dictionary's words, each byte counted once more."""
+    n = np.ones(256, np.int64)
+    for word in words:
+        n += np.bincount(np.frombuffer(word + b" ", np.uint8), minlength=256)
+    return huffman(n)[:4]
 
 
 @dataclass
 class Speller:
+    code: tuple
     logit: np.ndarray
     seen: np.ndarray
     mixer: Mixer
@@ -264,11 +294,12 @@ class Speller:
 
         def flush() -> None:
             hashes, data, of = contexts(segments)
-            slots, bits = bit_slots(hashes, data)
+            slots, bits, byte = bit_slots(self.code, hashes, data)
             p, bucket = self.mixer.probability(*self.inputs(slots, own, bits))
             p = self.mixer.corrected(p, bucket)
-            got = np.log2(np.where(bits, p, 1 - p)).reshape(-1, 8).sum(axis=1)
-            np.add.at(out, np.array(owner)[of], got)
+            first = owner[0]
+            got = np.bincount((np.array(owner) - first)[of][byte], np.log2(np.where(bits, p, 1 - p)))
+            out[first : first + len(got)] += got
             segments.clear()
             owner.clear()
 
@@ -285,27 +316,33 @@ class Speller:
         return out
 
 
-def _word_batches(words: list[bytes], counts: list[int], batch_bytes: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    segments, of, size = [], [], 0
-    for word, n in zip(words, counts, strict=True):
+def _word_batches(words: list[bytes], batch_bytes: int) -> Iterator[list[bytes]]:
+    segments, size = [], 0
+    for word in words:
         for u in units(word):
             segments.append(u)
-            of.append(n)
             size += len(u)
             if size >= batch_bytes:
-                yield segments, np.array(of, float)
-                segments, of, size = [], [], 0
+                yield segments
+                segments, size = [], 0
     if segments:
-        yield segments, np.array(of, float)
+        yield segments
 
 
 def _table_parts(zeros: np.ndarray, ones: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, raw): slices of two tables of counts, those that aren't empty."""
+    """(part, raw): slices of two tables of counts, those that aren't empty, after the size of a count."""
     width = -(-len(zeros) // parts)
     for i in range(parts):
         part = np.stack([zeros[i * width : (i + 1) * width], ones[i * width : (i + 1) * width]])
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([squeezed(part.astype(np.int64))], pa.binary())], names=["part", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([bytes([part.itemsize]) + squeezed(part)], pa.binary())], names=["part", "raw"])
+
+
+def count_into(both: np.ndarray, at: np.ndarray) -> None:
+    """Add one for every place in `at`, which is sorted on the way."""
+    at.sort()
+    cuts = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1])))
+    both[at[cuts]] += np.diff(np.append(cuts, len(at))).astype(both.dtype)
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -328,9 +365,9 @@ def quantized_table(parts: DataFrame, n_tasks: int, slots: int, n_parts: int) ->
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(0, np.int64)
         for raw in rows.column("raw"):
-            one = expanded(raw.as_py(), "<i8")
-            total = one.copy() if not len(total) else total + one
-        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "raw": pa.array([squeezed(total)], pa.binary())})
+            one = expanded(raw.as_py()[1:], f"<i{raw.as_py()[0]}")
+            total = one.astype(np.int64) if not len(total) else total + one
+        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "raw": pa.array([bytes([8]) + squeezed(total)], pa.binary())})
 
     width = -(-slots // n_parts)
     salts = max(1, math.isqrt(n_tasks))
@@ -339,44 +376,42 @@ def quantized_table(parts: DataFrame, n_tasks: int, slots: int, n_parts: int) ->
         parts = salted.groupBy("part", "salt").applyInArrow(lambda rows: add(rows), "part int, raw binary")
     logit, seen = np.zeros(width * n_parts, np.int8), np.zeros(width * n_parts, np.uint8)
     for part, raw in parts.groupBy("part").applyInArrow(lambda rows: add(rows), "part int, raw binary").toPandas().itertuples(index=False):
-        zeros, ones = expanded(raw, "<i8").reshape(2, -1).astype(float)
+        zeros, ones = expanded(raw[1:], "<i8").reshape(2, -1).astype(float)
         at = slice(part * width, part * width + len(ones))
         logit[at], seen[at] = quantized(zeros + ones, ones)
     return logit[:slots], seen[:slots]
 
 
-def learn_spelling(rare: DataFrame, n_words: int) -> Speller:
-    """From the distinct words outside the dictionary and their counts, in groups by hash, each sorted, so reruns agree."""
+def learn_spelling(rare: DataFrame, n_words: int, code: tuple) -> Speller:
+    """From the distinct words outside the dictionary, in groups by hash, each sorted, so reruns agree.
+
+    Each word counts once, however often it occurs: what is spelled is new words.
+    """
     groups = max(1, -(-n_words // GROUP_WORDS))
-    grouped = rare.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(groups)))
-    speller = Speller(np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.uint8), Mixer.blank(GATES, len(TABLE_BITS)))
+    grouped = rare.select("word", F.pmod(F.xxhash64("word"), F.lit(groups)).alias("part"))
+    speller = Speller(code, np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.uint8), Mixer.blank(GATES, len(TABLE_BITS)))
     if not n_words:
         return speller
 
-    def add_up(rows: pa.Table) -> pa.Table:
-        both = np.zeros(2 * SLOTS, np.int64)
-        for segments, counts in _word_batches(rows.column("word").to_pylist(), rows.column("n").to_pylist(), SEGMENT):
-            hashes, data, of = contexts(segments)
-            slots, bits = bit_slots(hashes, data)
-            at, n = (2 * slots + bits).ravel(), np.tile(np.repeat(counts[of], 8), len(slots))
-            order = np.argsort(at)
-            cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
-            both[at[order][cuts]] += np.add.reduceat(n[order], cuts).astype(np.int64)
-        return pa.Table.from_batches(list(_table_parts(both[::2], both[1::2], PARTS)))
-
-    parts = grouped.groupBy("part").applyInArrow(lambda rows: add_up(rows), "part int, raw binary")
-    speller.logit, speller.seen = quantized_table(parts, groups, SLOTS, PARTS)
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros(2 * SLOTS, np.int32)
+        for batch in batches:
+            for segments in _word_batches(batch.column(0).to_pylist(), SEGMENT):
+                hashes, data, _ = contexts(segments)
+                slots, bits, _ = bit_slots(code, hashes, data)
+                count_into(both, (2 * slots + bits).ravel())
+        yield from _table_parts(both[::2], both[1::2], PARTS)
+
+    speller.logit, speller.seen = quantized_table(rare.select("word").mapInArrow(add_up, "part int, raw binary"), groups, SLOTS, PARTS)
     sent = rare.sparkSession.sparkContext.broadcast((speller.logit, speller.seen))
 
     def online(rows: pa.Table) -> pa.Table:
-        own, squares, mass = Speller(*sent.value, Mixer.blank(GATES, len(TABLE_BITS))), np.full(GATES * len(TABLE_BITS) * LEVELS, 1e-6), 0.0
-        rows = rows.sort_by("word")
-        for segments, counts in _word_batches(rows.column("word").to_pylist(), rows.column("n").to_pylist(), BATCH):
-            hashes, data, of = contexts(segments)
-            slots, bits = bit_slots(hashes, data)
-            c = np.repeat(counts[of], 8)
-            own.mixer.learn(*own.inputs(slots, True, bits), bits, squares, c)
-            mass += float(c.sum())
+        own, squares, mass = Speller(code, *sent.value, Mixer.blank(GATES, len(TABLE_BITS))), np.full(GATES * len(TABLE_BITS) * LEVELS, 1e-6), 0.0
+        for segments in _word_batches(rows.column("word").sort().to_pylist(), BATCH):
+            hashes, data, _ = contexts(segments)
+            slots, bits, _ = bit_slots(code, hashes, data)
+            own.mixer.learn(*own.inputs(slots, True, bits), bits, squares)
+            mass += len(bits)
         return pa.table({"values": pa.array([packed_values(mass, own.mixer).tolist()], pa.list_(pa.float64()))})
 
     speller.mixer = averaged(summed(grouped.groupBy("part").applyInArrow(lambda rows: online(rows), "values array<double>")), speller.mixer)
@@ -424,22 +459,24 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         at = np.where(on, parent[at], at)
     depth = np.sum([on for on, _, _ in levels], axis=0, dtype=np.int64) if levels else np.zeros(m, np.int64)
     starts = np.cumsum(depth) - depth
-    nodes, bits = np.zeros(int(depth.sum()), np.int32), np.zeros(int(depth.sum()), np.uint8)
+    nodes, bits = np.zeros(int(depth.sum()), np.int64), np.zeros(int(depth.sum()), np.uint8)
     for up, (on, node, bit) in enumerate(levels):
         where = starts[on] + depth[on] - 1 - up
         nodes[where], bits[where] = node[on], bit[on]
     return starts, depth, nodes, bits, n, ones
 
 
-def end_context(word: bytes) -> int:
-    """The context that a less common word makes for the next one: its last two bytes."""
-    return OWN_CONTEXT + 1 + int.from_bytes(word[-2:], "big")
+def end_contexts(words: list[bytes]) -> np.ndarray:
+    """The contexts that less common words make for the next one: their last two bytes."""
+    flat = np.frombuffer(b"\0" + b"".join(words), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return (OWN_CONTEXT + 1 + 256 * flat[ends - 1].astype(np.int32) + flat[ends]).astype(np.int32)
 
 
 def dictionary_of(words: list[bytes], counts: list[int], n_rare: int) -> Dictionary:
     c = np.array([*counts, n_rare + 1], np.int64)
     starts, depth, nodes, bits, n, ones = huffman(c)
-    after = np.array([i + 1 if i < OWN_CONTEXT else end_context(w) for i, w in enumerate(words)], np.int32)
+    after = np.where(np.arange(len(words)) < OWN_CONTEXT, np.arange(len(words)) + 1, end_contexts(words)).astype(np.int32)
     return Dictionary({w: i for i, w in enumerate(words)}, np.log10(np.array(counts, float) + 0.5), starts, depth, nodes, bits, n, ones, _logit(n, ones).astype(np.float32), level_of(n), mixed(np.arange(len(words), dtype=np.uint64)), after)
 
 
@@ -545,22 +582,18 @@ class Block:
         place = np.arange(len(symbols)) - starts[doc]
         per_doc = -(-sizes // PASSAGE)
         passage = (np.cumsum(per_doc) - per_doc)[doc] + place // PASSAGE
-        rare_hash = np.array([xxhash.xxh64_intdigest(w) for w in rare], np.uint64)
-        is_rare = symbols < 0
-        hashes, code, after = np.empty(len(symbols), np.uint64), symbols.astype(np.int64), np.empty(len(symbols), np.int32)
-        known, at = symbols[~is_rare], -1 - symbols[is_rare]
-        hashes[~is_rare], after[~is_rare] = book.hashes[known], book.after[known]
-        hashes[is_rare] = rare_hash[at]
-        code[is_rare] = RARE_CODE + (rare_hash % np.uint64((1 << 24) - RARE_CODE)).astype(np.int64)[at]
-        after[is_rare] = np.array([end_context(w) for w in rare], np.int32)[at]
-        one, two = np.full(len(symbols), _START), np.full(len(symbols), _START)
-        one[1:], two[2:] = hashes[:-1], hashes[:-2]
-        one[place == 0], two[place <= 1] = _START, _START
+        rare_hash = np.fromiter(map(xxhash.xxh64_intdigest, rare), np.uint64, len(rare))
+        # Rare words are numbered behind those of the dictionary, to look all up alike.
+        at = np.where(symbols < 0, len(book.number) - 1 - symbols, symbols)
+        hashes = np.concatenate([book.hashes, rare_hash])[at]
+        code = np.concatenate([np.arange(len(book.number)), RARE_CODE + (rare_hash % np.uint64((1 << 24) - RARE_CODE)).astype(np.int64)])[at]
+        after = np.concatenate([book.after, end_contexts(rare)])[at]
+        one, two, before = np.full(len(symbols), _START), np.full(len(symbols), _START), np.zeros(len(symbols), np.int32)
+        one[1:], two[2:], before[1:] = hashes[:-1], hashes[:-2], after[:-1]
+        first, second = place == 0, place == 1
+        one[first], two[first], two[second], before[first] = _START, _START, _START, 0
         with np.errstate(over="ignore"):
             pair = mixed(one * _BASE + two)
-        before = np.zeros(len(symbols), np.int32)
-        before[1:] = after[:-1]
-        before[place == 0] = 0
         return Block(symbols, passage, held[doc], doc, code, pair, before)
 
     def part(self, use: np.ndarray) -> Block:
@@ -717,7 +750,7 @@ def with_memory(blocks: DataFrame, bits: int, sent) -> DataFrame:
 
 
 def earlier(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """(bit, 4): how many bits there are before it with its key, how many of these are ones, and both for all of them."""
+    """(4, bit): how many bits there are before it with its key, how many of these are ones, and both for all of them."""
     packed = (keys & ~_LOW24) | np.arange(len(keys), dtype=np.uint64)
     packed.sort()
     order = (packed & _LOW24).astype(np.int64)
@@ -727,30 +760,38 @@ def earlier(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(is_new)
     sizes = np.diff(np.append(starts, len(packed)))
     cum = np.zeros(len(keys) + 1, np.float32)
-    np.cumsum(bits[order], out=cum[1:])
-    got = np.empty((len(keys), 4), np.float32)
-    got[:, 0] = np.arange(len(keys)) - np.repeat(starts, sizes)
-    got[:, 1] = cum[:-1] - np.repeat(cum[starts], sizes)
-    got[:, 2] = np.repeat(sizes, sizes)
-    got[:, 3] = np.repeat(cum[starts + sizes] - cum[starts], sizes)
-    out = np.empty_like(got)
-    out[order] = got
+    np.cumsum(bits.take(order), out=cum[1:])
+    got, out = np.empty((4, len(keys)), np.float32), np.empty((4, len(keys)), np.float32)
+    before = cum.take(starts)
+    got[0] = np.arange(len(keys)) - np.repeat(starts, sizes)
+    got[1] = cum[:-1] - np.repeat(before, sizes)
+    got[2] = np.repeat(sizes, sizes)
+    got[3] = np.repeat(cum.take(starts + sizes) - before, sizes)
+    for i in range(4):
+        out[i][order] = got[i]
     return out
 
 
-def after_keys(after: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+def bit_keys(tokens: np.ndarray, owner: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """A hash, by its high bits, of each bit's node and what goes for its token."""
     with np.errstate(over="ignore"):
-        return mixed(after.astype(np.uint64) * _SALT[2] + nodes.astype(np.uint64))
+        key = mixed(tokens.astype(np.uint64)).take(owner)
+        key ^= nodes.astype(np.uint64) * _SALT[2]
+        key *= _MIX
+        key ^= key >> np.uint64(32)
+        key *= _SALT[4]
+        return key
 
 
 def paths(book: Dictionary, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(token, node, bit, place in the path) of each bit of the symbols' paths."""
     leaf = np.where(symbols < 0, len(book.number), symbols)
     depth = book.depth[leaf]
-    owner = np.repeat(np.arange(len(leaf), dtype=np.int32), depth)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(depth) - depth, depth)
-    at = book.starts[leaf][owner] + place
-    return owner, book.nodes[at], book.bits[at], place
+    owner = np.repeat(np.arange(len(leaf)), depth)
+    first = np.cumsum(depth) - depth
+    place = np.arange(len(owner)) - first.take(owner)
+    at = book.starts.take(leaf).take(owner) + place
+    return owner, book.nodes.take(at), book.bits.take(at), place
 
 
 def last_followers(block: Block, some: slice) -> tuple[np.ndarray, np.ndarray]:
@@ -778,38 +819,38 @@ def spoken(book: Dictionary, guess: np.ndarray, owner: np.ndarray, place: np.nda
     """(the bits where the guessed words' paths agree so far, 1.5 or -1.5 for the bit each goes on with)."""
     leaf = np.where(guess < RARE_CODE, guess, len(book.number))
     start, depth = np.where(guess < 0, 0, book.starts[leaf]), np.where(guess < 0, 0, book.depth[leaf])
-    at = np.flatnonzero(place < depth[owner])
-    there = start[owner[at]] + place[at]
-    on = book.nodes[there] == node[at]
-    at = at[on]
-    return at, book.bits[there[on]] * np.float32(3) - np.float32(1.5)
+    at = np.flatnonzero(place < depth.take(owner))
+    there = start.take(owner.take(at)) + place.take(at)
+    on = book.nodes.take(there) == node.take(at)
+    return at[on], book.bits.take(there[on]) * np.float32(3) - np.float32(1.5)
 
 
 def token_bits(book: Dictionary, table: tuple[np.ndarray, np.ndarray], block: Block, expect: np.ndarray, state: np.ndarray, some: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, weight of each, gate, bits, token of each bit) of a slice of whole passages."""
     owner, node, bits, place = paths(book, block.symbols[some])
-    learned = ~block.held[some][owner]
-    with np.errstate(over="ignore"):
-        said = earlier(mixed((block.passage[some].astype(np.uint64) * _SALT[3])[owner] + node.astype(np.uint64)), bits)
-    x, at = np.zeros((INPUTS, len(bits)), np.float32), np.zeros((INPUTS, len(bits)), np.int32)
-    x[0], at[0] = book.node_logit[node], book.node_level[node]
+    learned = ~block.held[some].take(owner)
+    said = earlier(bit_keys(block.passage[some], owner, node), bits)
+    x, at = np.zeros((INPUTS, len(bits)), np.float32), np.zeros((INPUTS, len(bits)), np.int64)
+    x[0], at[0] = book.node_logit.take(node), book.node_level.take(node)
     few = np.flatnonzero(learned & (at[0] < LEVELS - 1))  # else one's own are too few to tell
-    n = np.maximum(book.node_n[node[few]] - said[few, 2], 0)
-    x[0, few], at[0, few] = _logit(n, np.minimum(np.maximum(book.node_ones[node[few]] - said[few, 3], 0), n)), level_of(n)
-    slot = (after_keys(block.after[some][owner], node) >> np.uint64(64 - AFTER_BITS)).astype(np.int64)
-    seen = table[1][slot]
-    x[1], at[1] = table[0][slot] * np.float32(1 / 16), _LEVEL[seen]
+    rare = node.take(few)
+    n = np.maximum(book.node_n.take(rare) - said[2].take(few), 0)
+    x[0, few], at[0, few] = _logit(n, np.minimum(np.maximum(book.node_ones.take(rare) - said[3].take(few), 0), n)), level_of(n)
+    slot = (bit_keys(block.after[some], owner, node) >> np.uint64(64 - AFTER_BITS)).astype(np.int64)
+    seen = table[1].take(slot)
+    np.multiply(table[0].take(slot), np.float32(1 / 16), out=x[1])
+    at[1] = _LEVEL.take(seen)
     few = np.flatnonzero(learned & (seen > 0) & (at[1] < LEVELS - 1))
-    x[1, few], at[1, few] = less_own(x[1, few], seen[few], bits[few])
-    x[2], at[2] = _logit(said[:, 0], said[:, 1]), level_of(said[:, 0])
+    x[1, few], at[1, few] = less_own(x[1].take(few), seen.take(few), bits.take(few))
+    x[2], at[2] = _logit(said[0], said[1]), level_of(said[0])
     guess, trust = last_followers(block, some)
     there, says = spoken(book, guess, owner, place, node)
-    x[3, there], at[3, there] = says, trust[owner[there]]
-    gate = np.zeros(len(bits), np.int32)
+    x[3, there], at[3, there] = says, trust.take(owner.take(there))
+    gate = np.zeros(len(bits), np.int64)
     there, says = spoken(book, expect[some], owner, place, node)
-    x[4, there], gate[there] = says, state[some][owner[there]]
-    at += (np.arange(INPUTS, dtype=np.int32) * LEVELS)[:, None]
-    at += gate * np.int32(INPUTS * LEVELS)
+    x[4, there], gate[there] = says, state[some].take(owner.take(there))
+    at += (np.arange(INPUTS) * LEVELS)[:, None]
+    at += gate * (INPUTS * LEVELS)
     return x, at, gate, bits, owner
 
 
@@ -874,55 +915,38 @@ def after_table(blocks: DataFrame, n_blocks: int, sent) -> tuple[np.ndarray, np.
             block = block.part(~block.held)
             for some in passages(block):
                 owner, node, bits, _ = paths(sent.value, block.symbols[some])
-                slot = (after_keys(block.after[some][owner], node) >> np.uint64(64 - AFTER_BITS)).astype(np.int64)
-                slot = np.sort(2 * slot + bits)
-                cuts = np.flatnonzero(np.diff(slot, prepend=-1))
-                both[slot[cuts]] += np.diff(np.append(cuts, len(slot))).astype(np.int32)
+                slot = (bit_keys(block.after[some], owner, node) >> np.uint64(64 - AFTER_BITS)).astype(np.uint32)
+                count_into(both, 2 * slot + bits)
         yield from _table_parts(both[::2], both[1::2], PARTS)
 
     return quantized_table(blocks.mapInArrow(add_up, "part int, raw binary"), n_blocks, 1 << AFTER_BITS, PARTS)
 
 
-def learn(blocks: DataFrame, table, sent) -> tuple[Mixer, np.ndarray]:
-    """The mixer and the counts after escapes, online through each block's training passages, averaged and summed over blocks."""
-
-    def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, after = sent.value, table.value
-        for row in _rows(batches):
-            block = _block_of(row, book)
-            use = ~block.held
-            block, expect, state = block.part(use), expanded(row["expect"], "<i4")[use], expanded(row["state"], "u1")[use]
-            mixer, mass = Mixer.blank(STATES, INPUTS), 0.0
-            squares = np.full(len(mixer.weights), 1e-6)
-            for some in passages(block):
-                x, at, gate, bits, _ = token_bits(book, after, block, expect, state, some)
-                mixer.learn(x, at, gate, bits, squares)
-                mass += len(bits)
-            if mass:
-                values = packed_values(mass, mixer, escape_counts(escapes(block, expect, state)))
-                yield pa.RecordBatch.from_arrays([pa.array([values.tolist()], pa.list_(pa.float64()))], names=["values"])
+def score_block(row: dict, book: Dictionary, table: tuple[np.ndarray, np.ndarray], speller: Speller) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(log2 of each text, its number of dictionary tokens and their base log10 together, its distinct rare words).
 
-    total = summed(blocks.mapInArrow(online, "values array<double>"))
-    mixer = averaged(total, Mixer.blank(STATES, INPUTS))
-    return mixer, total[-4 * STATES :] if len(total) else np.zeros(4 * STATES)
-
-
-def score_block(row: dict, book: Dictionary, table, mixer: Mixer, counts: np.ndarray, speller: Speller) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """(log2 of each text, its number of dictionary tokens and their base log10 together, its distinct rare words)."""
+    The mixer starts anew in each block: it scores a step of bits, then learns from those of training texts.
+    """
     block = _block_of(row, book)
     docs = len(row["sizes"])
     expect, state = expanded(row["expect"], "<i4"), expanded(row["state"], "u1")
-    log2 = np.zeros(docs)
+    log2, mixer, counts = np.zeros(docs), Mixer.blank(STATES, INPUTS), np.zeros(4 * STATES)
+    squares = np.full(len(mixer.weights), 1e-6)
+    e = escapes(block, expect, state)
+    spelled = np.zeros(len(e["at"]), bool)
+    lo = 0
     for some in passages(block):
         x, at, gate, bits, owner = token_bits(book, table, block, expect, state, some)
-        p, bucket = mixer.probability(x, at, gate)
-        p = mixer.corrected(p, bucket)
-        got = np.log2(np.where(bits, p, 1 - p))
-        log2 += np.bincount(block.doc[some][owner], got, docs)
-    e = escapes(block, expect, state)
-    got, spelled = escape_log2(e, counts)
+        got = mixer.learn(x, at, gate, bits, squares, ~block.held[some].take(owner))
+        log2 += np.bincount(block.doc[some].take(owner), got, docs)
+        hi = int(np.searchsorted(e["at"], some.stop))
+        now = {k: v[lo:hi] for k, v in e.items()}
+        got, spelled[lo:hi] = escape_log2(now, counts)
+        log2 += np.bincount(block.doc[now["at"]], got, docs)
+        learned = ~block.held[now["at"]]
+        counts += escape_counts({k: v[learned] for k, v in now.items()})
+        lo = hi
     doc = block.doc[e["at"]]
-    log2 += np.bincount(doc, got, docs)
     known = block.symbols >= 0
     base = np.bincount(block.doc[known], book.log10_n[block.symbols[known]], docs)
     # Distinct rare words of a text: how often, how often spelled, and the spelling's log2.
@@ -954,23 +978,21 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     in_book = is_end if len(words) == 1 else is_end | (F.col("n") > times[-1]) | ((F.col("n") == times[-1]) & (F.col("word") <= F.lit(words[-1])))
     rare = written(counts.filter(~in_book))
     n_rare, n_rare_words, n_single = rare.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("n") == 1, 1))).first()
-    speller = learn_spelling(rare, n_rare_words)
+    speller = learn_spelling(rare, n_rare_words, byte_code(words))
 
     bare = written(blocks_of(rows, sent))
     n_blocks, n_tokens = bare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
     table = spark.sparkContext.broadcast(after_table(bare, n_blocks, sent))
     blocks = written(with_memory(bare, shard_bits(n_tokens), sent))
     dropped(bare)
-    mixer, escaped = learn(blocks, table, sent)
-    model = spark.sparkContext.broadcast((mixer, escaped, speller))
+    model = spark.sparkContext.broadcast(speller)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, escaped, speller = model.value
         for batch in batches:
             for b in range(batch.num_rows):
                 one = batch.slice(b, 1)
                 row = {c: one.column(c).to_pylist()[0] for c in one.schema.names if c != "ids"}
-                log2, base, far = score_block(row, sent.value, table.value, mixer, escaped, speller)
+                log2, base, far = score_block(row, sent.value, table.value, model.value)
                 n, m = len(log2), len(far["n"])
                 number = (row["block"] << 23) + np.arange(n)
                 owner = np.concatenate([np.arange(n), far["doc"]])

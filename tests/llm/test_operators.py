@@ -472,25 +472,241 @@ def test_lm_scores(docs, rows, empty):
     base = lambda t: sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
     want = sorted((str(r[0]), h, len(t), sum(count[w] > 0 for w in t), n, round(base(t), 6)) for r, t, h in zip(rows, tokens, out))
     for top in (50_000, 3):
-        got = lm_scores(docs.withColumn("word", F.lit(1)), top_words=top).collect()
+        got = lm_scores(docs.withColumn("word", F.lit(1)).withColumn("block", F.lit("x")), top_words=top).collect()
         assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
         assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert lm_scores(empty).count() == 0
 
 
-def test_lm_probabilities_are_proper_and_learned():
-    from skewline.llm.context_mixing import GATES, BUCKETS, SLOTS, Model, blank_weights, score_document
+def lm_parts(texts, held, top):
+    """The dictionary and a block of texts, as the operator makes them."""
+    from skewline.llm import context_mixing as c
 
-    blank = Model(np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.uint8), blank_weights(), np.zeros(GATES * BUCKETS), np.zeros(GATES * BUCKETS))
-    assert np.allclose(blank.log2_words([(0, b"ab"), (3, b"\n")]), [-24, -8])
-    first = blank.log2_words([(1, bytes([b])) for b in range(256) if b not in b" \t\n\r\x0b\x0c"])
-    assert (2.0 ** (first + 8)).sum() <= 256 + 1e-9
-    alone = score_document([b"a"] * 50, [1e-5] * 50)
-    assert -5.0 * 50 < alone < -5 and score_document([b"a"], [1e-5]) == pytest.approx(-5.0)
-    assert -705 < score_document([b"a", b"b", b"a"], [-300.0, -400.0, -300.0]) < -700
-    vocabulary, history = [b"a", b"b", b"c"], [b"a", b"b", b"a"]
-    total = sum(10 ** (score_document([*history, w], [1 / 3] * 4) - score_document(history, [1 / 3] * 3)) for w in vocabulary)
-    assert abs(total - 1) < 1e-9
+    split = [[*lower(t).encode().split(), c.END] for t in texts]
+    count = Counter(w for t, h in zip(split, held) if not h for w in t)
+    words = [c.END, *sorted((w for w in count if w != c.END), key=lambda w: (-count[w], w))[:top]]
+    book = c.dictionary_of(words, [count[w] for w in words], sum(count.values()) - sum(count[w] for w in words))
+    rare, symbols = {}, []
+    for t in split:
+        symbols += [book.number[w] if w in book.number else -1 - rare.setdefault(w, len(rare)) for w in t]
+    return split, book, c.Block.of(np.array([len(t) for t in split]), np.array(held), np.array(symbols, np.int32), list(rare), book)
+
+
+def test_lm_code_is_complete():
+    from skewline.llm.context_mixing import huffman
+
+    for counts in ([5], [1, 1], [1, 2, 3, 4, 100], list(range(1, 300))):
+        starts, depth, nodes, bits, n, ones = huffman(np.array(counts))
+        paths = [tuple(zip(nodes[s : s + d].tolist(), bits[s : s + d].tolist())) for s, d in zip(starts, depth)]
+        assert len(set(paths)) == len(counts) and (len(counts) == 1 or sum(2.0**-d for d in depth) == 1)
+        for node in range(len(counts) - 1):
+            under = [(c, dict(p)[node]) for c, p in zip(counts, paths) if node in dict(p)]
+            assert n[node] == sum(c for c, _ in under) and ones[node] == sum(c for c, b in under if b)
+
+
+def test_lm_mixture_is_proper():
+    """Over all words that may come next, and the escape, the mixed probabilities add up to one, whatever the weights."""
+    from skewline.llm import context_mixing as c
+
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(12)]
+    training = [" ".join(rng.choice(words, 30)) for _ in range(5)]
+    table = (rng.integers(-40, 40, 1 << c.AFTER_BITS).astype(np.int8), rng.integers(0, 60, 1 << c.AFTER_BITS).astype(np.uint8))
+    mixer = c.Mixer(rng.normal(size=c.STATES * c.INPUTS * c.LEVELS).astype(np.float32), rng.random(c.STATES * c.BUCKETS) * 3, 3 + rng.random(c.STATES * c.BUCKETS))
+    for guess, state in ((-1, 0), (3, 5), (c.RARE_CODE + 9, 9)):
+        total = 0.0
+        for last in [*words, "unheard"]:
+            _, book, block = lm_parts([*training, f"w1 w2 w1 w2 w1 {last}"], [False] * 5 + [True], 10)
+            at = len(block.symbols) - 2
+            expect, states = np.full(at + 2, -1, np.int32), np.zeros(at + 2, np.uint8)
+            expect[at], states[at] = guess, state
+            if block.symbols[at] < 0 and last != "unheard":
+                continue
+            x, where, gate, bits, owner = c.token_bits(book, table, block, expect, states, slice(0, at + 2))
+            p, bucket = mixer.probability(x, where, gate)
+            p = mixer.corrected(p, bucket)
+            total += np.prod(np.where(bits, p, 1 - p)[owner == at].astype(float))
+        end = lm_parts([*training, "w1 w2 w1 w2 w1"], [False] * 5 + [True], 10)[2]
+        at = len(end.symbols) - 1
+        expect, states = np.full(at + 1, -1, np.int32), np.zeros(at + 1, np.uint8)
+        expect[at], states[at] = guess, state
+        x, where, gate, bits, owner = c.token_bits(book, table, end, expect, states, slice(0, at + 1))
+        p, bucket = mixer.probability(x, where, gate)
+        p = mixer.corrected(p, bucket)
+        total += np.prod(np.where(bits, p, 1 - p)[owner == at].astype(float))
+        assert abs(total - 1) < 1e-4
+
+
+def test_lm_inputs_by_force(monkeypatch):
+    """Every input, weight and gate of a small block, and the online mixer, token by token and bit by bit, without vectors."""
+    from skewline.llm import context_mixing as c
+
+    monkeypatch.setattr(c, "STEP", 128)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "eel", "f.", "G", "new" + str(rng.randrange(9))]) for _ in range(rng.randint(0, 40))) for _ in range(8)]
+    held = [i % 3 == 0 for i in range(8)]
+    split, book, block = lm_parts(texts, held, 5)
+    n = np.random.default_rng(1)
+    table = (n.integers(-99, 99, 1 << c.AFTER_BITS).astype(np.int8), n.integers(0, 90, 1 << c.AFTER_BITS).astype(np.uint8))
+    expect = n.integers(-1, 6, len(block.symbols)).astype(np.int32)
+    state = np.where(expect >= 0, n.integers(1, c.STATES, len(expect)), 0).astype(np.uint8)
+    x, at, gate, bits, owner = c.token_bits(book, table, block, expect, state, slice(0, len(block.symbols)))
+    mixer, check, squares = c.Mixer.blank(c.STATES, c.INPUTS), c.Mixer.blank(c.STATES, c.INPUTS), np.full(c.STATES * c.INPUTS * c.LEVELS, 1e-6)
+    got = mixer.learn(x, at, gate, bits, squares, ~block.held[owner])
+    weights, ones, total, steps = check.weights.astype(float), Counter(), Counter(), np.full(len(check.weights), 1e-6)
+    hi = 0
+    while hi < len(bits):
+        lo, hi = hi, min(hi + c.step_size(hi), len(bits))
+        slope, seen = np.zeros(len(weights)), []
+        for i in range(lo, hi):
+            dot = min(11.9, max(-11.9, sum(weights[at[j, i]] * x[j, i] for j in range(c.INPUTS))))
+            p, bucket = 1 / (1 + math.exp(-dot)), gate[i] * c.BUCKETS + int((dot + 12) * (c.BUCKETS - 1) / 24 + 0.5)
+            told = (p + (ones[bucket] + p) / (total[bucket] + 1)) / 2
+            assert abs(got[i] - math.log2(told if bits[i] else 1 - told)) < 2e-3
+            if not block.held[owner[i]]:
+                seen.append((bucket, int(bits[i])))
+                for j in range(c.INPUTS):
+                    slope[at[j, i]] += (p - bits[i]) * x[j, i]
+        for bucket, b in seen:
+            ones[bucket] += b
+            total[bucket] += 1
+        slope /= max(1, len(seen))
+        steps += slope**2
+        weights -= c.RATE * slope / np.sqrt(steps)
+    path = lambda w: [(int(book.nodes[i]), int(book.bits[i])) for i in range(book.starts[w], book.starts[w] + book.depth[w])]
+    leaf = lambda w: book.number.get(w, len(book.number))
+    logit = lambda n, ones: math.log((ones + c.PRIOR) / (n - ones + c.PRIOR))
+    level = lambda n: 0 if n < 1 else min(c.LEVELS - 1, 1 + int(math.log2(n)))
+    bit = token = 0
+    for words, out in zip(split, held):
+        own = Counter(step for w in words for step in path(leaf(w)))
+        said, followers = Counter(), {}
+        for i, w in enumerate(words):
+            last = followers.get(words[i - 1], []) if i else []
+            guess = [(last[-1], 1 + (len(last) > 1) + (len(last) > 1 and last[-1] == last[-2]))] if last else []
+            steps = path(leaf(w))
+            for k, (node, b) in enumerate(steps):
+                assert owner[bit] == token and bits[bit] == b
+                total, ones = book.node_n[node], book.node_ones[node]
+                if not out and level(total) < c.LEVELS - 1:
+                    total, ones = max(0, total - own[node, 0] - own[node, 1]), max(0, ones - own[node, 1])
+                assert abs(x[0, bit] - logit(total, min(ones, total))) < 1e-4
+                before = said[node, 0] + said[node, 1]
+                assert abs(x[2, bit] - logit(before, said[node, 1])) < 1e-4
+                agrees = lambda p: k < len(p) and p[: k + 1][:-1] == steps[:k] and p[k][0] == node  # noqa: B023, E731
+                want, trust = 0.0, 0
+                if guess and agrees(path(leaf(guess[0][0]))):
+                    want, trust = (1.5 if path(leaf(guess[0][0]))[k][1] else -1.5), guess[0][1]
+                assert x[3, bit] == want
+                in_state = 0
+                if expect[token] >= 0 and agrees(path(int(expect[token]))):
+                    in_state = int(state[token])
+                    assert x[4, bit] == (1.5 if path(int(expect[token]))[k][1] else -1.5)
+                else:
+                    assert x[4, bit] == 0
+                assert gate[bit] == in_state
+                base = in_state * c.INPUTS * c.LEVELS
+                assert [int(at[j, bit]) - base - j * c.LEVELS for j in (0, 2, 3, 4)] == [level(total), level(before), trust, 0]
+                bit += 1
+            for step in steps:
+                said[step] += 1
+            if i:
+                followers.setdefault(words[i - 1], []).append(w)
+            token += 1
+    assert bit == len(bits)
+
+
+def test_lm_memory_by_force(spark, monkeypatch):
+    """What the shards answer to blocks, against counts of all followers; own text left out, blocks and shards of any number."""
+    from skewline.llm import context_mixing as c
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) + (f" rare{rng.randrange(4)} a b" if rng.random() < 0.4 else "") for _ in range(60)]
+    held = [rng.random() < 0.2 for _ in texts]
+    split, book, _ = lm_parts(texts, held, 4)
+    rows = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, held_out boolean").repartition(3).cache()
+    sent = spark.sparkContext.broadcast(book)
+    monkeypatch.setattr(c, "BLOCK_BYTES", 200)
+    blocks = c.blocks_of(rows, sent)
+    after, askers = {}, {}
+    pad = lambda words: [None, None, *words]
+    for i, words in enumerate(split):
+        w = pad(words)
+        for a, b, x in zip(w, w[1:], w[2:]):
+            askers.setdefault((a, b), set()).add(i)
+            if not held[i]:
+                after.setdefault((a, b), Counter())[x, i] += 1
+    for bits in (0, 5):
+        hits = 0
+        for row in c.with_memory(blocks, bits, sent).collect():
+            expect, state = c.expanded(row["expect"], "<i4"), c.expanded(row["state"], "u1")
+            at = 0
+            for i in row["ids"]:
+                w = pad(split[i])
+                for a, b, x in zip(w, w[1:], w[2:]):
+                    others = Counter()
+                    for (y, j), n in after.get((a, b), {}).items():
+                        others[y] += n * (j != i)
+                    most = max(others.values(), default=0)
+                    if len(askers[a, b]) < 2 or not most:
+                        assert expect[at] == -1 and state[at] == 0
+                    elif expect[at] >= 0:
+                        said = {y for y in others if book.number.get(y, c.RARE_CODE + xxhash.xxh64_intdigest(y) % ((1 << 24) - c.RARE_CODE)) == expect[at]}
+                        assert len(said) == 1 and state[at] > 0
+                        hits += others[said.pop()] == most
+                    at += 1
+            assert at == len(expect)
+        assert hits > 200
+
+
+def test_lm_scores_hang_on_no_partitions(spark):
+    from skewline.llm.context_mixing import lm_scores
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for n in (5, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(lm_scores(docs).toPandas().sort_values("doc_id").reset_index(drop=True))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (got[0]["doc_id"] == got[1]["doc_id"]).all() and np.allclose(got[0]["score"], got[1]["score"], rtol=1e-12, atol=1e-9)
+    assert (got[0]["score"] < 0).all()
+
+
+def test_lm_copies_and_held_out_text(spark):
+    """A model of the corpus: a text that occurs twice is told from one that doesn't, also if one of the two was never learned."""
+    from skewline.llm.context_mixing import lm_scores
+
+    rng = random.Random(12)
+    words = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{i}" for i in range(400)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(120))
+    out = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(400)]
+    twice, learned, rows = text(), next(i for i in range(300, 400) if not out[i]), []
+    copies = {next(i for i in range(300) if out[i]), next(i for i in range(300) if not out[i]), learned}
+    rows = [(i, twice if i in copies else text()) for i in range(400)] + [(1000, "z" * 70_000 + " " + "\u00e9" * 40_000)]
+    got = {r["doc_id"]: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    per_token = {i: r["score"] / r["n_tokens"] for i, r in got.items()}
+    others = [v for i, v in per_token.items() if i not in copies and i != 1000]
+    assert all(per_token[i] > 0.6 * max(others) for i in copies) and math.isfinite(got[1000]["score"])
+
+
+def test_lm_spelling_is_proper_and_learned(spark):
+    from skewline.llm import context_mixing as c
+
+    code = c.byte_code([b"then", b"this", b"or"])
+    blank = c.Speller(code, np.zeros(c.SLOTS, np.int8), np.zeros(c.SLOTS, np.uint8), c.Mixer.blank(c.GATES, len(c.TABLE_BITS)))
+    depth = code[1]
+    assert np.allclose(blank.log2_words([b"ab", b"c"], False), [-depth[[97, 98, 32]].sum(), -depth[[99, 32]].sum()])
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice(["th", "en", "or", "is"]) for _ in range(rng.randint(2, 6))) for _ in range(500)})
+    table = spark.createDataFrame([(w.encode(), 1) for w in words[::2]], "word binary, n long")
+    speller = c.learn_spelling(table, len(words[::2]), code)
+    held = speller.log2_words([w.encode() for w in words[1::2]], False)
+    assert held.sum() / sum(map(len, words[1::2])) > -2.5
+    own = speller.log2_words([w.encode() for w in words[::2]], True)
+    assert abs(own.sum() / sum(map(len, words[::2])) - held.sum() / sum(map(len, words[1::2]))) < 0.7
+    first = speller.log2_words([bytes([b]) for b in range(256)], False)
+    assert (2.0**first).sum() <= 1
 
 
 def test_stages_and_queries(spark, tmp_path):
