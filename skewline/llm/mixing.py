@@ -1,11 +1,13 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame functions only.
 
-Each source's documents are put in a random order fixed by a hash; its words in that order, repeated once they run out,
-form the source's stream. The mix takes from a source the first `target` words of its stream, cut into blocks of
-`block_words`. The exact block quotas of all sources are then split among output shards down a binary tree: at every node
-the blocks that go left are a multivariate hypergeometric draw from the node's quotas, so every shard gets its exact number
-of blocks and every source's blocks are all dealt. A shard draws its quota as a disjoint range of the source's permuted
-blocks, and is shuffled locally by `order_key`. All draws come from hashes of `seed`, so reruns agree.
+Each source's documents are put in a random order fixed by a hash, and its words in that order are cut into blocks of
+`block_words`. The mix takes all blocks as often as `target` holds the whole source, and of one more pass the blocks that
+come first in a keyed permutation, the last of them cut so that the target is met to the word: those are the source's exact
+block quota. The quotas of all sources are split among output shards down a binary tree: at every node the blocks that go
+left are a multivariate hypergeometric draw from the node's quotas, so every shard gets its exact number of blocks and every
+source's blocks are all dealt. A shard draws its quota as a disjoint range of the source's permuted blocks, and is shuffled
+locally by `order_key`. What is taken of a document is what the shards drew of its blocks. All draws come from hashes of
+`seed` and the number of shards, so reruns agree.
 
 Targets: sources by code point, null last, weigh 3, 1, 2, repeating; they share `share` times all words; no target passes
 `max_epochs` times its source's words, and the excess goes to the others by weight until none passes (water level).
@@ -13,7 +15,8 @@ Targets: sources by code point, null last, weigh 3, 1, 2, repeating; they share
 Scale: texts are read once for their word counts; what is shuffled is a few numbers a document, except for
 `mixed_documents`, which reads texts again and shuffles them to where the slices are dealt. The running word offset of
 a document is found in two levels (buckets of about `BUCKET_DOCS` documents by hash, then within a bucket), so a hot source
-is spread over as many tasks as it has buckets. The table of sources is broadcast only up to `MAX_BROADCAST` rows.
+is spread over as many tasks as it has buckets. Permutations are worked out row by row. The tree's nodes hold a row for
+each `CHUNK` sources; the number of shards grows with the words. The table of sources is broadcast only up to `MAX_BROADCAST` rows.
 
 Defined results: a null text has size 0, documents of size 0 are never taken; a null source is a source of its own; a null
 id stays null; repeated rows are mixed one by one; an empty table gives an empty table; other columns are not looked at.
@@ -33,14 +36,20 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 17
+#: Shards at least, and words of a shard at most, about.
 SHARDS = 16
+SHARD_WORDS = 1 << 27
 BLOCK_WORDS = 4096
 BUCKET_DOCS = 256
 #: Words of a partition of the mixed documents: some 8 MB of text.
 PART_WORDS = 1_200_000
 MAX_BROADCAST = 20_000
-#: A prime larger than any number of blocks; multiples of it, modulo that number, permute the blocks.
-PERMUTE = 2_654_435_761
+#: Sources in a row of the tree; levels of it between two tables.
+CHUNK = 1024
+LEVELS = 4
+#: Rounds of a keyed permutation, and how often it is walked on at most, to land in a range.
+ROUNDS = 4
+WALKS = 64
 
 
 def word_count(text: str | Column) -> Column:
@@ -118,31 +127,90 @@ def uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
 
 
-def shard_quotas(targets: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """(source_no, n_blocks, ends array<long>): source's blocks of permuted number below ends[j], from ends[j-1] on, go to shard j.
+def permuted(x: Column, n: Column, *key: Column) -> Column:
+    """The place of x in a permutation of 0 .. n-1 that the key fixes.
 
-    Levels of the tree are steps of the plan; a node is one row with the quotas of all sources, drawn one source after the
-    other, each given what the sources before it took.
+    Rounds of a Feistel network over two digits, whose range is larger than n by less than its root; a number that falls
+    outside is permuted again, which leads back in.
     """
-    depth = max(0, math.ceil(math.log2(shards)))
-    blocks = targets.select("source_no", F.ceil(F.col("take") / block_words).alias("n_blocks"))
-    nodes = blocks.agg(F.array_sort(F.collect_list(F.struct("source_no", "n_blocks"))).alias("q")).select(F.lit(1).cast("long").alias("node"), F.transform("q", lambda x: x["n_blocks"]).alias("q"))
-    for _ in range(depth):
-        total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
-        begin = F.struct(total.alias("pop"), F.floor(total / 2).alias("draws"), _no_longs().alias("left"))
+    base = F.ceil(F.sqrt(n.cast("double")))
+    rows = F.ceil(n / base)
+
+    def once(v: Column) -> Column:
+        def turn(digits: Column, i: int) -> Column:
+            if i == ROUNDS:
+                return digits["hi"] * rows + digits["lo"]
+            hi = F.pmod(digits["hi"] + F.pmod(F.xxhash64(*key, F.lit(2 * i), digits["lo"]), base), base)
+            low = lambda h: F.pmod(digits["lo"] + F.pmod(F.xxhash64(*key, F.lit(2 * i + 1), h), rows), rows)
+            return let(hi, lambda h: let(F.struct(h.alias("hi"), low(h).alias("lo")), lambda d: turn(d, i + 1)))
+
+        return let(F.struct(F.floor(v / rows).alias("hi"), F.pmod(v, rows).alias("lo")), lambda d: turn(d, 0))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(x), lambda v, _: F.when(v < n, v).otherwise(once(v)))
+
+
+def shards_for(n_words: int) -> int:
+    """A power of two that grows with the words."""
+    return max(SHARDS, 1 << max(0, math.ceil(math.log2(max(1, n_words / SHARD_WORDS)))))
+
+
+def block_quotas(targets: DataFrame, shards: int, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """(source_no, pass_blocks, passes, rest_words, rest_blocks, n_blocks): blocks of a pass, whole passes, and what is taken of one more.
+
+    `rest_words` counts the source's last block as a full one where it is among the blocks taken.
+    """
+    size, take = F.col("source_size"), F.col("take")
+    rows = targets.select("source_no", "source_size", "take", F.ceil(size / block_words).alias("pass_blocks"), F.when(size > 0, F.floor(take / size)).otherwise(F.lit(0)).cast("long").alias("passes"))
+    rest = take - F.col("passes") * size
+    missing = F.col("pass_blocks") * block_words - size
+    last = F.when(size > 0, permuted(F.col("pass_blocks") - 1, F.col("pass_blocks"), *block_key(shards, seed))).otherwise(F.lit(0)) * block_words
+    rows = rows.withColumn("rest_words", F.when(rest <= last + block_words - missing, rest).otherwise(rest + missing))
+    rows = rows.withColumn("rest_blocks", F.ceil(F.col("rest_words") / block_words))
+    return rows.select("source_no", "pass_blocks", "passes", "rest_words", "rest_blocks", (F.col("passes") * F.col("pass_blocks") + F.col("rest_blocks")).alias("n_blocks"))
+
+
+def block_key(shards: int, seed: int) -> list[Column]:
+    return [F.lit(seed), F.lit(shards), F.col("source_no")]
 
-        def step(s: Column, x: Column) -> Column:
-            drawn = hypergeometric(s["pop"], x, s["draws"], uniform(F.lit(seed), F.col("node"), F.size(s["left"])))
-            return let(drawn, lambda k: F.struct((s["pop"] - x).alias("pop"), (s["draws"] - k).alias("draws"), F.concat(s["left"], F.array(k)).alias("left")))
 
-        halves = nodes.withColumn("left", F.aggregate("q", begin, step)["left"])
+def _total(q: str | Column) -> Column:
+    return F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _drawn(q: str, total: Column, draws: Column, *key: Column) -> Column:
+    """Of each number in the array q, how many are among `draws` drawn without replacement, one given what those before it took."""
+
+    def step(s: Column, x: Column) -> Column:
+        k = hypergeometric(s["pop"], x, s["draws"], uniform(*key, F.size(s["left"])))
+        return let(k, lambda k: F.struct((s["pop"] - x).alias("pop"), (s["draws"] - k).alias("draws"), F.concat(s["left"], F.array(k)).alias("left")))
+
+    return F.aggregate(q, F.struct(total.alias("pop"), draws.alias("draws"), _no_longs().alias("left")), step)["left"]
+
+
+def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
+    """(source_no, ends array<long>): source's blocks of permuted number below ends[j], from ends[j-1] on, go to shard j.
+
+    A node of the tree has a row for each `chunk` sources. At every level a node's draws are first split among its rows, then
+    within each row among the sources.
+    """
+    depth = max(0, math.ceil(math.log2(shards)))
+    items = F.array_sort(F.collect_list(F.struct("source_no", "n_blocks")))
+    nodes = quotas.groupBy(F.floor(F.col("source_no") / chunk).alias("chunk")).agg(items.alias("items"))
+    nodes = nodes.select(F.lit(1).cast("long").alias("node"), "chunk", F.transform("items", lambda x: x["n_blocks"]).alias("q"))
+    for level in range(depth):
+        tops = nodes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("chunk", _total("q").alias("n")))).alias("chunks")).withColumn("q", F.transform("chunks", lambda x: x["n"]))
+        total = _total("q")
+        tops = tops.withColumn("left", _drawn("q", total, F.floor(total / 2), F.lit(seed), F.lit(-1), F.col("node")))
+        draws = tops.select("node", F.explode(F.zip_with("chunks", "left", lambda c, k: F.struct(c["chunk"].alias("chunk"), k.alias("draws")))).alias("d")).select("node", "d.*")
+        halves = nodes.join(draws, ["node", "chunk"]).withColumn("left", _drawn("q", _total("q"), F.col("draws"), F.lit(seed), F.col("chunk"), F.col("node")))
         right = F.zip_with("q", "left", lambda a, b: a - b)
-        nodes = halves.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("q")))).alias("n")).select("n.*")
-    nodes = written(nodes)
-    leaf = nodes.select((F.col("node") - (1 << depth)).alias("shard"), F.posexplode("q").alias("source_no", "n"))
-    dealt = leaf.groupBy(F.col("source_no").cast("long").alias("source_no")).agg(F.sum("n").alias("n_blocks"), F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("quota"))
-    ends = F.transform("quota", lambda x, i: F.aggregate(F.slice("quota", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]))
-    return dealt.select("source_no", "n_blocks", ends.alias("ends"))
+        nodes = halves.select("chunk", F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("q")))).alias("n")).select("n.node", "chunk", "n.q")
+        if level % LEVELS == LEVELS - 1 or level == depth - 1:
+            nodes = written(nodes)
+    leaf = nodes.select((F.col("node") - (1 << depth)).alias("shard"), "chunk", F.posexplode("q").alias("place", "n"))
+    dealt = leaf.groupBy((F.col("chunk") * chunk + F.col("place")).cast("long").alias("source_no")).agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("quota"))
+    running = F.aggregate("quota", F.struct(F.lit(0).cast("long").alias("sum"), _no_longs().alias("ends")), lambda s, x: F.struct((s["sum"] + x["n"]).alias("sum"), F.concat(s["ends"], F.array(s["sum"] + x["n"])).alias("ends")))
+    return dealt.select("source_no", running["ends"].alias("ends"))
 
 
 def placed(rows: DataFrame, sizes: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
@@ -173,41 +241,55 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     share: float = SHARE,
     max_epochs: int = MAX_EPOCHS,
-    shards: int = SHARDS,
+    shards: int | None = None,
     block_words: int = BLOCK_WORDS,
     seed: int = SEED,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, slices), one row a document.
 
     slices: array<struct<epoch, block, shard, order_key, start, length>>, the word ranges [start, start + length) that the
-    mix takes of it; `order_key` orders a shard's blocks, `block` is a number within the source.
+    mix takes of it; `order_key` orders a shard's blocks, `block` is a number within the source. Without `shards` their
+    number follows the words.
     """
     sizes = written(sized(docs, id_column, source_column, text_column, seed))
     targets = written(source_targets(sizes, weights, share, max_epochs))
+    shards = shards or shards_for(words_to_take(targets))
     rows = dealt_slices(sizes, sizes, targets, max_epochs, shards, block_words, seed)
     return rows.select("doc_id", "source", "size", "source_size", "target", "slices")
 
 
+def words_to_take(targets: DataFrame) -> int:
+    return targets.agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
+
+
 def dealt_slices(rows: DataFrame, sizes: DataFrame, targets: DataFrame, max_epochs: int, shards: int, block_words: int, seed: int) -> DataFrame:
-    """What `placed` gives, with `slices`."""
+    """What `placed` gives, with `slices`: what the shards draw of a document's blocks."""
     n_sources = targets.count()
-    quotas = written(shard_quotas(targets, shards, block_words, seed))
-    rows = placed(rows, sizes, targets, n_sources).join(broadcast_if(quotas, n_sources, MAX_BROADCAST), "source_no")
+    quotas = written(block_quotas(targets, shards, block_words, seed))
+    ends = written(shard_quotas(quotas, shards, seed).join(quotas, "source_no"))
+    rows = placed(rows, sizes, targets, n_sources).join(broadcast_if(ends, n_sources, MAX_BROADCAST), "source_no")
+    lo, hi = F.col("at"), F.col("at") + F.col("size")
+    blocks = F.sequence(F.floor(lo / block_words), F.floor((hi - 1) / block_words))
 
-    def cut(epoch: int) -> Column:
-        lo = F.col("at") + F.col("source_size") * epoch
-        hi = F.least(lo + F.col("size"), F.col("take"))
-        first, last = F.floor(lo / block_words), F.floor((hi - 1) / block_words)
+    def drawn(epoch: int) -> Column:
+        """Slices of one pass through the source."""
 
         def slice_of(b: Column) -> Column:
-            start, end = F.greatest(lo, b * block_words), F.least(hi, (b + 1) * block_words)
-            permuted = (b * PERMUTE + F.pmod(F.xxhash64(F.lit(seed), "source_no"), F.lit(1 << 30))) % F.col("n_blocks")
-            shard = F.size(F.filter("ends", lambda e: e <= permuted))
-            return F.struct(F.lit(epoch).alias("epoch"), b.alias("block"), shard.alias("shard"), F.xxhash64(F.lit(seed), "source_no", b).alias("order_key"), (start - lo).alias("start"), (end - start).alias("length"))
+            def of_place(place: Column) -> Column:
+                whole = F.col("passes") > epoch
+                upto = F.when(whole, F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest_words") - place * block_words))
+                start, end = F.greatest(lo, b * block_words), F.least(hi, b * block_words + upto)
+                number = F.lit(epoch) * F.col("pass_blocks") + F.when(whole, b).otherwise(place)
+                shard = F.when(end > start, let(permuted(number, F.col("n_blocks"), F.lit("shard"), *block_key(shards, seed)), lambda p: F.size(F.filter("ends", lambda e: e <= p))))
+                block = F.lit(epoch) * F.col("pass_blocks") + b
+                return F.struct(F.lit(epoch).alias("epoch"), block.alias("block"), shard.alias("shard"), F.xxhash64(F.lit(seed), "source_no", block).alias("order_key"), (start - lo).alias("start"), (end - start).alias("length"))
+
+            place = F.when(F.col("passes") > epoch, F.lit(0).cast("long")).otherwise(permuted(b, F.col("pass_blocks"), *block_key(shards, seed)))
+            return let(place, of_place)
 
-        return F.when(hi > lo, F.transform(F.sequence(first, last), slice_of))
+        return F.when((F.col("size") > 0) & ((F.col("passes") > epoch) | ((F.col("passes") == epoch) & (F.col("rest_blocks") > 0))), F.filter(F.transform(blocks, slice_of), lambda s: s["length"] > 0))
 
-    slices = F.flatten(F.array_compact(F.array(*[cut(e) for e in range(max_epochs)])))
+    slices = F.flatten(F.array_compact(F.array(*[drawn(e) for e in range(max_epochs)])))
     return rows.withColumn("slices", slices)
 
 
@@ -221,7 +303,7 @@ def mixed_documents(
     weights: tuple[int, ...] = WEIGHTS,
     share: float = SHARE,
     max_epochs: int = MAX_EPOCHS,
-    shards: int = SHARDS,
+    shards: int | None = None,
     block_words: int = BLOCK_WORDS,
     seed: int = SEED,
     part_words: int = PART_WORDS,
@@ -234,7 +316,8 @@ def mixed_documents(
     names = docs.columns
     sizes = written(sized(docs, seed=seed))
     targets = written(source_targets(sizes, weights, share, max_epochs))
-    n_words = targets.agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
+    n_words = words_to_take(targets)
+    shards = shards or shards_for(n_words)
     parts = max(1, math.ceil(n_words / shards / part_words))
     rows = dealt_slices(sized(docs, seed=seed, whole=True), sizes, targets, max_epochs, shards, block_words, seed)
     text = F.col("row.text")

@@ -6,7 +6,8 @@ Grades follow the labels: 0 for low quality, 1 for fair text that is toxic, 2 fo
 
 A text's features are shares of its words (each word's lower-case stem without outer marks, stems' beginnings, its shape of
 case and trailing marks, and whether it repeats the word before) and how many distinct words it has of a stem or beginning,
-whatever its length, where the sample shows these to tell grades apart. Both add up over words, so a word's weights are
+whatever its length. Features count in full where the sample shows them to tell grades apart beyond doubt, less the less clear
+that is, and not at all below `MIN_Z` standard errors: so a long text doesn't drift by many words of no meaning. Both add up over words, so a word's weights are
 looked up once and remembered by the Python worker in a bounded cache. Fitted by adaptive gradient steps on at most `SAMPLE` labelled
 documents (those of smallest hash, so reruns agree); all documents are scored over their whole text.
 
@@ -35,15 +36,20 @@ from .tokenization import texts_of
 #: Labelled documents that the weights are fitted on, at most.
 SAMPLE = 8192
 HASH_BITS = 19
-CUT = 0.5
+#: Least P(top grade) of what is kept: an unclear document goes.
+CUT = 0.8
 TOP_GRADE = 2
 CACHE_WORDS = 300_000
 #: Scale of the shares, so that rare but telling words move the score within a few steps.
 SCALE = 20.0
 #: Gradient steps at least, however small the sample.
-MIN_STEPS = 1200
-#: Standard errors between grades from which a feature is used.
+MIN_STEPS = 4000
+#: Standard errors between grades from which a feature is used, and from which it is used in full; between, by their power.
 MIN_Z = 3.5
+FULL_Z = 14.0
+Z_POWER = 4
+#: Lengths of the beginnings of stems, in bytes.
+BEGINNINGS = (4, 5, 6, 7)
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _REPEAT = 0
 
@@ -60,7 +66,8 @@ def word_slots(word: bytes) -> tuple[list[int], list[int]]:
     share = [_slot(b"s", shape + tail[:3])]
     if not stem:
         return share, []
-    return share + [_slot(b"w", stem), _slot(b"4", stem[:4])], [_slot(b"W", stem), _slot(b"P", stem[:4]), _slot(b"5", stem[:5])]
+    beginnings = [_slot(b"%d" % k, stem[:k]) for k in BEGINNINGS if k == BEGINNINGS[0] or len(stem) >= k]
+    return share + [_slot(b"w", stem), _slot(b"P", stem[:4])], [_slot(b"W", stem), *beginnings]
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +87,21 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, np.bincount(where, np.array(values), len(at))
 
 
-def telling(slots: np.ndarray, owner_top: np.ndarray, n_top: int, n_low: int) -> np.ndarray:
-    """For each slot, whether its document frequencies in the top grade and below differ by `MIN_Z` standard errors."""
-    a = np.bincount(slots[owner_top], minlength=1 << HASH_BITS)
-    b = np.bincount(slots[~owner_top], minlength=1 << HASH_BITS)
-    p = (a + b + 1) / (n_top + n_low + 2)
-    z = (a / max(1, n_top) - b / max(1, n_low)) / np.sqrt(p * (1 - p) * (1 / max(1, n_top) + 1 / max(1, n_low)) + 1e-12)
-    return (np.abs(z) >= MIN_Z) & (a + b >= 4)
+def telling(slots: np.ndarray, grade: np.ndarray, grades: np.ndarray, top: int) -> np.ndarray:
+    """How far each slot is used, from 0 to 1: by the most standard errors by which its document frequencies differ between two
+    neighbouring grades, or between the documents on either side of a threshold. `grade` is that of each feature's document.
+    """
+    counts = [np.bincount(slots[grade == g], minlength=1 << HASH_BITS) for g in range(top + 1)]
+    docs = [int((grades == g).sum()) for g in range(top + 1)]
+    most = np.zeros(1 << HASH_BITS)
+    sides = [(range(k), range(k, top + 1)) for k in range(1, top + 1)] + [((k - 1,), (k,)) for k in range(1, top + 1)]
+    for low, high in sides:
+        a, b = sum(counts[g] for g in high), sum(counts[g] for g in low)
+        n, m = max(1, sum(docs[g] for g in high)), max(1, sum(docs[g] for g in low))
+        p = (a + b + 1) / (n + m + 2)
+        z = (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
+        most = np.maximum(most, np.abs(z) * (a + b >= 4))
+    return np.where(most >= MIN_Z, np.minimum(1, (most / FULL_Z) ** Z_POWER), 0)
 
 
 @dataclass
@@ -111,12 +126,12 @@ def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades
     cuts = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(top) * 1e-3)
     free, free_squares = np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))]), np.full(top, 1e-8)
     random = np.random.default_rng(seed)
-    is_top = grades == top
-    use = telling(slots, np.repeat(is_top, sizes), int(is_top.sum()), int((~is_top).sum()))
-    use[_REPEAT] = True
-    kept = use[slots]
+    use = telling(slots, np.repeat(grades.astype(np.int8), sizes), grades, top)
+    use[_REPEAT] = 1
+    kept = use[slots] > 0
     sizes = np.bincount(np.repeat(np.arange(len(grades), dtype=np.int32), sizes)[kept], minlength=len(grades))
-    slots, values = slots[kept], values[kept]
+    slots = slots[kept]
+    values = values[kept] * use[slots].astype(np.float32)
     starts = np.concatenate(([0], np.cumsum(sizes)))
     for _ in range(max(epochs, -(-MIN_STEPS * batch // len(grades)))):
         order = random.permutation(len(grades)) if rows is None else rows[random.permutation(len(grades))]
@@ -144,7 +159,7 @@ def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades
             squares[at] += d * d
             weights[at] -= rate * d / np.sqrt(squares[at])
     cuts = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
-    return Ordinal(weights.astype(np.float32), cuts)
+    return Ordinal((weights * use).astype(np.float32), cuts)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:

@@ -367,6 +367,19 @@ def test_classifier(spark, empty):
     assert q.graded(empty, q.fit(empty, table)).count() == 0
 
 
+def test_classifier_finds_held_out_toxic_documents(spark):
+    """Fitted on four fifths of the labels of sf0.1, it keeps clean documents of the last fifth and drops toxic and bad ones."""
+    from skewline.llm import quality_classifier as q
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    hidden = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 2
+    model = q.fit(docs, labels.filter(~hidden))
+    got = q.graded(docs.join(labels.filter(hidden), "doc_id"), model).join(labels, "doc_id").toPandas()
+    clean, toxic, bad = got[(got.quality == 1) & (got.toxic == 0)], got[(got.quality == 1) & (got.toxic == 1)], got[got.quality == 0]
+    assert len(toxic) > 50 and (~toxic.kept).mean() >= 0.9 and (~bad.kept).mean() >= 0.95 and clean.kept.mean() >= 0.97
+
+
 def test_top_k(spark):
     from skewline.llm.topk import top_k, whole_numbers
 
@@ -678,7 +691,7 @@ def test_lm_copies_and_held_out_text(spark):
     from skewline.llm.context_mixing import lm_scores
 
     rng = random.Random(12)
-    words = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{i}" for i in range(400)]
+    words = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{i}" for i in range(4000)]
     text = lambda: " ".join(rng.choice(words) for _ in range(120))
     out = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(400)]
     twice, learned, rows = text(), next(i for i in range(300, 400) if not out[i]), []
@@ -687,7 +700,8 @@ def test_lm_copies_and_held_out_text(spark):
     got = {r["doc_id"]: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     per_token = {i: r["score"] / r["n_tokens"] for i, r in got.items()}
     others = [v for i, v in per_token.items() if i not in copies and i != 1000]
-    assert all(per_token[i] > 0.6 * max(others) for i in copies) and math.isfinite(got[1000]["score"])
+    assert all(per_token[i] > 0.75 * max(others) for i in copies), (sorted(others)[-3:], [per_token[i] for i in copies])
+    assert math.isfinite(got[1000]["score"])
 
 
 def test_lm_spelling_is_proper_and_learned(spark):
