@@ -39,6 +39,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ PARTS = 16
 RARE_CODE = 1 << 18
 
 #: Spelling: slots of the tables of its six contexts, as powers of two; words of a group that learns by itself.
-TABLE_BITS = (12, 16, 18, 20, 20, 22)
+TABLE_BITS = (12, 16, 18, 20, 20, 21)
 GROUP_WORDS = 1 << 17
 SEGMENT = 1 << 14
 BATCH = 1 << 12
@@ -269,14 +270,13 @@ def byte_code(words: list[bytes]) -> tuple:
 @dataclass
 class Speller:
     code: tuple
-    logit: np.ndarray
-    seen: np.ndarray
+    slots: Slots
     mixer: Mixer
 
     def inputs(self, slots: np.ndarray, own: bool, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logits, weight of each, gate: the longest context seen), with the word itself left out of the counts if `own`."""
-        seen = self.seen[slots]
-        x, levels = self.logit[slots] * np.float32(1 / 16), _LEVEL[seen]
+        seen = self.slots.seen[slots]
+        x, levels = self.slots.logit[slots] * np.float32(1 / 16), _LEVEL[seen]
         if own:
             few = np.nonzero((seen > 0) & (levels < LEVELS - 1))
             x[few], levels[few] = less_own(x[few], seen[few], bits[few[1]])
@@ -359,7 +359,21 @@ def expanded(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
-def quantized_table(parts: DataFrame, n_tasks: int, slots: int, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+class Slots(NamedTuple):
+    """Logits and numbers seen, quantized; sent compressed."""
+
+    logit: np.ndarray
+    seen: np.ndarray
+
+    def __reduce__(self):
+        return Slots.of, (squeezed(self.logit), squeezed(self.seen))
+
+    @staticmethod
+    def of(logit: bytes, seen: bytes) -> Slots:
+        return Slots(expanded(logit, "i1"), expanded(seen, "u1"))
+
+
+def quantized_table(parts: DataFrame, n_tasks: int, slots: int, n_parts: int) -> Slots:
     """The tables of (part, raw) rows added up, in two levels so that no group meets more than about a root of the tasks, and quantized."""
 
     def add(rows: pa.Table) -> pa.Table:
@@ -379,7 +393,7 @@ def quantized_table(parts: DataFrame, n_tasks: int, slots: int, n_parts: int) ->
         zeros, ones = expanded(raw[1:], "<i8").reshape(2, -1).astype(float)
         at = slice(part * width, part * width + len(ones))
         logit[at], seen[at] = quantized(zeros + ones, ones)
-    return logit[:slots], seen[:slots]
+    return Slots(logit[:slots], seen[:slots])
 
 
 def learn_spelling(rare: DataFrame, n_words: int, code: tuple) -> Speller:
@@ -389,7 +403,7 @@ def learn_spelling(rare: DataFrame, n_words: int, code: tuple) -> Speller:
     """
     groups = max(1, -(-n_words // GROUP_WORDS))
     grouped = rare.select("word", F.pmod(F.xxhash64("word"), F.lit(groups)).alias("part"))
-    speller = Speller(code, np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.uint8), Mixer.blank(GATES, len(TABLE_BITS)))
+    speller = Speller(code, Slots(np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.uint8)), Mixer.blank(GATES, len(TABLE_BITS)))
     if not n_words:
         return speller
 
@@ -402,11 +416,11 @@ def learn_spelling(rare: DataFrame, n_words: int, code: tuple) -> Speller:
                 count_into(both, (2 * slots + bits).ravel())
         yield from _table_parts(both[::2], both[1::2], PARTS)
 
-    speller.logit, speller.seen = quantized_table(rare.select("word").mapInArrow(add_up, "part int, raw binary"), groups, SLOTS, PARTS)
-    sent = rare.sparkSession.sparkContext.broadcast((speller.logit, speller.seen))
+    speller.slots = quantized_table(rare.select("word").mapInArrow(add_up, "part int, raw binary"), groups, SLOTS, PARTS)
+    sent = rare.sparkSession.sparkContext.broadcast(speller.slots)
 
     def online(rows: pa.Table) -> pa.Table:
-        own, squares, mass = Speller(code, *sent.value, Mixer.blank(GATES, len(TABLE_BITS))), np.full(GATES * len(TABLE_BITS) * LEVELS, 1e-6), 0.0
+        own, squares, mass = Speller(code, sent.value, Mixer.blank(GATES, len(TABLE_BITS))), np.full(GATES * len(TABLE_BITS) * LEVELS, 1e-6), 0.0
         for segments in _word_batches(rows.column("word").sort().to_pylist(), BATCH):
             hashes, data, _ = contexts(segments)
             slots, bits, _ = bit_slots(code, hashes, data)
@@ -415,6 +429,7 @@ def learn_spelling(rare: DataFrame, n_words: int, code: tuple) -> Speller:
         return pa.table({"values": pa.array([packed_values(mass, own.mixer).tolist()], pa.list_(pa.float64()))})
 
     speller.mixer = averaged(summed(grouped.groupBy("part").applyInArrow(lambda rows: online(rows), "values array<double>")), speller.mixer)
+    sent.destroy()
     return speller
 
 
@@ -437,6 +452,11 @@ class Dictionary:
     node_level: np.ndarray
     hashes: np.ndarray
     after: np.ndarray
+    made_of: tuple
+
+    def __reduce__(self):
+        """Sent as the words and counts that it is made of, which are a small part of it."""
+        return dictionary_of, self.made_of
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -477,7 +497,7 @@ def dictionary_of(words: list[bytes], counts: list[int], n_rare: int) -> Diction
     c = np.array([*counts, n_rare + 1], np.int64)
     starts, depth, nodes, bits, n, ones = huffman(c)
     after = np.where(np.arange(len(words)) < OWN_CONTEXT, np.arange(len(words)) + 1, end_contexts(words)).astype(np.int32)
-    return Dictionary({w: i for i, w in enumerate(words)}, np.log10(np.array(counts, float) + 0.5), starts, depth, nodes, bits, n, ones, _logit(n, ones).astype(np.float32), level_of(n), mixed(np.arange(len(words), dtype=np.uint64)), after)
+    return Dictionary({w: i for i, w in enumerate(words)}, np.log10(np.array(counts, float) + 0.5), starts, depth, nodes, bits, n, ones, _logit(n, ones).astype(np.float32), level_of(n), mixed(np.arange(len(words), dtype=np.uint64)), after, (words, counts, n_rare))
 
 
 def is_held_out(id_column: str) -> Column:
@@ -825,7 +845,7 @@ def spoken(book: Dictionary, guess: np.ndarray, owner: np.ndarray, place: np.nda
     return at[on], book.bits.take(there[on]) * np.float32(3) - np.float32(1.5)
 
 
-def token_bits(book: Dictionary, table: tuple[np.ndarray, np.ndarray], block: Block, expect: np.ndarray, state: np.ndarray, some: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def token_bits(book: Dictionary, table: Slots, block: Block, expect: np.ndarray, state: np.ndarray, some: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, weight of each, gate, bits, token of each bit) of a slice of whole passages."""
     owner, node, bits, place = paths(book, block.symbols[some])
     learned = ~block.held[some].take(owner)
@@ -837,8 +857,8 @@ def token_bits(book: Dictionary, table: tuple[np.ndarray, np.ndarray], block: Bl
     n = np.maximum(book.node_n.take(rare) - said[2].take(few), 0)
     x[0, few], at[0, few] = _logit(n, np.minimum(np.maximum(book.node_ones.take(rare) - said[3].take(few), 0), n)), level_of(n)
     slot = (bit_keys(block.after[some], owner, node) >> np.uint64(64 - AFTER_BITS)).astype(np.int64)
-    seen = table[1].take(slot)
-    np.multiply(table[0].take(slot), np.float32(1 / 16), out=x[1])
+    seen = table.seen.take(slot)
+    np.multiply(table.logit.take(slot), np.float32(1 / 16), out=x[1])
     at[1] = _LEVEL.take(seen)
     few = np.flatnonzero(learned & (seen > 0) & (at[1] < LEVELS - 1))
     x[1, few], at[1, few] = less_own(x[1].take(few), seen.take(few), bits.take(few))
@@ -905,7 +925,7 @@ def escape_log2(e: dict[str, np.ndarray], counts: np.ndarray) -> tuple[np.ndarra
     return out, ~e["hit"] & ~known
 
 
-def after_table(blocks: DataFrame, n_blocks: int, sent) -> tuple[np.ndarray, np.ndarray]:
+def after_table(blocks: DataFrame, n_blocks: int, sent) -> Slots:
     """The table of bits after words before, over all training passages: a task adds up its own in a table of fixed size."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -922,7 +942,7 @@ def after_table(blocks: DataFrame, n_blocks: int, sent) -> tuple[np.ndarray, np.
     return quantized_table(blocks.mapInArrow(add_up, "part int, raw binary"), n_blocks, 1 << AFTER_BITS, PARTS)
 
 
-def score_block(row: dict, book: Dictionary, table: tuple[np.ndarray, np.ndarray], speller: Speller) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+def score_block(row: dict, book: Dictionary, table: Slots, speller: Speller) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """(log2 of each text, its number of dictionary tokens and their base log10 together, its distinct rare words).
 
     The mixer starts anew in each block: it scores a step of bits, then learns from those of training texts.

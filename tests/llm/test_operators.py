@@ -524,7 +524,7 @@ def test_lm_mixture_is_proper():
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(12)]
     training = [" ".join(rng.choice(words, 30)) for _ in range(5)]
-    table = (rng.integers(-40, 40, 1 << c.AFTER_BITS).astype(np.int8), rng.integers(0, 60, 1 << c.AFTER_BITS).astype(np.uint8))
+    table = c.Slots(rng.integers(-40, 40, 1 << c.AFTER_BITS).astype(np.int8), rng.integers(0, 60, 1 << c.AFTER_BITS).astype(np.uint8))
     mixer = c.Mixer(rng.normal(size=c.STATES * c.INPUTS * c.LEVELS).astype(np.float32), rng.random(c.STATES * c.BUCKETS) * 3, 3 + rng.random(c.STATES * c.BUCKETS))
     for guess, state in ((-1, 0), (3, 5), (c.RARE_CODE + 9, 9)):
         total = 0.0
@@ -560,7 +560,7 @@ def test_lm_inputs_by_force(monkeypatch):
     held = [i % 3 == 0 for i in range(8)]
     split, book, block = lm_parts(texts, held, 5)
     n = np.random.default_rng(1)
-    table = (n.integers(-99, 99, 1 << c.AFTER_BITS).astype(np.int8), n.integers(0, 90, 1 << c.AFTER_BITS).astype(np.uint8))
+    table = c.Slots(n.integers(-99, 99, 1 << c.AFTER_BITS).astype(np.int8), n.integers(0, 90, 1 << c.AFTER_BITS).astype(np.uint8))
     expect = n.integers(-1, 6, len(block.symbols)).astype(np.int32)
     state = np.where(expect >= 0, n.integers(1, c.STATES, len(expect)), 0).astype(np.uint8)
     x, at, gate, bits, owner = c.token_bits(book, table, block, expect, state, slice(0, len(block.symbols)))
@@ -708,7 +708,7 @@ def test_lm_spelling_is_proper_and_learned(spark):
     from skewline.llm import context_mixing as c
 
     code = c.byte_code([b"then", b"this", b"or"])
-    blank = c.Speller(code, np.zeros(c.SLOTS, np.int8), np.zeros(c.SLOTS, np.uint8), c.Mixer.blank(c.GATES, len(c.TABLE_BITS)))
+    blank = c.Speller(code, c.Slots(np.zeros(c.SLOTS, np.int8), np.zeros(c.SLOTS, np.uint8)), c.Mixer.blank(c.GATES, len(c.TABLE_BITS)))
     depth = code[1]
     assert np.allclose(blank.log2_words([b"ab", b"c"], False), [-depth[[97, 98, 32]].sum(), -depth[[99, 32]].sum()])
     rng = random.Random(1)
