@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .guards import require
+
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="skewline", description=__doc__)
@@ -29,9 +31,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName(f"skewline {a.command}").getOrCreate()
     result = COMMANDS[a.command](spark, a)
     if result is not None:
-        from .sources.sinks import atomic_json, write_html
+        from .sources.sinks import write_html, write_json
 
-        atomic_json(f"{a.out}/{a.command}.json", result)
+        write_json(f"{a.out}/{a.command}.json", result)
         rows = result if isinstance(result, list) else [result]
         write_html(a.command, {a.command: rows}, f"{a.out}/{a.command}.html")
     return 0
@@ -49,31 +51,38 @@ def aggregate(spark, a):
     write_by_run(step_aggregates(rank_metrics(spark, a.input)), a.out)
 
 
+def checked_run(spark, path):
+    """(rank rows, manifest) of a run's directory, refused unless it has the files and rows that its manifest tells."""
+    from .operators import metrics
+    from .sources import files
+
+    manifest = files.manifests(spark, f"{path}/{files.MANIFEST_FILE}").first()
+    rows = files.rank_metrics(spark, f"{path}/{files.METRICS_FILE}")
+    ranks = files.file_ranks(spark, f"{path}/{files.METRICS_FILE}")
+    worlds = spark.createDataFrame([(r["run"], manifest["world_size"]) for r in ranks.select("run").distinct().collect()], "run string, world_size long")
+    bad = files.rank_set_errors(ranks, worlds).first()
+    require(bad is None, f"rank files don't match the world size: {bad}")
+    first = (manifest["start_step"] or 0) + int(manifest["config"].get("warmup") or 0)
+    bad = metrics.run_violations(rows, manifest["world_size"], first).first()
+    require(bad is None, f"the run's rows are bad: {bad}")
+    return rows, manifest
+
+
 def summarize(spark, a):
     from .operators.metrics import run_summary, step_items
-    from .sources.files import rank_metrics
 
-    rows = rank_metrics(spark, f"{a.input}/metrics-rank*.jsonl")
-    summary = _rows(run_summary(rows))[0]
-    return summary if a.aggregate_only else {**summary, "steps": _rows(step_items(rows).orderBy("step"))}
+    rows, _ = checked_run(spark, a.input)
+    if not a.aggregate_only:
+        step_items(rows).write.mode("errorifexists").json(f"{a.out}/steps")
+    return _rows(run_summary(rows))[0]
 
 
 def compare(spark, a):
-    from .guards import require
-    from .operators.compare import seeded_interval
-    from .operators.metrics import run_summary
-    from .sources.files import rank_metrics
+    from .operators.compare import pair_report, paired_runs
 
     require(len(a.baseline) == len(a.candidate), "provide as many baseline as candidate runs")
-    one = lambda d: run_summary(rank_metrics(spark, f"{d}/metrics-rank*.jsonl")).first()
-    seed = lambda d: json.loads((Path(d) / "manifest.json").read_text())["config"]["seed"]
-    pairs = []
-    for base, cand in zip(a.baseline, a.candidate, strict=True):
-        x, y = one(base), one(cand)
-        require(x["workload_sha256"] == y["workload_sha256"], "step and token workloads differ")
-        pairs.append({"seed": seed(base), "baseline": base, "candidate": cand, "speedup": x["median_step_ms"] / y["median_step_ms"]})
-    require(len({p["seed"] for p in pairs}) == len(pairs), "independent pairs must use distinct seeds")
-    return {"pairs": pairs, "seed_bootstrap_95_ci": seeded_interval([p["speedup"] for p in pairs], a.bootstrap)}
+    runs = {d: checked_run(spark, d)[0] for d in {*a.baseline, *a.candidate}}
+    return pair_report(paired_runs(spark, list(zip(a.baseline, a.candidate, strict=True)), runs), a.bootstrap)
 
 
 def analyze(spark, a):

@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 import random
 import statistics
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import uniform_draw, verdict
-from ..guards import Rules, require
+from ..guards import Rules, require, violations
+from ..sources import files
+from .metrics import run_summary
 
 #: Settings that an experiment may change between its arms (fixed values).
 INTERVENTIONS = ("fleet_path", "planner", "kernel", "bucket_cap_mb", "activation_checkpointing", "strategy", "precision")
@@ -111,3 +114,43 @@ def changed_keys():
     """Sorted names of settings that differ between the two manifests of a pair."""
     a, b = F.col("a")["config"], F.col("b")["config"]
     return F.sort_array(F.filter(F.map_keys(a), lambda k: ~F.element_at(a, k).eqNullSafe(F.try_element_at(b, k))))
+
+
+def paired_runs(spark: SparkSession, pairs: list[tuple[str, str]], runs: dict[str, DataFrame]) -> DataFrame:
+    """(pair, baseline, candidate, a, b, hash_a, hash_b, ms_a, ms_b): manifests and summaries of both runs of each pair."""
+    sides = []
+    for name, (side, hash_, ms) in (("baseline", ("a", "hash_a", "ms_a")), ("candidate", ("b", "hash_b", "ms_b"))):
+        parts = []
+        for i, pair in enumerate(pairs):
+            path = pair[name == "candidate"]
+            manifest = files.manifests(spark, f"{path}/{files.MANIFEST_FILE}")
+            told = manifest.select(F.lit(i).alias("pair"), F.lit(path).alias(name), "run", F.struct(*[c for c in manifest.columns if c != "run"]).alias(side))
+            parts.append(told.join(run_summary(runs[path]).select("run", F.col("workload_sha256").alias(hash_), F.col("median_step_ms").alias(ms)), "run", "left").drop("run"))
+        sides.append(reduce(DataFrame.unionByName, parts))
+    return sides[0].join(sides[1], "pair")
+
+
+def pair_report(pairs: DataFrame, resamples: int = RESAMPLES) -> dict:
+    """The comparison of few pairs of runs; refused unless each pair and all of them together follow the protocol."""
+    pairs = pairs.withColumns({"changed": changed_keys(), "seed": F.element_at(F.col("a")["config"], "seed")}).cache()
+    bad = [(r["pair"], r["rule"]) for r in violations(pairs, protocol_rules()).select("pair", "rule").orderBy("pair", "rule").collect()]
+    require(not bad, f"pairs break the protocol: {bad}")
+    rows = pairs.select("pair", "seed", "baseline", "candidate", "ms_a", "ms_b", "changed", F.struct(_fixed("a"), _fixed("b")).alias("fixed")).orderBy("pair").collect()
+    require(len({r["seed"] for r in rows}) == len(rows), "independent pairs must use distinct seeds")
+    require(len({tuple(r["changed"]) for r in rows}) == 1 and len({r["fixed"] for r in rows}) == 1, "all pairs must make the same intervention")
+    speedups = [r["ms_a"] / r["ms_b"] for r in rows]
+    interval = seeded_interval(speedups, resamples)
+    lo, hi = interval or (None, None)
+    says = pairs.sparkSession.range(1).select(verdict(F.lit(lo).cast("double"), F.lit(hi).cast("double"))).first()[0]
+    return {
+        "intervention": rows[0]["changed"],
+        "pairs": [{"seed": r["seed"], "baseline": r["baseline"], "candidate": r["candidate"], "baseline_median_ms": r["ms_a"], "candidate_median_ms": r["ms_b"], "speedup": s} for r, s in zip(rows, speedups, strict=True)],
+        "geometric_mean_speedup": math.exp(statistics.fmean(map(math.log, speedups))),
+        "seed_bootstrap_95_ci": interval and list(interval),
+        "verdict": says,
+    }
+
+
+def _fixed(side: str) -> Column:
+    """A manifest's settings but the seed, which all pairs of a comparison share."""
+    return _map_text(F.map_filter(F.col(side)["config"], lambda k, _: k != "seed")).alias(side)

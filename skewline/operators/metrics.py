@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ordered_hash, padding_fraction, tokens_per_second
-from ..guards import Rules, missing, not_finite, strict
+from ..guards import Rules, missing, not_finite, strict, violations
 from ..schemas import REQUIRED_METRICS
 
 
@@ -34,7 +34,7 @@ def duplicates(df: DataFrame) -> DataFrame:
     return df.groupBy("run", "step", "rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def step_totals(df: DataFrame) -> DataFrame:
+def step_totals(df: DataFrame, *more: Column) -> DataFrame:
     """One row a (run, step): the slowest rank sets the step's time. A single aggregation, partial on the map side.
 
     Ranks are counted by rows; strict use checks for duplicates in the same pass (`n_rows` against distinct ranks).
@@ -50,6 +50,7 @@ def step_totals(df: DataFrame) -> DataFrame:
         F.sum("padded_tokens").alias("padded_tokens"),
         F.sum("loss_sum").alias("loss_sum"),
         F.max("peak_memory_bytes").alias("peak_memory_bytes"),
+        *more,
     )
 
 
@@ -70,12 +71,26 @@ def with_rates(steps: DataFrame) -> DataFrame:
 
 
 def step_aggregates(df: DataFrame, check: bool = True, world: int | None = None) -> DataFrame:
-    """The warehouse row of each measured step; one scan, one shuffle, guards within."""
-    rows = df.filter(~F.col("warmup"))
-    steps = step_totals(strict(rows, row_rules(rows)) if check else rows)
-    if check:
-        steps = strict(steps, {**coverage_rules(world), "duplicate ranks": F.col("n_rows") != F.col("observed_ranks")})
-    return with_rates(steps.drop("n_rows"))
+    """The warehouse row of each measured step; one scan, one shuffle, guards within.
+
+    Guards see all rows, those of warm-up steps too, before these are left out.
+    """
+    if not check:
+        return with_rates(step_totals(df.filter(~F.col("warmup"))).drop("n_rows"))
+    flags = (F.bool_or("warmup").alias("warmup"), (F.min("warmup") != F.max("warmup")).alias("mixed"))
+    steps = step_totals(strict(df, row_rules(df)), *flags)
+    steps = strict(steps, {"duplicate ranks": F.col("n_rows") != F.col("observed_ranks"), "ranks disagree on warm-up": F.col("mixed")})
+    return with_rates(strict(steps.filter(~F.col("warmup")), coverage_rules(world)).drop("n_rows", "warmup", "mixed"))
+
+
+def run_violations(df: DataFrame, world: int, first_measured: int) -> DataFrame:
+    """(run, step, rule) of all that is wrong with runs of `world` ranks whose steps from `first_measured` on are measured."""
+    of_row = violations(df, {**row_rules(df), **warmup_rules(first_measured)}).select("run", "step", "rule")
+    steps = step_totals(df)
+    rules = {**coverage_rules(world), "duplicate ranks": F.col("n_rows") != F.col("observed_ranks")}
+    of_step = violations(steps, rules).select("run", "step", "rule")
+    gaps = steps.groupBy("run").agg((F.max("step") - F.min("step") + 1 != F.count(F.lit(1))).alias("gap"), F.max("step").alias("step")).filter("gap")
+    return of_row.unionByName(of_step).unionByName(gaps.select("run", "step", F.lit("steps are missing").alias("rule")))
 
 
 def step_items(df: DataFrame) -> DataFrame:

@@ -72,6 +72,7 @@ def write_run(root, step_ms, ranks=2, steps=1, **changes):
     for r in range(ranks):
         rows = [{**METRIC, "rank": r, "step": s, "step_ms": step_ms, **changes} for s in range(steps)]
         (root / f"metrics-rank{r}.jsonl").write_text("".join(json.dumps(x) + "\n" for x in rows))
+    (root / "manifest.json").write_text(json.dumps(manifest(world_size=ranks, config={"planner": "random", "seed": 1, "warmup": 0})))
 
 
 def test_warehouse_end_to_end(spark, tmp_path):
@@ -250,11 +251,17 @@ def test_profiler_import(spark, profile):
 
 def test_journal_prefix_and_frontier(spark, tmp_path):
     for rank, n in ((0, 3), (1, 2)):
-        j = sinks.RankJournal(tmp_path, rank, 7)
-        j.write([{**METRIC, "rank": rank, "step": 7 + k} for k in range(n)], complete=rank == 0)
-        with pytest.raises(ValueError, match="without gaps"):
-            j.write([{**METRIC, "rank": rank, "step": 99}])
-        j.close()
+        row = lambda step: {**METRIC, "rank": rank, "step": step}  # noqa: B023, E731
+        sinks.append_journal(tmp_path, rank, [row(7)], 7)
+        for bad, why in (([row(99)], "without gaps"), ([row(8), row(8)], "without gaps"), ([{**row(8), "step_ms": 0.0}], "positive")):
+            with pytest.raises(ValueError, match=why):
+                sinks.append_journal(tmp_path, rank, bad, 7)
+        with (tmp_path / f"metrics-rank{rank}.jsonl").open("ab") as f:
+            f.write(b'{"torn before')
+        marker = sinks.append_journal(tmp_path, rank, [row(7 + k) for k in range(1, n)], 7, complete=rank == 0)
+        assert (marker["rows"], marker["flushes"], marker["last_step"]) == (n, 2, 6 + n)
+    with pytest.raises(ValueError, match="complete"):
+        sinks.append_journal(tmp_path, 0, [], 7)
     with (tmp_path / "metrics-rank1.jsonl").open("ab") as f:
         f.write(b'{"torn')
     found = journals.committed(files.journals(spark, str(tmp_path)))
@@ -268,8 +275,13 @@ def test_journal_prefix_and_frontier(spark, tmp_path):
     (tmp_path / "metrics-rank0.jsonl").write_bytes(broken)
     got = journals.frontiers(journals.committed(files.journals(spark, str(tmp_path))), worlds).first()
     assert got["status"] == "invalid"
-    with pytest.raises(FileExistsError):
-        sinks.RankJournal(tmp_path, 0)
+    (tmp_path / "metrics-rank2.jsonl").write_text("")
+    with pytest.raises(ValueError, match="in the way"):
+        sinks.append_journal(tmp_path, 2, [])
+    with pytest.raises(ValueError, match="isn't what its marker says"):
+        bad = json.loads((tmp_path / "metrics-rank0.progress.json").read_text())
+        (tmp_path / "metrics-rank0.progress.json").write_text(json.dumps({**bad, "complete": False}))
+        sinks.append_journal(tmp_path, 0, [], 7)
 
 
 def test_marker_mismatches(spark):
@@ -418,23 +430,95 @@ def test_bad_problems_are_refused():
         search.certify(search.Batch([0, 1], [3, 3], search.Ranks.of([MODEL])), [[0]])
 
 
-def test_published_campaign_counts():
-    rows = [r for c in campaign.cases((17,)) for r in campaign.evaluate(c, 3000)]
-    by = {m: [r for r in rows if r[1] == m] for m in campaign.METHODS}
-    assert len(rows) == 48 * 6 and all(r[9] is None or r[9] >= -1e-12 for r in rows)
-    assert sum(r[2] == "feasible" for r in by["fleet_beam"]) >= sum(r[2] == "feasible" for r in by["fleet_local"]) > sum(r[2] == "feasible" for r in by["random"])
-
-
-def test_campaign_summary_has_all_cases(spark):
+def campaign_by_force(case, node_budget):
+    """{method: (makespan or None, regret or None)} of one case, method after method."""
+    ids = planning.permutation(len(case["lengths"]), case["seed"])
+    lengths = [case["lengths"][i] for i in ids]
+    batch, got = search.Batch(ids, lengths, search.Ranks.of(case["models"])), {}
+    for method in campaign.METHODS:
+        groups = campaign.layout(case, method)
+        try:
+            got[method] = (search.certify(batch, groups), groups) if groups else None
+        except ValueError:
+            got[method] = None
+    found = [x for x in got.values() if x]
+    start = min(found, key=lambda x: (x[0]["makespan"], sum(x[0]["rank_costs"])))[1] if found else None
+    exact = search.solve_exact(ids, lengths, case["models"], node_budget, start)
+    proven = exact["status"] == "optimal"
+    return {m: (x and x[0]["makespan"], x[0]["makespan"] / exact["upper_bound"] - 1 if x and proven else None) for m, x in got.items()}
+
+
+def test_campaign_by_force(spark):
+    got = campaign.run_campaign(spark, (17,), 3000).collect()
+    want = {c["case_id"]: campaign_by_force(c, 3000) for c in campaign.cases((17,))}
+    assert len(got) == 48 * 6 and all(want[r["case_id"]][r["method"]] == (r["makespan"], r["proven_regret"]) for r in got)
+    assert all(r["proven_regret"] is None or r["proven_regret"] >= -1e-12 for r in got)
+    by = {m: sum(r["status"] == "feasible" for r in got if r["method"] == m) for m in campaign.METHODS}
+    assert by["fleet_beam"] >= by["fleet_local"] > by["random"]
+
+
+def test_campaign_summary_has_the_published_counts(spark):
     got = {r["method"]: (r["feasible_cases"], r["proven_cases"], r["optimum_reached"]) for r in engine.campaign_summary(spark, SF).collect()}
-    want = {}
-    for case in campaign.cases((17, 23, 31, 43)):
-        for r in campaign.evaluate(case, 100_000):
-            n = want.setdefault(r[1], [0, 0, 0])
-            n[0] += r[2] == "feasible"
-            n[1] += r[9] is not None
-            n[2] += r[9] is not None and r[9] < 1e-12
-    assert got == {m: tuple(n) for m, n in want.items()} and max(n[1] for n in want.values()) > 48
+    assert set(got) == set(campaign.METHODS) and got["fleet_beam"][1:] == (179, 179) and max(n[0] for n in got.values()) > 179
+
+
+def test_guards_see_warmup_rows(spark):
+    row = lambda step, rank, warm, **more: {**METRIC, "run": "r", "step": step, "rank": rank, "warmup": warm, **more}
+    fields = "run string, rank long, step long, warmup boolean, local_tokens long, global_tokens long, padded_tokens long, step_ms double, loss_sum double, peak_memory_bytes long, predicted_cost double"
+    good = [row(s, r, s == 0) for s in range(3) for r in range(2)]
+    make = lambda rows: spark.createDataFrame([tuple(x.get(f.split()[0]) for f in fields.split(", ")) for x in rows], fields)
+    assert metrics.step_aggregates(make(good)).count() == 2 and metrics.run_violations(make(good), 2, 1).count() == 0
+    for bad, rule in (
+        ([row(0, 0, True)], "duplicate ranks"),
+        ([row(3, 0, None), row(3, 1, None)], "null field"),
+        ([row(3, 0, True, local_tokens=None), row(3, 1, True)], "null field"),
+        ([row(3, 0, True), row(3, 1, False)], "ranks disagree on warm-up"),
+    ):
+        with pytest.raises(Exception, match=rule):
+            metrics.step_aggregates(make(good + bad)).collect()
+        assert metrics.run_violations(make(good + bad), 2, 1).count() > 0
+    rules = {r["rule"] for r in metrics.run_violations(make([*good, row(5, 0, False)]), 2, 1).collect()}
+    assert {"missing ranks", "steps are missing"} <= rules
+
+
+def test_commands_refuse_bad_runs_and_pairs(spark, tmp_path):
+    from skewline.cli import main
+
+    def run(name, ms, bad=None, **change):
+        write_run(tmp_path / name, ms, steps=3)
+        m = json.loads((tmp_path / name / "manifest.json").read_text())
+        m["config"].update(change.pop("config", {}))
+        (tmp_path / name / "manifest.json").write_text(json.dumps({**m, **change}))
+        if bad:
+            with (tmp_path / name / "metrics-rank1.jsonl").open("a") as f:
+                f.write(json.dumps({**METRIC, "rank": 1, **bad}) + "\n")
+        return f"{tmp_path}/{name}"
+
+    seeds = (17, 23, 31)
+    base = [run(f"b{s}", 10.0, config={"seed": s}) for s in seeds]
+    cand = [run(f"c{s}", 5.0, config={"seed": s, "planner": "balanced"}) for s in seeds]
+    compare_ = lambda a, b, out: main(["compare", "--baseline", *a, "--candidate", *b, "--bootstrap", "200", "--out", f"{tmp_path}/{out}"])
+    assert compare_(base, cand, "good") == 0
+    got = json.loads((tmp_path / "good/compare.json").read_text())
+    assert got["geometric_mean_speedup"] == pytest.approx(2) and got["verdict"] == "candidate faster in sampled runs" and got["intervention"] == ["planner"]
+    assert [p["speedup"] for p in got["pairs"]] == [2, 2, 2]
+    one = lambda **change: [*cand[:2], run("x" + str(len(list(tmp_path.iterdir()))), 5.0, **change)]
+    right = {"seed": 31, "planner": "balanced"}
+    for other, why in (
+        (one(config=right, evidence="synthetic"), "evidence"),
+        (one(config={**right, "batch": 9}), "protocol"),
+        (one(config={"seed": 31}), "intervention"),
+        (one(config={"seed": 31, "kernel": "fused"}), "intervention"),
+        (one(config=right, bad={"step": 1, "warmup": False}), "rows are bad"),
+        (one(config=right, bad={"step": 9, "warmup": False}), "rows are bad"),
+        (one(config=right, world_size=3), "world size"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            compare_(base, other, "bad")
+    with pytest.raises(ValueError, match="distinct seeds"):
+        compare_([base[0], base[0]], [cand[0], cand[0]], "bad")
+    with pytest.raises(ValueError, match="rows are bad"):
+        main(["summarize", run("torn", 5.0, bad={"step": 1, "warmup": False}), "--out", f"{tmp_path}/s"])
 
 
 def test_costs_and_model_rules(spark):
@@ -514,7 +598,7 @@ def test_reports_escape_and_are_atomic(tmp_path):
     sinks.write_interactive_html("t", [{"x": "</script>&"}], tmp_path / "i.html")
     assert "</script>&" not in (tmp_path / "i.html").read_text()
     with pytest.raises(ValueError):
-        sinks.atomic_json(tmp_path / "x.json", {"a": float("nan")})
+        sinks.write_json(tmp_path / "x.json", {"a": float("nan")})
     assert not (tmp_path / "x.json").exists()
     assert len(sinks.failure_record(1, ValueError("x" * 99999))["message"]) == 16384
 
