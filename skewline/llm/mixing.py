@@ -15,8 +15,8 @@ Targets: sources by code point, null last, weigh 3, 1, 2, repeating; they share
 Scale: texts are read once for their word counts; what is shuffled is a few numbers a document, except for
 `mixed_documents`, which reads texts again and shuffles them to where the slices are dealt. The running word offset of
 a document is found in two levels (buckets of about `BUCKET_DOCS` documents by hash, then within a bucket), so a hot source
-is spread over as many tasks as it has buckets. Permutations are worked out row by row. The tree's nodes hold a row for
-each `CHUNK` sources; the number of shards grows with the words. The table of sources is broadcast only up to `MAX_BROADCAST` rows.
+is spread over as many tasks as it has buckets. Permutations are worked out row by row. The sources of
+a node of the tree are drawn in chunks of `CHUNK`; the number of shards grows with the words. The table of sources is broadcast only up to `MAX_BROADCAST` rows.
 
 Defined results: a null text has size 0, documents of size 0 are never taken; a null source is a source of its own; a null
 id stays null; repeated rows are mixed one by one; an empty table gives an empty table; other columns are not looked at.
@@ -44,9 +44,9 @@ BUCKET_DOCS = 256
 #: Words of a partition of the mixed documents: some 8 MB of text.
 PART_WORDS = 1_200_000
 MAX_BROADCAST = 20_000
-#: Sources in a row of the tree; levels of it between two tables.
+#: Sources of a chunk; levels of the tree between two tables.
 CHUNK = 1024
-LEVELS = 4
+LEVELS = 1
 #: Rounds of a keyed permutation, and how often it is walked on at most, to land in a range.
 ROUNDS = 4
 WALKS = 64
@@ -177,38 +177,36 @@ def _total(q: str | Column) -> Column:
     return F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _drawn(q: str, total: Column, draws: Column, *key: Column) -> Column:
+def _drawn(q: Column, draws: Column, *key: Column) -> Column:
     """Of each number in the array q, how many are among `draws` drawn without replacement, one given what those before it took."""
 
     def step(s: Column, x: Column) -> Column:
         k = hypergeometric(s["pop"], x, s["draws"], uniform(*key, F.size(s["left"])))
         return let(k, lambda k: F.struct((s["pop"] - x).alias("pop"), (s["draws"] - k).alias("draws"), F.concat(s["left"], F.array(k)).alias("left")))
 
-    return F.aggregate(q, F.struct(total.alias("pop"), draws.alias("draws"), _no_longs().alias("left")), step)["left"]
+    return F.aggregate(q, F.struct(_total(q).alias("pop"), draws.alias("draws"), _no_longs().alias("left")), step)["left"]
 
 
 def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
     """(source_no, ends array<long>): source's blocks of permuted number below ends[j], from ends[j-1] on, go to shard j.
 
-    A node of the tree has a row for each `chunk` sources. At every level a node's draws are first split among its rows, then
-    within each row among the sources.
+    Levels of the tree are steps of the plan; a node is one row with the quotas of all sources, in chunks of `chunk`. A
+    node's draws are first split among its chunks, then within each chunk among its sources, one given what those before took.
     """
     depth = max(0, math.ceil(math.log2(shards)))
-    items = F.array_sort(F.collect_list(F.struct("source_no", "n_blocks")))
-    nodes = quotas.groupBy(F.floor(F.col("source_no") / chunk).alias("chunk")).agg(items.alias("items"))
-    nodes = nodes.select(F.lit(1).cast("long").alias("node"), "chunk", F.transform("items", lambda x: x["n_blocks"]).alias("q"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("source_no", "n_blocks"))), lambda x: x["n_blocks"])
+    parts = quotas.groupBy(F.floor(F.col("source_no") / chunk).alias("chunk")).agg(items.alias("q"))
+    nodes = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "q"))), lambda x: x["q"]).alias("q")).select(F.lit(1).cast("long").alias("node"), "q")
     for level in range(depth):
-        tops = nodes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("chunk", _total("q").alias("n")))).alias("chunks")).withColumn("q", F.transform("chunks", lambda x: x["n"]))
-        total = _total("q")
-        tops = tops.withColumn("left", _drawn("q", total, F.floor(total / 2), F.lit(seed), F.lit(-1), F.col("node")))
-        draws = tops.select("node", F.explode(F.zip_with("chunks", "left", lambda c, k: F.struct(c["chunk"].alias("chunk"), k.alias("draws")))).alias("d")).select("node", "d.*")
-        halves = nodes.join(draws, ["node", "chunk"]).withColumn("left", _drawn("q", _total("q"), F.col("draws"), F.lit(seed), F.col("chunk"), F.col("node")))
-        right = F.zip_with("q", "left", lambda a, b: a - b)
-        nodes = halves.select("chunk", F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("q")))).alias("n")).select("n.node", "chunk", "n.q")
+        sums = F.transform("q", _total)
+        tops = nodes.withColumn("draws", _drawn(sums, F.floor(_total(sums) / 2), F.lit(seed), F.lit(-1), F.col("node")))
+        halves = tops.withColumn("left", F.transform("q", lambda q, i: _drawn(q, F.get("draws", i), F.lit(seed), i, F.col("node"))))
+        right = F.zip_with("q", "left", lambda a, b: F.zip_with(a, b, lambda x, y: x - y))
+        nodes = halves.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("q")))).alias("n")).select("n.*")
         if level % LEVELS == LEVELS - 1 or level == depth - 1:
             nodes = written(nodes)
-    leaf = nodes.select((F.col("node") - (1 << depth)).alias("shard"), "chunk", F.posexplode("q").alias("place", "n"))
-    dealt = leaf.groupBy((F.col("chunk") * chunk + F.col("place")).cast("long").alias("source_no")).agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("quota"))
+    leaf = nodes.select((F.col("node") - (1 << depth)).alias("shard"), F.posexplode("q").alias("chunk", "q")).select("shard", "chunk", F.posexplode("q").alias("place", "n"))
+    dealt = leaf.groupBy((F.col("chunk").cast("long") * chunk + F.col("place")).alias("source_no")).agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("quota"))
     running = F.aggregate("quota", F.struct(F.lit(0).cast("long").alias("sum"), _no_longs().alias("ends")), lambda s, x: F.struct((s["sum"] + x["n"]).alias("sum"), F.concat(s["ends"], F.array(s["sum"] + x["n"])).alias("ends")))
     return dealt.select("source_no", running["ends"].alias("ends"))
 

@@ -246,6 +246,34 @@ def test_mixed_documents_are_the_dealt_slices(docs):
             assert Counter(own) == Counter(blocks[b])
 
 
+def test_permuted_and_quotas_in_chunks(spark):
+    from skewline.llm.mixing import permuted, shard_quotas
+
+    for n in (1, 2, 3, 7, 1000):
+        orders = [[r[0] for r in spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(key))).collect()] for key in (1, 2)]
+        assert all(sorted(o) == list(range(n)) for o in orders) and (n < 1000 or orders[0] != orders[1] != list(range(n)))
+    blocks = [40, 0, 3, 100, 7, 1, 9]
+    table = spark.createDataFrame(list(enumerate(blocks)), "source_no long, n_blocks long")
+    for chunk in (3, 1024):
+        ends = {r["source_no"]: r["ends"] for r in shard_quotas(table, 8, chunk=chunk).collect()}
+        assert [ends[i][-1] for i in range(7)] == blocks and all(e == sorted(e) and len(e) == 8 for e in ends.values())
+        totals = [sum(e[j] - (e[j - 1] if j else 0) for e in ends.values()) for j in range(8)]
+        assert max(totals) - min(totals) <= 3
+        assert len({e[0] for e in ends.values()}) > 2
+
+
+def test_words_taken_are_what_the_shards_draw(docs):
+    from skewline.llm.mixing import mix, taken
+
+    by_shards = []
+    for shards in (1, 4):
+        mixed = mix(docs, shards=shards, block_words=64)
+        rows = mixed.collect()
+        assert sorted(str((r["doc_id"], sum(x["length"] for x in r["slices"] or []))) for r in rows) == sorted(str((r["doc_id"], r["taken"])) for r in taken(mixed).collect())
+        by_shards.append(sorted(str((r["doc_id"], r["source"], sum(x["length"] for x in r["slices"] or []))) for r in rows))
+    assert by_shards[0] != by_shards[1]  # another number of shards draws other blocks of the last pass
+
+
 def test_hypergeometric_draws(spark):
     from skewline.llm.mixing import hypergeometric, uniform
 
