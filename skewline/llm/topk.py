@@ -13,7 +13,8 @@ distributed pass over the candidates.
 Defined results: a vector that is null or holds a null, NaN or infinite component takes no part; a null id takes no part;
 vectors are compared with those of equal length only; a row is no candidate for queries of its own id, so repeated rows
 don't find themselves, and repeated query rows are one query; an empty table gives an empty table; other columns are not
-looked at. Scores are exact while products sum to less than 2^63.
+looked at. A component beyond a long after scaling is the nearest long; scores are exact, and those beyond 2^63 - 2 either
+way are that number.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 5
@@ -34,11 +35,16 @@ LEAF = 64
 QUERY_BLOCK = 8192
 
 
+def _floor(x: Column) -> Column:
+    whole = F.floor(F.greatest(F.lit(-(2.0**62)), F.least(F.lit(2.0**62), x)))
+    return F.when(x >= 2.0**63, F.lit(2**63 - 1)).when(x <= -(2.0**63), F.lit(-(2**63))).when(F.abs(x) > 2.0**62, x.cast("long")).otherwise(whole)
+
+
 def whole_numbers(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(vec_id long, v array<long> of floor(scale * x)) of the rows that take part."""
     bad = F.exists(vector_column, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     kept = vectors.filter(F.col(vector_column).isNotNull() & F.col(id_column).isNotNull() & ~F.coalesce(bad, F.lit(True)))
-    return kept.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(vector_column, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return kept.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(vector_column, lambda x: _floor(x.cast("double") * scale)).alias("v"))
 
 
 class BallTree:
@@ -69,15 +75,18 @@ class BallTree:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of the rows of a and b."""
+    """Integer inner products of the rows of a and b; one beyond `MOST` either way is `MOST`."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T if most < 2**63 else (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    if most < 2**63:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.astype(object).T, -MOST, MOST).astype(np.int64)
 
 
-#: No score; its negative is a number too.
+#: No score, and the largest that is one; their negatives are numbers too.
 NONE = -(2**63 - 1)
+MOST = 2**63 - 2
 
 
 class Best:
@@ -100,6 +109,7 @@ def search(tree: BallTree, points: np.ndarray, ids: np.ndarray, query_ids: np.nd
     norm = np.sqrt((q * q).sum(axis=1))
     bound = q @ tree.center.T + norm[:, None] * tree.radius[None, :]
     bound += 1e-9 * norm[:, None] * (np.sqrt((tree.center**2).sum(axis=1)) + tree.radius)[None, :] + 1e-6
+    np.maximum(bound, float(NONE), out=bound)  # as scores are
     kth = lambda rows: np.maximum(best.score[rows, -1], floor[rows]).astype(float)
     heap, looked = [(-np.inf, 0, np.arange(len(q)))], 0  # a node number is pushed once, so arrays are never compared
     while heap:

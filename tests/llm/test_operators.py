@@ -428,6 +428,22 @@ def test_top_k(spark):
     assert top_k(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    from skewline.llm.topk import top_k, whole_numbers
+
+    data = [(0, [1e300, 1.0]), (1, [1.0, 1.0]), (2, [-1e300, 5.0]), (3, [3e15, 0.0]), (50, [-(2.0**54), 0.5])]
+    rows = whole_numbers(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    whole = {r["vec_id"]: r["v"] for r in rows.collect()}
+    assert whole == {i: [max(-(2**63), min(2**63 - 1, math.floor(256 * x))) for x in v] for i, v in data}
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in top_k(rows, rows.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    clip = lambda n: max(-(2**63 - 2), min(2**63 - 2, n))
+    want = []
+    for q in (0, 50):
+        best = sorted((-clip(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)
+        want += [(q, i, -s) for s, i in best[:5]]
+    assert got == want
+
+
 def test_top_k_of_a_repeated_query_row(spark):
     from skewline.llm.topk import top_k, whole_numbers
 
