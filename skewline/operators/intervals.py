@@ -64,8 +64,13 @@ def measures(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def window_measures(spans: DataFrame, windows: DataFrame, keys: list[str], window_key: str) -> DataFrame:
-    """`measures` within each window, windows without spans included, and the time that nothing covers."""
-    clipped = clip_join(spans, windows, keys, [window_key])
+    """`measures` within each window, windows without spans included, and the time that nothing covers.
+
+    Both sides are dealt by key and time, in buckets as wide as windows are on average, so a long run's windows don't all
+    meet its spans.
+    """
+    width = windows.filter("e > s").agg(F.avg(F.col("e") - F.col("s"))).first()[0]
+    clipped = bucketed_clip_join(spans, windows, keys, [window_key], float(width)) if width else clip_join(spans, windows, keys, [window_key])
     by = [*keys, window_key]
     found = windows.select(*by, (F.col("e") - F.col("s")).alias("window")).join(measures(clipped, by), by, "left")
     names = ("compute", "collective", "transfer", "overlap", "exposed", "busy")

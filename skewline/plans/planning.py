@@ -111,7 +111,7 @@ def balanced_plan(plan: DataFrame, world: int, batch: int) -> DataFrame:
 def fleet_plan(plan: DataFrame, models: list[dict], local_rounds: int = 12, beam_width: int = 64, keep_local: bool = True) -> DataFrame:
     """(step, rank, pos, id, length) scheduled for ranks of different speed and room; ranks keep their place.
 
-    A step without a feasible layout found is left out; `lost_samples` tells.
+    A step without a feasible layout found has no rows; `plan_statuses` names it.
     """
 
     def body(rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,6 +127,13 @@ def fleet_plan(plan: DataFrame, models: list[dict], local_rounds: int = 12, beam
     return _searched(plan, "step long, rank long, pos long, id long, length long", body)
 
 
+def plan_statuses(dealt: DataFrame, plan: DataFrame) -> DataFrame:
+    """(step, status) of every dealt step: "planned", or "infeasible" where no layout was found."""
+    planned = plan.select("step").distinct().withColumn("found", F.lit(True))
+    steps = dealt.select("step").distinct().join(planned, "step", "left")
+    return steps.select("step", F.when(F.col("found"), "planned").otherwise("infeasible").alias("status"))
+
+
 def exact_plan(plan: DataFrame, models: list[dict], node_budget: int = 100_000) -> DataFrame:
     """(step, status, nodes, makespan, lower_bound) of the exact search of each step."""
 

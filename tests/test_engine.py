@@ -521,6 +521,13 @@ def test_commands_refuse_bad_runs_and_pairs(spark, tmp_path):
         main(["summarize", run("torn", 5.0, bad={"step": 1, "warmup": False}), "--out", f"{tmp_path}/s"])
 
 
+def test_steps_without_a_layout_are_named(spark):
+    dealt = spark.createDataFrame([(s, r, 0, 2 * s + r, 4 if s else 400) for s in range(2) for r in range(2)], "step long, rank long, pos long, id long, length long")
+    models = [{"quadratic": 1.0, "linear": 1.0, "overhead": 1.0, "max_samples": 1, "max_padded_tokens": 100}] * 2
+    plan = planning.fleet_plan(dealt, models)
+    assert {r["step"]: r["status"] for r in planning.plan_statuses(dealt, plan).collect()} == {0: "infeasible", 1: "planned"}
+
+
 def test_costs_and_model_rules(spark):
     m = {"quadratic": 2.0, "linear": 3.0, "overhead": 5.0, "max_samples": 4, "max_padded_tokens": 12, "max_attention_cells": 40}
     row = spark.createDataFrame([tuple(m.values())], "quadratic double, linear double, overhead double, max_samples long, max_padded_tokens long, max_attention_cells long")
