@@ -872,3 +872,25 @@ def test_site_tree_by_force(spark):
     force = importance_by_force([(h, p) for (h, _), (_, p) in distinct.items()])
     want = {k: v for k, v in force.items() if v < (s.LISTED_BLOCK if k[2] else s.LISTED_BRANCH) - 1e-9}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 5
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stage_on_odd_documents(spark, docs, rows, empty, stage):
+    """Nulls in every column, empty and long texts, repeated rows, columns of clashing names, and an empty table."""
+    import corpus_pipeline
+
+    _, run = corpus_pipeline.STAGES[stage]
+    odd = docs.unionByName(spark.createDataFrame([(None, None, None, None, None)] * 2, SCHEMA))
+    for c in ("row", "kept", "score", "size", "slices", "f", "h", "part", "grade", "low", "bucket"):
+        odd = odd.withColumn(c, F.lit("x"))
+    got = run(spark, odd, "/root/testdata/sf0.001")
+    if stage == 4:
+        by = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+        assert all(r["n"] == r["end"] <= 2048 for r in by) and got.filter("piece = 0").count() == len(rows) + 2
+    else:
+        assert got.columns == odd.columns
+        had = Counter((r["doc_id"], r["text"]) for r in odd.collect())
+        for r in got.collect():
+            assert stage == 3 or had[r["doc_id"], r["text"]] > 0
+            assert r["row"] == "x"
+    assert run(spark, empty, "/root/testdata/sf0.001").count() == 0
