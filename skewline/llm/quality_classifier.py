@@ -109,6 +109,13 @@ class Ordinal:
     weights: np.ndarray
     cuts: np.ndarray
 
+    def known(self) -> dict[int, float]:
+        """The weights that aren't zero, which are few, by slot."""
+        if "_known" not in self.__dict__:
+            at = np.flatnonzero(self.weights)
+            self._known = dict(zip(at.tolist(), self.weights[at].tolist(), strict=True))
+        return self._known
+
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... by row."""
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -60, 60)))
@@ -194,13 +201,13 @@ def score_text(text: bytes, model: Ordinal, shares: dict[bytes, float], presence
     words = text.split()
     if not words:
         return 0.0
-    weights, distinct = model.weights, set(words)
+    weight, distinct = model.known().get, set(words)
     for w in distinct.difference(shares):
         share, presence = word_slots(w)
-        shares[w], presences[w] = float(weights[share].sum()), float(weights[presence].sum()) if presence else 0.0
+        shares[w], presences[w] = sum([weight(i, 0.0) for i in share]), sum([weight(i, 0.0) for i in presence])
     same = sum(map(bytes.__eq__, words, words[1:]))
     # fsum: a document's score doesn't hang on the order of a set
-    return (math.fsum(map(shares.__getitem__, words)) + same * float(weights[_REPEAT])) * (SCALE / len(words)) + math.fsum(map(presences.__getitem__, distinct))
+    return (math.fsum(map(shares.__getitem__, words)) + same * weight(_REPEAT, 0.0)) * (SCALE / len(words)) + math.fsum(map(presences.__getitem__, distinct))
 
 
 def graded(docs: DataFrame, model: Ordinal, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
