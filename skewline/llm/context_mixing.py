@@ -54,9 +54,9 @@ from .common import dropped, written
 END = b"\n"
 TOP_WORDS = 200_000
 MIN_COUNT = 3
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 250_000
 #: A block's text, about, and its texts at most; tokens of a passage at most.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK_TEXTS = 1 << 14
 PASSAGE = 1 << 16
 UNIT = 1 << 13
