@@ -181,7 +181,7 @@ fields AS (SELECT r, g, doc_id, n, tampered, [doc_id::VARCHAR, source, lang, n::
 told AS (SELECT r, g, doc_id, tampered, sha256(array_to_string(list_transform(f, lambda x: CASE WHEN x IS NULL THEN '-' ELSE octet_length(encode(x)) || ':' || x END), '')) AS d FROM fields),
 crc AS (SELECT r, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c) & 15, ord(c) >> 4]))),
   lambda c, x: xor(c >> 4, {CRC_NIBBLES}[(xor(c, x) & 15) + 1]))) AS h FROM rows),
-leaves AS (SELECT a.r, a.g, a.doc_id, a.d, CASE WHEN h % 7 = 0 THEN b.d ELSE a.d END AS d2, row_number() OVER (PARTITION BY a.g ORDER BY a.doc_id NULLS FIRST, a.d) - 1 AS i, count(*) OVER (PARTITION BY a.g) AS m
+leaves AS (SELECT a.r, a.g, a.doc_id, a.d, CASE WHEN a.doc_id IS NOT NULL AND h % 7 = 0 THEN b.d ELSE a.d END AS d2, row_number() OVER (PARTITION BY a.g ORDER BY a.doc_id NULLS FIRST, a.d) - 1 AS i, count(*) OVER (PARTITION BY a.g) AS m
   FROM told a JOIN told b USING (r) JOIN crc USING (r) WHERE NOT a.tampered AND b.tampered),
 up AS (SELECT g, 0 AS level, i, m, d FROM leaves UNION ALL SELECT g, level + 1, i // 2, (m + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM up WHERE m > 1 GROUP BY g, level, i // 2, m),
 sub AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM up WHERE m = 1),
