@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,25 +37,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_dir, text_or_empty, written
-from .tokenization import vocabulary_path
+from .tokenization import gather, spread, vocabulary_path
 
 MAGIC = b"SKWMAT01"
 BLOCK_BITS = 1 << 16
 SHARD_TOKENS = 1 << 23
 SHARD_BYTES = 1 << 25
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 END_ID = 2
 
-#: ASCII white space and what follows it up to the next; a byte-level pre-tokenizer always cuts there, unless the part before ends
-#: with other white space.
-_PART = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-CACHE_PARTS = 300_000
-CACHE_PART_CHARS = 48
+#: A part of a text is ASCII white space and what follows it up to the next; a byte-level pre-tokenizer cuts there, unless the
+#: part before ends with other white space. Bytes of ASCII white space by number.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PLAIN = r"^ ?[^\x20\x09-\x0D]+$"
+_OTHER_SPACE = r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+PARTS_A_LINE = 512
+#: Runs that the pre-tokenizer keeps together, of letters up to U+017E, digits and ASCII marks without the apostrophe.
+_RUN = r"( ?[A-Za-zÀ-ÖØ-öø-ž]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n)"
+_OF_RUNS = r"^ ?[A-Za-zÀ-ÖØ-öø-ž0-9!-&(-/:-@\[-`{-~]+$"
+_CUT = "\x01"
+#: Parts remembered by one Python worker, some 200 bytes each.
+CACHE_PARTS = 1_000_000
 
 
 class ByteEncoder:
-    """Texts as packed ids, by the tokenizers library; a part of text that came before is looked up."""
+    """Texts as ids, by the tokenizers library. Texts are cut into parts, and each distinct part is encoded once: many at a
+    time, with line ends between, whose id tells them apart; a bounded number is remembered. Texts with white space that isn't ASCII are encoded whole."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,32 +75,110 @@ class ByteEncoder:
         top = max(self.library.get_vocab(with_added_tokens=True).values())
         self.bits = max(1, top.bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
-        self.parts: dict[str, bytes | None] = {}
-        pre = json.loads(self.library.to_str())
-        self.by_part = pre["normalizer"] is None and (pre["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not pre["pre_tokenizer"]["add_prefix_space"] and pre["pre_tokenizer"]["use_regex"]
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for lo in range(0, len(texts), 8192) for e in self.library.encode_batch_fast(texts[lo : lo + 8192], add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_part:
-            return self._whole(texts)
+        told = json.loads(self.library.to_str())
+        pre = told["pre_tokenizer"] or {}
+        self.parts: dict[str, bytes] = {}
+        self.special = [t["content"] for t in told["added_tokens"]]
+        line = self._whole(["\n", "a", " bc", "(d", "a\n bc\n(d\n"])
+        self.line = int(line[0][0])
+        by_line = len(line[0]) == 1 and line[4].tolist() == [i for x in line[1:4] for i in (*x, self.line)]
+        self.bare = self._bare()
+        self.by_part = by_line and told["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for lo in range(0, len(texts), 8192) for e in self.library.encode_batch_fast(texts[lo : lo + 8192], add_special_tokens=False)]
+
+    def _of_parts(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts, end to end, and each part's number of ids."""
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        cut = [_PART.findall(t) for t in texts]
-        missing = list({p for parts in cut for p in parts}.difference(self.parts))
-        ids = self._whole(missing)
-        new = {p: None if _OTHER_SPACE.search(p) else x for p, x in zip(missing, ids, strict=True)}
-        self.parts.update((p, x) for p, x in new.items() if len(p) <= CACHE_PART_CHARS)
-        known = self.parts.__getitem__ if all(len(p) <= CACHE_PART_CHARS for p in new) else lambda p: new[p] if p in new else self.parts[p]
-        out: list[bytes | None] = []
-        for parts in cut:
-            got = list(map(known, parts))
-            out.append(None if None in got else b"".join(got))
-        odd = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = x
-        return out
+        names, size = parts.to_pylist(), self.kind.itemsize
+        new = [i for i, x in enumerate(map(self.parts.get, names)) if x is None]
+        ids, n = self._of_new(parts.take(pa.array(new, pa.int64())))
+        raw, ends = ids.tobytes(), (np.cumsum(n) * size).tolist()
+        self.parts.update((names[i], raw[lo:hi]) for i, lo, hi in zip(new, [0, *ends], ends, strict=False))
+        got = list(map(self.parts.__getitem__, names))
+        return np.frombuffer(b"".join(got), self.kind), np.fromiter(map(len, got), np.int64, len(got)) // size
+
+    def _bare(self) -> tuple[object, dict[int, str]] | None:
+        """The library with the same merges for runs that are cut and written in its own signs for bytes, and those signs; None
+        if that gives other ids on a probe."""
+        import tokenizers
+
+        signs = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        table = {ord(c): signs.pre_tokenize_str(c)[0][0] for c in [" ", "\n", *map(chr, range(0xC0, 0x17F))]} | {ord(_CUT): " "}
+        bare = tokenizers.Tokenizer.from_str(self.library.to_str())
+        bare.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+        probe = "\n".join(["The", " quick", " zurück,%%%", " 12ab", "éÀñß", " ł", " Ġ", " Ċ", " (x)[3]{y}~`_", "Internationalization", " 0.5%", " #1!?", " xqzjk,éé--1234567", "a"])
+        text = pc.replace_substring_regex(pa.scalar(probe), _RUN, r"\1" + _CUT).as_py().translate(table)
+        same = bare.encode(text, add_special_tokens=False).ids == self._whole([probe])[0].tolist()
+        return (bare, table) if same else None
+
+    def _lines(self, parts: pa.StringArray, of_runs: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts without line ends, from calls for many at once."""
+        cuts = np.append(np.arange(0, len(parts), PARTS_A_LINE), len(parts)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), parts), "\n")
+        if of_runs and self.bare:
+            bare, table = self.bare
+            texts = [x.translate(table) for x in pc.replace_substring_regex(lines, _RUN, r"\1" + _CUT).to_pylist()]
+            got = [e.ids for e in bare.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            got = self._whole(lines.to_pylist())
+        flat = np.concatenate([np.append(x, self.line).astype(self.kind) for x in got]) if got else np.zeros(0, self.kind)
+        ends = np.flatnonzero(flat == self.line)
+        if len(ends) != len(parts):
+            raise ValueError("the vocabulary takes line ends into other ids")
+        return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
+
+    def _of_new(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts that aren't remembered."""
+        plain = pc.match_substring_regex(parts, _PLAIN)
+        for text in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(parts, text)))
+        runs = pc.and_(plain, pc.match_substring_regex(parts, _OF_RUNS)) if self.bare else pa.array([False] * len(parts))
+        hard = self._whole(parts.filter(pc.invert(plain)).to_pylist())
+        kinds = [
+            (runs, *self._lines(parts.filter(runs), True)),
+            (pc.and_not(plain, runs), *self._lines(parts.filter(pc.and_not(plain, runs)), False)),
+            (pc.invert(plain), np.concatenate([np.zeros(0, self.kind), *hard]), np.array([len(x) for x in hard], np.int64)),
+        ]
+        n = np.empty(len(parts), np.int64)
+        for which, _, lengths in kinds:
+            n[which.to_numpy(zero_copy_only=False)] = lengths
+        out, starts = np.empty(n.sum(), self.kind), np.cumsum(n) - n
+        for which, ids, lengths in kinds:
+            out[spread(starts[which.to_numpy(zero_copy_only=False)], lengths)] = ids
+        return out, n
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, end to end, and each text's number of ids."""
+        if not self.by_part:
+            whole = self._whole(texts.to_pylist())
+            return np.concatenate([np.zeros(0, self.kind), *whole]), np.array([len(x) for x in whole], np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        first, last = int(offsets[0]), int(offsets[-1])
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[first:last]
+        ends = offsets[1:] - first
+        sizes = np.diff(offsets)
+        space = _SPACE[data]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = space[1:] & ~space[:-1]
+        begins[(ends - sizes)[sizes > 0]] = True
+        at = np.flatnonzero(begins).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.append(at, np.int32(len(data)))), pa.py_buffer(data)])
+        coded = parts.dictionary_encode()
+        which = coded.indices.to_numpy()
+        upto = np.searchsorted(at, ends)
+        counts = np.diff(upto, prepend=0)
+        ids, n = gather(self._of_parts(coded.dictionary), which, counts)
+        odd = np.flatnonzero(pc.match_substring_regex(coded.dictionary, _OTHER_SPACE).to_numpy(zero_copy_only=False))
+        if len(odd):
+            rows = np.unique(np.searchsorted(upto, np.flatnonzero(np.isin(which, odd)), side="right"))
+            pieces = np.split(ids, np.cumsum(n)[:-1])
+            for i, x in zip(rows.tolist(), self._whole(texts.take(pa.array(rows)).to_pylist()), strict=True):
+                pieces[i], n[i] = x, len(x)
+            ids = np.concatenate(pieces)
+        return ids, n
 
 
 @lru_cache(maxsize=2)
@@ -107,9 +192,9 @@ def encode_file(ids: np.ndarray, documents: pa.Table, bits: int) -> bytes:
     squeeze = zstandard.ZstdCompressor(level=3)
     zeros, sizes, ones, blocks = [], [], [], []
     for level in range(bits):
-        plane = (ids >> (bits - 1 - level)) & 1 == 1
+        plane = (ids & ids.dtype.type(1 << (bits - 1 - level))).astype(bool)
         packed = np.packbits(plane, bitorder="little")
-        counts = np.add.reduceat(plane, np.arange(0, len(plane), BLOCK_BITS), dtype=np.int64) if len(plane) else np.zeros(0, np.int64)
+        counts = np.bitwise_count(np.pad(packed, (0, -len(packed) % (BLOCK_BITS // 8))).reshape(-1, BLOCK_BITS // 8)).sum(1, dtype=np.int64)
         raw = [packed[lo : lo + BLOCK_BITS // 8].tobytes() for lo in range(0, len(packed), BLOCK_BITS // 8)]
         small = [min(b, squeeze.compress(b), key=len) for b in raw]
         zeros.append(int(len(ids) - counts.sum()))
@@ -224,12 +309,12 @@ class WaveletFile:
 
     def ids(self) -> np.ndarray:
         """All ids in order: each plane, from the last, puts what follows it back into its own order."""
-        out = np.zeros(self.tokens, "<u4")
+        out = np.zeros(self.tokens, "<u2" if self.bits <= 16 else "<u4")
         for level in reversed(range(self.bits)):
             plane = np.concatenate([self._read(level, b) for b in range(self._per)]).astype(bool) if self._per else np.zeros(0, bool)
             back = np.empty_like(out)
-            back[~plane], back[plane] = out[: self.zeros[level]], out[self.zeros[level] :]
-            back |= plane.astype("<u4") << np.uint32(self.bits - 1 - level)
+            back[~plane] = out[: self.zeros[level]]
+            back[plane] = out[self.zeros[level] :] | out.dtype.type(1 << (self.bits - 1 - level))
             out = back
         return out
 
@@ -265,6 +350,7 @@ def write_tokens(
     end_id: int = END_ID,
     shard_tokens: int = SHARD_TOKENS,
     shard_bytes: int = SHARD_BYTES,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Encode all texts, each with `end_id` behind it, into files under `path`; the list of files (part, seq, path, n_docs, n_tokens).
 
@@ -282,38 +368,40 @@ def write_tokens(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_encoder(vocabulary)
-        part = TaskContext.get().partitionId()
-        end = np.array([end_id], encoder.kind).tobytes()
-        ids: list[bytes] = []
-        keys: list = []
-        kind = pa.int64()
-        held = seq = 0
+        part, seq, held = TaskContext.get().partitionId(), 0, 0
+        open_: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def close() -> pa.RecordBatch:
             nonlocal held, seq
-            n = [len(x) // encoder.kind.itemsize for x in ids]
-            table = pa.table({"id": pa.array(keys, kind), "n_tokens": pa.array(n, pa.int64())})
+            table = pa.table({"id": pa.chunked_array([x[0] for x in open_]), "n_tokens": pa.array(np.concatenate([x[1] for x in open_]))})
             name = f"{path}/tokens-{part:08d}-{seq:06d}.wm"
-            publish(name, encode_file(np.frombuffer(b"".join(ids), encoder.kind), table, encoder.bits))
-            row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": name, "n_docs": len(n), "n_tokens": sum(n)}], schema=_FILES)
-            ids.clear()
-            keys.clear()
+            publish(name, encode_file(np.concatenate([x[2] for x in open_]), table.combine_chunks(), encoder.bits))
+            row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": name, "n_docs": len(table), "n_tokens": held}], schema=_FILES)
+            open_.clear()
             held, seq = 0, seq + 1
             return row
 
         for batch in batches:
-            kind, names = batch.schema.field(0).type, batch.column(0).to_pylist()
-            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+            names, texts = batch.column(0), batch.column(1).cast(pa.string())
+            size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
             lo = 0
-            for hi in [*(np.flatnonzero(np.diff(size // BATCH_BYTES)) + 1).tolist(), len(batch)]:
-                for i, x in enumerate(encoder(batch.column(1).slice(lo, hi - lo).to_pylist()), lo):
-                    if held and held + len(x) // encoder.kind.itemsize + 1 > shard_tokens:
+            for hi in [*(np.flatnonzero(np.diff(size // batch_bytes)) + 1).tolist(), len(batch)]:
+                ids, n = encoder(texts.slice(lo, hi - lo))
+                ends = np.cumsum(n + 1)
+                ids = np.insert(ids, ends - np.arange(1, len(n) + 1), encoder.kind.type(end_id))
+                at = 0  # documents of the slice that are dealt
+                while at < len(n):
+                    before = int(ends[at - 1]) if at else 0
+                    to = max(int(np.searchsorted(ends, before + shard_tokens - held, side="right")), at + (not held))
+                    if to > at:
+                        # copies, so that the batch's texts don't stay
+                        open_.append((pa.array(names.slice(lo + at, to - at).to_pylist(), names.type), n[at:to] + 1, ids[before : ends[to - 1]].copy()))
+                        held += int(ends[to - 1]) - before
+                    if to < len(n):
                         yield close()
-                    ids.append(x + end)
-                    keys.append(names[i])
-                    held += len(ids[-1]) // encoder.kind.itemsize
+                    at = to
                 lo = hi
-        if ids:
+        if open_:
             yield close()
 
     return written(dealt.mapInArrow(write, "part bigint, seq bigint, path string, n_docs bigint, n_tokens bigint"))
@@ -340,7 +428,7 @@ def read_documents(files: DataFrame, id_kind: str = "bigint", id_column: str = "
                 shard = read_file(row["path"])
                 n = shard.documents["n_tokens"].to_numpy()
                 ends = np.cumsum(n)
-                raw = shard.ids().tobytes()
+                raw = shard.ids().astype("<u4").tobytes()
                 keys = shard.documents["id"].combine_chunks()
                 for lo in range(0, len(n), 2048):
                     some = slice(lo, lo + 2048)
