@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_dir, text_or_empty, written
-from .tokenization import gather, spread, vocabulary_path
+from .tokenization import spread, vocabulary_path
 
 MAGIC = b"SKWMAT01"
 BLOCK_BITS = 1 << 16
@@ -58,7 +58,25 @@ _RUN = r"( ?[A-Za-zÀ-ÖØ-öø-ž]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n)"
 _OF_RUNS = r"^ ?[A-Za-zÀ-ÖØ-öø-ž0-9!-&(-/:-@\[-`{-~]+$"
 _CUT = "\x01"
 #: Parts remembered by one Python worker, some 200 bytes each.
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 700_000
+
+
+def in_signs(lines: pa.StringArray, table: np.ndarray) -> list[str]:
+    """Lines cut into runs, each byte written as one character."""
+    cut = pc.replace_substring_regex(lines, _RUN, r"\1" + _CUT)
+    at = np.frombuffer(cut.buffers()[1], np.int32)[cut.offset : cut.offset + len(cut) + 1].tolist()
+    text = table[np.frombuffer(cut.buffers()[2] or b"", np.uint8)[: at[-1]]].tobytes().decode("utf-16-le")
+    return [text[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
+
+
+def laid_out(flat: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries which[0], which[1], ... of a pool, end to end, and the number of ids before each and in all; in 32-bit numbers."""
+    n = n.astype(np.int32)
+    lengths = n[which]
+    upto = np.concatenate((np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)))
+    at = np.repeat((np.cumsum(n, dtype=np.int32) - n)[which] - upto[:-1], lengths)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], upto
 
 
 class ByteEncoder:
@@ -77,7 +95,7 @@ class ByteEncoder:
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         told = json.loads(self.library.to_str())
         pre = told["pre_tokenizer"] or {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.special = [t["content"] for t in told["added_tokens"]]
         line = self._whole(["\n", "a", " bc", "(d", "a\n bc\n(d\n"])
         self.line = int(line[0][0])
@@ -92,26 +110,32 @@ class ByteEncoder:
         """Ids of distinct parts, end to end, and each part's number of ids."""
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        names, size = parts.to_pylist(), self.kind.itemsize
-        new = [i for i, x in enumerate(map(self.parts.get, names)) if x is None]
+        at = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1].tolist()
+        text, size = (parts.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), self.kind.itemsize
+        names = [text[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
+        got = list(map(self.parts.get, names))
+        new = [i for i, x in enumerate(got) if x is None]
         ids, n = self._of_new(parts.take(pa.array(new, pa.int64())))
-        raw, ends = ids.tobytes(), (np.cumsum(n) * size).tolist()
-        self.parts.update((names[i], raw[lo:hi]) for i, lo, hi in zip(new, [0, *ends], ends, strict=False))
-        got = list(map(self.parts.__getitem__, names))
+        raw, lo = ids.tobytes(), 0
+        for i, hi in zip(new, (np.cumsum(n) * size).tolist(), strict=True):
+            self.parts[names[i]] = got[i] = raw[lo:hi]
+            lo = hi
         return np.frombuffer(b"".join(got), self.kind), np.fromiter(map(len, got), np.int64, len(got)) // size
 
-    def _bare(self) -> tuple[object, dict[int, str]] | None:
-        """The library with the same merges for runs that are cut and written in its own signs for bytes, and those signs; None
-        if that gives other ids on a probe."""
+    def _bare(self) -> tuple[object, np.ndarray] | None:
+        """The library with the same merges for runs that are cut and written in its own signs for bytes, and the sign of each byte;
+        None if that gives other ids on a probe."""
         import tokenizers
 
         signs = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        table = {ord(c): signs.pre_tokenize_str(c)[0][0] for c in [" ", "\n", *map(chr, range(0xC0, 0x17F))]} | {ord(_CUT): " "}
+        table = np.arange(256, dtype="<u2")
+        for c in [" ", "\n", *map(chr, range(0xC0, 0x17F))]:
+            table[list(c.encode())] = [ord(x) for x in signs.pre_tokenize_str(c)[0][0]]
+        table[ord(_CUT)] = ord(" ")
         bare = tokenizers.Tokenizer.from_str(self.library.to_str())
         bare.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
         probe = "\n".join(["The", " quick", " zurück,%%%", " 12ab", "éÀñß", " ł", " Ġ", " Ċ", " (x)[3]{y}~`_", "Internationalization", " 0.5%", " #1!?", " xqzjk,éé--1234567", "a"])
-        text = pc.replace_substring_regex(pa.scalar(probe), _RUN, r"\1" + _CUT).as_py().translate(table)
-        same = bare.encode(text, add_special_tokens=False).ids == self._whole([probe])[0].tolist()
+        same = bare.encode(in_signs(pa.array([probe]), table)[0], add_special_tokens=False).ids == self._whole([probe])[0].tolist()
         return (bare, table) if same else None
 
     def _lines(self, parts: pa.StringArray, of_runs: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +144,7 @@ class ByteEncoder:
         lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), parts), "\n")
         if of_runs and self.bare:
             bare, table = self.bare
-            texts = [x.translate(table) for x in pc.replace_substring_regex(lines, _RUN, r"\1" + _CUT).to_pylist()]
-            got = [e.ids for e in bare.encode_batch_fast(texts, add_special_tokens=False)]
+            got = [e.ids for e in bare.encode_batch_fast(in_signs(lines, table), add_special_tokens=False)]
         else:
             got = self._whole(lines.to_pylist())
         flat = np.concatenate([np.append(x, self.line).astype(self.kind) for x in got]) if got else np.zeros(0, self.kind)
@@ -169,8 +192,8 @@ class ByteEncoder:
         coded = parts.dictionary_encode()
         which = coded.indices.to_numpy()
         upto = np.searchsorted(at, ends)
-        counts = np.diff(upto, prepend=0)
-        ids, n = gather(self._of_parts(coded.dictionary), which, counts)
+        ids, before = laid_out(*self._of_parts(coded.dictionary), which)
+        n = np.diff(before[upto], prepend=np.int32(0)).astype(np.int64)
         odd = np.flatnonzero(pc.match_substring_regex(coded.dictionary, _OTHER_SPACE).to_numpy(zero_copy_only=False))
         if len(odd):
             rows = np.unique(np.searchsorted(upto, np.flatnonzero(np.isin(which, odd)), side="right"))
