@@ -52,9 +52,9 @@ def aggregate(spark, a):
 
 
 def checked_run(spark, path):
-    """(rank rows, manifest) of a run's directory, refused unless it has the files and rows that its manifest tells."""
+    """(rank rows, manifest) of a run's directory, refused unless it has the files, journals, steps and rows that its manifest tells."""
     from .operators import metrics
-    from .sources import files
+    from .sources import files, rank_journal
 
     manifest = files.manifests(spark, f"{path}/{files.MANIFEST_FILE}").first()
     rows = files.rank_metrics(spark, f"{path}/{files.METRICS_FILE}")
@@ -62,9 +62,18 @@ def checked_run(spark, path):
     worlds = spark.createDataFrame([(r["run"], manifest["world_size"]) for r in ranks.select("run").distinct().collect()], "run string, world_size long")
     bad = files.rank_set_errors(ranks, worlds).first()
     require(bad is None, f"rank files don't match the world size: {bad}")
-    first = (manifest["start_step"] or 0) + int(manifest["config"].get("warmup") or 0)
-    bad = metrics.run_violations(rows, manifest["world_size"], first).first()
+    if manifest["telemetry"] is not None and manifest["telemetry"]["rank_progress"] is not None:
+        bad = rank_journal.journal_status(spark, path).filter("status <> 'complete'").first()
+        require(bad is None, f"the run's journals are bad: {bad}")
+        rows = rank_journal.committed_rows(spark, path).withColumn("run", F.lit(manifest["run"]))
+    first, warmup, steps = manifest["start_step"] or 0, int(manifest["config"].get("warmup") or 0), manifest["config"].get("steps")
+    bad = metrics.run_violations(rows, manifest["world_size"], warmup).first()
     require(bad is None, f"the run's rows are bad: {bad}")
+    last = int(steps) if steps is not None else (rows.agg(F.max("step")).first()[0] or 0) + 1
+    runs = rows.select("run").limit(1).select("run", *[F.lit(n).cast("long").alias(k) for k, n in (("start_step", first), ("steps", last), ("warmup", warmup))])
+    require(not runs.isEmpty(), "the run has no rows")
+    bad = metrics.completeness_violations(rows, runs).first()
+    require(bad is None, f"the run's steps are bad: {bad}")
     return rows, manifest
 
 
@@ -108,13 +117,16 @@ def corpus(spark, a):
 
 
 def inspect(spark, a):
-    from .operators.journals import committed, frontiers
-    from .sources.files import journals
+    """What of a run is durable, complete or not: each journal checked against its marker, and those of a complete run against its manifest."""
+    from .operators.journals import run_status
+    from .sources import files
+    from .sources.rank_journal import journal_status
 
-    rows = committed(journals(spark, a.input))
-    world = json.loads((Path(a.input) / "manifest.json").read_text())["world_size"] if (Path(a.input) / "manifest.json").exists() else rows.count()
-    worlds = rows.select("run", F.lit(world).alias("world_size")).distinct()
-    return _rows(frontiers(rows, worlds))
+    ranks = journal_status(spark, a.input).cache()
+    told = next((p for p in (Path(a.input, files.MANIFEST_FILE), Path(a.input, files.ATTEMPT_FILE)) if p.exists()), None)
+    world = json.loads(told.read_text())["world_size"] if told else ranks.count()
+    run = run_status(ranks, ranks.select("run", F.lit(world).cast("long").alias("world_size")).distinct())
+    return {**_rows(run)[0], "ranks": _rows(ranks.drop("run", "completed").orderBy("rank"))}
 
 
 def calibrate(spark, a):

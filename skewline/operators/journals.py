@@ -45,6 +45,19 @@ def frontiers(markers: DataFrame, worlds: DataFrame) -> DataFrame:
     return rows.select("run", "world_size", "ranks", F.when(whole, F.col("least")).alias("durable_through_step"), status.alias("status"))
 
 
+def run_status(status: DataFrame, worlds: DataFrame) -> DataFrame:
+    """(run, world_size, ranks, durable_through_step, status) of runs, from the status of their journals.
+
+    A journal that is invalid makes its run so, and so does one of a completed run that isn't complete; only a run with a
+    manifest is complete.
+    """
+    bad = (F.col("status") == "invalid") | (F.col("completed") & (F.col("status") != "complete"))
+    by_run = status.groupBy("run").agg(F.count("last_step").alias("ranks"), F.min("last_step").alias("least"), F.bool_or(bad).alias("bad"), F.bool_and("completed").alias("done"))
+    rows = worlds.join(by_run, "run", "left").withColumn("ranks", F.coalesce("ranks", F.lit(0)))
+    told = F.when(F.coalesce("bad", F.lit(False)), "invalid").when(F.coalesce("done", F.lit(False)), "complete").otherwise("partial")
+    return rows.select("run", "world_size", "ranks", F.when(F.col("ranks") == F.col("world_size"), F.col("least")).alias("durable_through_step"), told.alias("status"))
+
+
 def marker_mismatches(markers: DataFrame, manifests: DataFrame) -> DataFrame:
     """Ranks whose own marker and the manifest's disagree, either missing included."""
     fields = [c for c in markers.columns if c not in ("run", "rank")]

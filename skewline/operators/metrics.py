@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import ordered_hash, padding_fraction, tokens_per_second
 from ..guards import Rules, missing, not_finite, strict, violations
 from ..schemas import REQUIRED_METRICS
+from .selection import quantiles as selected_quantiles
 
 
 def row_rules(df: DataFrame) -> Rules:
@@ -93,6 +94,26 @@ def run_violations(df: DataFrame, world: int, first_measured: int) -> DataFrame:
     return of_row.unionByName(of_step).unionByName(gaps.select("run", "step", F.lit("steps are missing").alias("rule")))
 
 
+def completeness_violations(df: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, rule) of runs whose steps aren't what they were to be: `runs` has (run, start_step, steps, warmup), steps end before `steps`.
+
+    A run may lack rows altogether. Steps are folded before runs, so a long run meets in one row only as a few numbers.
+    """
+    steps = df.groupBy("run", "step").agg(F.max("global_tokens").alias("tokens"))
+    by_run = steps.groupBy("run").agg(F.min("step").alias("least"), F.max("step").alias("most"), F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("tokens") <= 0, F.lit(True))).alias("empty"))
+    told = runs.select("run", "start_step", "steps", "warmup").join(by_run, "run", "left")
+    least, most, first, last = F.col("least"), F.col("most"), F.col("start_step"), F.col("steps") - 1
+    seen = F.col("n").isNotNull()
+    rules = {
+        "no rows": ~seen,
+        "steps are missing": seen & ((least > first) | (most < last) | (F.col("n") < most - least + 1)),
+        "unexpected steps": seen & ((least < first) | (most > last)),
+        "no tokens": seen & (F.col("empty") > 0),
+        "no measured steps": seen & (most < F.col("warmup")),
+    }
+    return violations(told, rules).select("run", "rule")
+
+
 def step_items(df: DataFrame) -> DataFrame:
     """The summary's view of each measured step, with the spread of ranks and the imbalance of predicted costs."""
     rows = df.filter(~F.col("warmup"))
@@ -149,6 +170,11 @@ def run_quantiles_sorted(steps: DataFrame, q: float, value: str = "step_ms") ->
     return picked.groupBy("run").agg((lo + (hi - lo) * (F.first((F.col("n") - 1) * q) - F.floor(F.first((F.col("n") - 1) * q)))).alias("value"))
 
 
+def run_quantiles_selected(steps: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95), value: str = "step_ms") -> DataFrame:
+    """(run, q, value) by selection, for runs of any length: neither a sort nor a map of a whole run is in one task."""
+    return selected_quantiles(steps, "run", value, quantiles)
+
+
 def workload_hashes(steps: DataFrame) -> DataFrame:
     """SHA-256 over `step:tokens` lines in step order: runs of the same work have the same hash."""
     line = F.concat(F.col("step").cast("string"), F.lit(":"), F.col("tokens").cast("string"), F.lit("\n"))

@@ -15,7 +15,7 @@ from .functions.expressions import rms_norm, uniform_draw
 from .guards import violation_counts, violations
 from .operators import calibration, checkpoints, compare, corpus, intervals, journals, metrics, profiler
 from .plans import campaign, planning
-from .sources import generators
+from .sources import generators, rank_journal, scratch
 
 RANKS = 7
 #: The two ranks of the declared fleet (fixed values).
@@ -231,6 +231,78 @@ def run_quantiles_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.run_quantiles_sorted(metrics.step_items(rank_metrics(spark, sf_dir)), 0.95))
 
 
+@query(SQL_STEPS + ", q AS (SELECT unnest([0.05, 0.5, 0.95]::DOUBLE[]) AS q) SELECT run, q, round(CASE q WHEN 0.05 THEN quantile_cont(step_ms, 0.05) WHEN 0.5 THEN quantile_cont(step_ms, 0.5) ELSE quantile_cont(step_ms, 0.95) END, 6) AS value FROM steps, q GROUP BY run, q")
+def run_quantiles_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.run_quantiles_selected(metrics.step_items(rank_metrics(spark, sf_dir)), (0.05, 0.5, 0.95)))
+
+
+def journal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank metrics as runs of at most 2,048 orders whose ranks count their steps from 0 without gaps."""
+    rows = rank_metrics(spark, sf_dir).withColumn("run", F.concat(F.lit("run"), F.expr("step div 2048")))
+    return rows.withColumn("step", (F.row_number().over(Window.partitionBy("run", "rank").orderBy("step")) - 1).cast("long"))
+
+
+SQL_JOURNALS = SQL_METRICS + """,
+j AS (SELECT 'run' || (step // 2048) AS run, rank, row_number() OVER (PARTITION BY step // 2048, rank ORDER BY step) - 1 AS step, warmup, local_tokens, global_tokens, padded_tokens, step_ms, loss_sum FROM m)"""
+
+
+def written_journals(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of journals of all runs, written in two batches by the journal sink."""
+    path, rows = scratch.new_folder(spark, "journals"), scratch.stored(journal_metrics(spark, sf_dir))
+    rank_journal.write_rows(rows.filter("step < 100"), path)
+    rank_journal.write_rows(rows.filter("step >= 100"), path)
+    return path.removeprefix("file:")
+
+
+RUN_NAME = "regexp_extract(run, '([^/]*)$', 1)"
+
+
+@query(f"WITH {SQL_JOURNALS} SELECT run, rank, step, warmup, local_tokens, global_tokens, padded_tokens, step_ms, loss_sum FROM j")
+def journal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written to journals and read back from their committed prefixes."""
+    rows = rank_journal.committed_rows(spark, f"{written_journals(spark, sf_dir)}/*")
+    return rows.select(F.expr(RUN_NAME).alias("run"), "rank", "step", "warmup", "local_tokens", "global_tokens", "padded_tokens", "step_ms", "loss_sum")
+
+
+@query(f"WITH {SQL_JOURNALS}, k AS (SELECT run, rank, max(step) AS last FROM j GROUP BY ALL) SELECT run, 7::BIGINT AS world_size, count(*) AS ranks, CASE WHEN count(*) = 7 THEN min(last) END AS durable_through_step, 'partial' AS status FROM k GROUP BY run")
+def journal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each run is durable, told by its journals."""
+    told = rank_journal.journal_status(spark, f"{written_journals(spark, sf_dir)}/*").withColumn("run", F.expr(RUN_NAME))
+    return journals.run_status(told, told.select("run", F.lit(RANKS).cast("long").alias("world_size")).distinct())
+
+
+@query(f"WITH {SQL_JOURNALS} SELECT run, step, count(*) AS rank_rows, round(max(step_ms), 6) AS step_ms, sum(local_tokens)::BIGINT AS tokens, sum(padded_tokens)::BIGINT AS padded_tokens FROM j WHERE NOT warmup GROUP BY run, step")
+def journal_stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals read as a stream, and its running aggregates as they stand when all is read."""
+    from .streaming.metrics import stream_step_aggregates as aggregate
+
+    steps = aggregate(rank_journal.stream_rows(spark, f"{written_journals(spark, sf_dir)}/*"))
+    out = scratch.new_folder(spark, "steps")
+    write = steps.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    write.option("checkpointLocation", scratch.new_folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(out).select(F.expr(RUN_NAME).alias("run"), "step", "rank_rows", "step_ms", "tokens", "padded_tokens"))
+
+
+SQL_FAULTY_RUNS = f"""WITH {SQL_JOURNALS}, n AS (SELECT run, max(step) + 1 AS steps, CAST(substr(run, 4) AS BIGINT) % 6 AS k FROM j GROUP BY run),
+runs AS (SELECT run, k, CASE k WHEN 4 THEN steps - 1 ELSE steps END AS steps, CASE k WHEN 5 THEN steps ELSE 4 END AS warmup FROM n),
+f AS (SELECT j.run, step, max(CASE WHEN k = 3 AND step = 7 THEN 0 ELSE global_tokens END) AS tokens FROM j JOIN runs USING (run) WHERE (k <> 0 OR step >= 2) AND (k <> 1 OR step < runs.steps - 4) AND (k <> 2 OR step <> 5) GROUP BY ALL),
+b AS (SELECT run, min(step) AS lo, max(step) AS hi, count(*) AS n, count(*) FILTER (tokens <= 0) AS z FROM f GROUP BY run)"""
+
+
+@query(SQL_FAULTY_RUNS + """ SELECT run, 'steps are missing' AS rule FROM b JOIN runs USING (run) WHERE lo > 0 OR hi < steps - 1 OR n < hi - lo + 1
+UNION ALL SELECT run, 'unexpected steps' FROM b JOIN runs USING (run) WHERE hi > steps - 1 UNION ALL SELECT run, 'no tokens' FROM b WHERE z > 0 UNION ALL SELECT run, 'no measured steps' FROM b JOIN runs USING (run) WHERE hi < warmup""")
+def run_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that lost their first steps, their last, one between, or the tokens of one; that go on too long; that are all warm-up."""
+    rows = scratch.stored(journal_metrics(spark, sf_dir))
+    k = F.substring("run", 4, 20).cast("long") % 6
+    runs = scratch.stored(rows.groupBy("run").agg((F.max("step") + 1).alias("n")))
+    runs = runs.select("run", F.lit(0).cast("long").alias("start_step"), F.when(k == 4, F.col("n") - 1).otherwise(F.col("n")).alias("steps"), F.when(k == 5, F.col("n")).otherwise(F.lit(4)).alias("warmup"))
+    lost = ((k == 0) & (F.col("step") < 2)) | ((k == 1) & (F.col("step") >= F.col("steps") - 4)) | ((k == 2) & (F.col("step") == 5))
+    left = rows.join(runs.select("run", "steps"), "run").filter(~lost)
+    left = left.withColumn("global_tokens", F.when((k == 3) & (F.col("step") == 7), F.lit(0).cast("long")).otherwise(F.col("global_tokens")))
+    return metrics.completeness_violations(left, runs)
+
+
 @query(SQL_STEPS + " SELECT run, sha256(string_agg(step || ':' || tokens || chr(10), '' ORDER BY step)) AS workload_sha256 FROM steps GROUP BY run")
 def workload_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.workload_hashes(metrics.step_items(rank_metrics(spark, sf_dir)))

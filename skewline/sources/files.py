@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..guards import require
 from ..schemas import CHECKPOINT, MANIFEST, PROGRESS, RANK_METRICS, TRACE_EVENT
 
 #: File names of a run's directory (fixed values).
-METRICS_FILE, MANIFEST_FILE, MARKER_FILE = "metrics-rank*.jsonl", "manifest.json", "metrics-rank*.progress.json"
+METRICS_FILE, MARKER_FILE, FAILURE_FILE = "metrics-rank*.jsonl", "progress-rank*.json", "failure-rank*.json"
+MANIFEST_FILE, ATTEMPT_FILE = "manifest.json", "attempt.json"
 
 
 def _run(path: str) -> Column:
@@ -68,8 +69,11 @@ def documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     require(bool(paths), "no documents given")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").load(paths)
     rows = files.select("path", "content").dropDuplicates(["path"])
-    listed = rows.select("path").orderBy("path")
-    numbered = listed.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF("path string, doc long")
+    listed = rows.select("path").repartitionByRange("path").sortWithinPartitions("path").withColumn("_at", F.monotonically_increasing_id())
+    listed = listed.withColumn("_part", F.shiftright("_at", 33))
+    parts = listed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.shiftleft("_part", 33)).alias("_base"))
+    numbered = listed.join(parts, "_part").select("path", (F.col("_at") + F.col("_base")).alias("doc"))
     return rows.join(numbered, "path").select("doc", "path", "content")
 
 

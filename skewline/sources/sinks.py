@@ -39,6 +39,11 @@ def published(path: str | Path) -> Iterator[BinaryIO]:
             out.flush()
             os.fsync(out.fileno())
         draft.rename(path)
+        folder = os.open(path.parent, os.O_RDONLY)
+        try:
+            os.fsync(folder)  # the name is durable too
+        finally:
+            os.close(folder)
     finally:
         draft.unlink(missing_ok=True)
 
@@ -79,44 +84,76 @@ def journal_lines(rows: Iterable[dict], rank: int, first_step: int) -> bytes:
     return b"".join(lines)
 
 
-def journal_marker(rank: int, start_step: int, content: bytes, flushes: int, complete: bool) -> dict:
-    """What a marker says of a journal's durable content (fixed names)."""
-    rows = content.count(b"\n")
-    return {
-        "schema_version": 1,
-        "rank": rank,
-        "start_step": start_step,
-        "last_step": start_step + rows - 1 if rows else None,
-        "rows": rows,
-        "bytes": len(content),
-        "sha256": hashlib.sha256(content).hexdigest(),
-        "flushes": flushes,
-        "complete": complete,
-    }
+#: What a marker says of a journal (fixed names); a sink may add more.
+MARKER_FIELDS = ("schema_version", "rank", "start_step", "last_step", "rows", "bytes", "sha256", "flushes", "complete")
 
 
-def append_journal(root: str | Path, rank: int, rows: Iterable[dict], start_step: int = 0, complete: bool = False) -> dict:
-    """Append a batch to a rank's journal and mark it durable; returns the marker.
+def marker_fields(marker: dict) -> dict:
+    return {k: marker.get(k) for k in MARKER_FIELDS}
+
+
+class Journal:
+    """A rank's journal, open for appending by one process: what is there is checked once, then only new bytes are hashed.
 
     The marker on disk is all the state there is: what lies behind it is cut off, a complete journal takes nothing more, and a
     journal without a marker must not exist yet.
     """
-    data, mark = (Path(root) / name.replace("*", str(rank)) for name in (METRICS_FILE, MARKER_FILE))
-    known = json.loads(mark.read_text()) if mark.exists() else None
-    require(known is not None or not data.exists(), "a journal without a marker is in the way")
-    require(known is None or (not known["complete"] and known["start_step"] == start_step), "the journal is complete, or starts at another step")
-    held = data.read_bytes()[: known["bytes"]] if known else b""
-    require(known is None or hashlib.sha256(held).hexdigest() == known["sha256"], "the journal isn't what its marker says")
-    content = held + journal_lines(rows, rank, start_step + held.count(b"\n"))
-    with data.open("r+b" if known else "xb") as out:
-        out.seek(len(held))
-        out.write(content[len(held) :])
-        out.truncate()
-        out.flush()
-        os.fsync(out.fileno())
-    marker = journal_marker(rank, start_step, content, (known["flushes"] if known else 0) + 1, complete)
-    write_json(mark, marker)
-    return marker
+
+    def __init__(self, root: str | Path, rank: int, start_step: int = 0):
+        self.rank, self.start_step = rank, start_step
+        self.data, self.mark = (Path(root) / name.replace("*", str(rank)) for name in (METRICS_FILE, MARKER_FILE))
+        known = json.loads(self.mark.read_text()) if self.mark.exists() else None
+        require(known is not None or not self.data.exists(), "a journal without a marker is in the way")
+        require(known is None or (not known["complete"] and known["start_step"] == start_step), "the journal is complete, or starts at another step")
+        self.rows, self.bytes, self.flushes = (known[k] if known else 0 for k in ("rows", "bytes", "flushes"))
+        self.digest = hashlib.sha256()
+        self.out: BinaryIO | None = None
+        self.closed = False
+        if known:
+            self.out, left = self.data.open("r+b"), self.bytes
+            while left and (block := self.out.read(min(left, 1 << 20))):
+                self.digest.update(block)
+                left -= len(block)
+            if left or self.digest.hexdigest() != known["sha256"]:
+                self.close()
+                raise ValueError("the journal isn't what its marker says")
+
+    def write(self, rows: Iterable[dict], complete: bool = False) -> dict:
+        """Append a batch and mark it durable; returns the marker. A batch with a bad row is refused whole."""
+        require(not self.closed, "the journal is closed")
+        rows = list(rows)
+        lines = journal_lines(rows, self.rank, self.start_step + self.rows)
+        self.out = self.out or self.data.open("xb")
+        self.out.seek(self.bytes)
+        self.out.write(lines)
+        self.out.truncate()
+        self.out.flush()
+        os.fsync(self.out.fileno())
+        self.digest.update(lines)
+        self.rows, self.bytes, self.flushes = self.rows + len(rows), self.bytes + len(lines), self.flushes + 1
+        marker = self.marker(complete)
+        write_json(self.mark, marker)
+        if complete:
+            self.close()
+        return marker
+
+    def marker(self, complete: bool = False) -> dict:
+        values = (1, self.rank, self.start_step, self.start_step + self.rows - 1, self.rows, self.bytes, self.digest.hexdigest(), self.flushes, complete)
+        return dict(zip(MARKER_FIELDS, values, strict=True))
+
+    def close(self) -> None:
+        self.closed = True
+        if self.out:
+            self.out.close()
+
+
+def append_journal(root: str | Path, rank: int, rows: Iterable[dict], start_step: int = 0, complete: bool = False) -> dict:
+    """Append one batch to a rank's journal and mark it durable; returns the marker. For many batches hold a `Journal` open."""
+    journal = Journal(root, rank, start_step)
+    try:
+        return journal.write(rows, complete)
+    finally:
+        journal.close()
 
 
 def failure_record(rank: int, error: BaseException) -> dict:

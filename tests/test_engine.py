@@ -279,8 +279,8 @@ def test_journal_prefix_and_frontier(spark, tmp_path):
     with pytest.raises(ValueError, match="in the way"):
         sinks.append_journal(tmp_path, 2, [])
     with pytest.raises(ValueError, match="isn't what its marker says"):
-        bad = json.loads((tmp_path / "metrics-rank0.progress.json").read_text())
-        (tmp_path / "metrics-rank0.progress.json").write_text(json.dumps({**bad, "complete": False}))
+        bad = json.loads((tmp_path / "progress-rank0.json").read_text())
+        (tmp_path / "progress-rank0.json").write_text(json.dumps({**bad, "complete": False}))
         sinks.append_journal(tmp_path, 0, [], 7)
 
 
