@@ -7,6 +7,7 @@ complete: then each marker must be the manifest's, say so, and leave no bytes be
     spark.read.format("rank_journal").option("path", "runs/*").load()              # committed rows, a task a journal
     spark.read.format("rank_journal_status").option("path", "runs/*").load()       # a row a journal, bad ones told
     spark.readStream.format("rank_journal").option("path", "runs/*").load()        # rows as markers come, each once
+    spark.readStream.format("rank_journal_progress").option("path", "runs/*").load()  # a row for each marker that moved
     rows.writeStream.format("rank_journal").option("checkpointLocation", c).start("runs")
 
 A journal is read in blocks and hashed on the way, so its size doesn't matter; its rows are the committed ones only if the read
@@ -269,6 +270,38 @@ def extend(root: str | Path, rank: int, rows: list[dict]) -> dict:
     return marker | {"resume": {"state": digest.state, "rows": n, "bytes": size}}
 
 
+class ProgressStream(RowStream):
+    """A row for each journal whose marker moved: what the marker says, and whether what it added can be read."""
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        out = {}
+        for j in run_journals(self.pattern):
+            if marker := known_marker(j.root, j.rank):
+                out[f"{j.rank} {j.root}"] = [marker["bytes"], marker["rows"], marker["start_step"], marker["complete"]]
+        return out
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        out = []
+        for key, (size, rows, first, complete) in end.items():
+            rank, root = key.split(" ", 1)
+            size_before, rows_before, first_before, _ = before = start.get(key, [0, 0, first, None])
+            if before != [size, rows, first, complete]:
+                same = first == first_before and size >= size_before and rows >= rows_before
+                out.append(Journal(root, int(rank), complete, start=size_before if same else size, end=size, first_step=first + rows_before, rows=rows - rows_before))
+        return out or [Journal()]
+
+    def read(self, partition: Journal) -> Iterator[tuple]:
+        if not partition.root:
+            return
+        error = None if partition.rows >= 0 else "the journal was replaced"
+        try:
+            for _ in partition.tables() if error is None else ():
+                pass
+        except (ValueError, OSError) as e:
+            error = str(e)
+        yield partition.root, partition.rank, partition.first_step + partition.rows - 1, error is None, partition.completed, error
+
+
 @dataclass
 class Written(WriterCommitMessage):
     markers: list[tuple[str, dict]] = field(default_factory=list)
@@ -334,6 +367,18 @@ class RankJournal(DataSource):
         return StreamWriter(self.options["path"])
 
 
+class RankJournalProgress(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "rank_journal_progress"
+
+    def schema(self) -> str:
+        return "run string, rank bigint, last_step bigint, intact boolean, complete boolean, error string"
+
+    def streamReader(self, schema) -> ProgressStream:  # noqa: N802
+        return ProgressStream(self.options["path"])
+
+
 class RankJournalStatus(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -349,6 +394,7 @@ class RankJournalStatus(DataSource):
 def registered(spark: SparkSession) -> SparkSession:
     spark.dataSource.register(RankJournal)
     spark.dataSource.register(RankJournalStatus)
+    spark.dataSource.register(RankJournalProgress)
     return spark
 
 
@@ -367,6 +413,11 @@ def stream_rows(spark: SparkSession, path: str) -> DataFrame:
     return registered(spark).readStream.format("rank_journal").option("path", path).load()
 
 
+def stream_progress(spark: SparkSession, path: str) -> DataFrame:
+    """(run, rank, last_step, intact, complete, error) of a journal each time its marker has moved."""
+    return registered(spark).readStream.format("rank_journal_progress").option("path", path).load()
+
+
 def by_rank(rows: DataFrame) -> DataFrame:
     """Rows dealt as the sink asks for."""
     return rows.repartition(*[c for c in ("run", "rank") if c in rows.columns])

@@ -57,6 +57,49 @@ def frontier(progress: DataFrame, world: int) -> DataFrame:
     return last.groupBy("run").agg(F.when(F.count(F.lit(1)) == world, F.min("last_step")).alias("durable_through_step"))
 
 
+class LiveStatus(StatefulProcessor):
+    """Per run: what each rank has reported so far, and the run's frontier and status whenever they change."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ranks = handle.getMapState("ranks", "rank long", "last_step long, intact boolean, complete boolean")
+        self.told = handle.getValueState("told", "ranks long, durable long, status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        world = 0
+        for frame in rows:
+            for rank, last, intact, complete, size in frame[["rank", "last_step", "intact", "complete", "world_size"]].itertuples(index=False):
+                known = self.ranks.getValue((int(rank),)) if self.ranks.containsKey((int(rank),)) else (int(last), True, False)
+                self.ranks.updateValue((int(rank),), (max(known[0], int(last)), known[1] and bool(intact), known[2] or bool(complete)))
+                world = int(size)
+        ranks = [tuple(v) for _, v in self.ranks.iterator()]
+        whole = len(ranks) == world
+        status = "invalid" if not all(r[1] for r in ranks) else "complete" if whole and all(r[2] for r in ranks) else "partial"
+        now = (len(ranks), min(r[0] for r in ranks) if whole else None, status)
+        if not self.told.exists() or tuple(self.told.get()) != now:
+            self.told.update(now)
+            yield pd.DataFrame({"run": [key[0]], "world_size": [world], "ranks": [now[0]], "durable_through_step": pd.array([now[1]], "Int64"), "status": [status]})
+
+    def close(self) -> None:
+        pass
+
+
+def live_status(progress: DataFrame, worlds: DataFrame) -> DataFrame:
+    """(run, world_size, ranks, durable_through_step, status) each time that one of them changes; needs the RocksDB state store.
+
+    `progress`: (run, rank, last_step, intact, complete) as ranks report, `worlds`: (run, world_size), a table. A rank that was
+    bad once makes its run invalid for good; a run is complete when all its ranks are, and partial before.
+    """
+    rows = progress.join(worlds.select("run", "world_size"), "run").select("run", "rank", "last_step", "intact", "complete", "world_size")
+    return rows.groupBy("run").transformWithStateInPandas(LiveStatus(), "run string, world_size long, ranks long, durable_through_step long, status string", "Append", "None")
+
+
+def admitted_status(rows: DataFrame, worlds: DataFrame) -> DataFrame:
+    """The same from a stream of rows, by two operators in a chain: rows are admitted in order, and a refused batch makes its run invalid."""
+    admitted = admit_in_order(rows)
+    progress = admitted.select("run", "rank", "last_step", (F.col("refused") == 0).alias("intact"), F.lit(False).alias("complete"))
+    return live_status(progress, worlds)
+
+
 def commit_batches(spark: SparkSession, rows: DataFrame, path: str, checkpoint: str):
     """Every trigger's rows as Parquet, then a marker row of what is safe: readers trust marked batches only."""
 

@@ -285,6 +285,53 @@ def test_growing_journals_feed_step_aggregates(spark, tmp_path):
     assert run() == {3: (2, 8)}
 
 
+def test_status_follows_the_markers(spark, tmp_path):
+    runs = {name: tmp_path / "runs" / name for name in ("a", "b")}
+    for path in runs.values():
+        path.mkdir(parents=True)
+    worlds = spark.createDataFrame([(str(p), 2) for p in runs.values()], "run string, world_size long")
+
+    def run():
+        found = {}
+        keep = lambda batch, _: found.update({r.run[-1]: (r.ranks, r.durable_through_step, r.status) for r in batch.collect()})
+        told = streaming.live_status(rank_journal.stream_progress(spark, f"{tmp_path}/runs/*"), worlds)
+        told.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        return found
+
+    put = lambda name, rank, steps, done=False: sinks.append_journal(runs[name], rank, [row(rank, s) for s in steps], 0, done)
+    put("a", 0, range(3))
+    put("b", 1, range(2))
+    assert run() == {"a": (1, None, "partial"), "b": (1, None, "partial")}
+    put("a", 1, range(2), True)
+    assert run() == {"a": (2, 1, "partial")}
+    put("a", 0, range(3, 5), True)
+    put("b", 0, range(4))
+    assert run() == {"a": (2, 1, "complete"), "b": (2, 1, "partial")}
+    put("b", 1, range(2, 3))
+    broken = (runs["b"] / "metrics-rank1.jsonl").read_bytes()[:-3] + b"???"
+    (runs["b"] / "metrics-rank1.jsonl").write_bytes(broken)
+    assert run()["b"][2] == "invalid"
+    put("b", 0, range(4, 5), True)
+    assert run() == {}  # invalid stays
+
+
+def test_chained_operators_tell_the_frontier(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    worlds = spark.createDataFrame([("r", 2)], "run string, world_size long")
+
+    def run(name, rows):
+        (tmp_path / "in" / f"{name}.json").write_bytes(lines(rows))
+        stream = spark.readStream.schema(RANK_METRICS).json(str(tmp_path / "in")).withColumn("run", F.lit("r"))
+        found = []
+        keep = lambda batch, _: found.extend((r.durable_through_step, r.status) for r in batch.collect())
+        streaming.admitted_status(stream, worlds).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        return found
+
+    assert run("1", [row(0, s) for s in range(3)]) == [(None, "partial")]
+    assert run("2", [row(1, 1), row(1, 0)]) == [(1, "partial")]
+    assert run("3", [row(1, 4)]) == [(1, "invalid")]
+
+
 # Selection and runs as the commands check them
 
 
