@@ -1,13 +1,15 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame functions only.
 
 Each source's documents are put in a random order fixed by a hash, and its words in that order are cut into blocks of
-`block_words`. The mix takes all blocks as often as `target` holds the whole source, and of one more pass the blocks that
-come first in a keyed permutation, the last of them cut so that the target is met to the word: those are the source's exact
-block quota. The quotas of all sources are split among output shards down a binary tree: at every node the blocks that go
-left are a multivariate hypergeometric draw from the node's quotas, so every shard gets its exact number of blocks and every
-source's blocks are all dealt. A shard draws its quota as a disjoint range of the source's permuted blocks, and is shuffled
-locally by `order_key`. What is taken of a document is what the shards drew of its blocks. All draws come from hashes of
-`seed` and the number of shards, so reruns agree.
+`block_words`. The mix takes all blocks as often as `target` holds the whole source, and some blocks of one more pass; how many is
+the source's exact block quota. The quotas of all sources, those of whole passes and of the last one apart, are split among output
+shards down a binary tree: at every node the blocks that go left are a multivariate hypergeometric draw from the node's quotas, so
+every shard gets its exact number of blocks and every quota is dealt. Then shards draw: the blocks of the last pass, in a keyed
+permutation, are cut into disjoint pools, one a shard, each of the shard's quota and an even part of the blocks that nobody takes,
+and a shard takes its quota from its pool. So the tree's quotas decide which blocks, and with them which words, the mix takes; other
+quotas take others. Of the last blocks drawn as many words are left out as are over the target, so it is met to the word. Blocks of
+whole passes go to shards as disjoint ranges of their permutation. A shard is shuffled locally by `order_key`. All draws come from
+hashes of `seed`, so reruns agree.
 
 Targets: sources by code point, null last, weigh 3, 1, 2, repeating; they share `share` times all words; no target passes
 `max_epochs` times its source's words, and the excess goes to the others by weight until none passes (water level).
@@ -16,7 +18,8 @@ Scale: texts are read once for their word counts; what is shuffled is a few numb
 `mixed_documents`, which reads texts again and shuffles them to where the slices are dealt. The running word offset of
 a document is found in two levels (buckets of about `BUCKET_DOCS` documents by hash, then within a bucket), so a hot source
 is spread over as many tasks as it has buckets. Permutations are worked out row by row. The sources of
-a node of the tree are drawn in chunks of `CHUNK`; the number of shards grows with the words. The table of sources is broadcast only up to `MAX_BROADCAST` rows.
+a node of the tree are drawn in chunks of `CHUNK`; the number of shards grows with the words. The table of sources is
+broadcast only up to `MAX_BROADCAST` rows, that of the shards' draws only up to `MAX_DRAWS` draws.
 
 Defined results: a null text has size 0, documents of size 0 are never taken; a null source is a source of its own; a null
 id stays null; repeated rows are mixed one by one; an empty table gives an empty table; other columns are not looked at.
@@ -44,6 +47,8 @@ BUCKET_DOCS = 256
 #: Words of a partition of the mixed documents: some 8 MB of text.
 PART_WORDS = 1_200_000
 MAX_BROADCAST = 20_000
+#: Draws (sources times shards) that are broadcast at most, 32 bytes each.
+MAX_DRAWS = 500_000
 #: Sources of a chunk; levels of the tree between two tables.
 CHUNK = 1024
 LEVELS = 1
@@ -154,23 +159,45 @@ def shards_for(n_words: int) -> int:
     return max(SHARDS, 1 << max(0, math.ceil(math.log2(max(1, n_words / SHARD_WORDS)))))
 
 
-def block_quotas(targets: DataFrame, shards: int, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """(source_no, pass_blocks, passes, rest_words, rest_blocks, n_blocks): blocks of a pass, whole passes, and what is taken of one more.
-
-    `rest_words` counts the source's last block as a full one where it is among the blocks taken.
+def block_quotas(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(source_no, pass_blocks, passes, missing, rest, whole_blocks, rest_blocks): blocks of a pass, whole passes, words that the
+    last block lacks, words to take in one more pass, and the quotas of blocks. The last quota holds enough words whether or
+    not the short block is among them.
     """
     size, take = F.col("source_size"), F.col("take")
     rows = targets.select("source_no", "source_size", "take", F.ceil(size / block_words).alias("pass_blocks"), F.when(size > 0, F.floor(take / size)).otherwise(F.lit(0)).cast("long").alias("passes"))
-    rest = take - F.col("passes") * size
-    missing = F.col("pass_blocks") * block_words - size
-    last = F.when(size > 0, permuted(F.col("pass_blocks") - 1, F.col("pass_blocks"), *block_key(shards, seed))).otherwise(F.lit(0)) * block_words
-    rows = rows.withColumn("rest_words", F.when(rest <= last + block_words - missing, rest).otherwise(rest + missing))
-    rows = rows.withColumn("rest_blocks", F.ceil(F.col("rest_words") / block_words))
-    return rows.select("source_no", "pass_blocks", "passes", "rest_words", "rest_blocks", (F.col("passes") * F.col("pass_blocks") + F.col("rest_blocks")).alias("n_blocks"))
+    rows = rows.withColumns({"missing": F.col("pass_blocks") * block_words - size, "rest": take - F.col("passes") * size})
+    rest_blocks = F.when(F.col("rest") > 0, F.ceil((F.col("rest") + F.col("missing")) / block_words)).otherwise(F.lit(0)).cast("long")
+    return rows.select("source_no", "pass_blocks", "passes", "missing", "rest", (F.col("passes") * F.col("pass_blocks")).alias("whole_blocks"), rest_blocks.alias("rest_blocks"))
+
+
+def shard_draws(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """`quotas` with whole_ends (array<long>, as `shard_quotas` gives them), pools (array of a struct a shard: where its pool of the
+    last pass starts, its blocks drawn before and its own) and last_rank, the place of the source's short block among those drawn."""
+    kinds = quotas.select(F.explode(F.array(*[F.struct((F.col("source_no") * 2 + k).alias("source_no"), F.col(c).alias("n_blocks")) for k, c in enumerate(("whole_blocks", "rest_blocks"))])).alias("q")).select("q.*")
+    ends = written(shard_quotas(kinds, shards, seed))
+    of_kind = lambda k, name: ends.filter(F.col("source_no") % 2 == k).select(F.floor(F.col("source_no") / 2).alias("source_no"), F.col("ends").alias(name))
+    rows = quotas.join(of_kind(0, "whole_ends"), "source_no").join(of_kind(1, "rest_ends"), "source_no")
+    spare, n = F.col("pass_blocks") - F.col("rest_blocks"), F.size("rest_ends")
+
+    def pool(end: Column, j: Column) -> Column:
+        first = F.when(j == 0, F.lit(0).cast("long")).otherwise(F.get("rest_ends", j - 1))
+        return F.struct((first + F.floor(spare * j / n)).alias("start"), first.alias("first"), (end - first).alias("n"))
+
+    rows = rows.withColumn("pools", F.transform("rest_ends", pool)).drop("rest_ends")
+    last = let(permuted(F.col("pass_blocks") - 1, F.col("pass_blocks"), *block_key(seed)), lambda p: drawn_at(p)["rank"])
+    return rows.withColumn("last_rank", F.when(F.col("rest_blocks") > 0, last))
 
 
-def block_key(shards: int, seed: int) -> list[Column]:
-    return [F.lit(seed), F.lit(shards), F.col("source_no")]
+def drawn_at(place: Column) -> Column:
+    """(shard, rank) of the pool that a place of the last pass is in: rank among all blocks drawn, null if the shard doesn't draw it."""
+    rank = lambda p: F.when(place - p["start"] < p["n"], p["first"] + place - p["start"])
+    of = lambda k: let(F.element_at("pools", k), lambda p: F.struct((k - 1).alias("shard"), rank(p).alias("rank")))
+    return let(F.size(F.filter("pools", lambda p: p["start"] <= place)), of)
+
+
+def block_key(seed: int) -> list[Column]:
+    return [F.lit(seed), F.col("source_no")]
 
 
 def _total(q: str | Column) -> Column:
@@ -263,29 +290,34 @@ def words_to_take(targets: DataFrame) -> int:
 def dealt_slices(rows: DataFrame, sizes: DataFrame, targets: DataFrame, max_epochs: int, shards: int, block_words: int, seed: int) -> DataFrame:
     """What `placed` gives, with `slices`: what the shards draw of a document's blocks."""
     n_sources = targets.count()
-    quotas = written(block_quotas(targets, shards, block_words, seed))
-    ends = written(shard_quotas(quotas, shards, seed).join(quotas, "source_no"))
-    rows = placed(rows, sizes, targets, n_sources).join(broadcast_if(ends, n_sources, MAX_BROADCAST), "source_no")
+    draws = written(shard_draws(written(block_quotas(targets, block_words)), shards, seed))
+    rows = placed(rows, sizes, targets, n_sources).join(broadcast_if(draws, n_sources * shards, MAX_DRAWS), "source_no")
     lo, hi = F.col("at"), F.col("at") + F.col("size")
     blocks = F.sequence(F.floor(lo / block_words), F.floor((hi - 1) / block_words))
 
     def drawn(epoch: int) -> Column:
         """Slices of one pass through the source."""
 
-        def slice_of(b: Column) -> Column:
-            def of_place(place: Column) -> Column:
-                whole = F.col("passes") > epoch
-                upto = F.when(whole, F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest_words") - place * block_words))
-                start, end = F.greatest(lo, b * block_words), F.least(hi, b * block_words + upto)
-                number = F.lit(epoch) * F.col("pass_blocks") + F.when(whole, b).otherwise(place)
-                shard = F.when(end > start, let(permuted(number, F.col("n_blocks"), F.lit("shard"), *block_key(shards, seed)), lambda p: F.size(F.filter("ends", lambda e: e <= p))))
-                block = F.lit(epoch) * F.col("pass_blocks") + b
-                return F.struct(F.lit(epoch).alias("epoch"), block.alias("block"), shard.alias("shard"), F.xxhash64(F.lit(seed), "source_no", block).alias("order_key"), (start - lo).alias("start"), (end - start).alias("length"))
+        def cut(b: Column, shard: Column, upto: Column | int) -> Column:
+            start, end = F.greatest(lo, b * block_words), F.least(hi, b * block_words + upto)
+            block = F.lit(epoch) * F.col("pass_blocks") + b
+            return F.struct(F.lit(epoch).alias("epoch"), block.alias("block"), shard.alias("shard"), F.xxhash64(F.lit(seed), "source_no", block).alias("order_key"), (start - lo).alias("start"), (end - start).alias("length"))
+
+        def of_whole(b: Column) -> Column:
+            number = permuted(F.lit(epoch) * F.col("pass_blocks") + b, F.col("whole_blocks"), F.lit("shard"), *block_key(seed))
+            return cut(b, let(number, lambda p: F.size(F.filter("whole_ends", lambda e: e <= p))), block_words)
+
+        def of_rest(b: Column) -> Column:
+            def told(d: Column) -> Column:
+                before = d["rank"] * block_words - F.when(F.col("last_rank") < d["rank"], F.col("missing")).otherwise(F.lit(0))
+                upto = F.when(d["rank"].isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(block_words), F.col("rest") - before)))
+                return cut(b, d["shard"], upto)
 
-            place = F.when(F.col("passes") > epoch, F.lit(0).cast("long")).otherwise(permuted(b, F.col("pass_blocks"), *block_key(shards, seed)))
-            return let(place, of_place)
+            return let(let(permuted(b, F.col("pass_blocks"), *block_key(seed)), drawn_at), told)
 
-        return F.when((F.col("size") > 0) & ((F.col("passes") > epoch) | ((F.col("passes") == epoch) & (F.col("rest_blocks") > 0))), F.filter(F.transform(blocks, slice_of), lambda s: s["length"] > 0))
+        some = lambda s: s["length"] > 0
+        whole, rest = F.col("passes") > epoch, (F.col("passes") == epoch) & (F.col("rest_blocks") > 0)
+        return F.when((F.col("size") > 0) & whole, F.transform(blocks, of_whole)).when((F.col("size") > 0) & rest, F.filter(F.transform(blocks, of_rest), some))
 
     slices = F.flatten(F.array_compact(F.array(*[drawn(e) for e in range(max_epochs)])))
     return rows.withColumn("slices", slices)

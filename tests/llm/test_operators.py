@@ -262,16 +262,38 @@ def test_permuted_and_quotas_in_chunks(spark):
         assert len({e[0] for e in ends.values()}) > 2
 
 
-def test_words_taken_are_what_the_shards_draw(docs):
-    from skewline.llm.mixing import mix, taken
+def test_words_taken_are_what_the_shards_draw(docs, monkeypatch):
+    """Other quotas of the shards, as valid, take other words; each source's total stays."""
+    from skewline.llm import mixing
 
-    by_shards = []
-    for shards in (1, 4):
-        mixed = mix(docs, shards=shards, block_words=64)
+    def run(shards=4, seed=mixing.SEED):
+        mixed = mixing.mix(docs, shards=shards, block_words=64, seed=seed)
         rows = mixed.collect()
-        assert sorted(str((r["doc_id"], sum(x["length"] for x in r["slices"] or []))) for r in rows) == sorted(str((r["doc_id"], r["taken"])) for r in taken(mixed).collect())
-        by_shards.append(sorted(str((r["doc_id"], r["source"], sum(x["length"] for x in r["slices"] or []))) for r in rows))
-    assert by_shards[0] != by_shards[1]  # another number of shards draws other blocks of the last pass
+        words = lambda r: sum(x["length"] for x in r["slices"] or [])
+        assert sorted(str((r["doc_id"], words(r))) for r in rows) == sorted(str((r["doc_id"], r["taken"])) for r in mixing.taken(mixed).collect())
+        totals = Counter()
+        for r in rows:
+            totals[r["source"]] += words(r)
+        return sorted(str((r["doc_id"], r["source"], words(r))) for r in rows), totals, {x["shard"] for r in rows for x in r["slices"] or []}
+
+    tree = mixing.shard_quotas
+    drawn, totals, used = run()
+    assert run()[0] == drawn and used == {0, 1, 2, 3}
+
+    def to_one(quotas, shards, seed, at=0):
+        return quotas.select("source_no", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.when(j >= at, F.col("n_blocks")).otherwise(F.lit(0).cast("long"))).alias("ends"))
+
+    firsts = set()
+    for at in (0, 2):
+        monkeypatch.setattr(mixing, "shard_quotas", lambda q, n, s, at=at: to_one(q, n, s, at))
+        other, same, used = run()
+        assert other != drawn and same == totals and used == {at}
+        firsts.add(str(other))
+    assert len(firsts) == 2  # the same blocks in the same order, and yet others are drawn
+    # Another seed for the tree alone.
+    monkeypatch.setattr(mixing, "shard_quotas", lambda q, n, s: tree(q, n, s + 1))
+    other, same, _ = run()
+    assert other != drawn and same == totals
 
 
 def test_hypergeometric_draws(spark):
