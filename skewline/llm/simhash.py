@@ -1,8 +1,8 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are compared in tiles with numpy exclusive-or and bit counts; within a bucket they are ordered by population
-count, and a pair of tiles whose population counts differ by more than the radius is skipped, since so many bits differ
-at least. Buckets make the comparison scale without losing a link: the 64 bits are cut into m parts, and two
+Fingerprints are compared in tiles with numpy exclusive-or and bit counts; within a pair of tiles they are ordered by population
+count, and blocks whose population counts differ by more than the radius are skipped, since so many bits differ at least; whole
+pairs of tiles are all dealt. Buckets make the comparison scale without losing a link: the 64 bits are cut into m parts, and two
 fingerprints within `radius` bits agree on at least m - radius parts whole, so comparing those that agree on some
 m - radius parts finds every link. m, and with it the number of buckets, follows the number of distinct fingerprints.
 
