@@ -77,6 +77,15 @@ def checked_run(spark, path):
     return rows, manifest
 
 
+def flushed_within(spark, path):
+    """Whether the run's ranks wrote before its end, told by its journals; None for a run without."""
+    from .operators.journals import provenance
+    from .sources.rank_journal import journal_status
+
+    told = provenance(journal_status(spark, path)).first()
+    return told and told["flushed_within"]
+
+
 def summarize(spark, a):
     from .operators.metrics import run_summary, step_items
 
@@ -91,7 +100,8 @@ def compare(spark, a):
 
     require(len(a.baseline) == len(a.candidate), "provide as many baseline as candidate runs")
     runs = {d: checked_run(spark, d)[0] for d in {*a.baseline, *a.candidate}}
-    return pair_report(paired_runs(spark, list(zip(a.baseline, a.candidate, strict=True)), runs), a.bootstrap)
+    within = {d: flushed_within(spark, d) for d in runs}
+    return pair_report(paired_runs(spark, list(zip(a.baseline, a.candidate, strict=True)), runs, within), a.bootstrap)
 
 
 def analyze(spark, a):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import statistics
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,17 @@ def protocol_rules() -> Rules:
     }
 
 
+def provenance_rules() -> Rules:
+    """Bad pairs by what their journals tell: `within_a`, `within_b`, null where a run has none, say that ranks wrote before their end.
+
+    Writing takes time from steps, so both runs of a pair must have done it or neither, and a manifest must own up to it.
+    """
+    return {
+        "one run wrote within": F.coalesce(F.col("within_a") != F.col("within_b"), F.lit(False)),
+        **{f"{side} is not instrumented as its journals tell": F.coalesce(F.col(f"within_{s}") & ~F.coalesce(F.col(s)["instrumented"], F.lit(False)), F.lit(False)) for side, s in (("baseline", "a"), ("candidate", "b"))},
+    }
+
+
 def _get(manifest, path):
     for name in path:
         manifest = manifest[name]
@@ -116,15 +128,15 @@ def changed_keys():
     return F.sort_array(F.filter(F.map_keys(a), lambda k: ~F.element_at(a, k).eqNullSafe(F.try_element_at(b, k))))
 
 
-def paired_runs(spark: SparkSession, pairs: list[tuple[str, str]], runs: dict[str, DataFrame]) -> DataFrame:
-    """(pair, baseline, candidate, a, b, hash_a, hash_b, ms_a, ms_b): manifests and summaries of both runs of each pair."""
+def paired_runs(spark: SparkSession, pairs: list[tuple[str, str]], runs: dict[str, DataFrame], within: Mapping[str, bool | None]) -> DataFrame:
+    """(pair, baseline, candidate, a, b, hash_a, hash_b, ms_a, ms_b, within_a, within_b): manifests, summaries and journals' provenance of each pair."""
     sides = []
-    for name, (side, hash_, ms) in (("baseline", ("a", "hash_a", "ms_a")), ("candidate", ("b", "hash_b", "ms_b"))):
+    for name, (side, hash_, ms, wrote) in (("baseline", ("a", "hash_a", "ms_a", "within_a")), ("candidate", ("b", "hash_b", "ms_b", "within_b"))):
         parts = []
         for i, pair in enumerate(pairs):
             path = pair[name == "candidate"]
             manifest = files.manifests(spark, f"{path}/{files.MANIFEST_FILE}")
-            told = manifest.select(F.lit(i).alias("pair"), F.lit(path).alias(name), "run", F.struct(*[c for c in manifest.columns if c != "run"]).alias(side))
+            told = manifest.select(F.lit(i).alias("pair"), F.lit(path).alias(name), F.lit(within.get(path)).cast("boolean").alias(wrote), "run", F.struct(*[c for c in manifest.columns if c != "run"]).alias(side))
             parts.append(told.join(run_summary(runs[path]).select("run", F.col("workload_sha256").alias(hash_), F.col("median_step_ms").alias(ms)), "run", "left").drop("run"))
         sides.append(reduce(DataFrame.unionByName, parts))
     return sides[0].join(sides[1], "pair")
@@ -133,7 +145,7 @@ def paired_runs(spark: SparkSession, pairs: list[tuple[str, str]], runs: dict[st
 def pair_report(pairs: DataFrame, resamples: int = RESAMPLES) -> dict:
     """The comparison of few pairs of runs; refused unless each pair and all of them together follow the protocol."""
     pairs = pairs.withColumns({"changed": changed_keys(), "seed": F.element_at(F.col("a")["config"], "seed")}).cache()
-    bad = [(r["pair"], r["rule"]) for r in violations(pairs, protocol_rules()).select("pair", "rule").orderBy("pair", "rule").collect()]
+    bad = [(r["pair"], r["rule"]) for r in violations(pairs, {**protocol_rules(), **provenance_rules()}).select("pair", "rule").orderBy("pair", "rule").collect()]
     require(not bad, f"pairs break the protocol: {bad}")
     rows = pairs.select("pair", "seed", "baseline", "candidate", "ms_a", "ms_b", "changed", F.struct(_fixed("a"), _fixed("b")).alias("fixed")).orderBy("pair").collect()
     require(len({r["seed"] for r in rows}) == len(rows), "independent pairs must use distinct seeds")

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..guards import Rules, not_finite
+from ..guards import Rules, not_finite, strict
+from ..schemas import PROFILE
 
 #: Settings that a calibration is valid for (fixed values).
 WORKLOAD = ("width", "heads", "layers", "vocab_size", "max_length", "kernel", "precision", "activation_checkpointing", "device", "threads")
 HARDWARE = ("source_sha256", "hostname", "platform", "torch", "gpu", "cuda_runtime", "device")
 #: Choices of the named settings (fixed values).
 CHOICES = {"strategy": ("single", "ddp", "fsdp2"), "planner": ("random", "balanced", "fleet"), "kernel": ("reference", "cuda"), "device": ("cpu", "cuda"), "precision": ("fp32", "bf16")}
+DOMAIN_FIELDS = ("min_batch", "max_batch", "min_width", "max_width")
+#: What a model is without its coefficients (fixed values).
+COEFFICIENTS = {"quadratic": 1.0, "linear": 0.0, "overhead": 0.0}
+MAX_SAMPLES = 8
 POSITIVE = ("samples", "min_length", "max_length", "batch_size", "steps", "width", "heads", "layers", "vocab_size", "bucket_cap_mb", "profile_steps", "threads")
 
 
@@ -71,3 +80,81 @@ def outside_domain(groups: DataFrame, domains: DataFrame) -> DataFrame:
     """Planned groups (rank, count, width) outside of what their rank was calibrated for."""
     rows = groups.join(F.broadcast(domains), "rank")
     return rows.filter(~(F.col("count").between(F.col("min_batch"), F.col("max_batch")) & F.col("width").between(F.col("min_width"), F.col("max_width"))))
+
+
+@F.pandas_udf(StringType())
+def canonical_text(documents: pd.Series) -> pd.Series:
+    """JSON with sorted names and no blanks, as its hash is taken; numbers that JSON doesn't know are refused. Null stays null."""
+
+    def one(text):
+        if text is None:
+            return None
+        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+    return documents.map(one)
+
+
+def parsed_profiles(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Adds `canonical`, `sha256` and the fields of a profile to `documents`; names that a profile doesn't have are part of its hash alone."""
+    rows = documents.withColumn("canonical", canonical_text(text))
+    rows = rows.withColumns({"sha256": F.sha2(F.col("canonical").cast("binary"), 256), "_p": F.from_json("canonical", PROFILE, {"mode": "FAILFAST"})})
+    return rows.select(*[c for c in documents.columns if c != text], "canonical", "sha256", "_p.*")
+
+
+def load_profiles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, canonical, sha256, schema_version, evidence, units, scope, workload, hardware, ranks) of files; a bad one fails the query that reads it."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return checked_profiles(parsed_profiles(files))
+
+
+def counted(profiles: DataFrame) -> DataFrame:
+    """Profiles with the numbers that `profile_rules` asks for."""
+    return profiles.withColumns({"n_hardware": F.coalesce(F.size("hardware"), F.lit(0)), "n_ranks": F.coalesce(F.size("ranks"), F.lit(0))})
+
+
+def checked_profiles(profiles: DataFrame) -> DataFrame:
+    bad = F.exists("ranks", lambda r: r["model"].isNull())
+    return strict(counted(profiles), {**profile_rules(), "rank without a model": F.coalesce(bad, F.lit(True))}).drop("n_hardware", "n_ranks")
+
+
+def rank_models(profiles: DataFrame, key: str = "path") -> DataFrame:
+    """A row a rank: (key, evidence, rank, the model's fields, the domain's fields); bad models fail. Absent coefficients are the defaults."""
+    rows = profiles.select(key, "evidence", F.posexplode("ranks").alias("rank", "r"))
+    model = [F.coalesce(F.col(f"r.model.{name}"), F.lit(default).cast("double")).alias(name) for name, default in COEFFICIENTS.items()]
+    caps = [F.coalesce("r.model.max_samples", F.lit(MAX_SAMPLES).cast("long")).alias("max_samples"), "r.model.max_padded_tokens", "r.model.max_attention_cells"]
+    return strict(rows.select(key, "evidence", F.col("rank").cast("long").alias("rank"), *model, *caps, *[f"r.domain.{c}" for c in DOMAIN_FIELDS], F.col("r.domain").isNotNull().alias("has_domain")), model_rules())
+
+
+def profile_summaries(profiles: DataFrame, key: str = "path") -> DataFrame:
+    """(key, sha256, evidence, units, scope, ranks) as runs record of their fleet."""
+    return profiles.select(key, "sha256", "evidence", "units", F.coalesce("scope", F.lit("declared_compute_proxy")).alias("scope"), "ranks")
+
+
+def use_rules() -> Rules:
+    """Bad uses: rows of (evidence, workload, n_ranks) of a profile and (world_size, strategy, signature) of the run, signatures as canonical JSON."""
+    observed = F.col("evidence") == "observed_isolated"
+    return {
+        "rank count": F.col("n_ranks") != F.col("world_size"),
+        "workload": observed & ~F.col("workload").eqNullSafe(F.col("signature")),
+        "sharded run of an isolated calibration": observed & (F.col("strategy") == "fsdp2"),
+    }
+
+
+def domain_violations(shapes: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(step, rank, count, width, reason) of planned groups that their rank's model doesn't tell of.
+
+    `ranks`: (rank, evidence, min_batch, max_batch, min_width, max_width), a row a rank, all null for no domain. A declared model
+    without a domain permits every shape, an observed one none. A rank that the profile lacks is named too.
+    """
+    known = ranks.select("rank", "evidence", *DOMAIN_FIELDS)
+    rows = shapes.select("step", "rank", "count", "width").join(known, "rank", "left")
+    none = F.coalesce(*[F.col(c).cast("long") for c in DOMAIN_FIELDS]).isNull()
+    inside = lambda c, lo, hi: F.coalesce(F.col(c).between(F.col(lo), F.col(hi)), F.lit(False))
+    reason = (
+        F.when(F.col("evidence").isNull(), "rank not in the profile")
+        .when(none & (F.col("evidence") == "observed_isolated"), "no domain")
+        .when(none, F.lit(None).cast("string"))
+        .when(~inside("count", "min_batch", "max_batch"), "batch")
+        .when(~inside("width", "min_width", "max_width"), "width")
+    )
+    return rows.select("step", "rank", "count", "width", reason.alias("reason")).filter("reason IS NOT NULL")

@@ -64,3 +64,12 @@ def marker_mismatches(markers: DataFrame, manifests: DataFrame) -> DataFrame:
     a = markers.select("run", "rank", F.struct(*fields).alias("own"))
     b = manifests.select("run", "rank", F.struct(*fields).alias("recorded"))
     return a.join(b, ["run", "rank"], "full").filter(~F.col("own").eqNullSafe(F.col("recorded")))
+
+
+def provenance(status: DataFrame) -> DataFrame:
+    """(run, flushes, flushed_within) from the status of journals: whether any rank wrote before its run's end, as their markers count.
+
+    A rank that wrote more than once did, and so did one that wrote and hasn't ended. Null where no journal has rows.
+    """
+    within = (F.col("flushes") > 1) | ((F.col("flushes") == 1) & (F.col("status") != "complete"))
+    return status.groupBy("run").agg(F.max("flushes").alias("flushes"), F.max(within).alias("flushed_within"))

@@ -29,10 +29,10 @@ def classify(events: DataFrame) -> DataFrame:
     return events.filter(category.isin(*DEVICE_WORK)).withColumn("kind", kind)
 
 
-def step_windows(events: DataFrame, pattern: str = STEP_PATTERN) -> DataFrame:
-    """(step, s, e) of annotations of any category."""
+def step_windows(events: DataFrame, pattern: str = STEP_PATTERN, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, step, s, e) of annotations of any category."""
     step = F.regexp_extract("name", pattern, 1)
-    return events.filter(F.col("name").rlike(pattern)).select(step.cast("long").alias("step"), F.col("ts").alias("s"), (F.col("ts") + F.col("dur")).alias("e"))
+    return events.filter(F.col("name").rlike(pattern)).select(*keys, step.cast("long").alias("step"), F.col("ts").alias("s"), (F.col("ts") + F.col("dur")).alias("e"))
 
 
 def analyze(events: DataFrame, rank: int = 0, device: int | None = None, pattern: str = STEP_PATTERN) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import padded_cost, permits, rank_cost
+from ..guards import require
+from ..operators import fleet
+from ..schemas import RANK_MODEL
+from ..sources import scratch
 from . import search
 
 
@@ -134,6 +138,27 @@ def plan_statuses(dealt: DataFrame, plan: DataFrame) -> DataFrame:
     return steps.select("step", F.when(F.col("found"), "planned").otherwise("infeasible").alias("status"))
 
 
+def checked_domains(plan: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The same plan; one with a group outside of what its rank was calibrated for is refused, and its ranks are named."""
+    bad = fleet.domain_violations(group_shapes(plan), ranks)
+    told = bad.groupBy("rank", "reason").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("groups")).orderBy("rank", "reason").limit(search.MAX_RANKS).collect()
+    require(not told, "planned shapes lie outside of the profile's domains: " + "; ".join(f"rank {r['rank']}: {r['reason']} in {r['groups']} groups, first in step {r['step']}" for r in told))
+    return plan
+
+
+def profiled_plan(plan: DataFrame, profile: DataFrame, **options) -> DataFrame:
+    """A dealt plan scheduled for the ranks of one profile (a row of `fleet.load_profiles`), refused where a step has no
+    layout or a group lies outside of its rank's domain. The plan is a table by then, so checking doesn't search again."""
+    require(len(profile.select("sha256").limit(2).collect()) == 1, "a plan needs one profile")
+    ranks = fleet.rank_models(profile, "sha256")
+    models = [r.asDict() for r in ranks.select([f.name for f in RANK_MODEL.fields]).orderBy("rank").limit(search.MAX_RANKS + 1).collect()]
+    require(plan.filter(~F.col("rank").between(0, len(models) - 1)).isEmpty(), "fleet mode needs a model for each rank")
+    made = scratch.stored(fleet_plan(plan, models, **options), "plan")
+    lost = plan_statuses(plan, made).filter("status <> 'planned'").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("n")).first()
+    require(not lost["n"], f"no feasible layout for {lost['n']} steps, first for step {lost['step']}")
+    return checked_domains(made, ranks)
+
+
 def exact_plan(plan: DataFrame, models: list[dict], node_budget: int = 100_000) -> DataFrame:
     """(step, status, nodes, makespan, lower_bound) of the exact search of each step."""
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions.expressions import rms_norm, uniform_draw
 from .guards import violation_counts, violations
-from .operators import calibration, checkpoints, compare, corpus, intervals, journals, metrics, profiler
+from .operators import calibration, checkpoints, compare, corpus, fleet, intervals, journals, lineage, metrics, profiler, traces
 from .plans import campaign, planning
-from .sources import generators, rank_journal, scratch
+from .sources import generators, rank_journal, scratch, sealed_corpus, sinks
 
 RANKS = 7
 #: The two ranks of the declared fleet (fixed values).
@@ -24,6 +24,7 @@ MODELS = (
     {"rank": 1, "quadratic": 2.0, "linear": 8.0, "overhead": 20.0, "max_samples": 5, "max_padded_tokens": 400, "max_attention_cells": 40000},
 )
 PLAN_SEED, WORLD, BATCH = 17, 2, 3
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -357,15 +358,24 @@ def exposed_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.window_measures(rows.filter("kind <> 'window'").drop("step"), windows, ["rank"], "step")
 
 
+def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans as events of an execution trace, a rank's in each: kernels, copies, annotations of steps, and host work."""
+    kind = F.col("kind")
+    name = F.when(kind == "window", F.concat(F.lit("train/step/"), F.col("step").cast("string"))).when(kind == "collective", "ncclDevKernel_AllReduce").when(kind == "host", "nccl host call").otherwise("gemm")
+    cat = F.when(kind == "window", "user_annotation").when(kind == "transfer", "gpu_memcpy").when(kind == "host", "cpu_op").otherwise("Kernel")
+    return spans(spark, sf_dir).select("rank", F.lit("X").alias("ph"), name.alias("name"), cat.alias("cat"), F.col("s").cast("double").alias("ts"), (F.col("e") - F.col("s")).cast("double").alias("dur"))
+
+
 @query(f"WITH {SQL_SPANS} SELECT rank, kind, count(*) AS n, sum(e - s)::BIGINT AS length FROM spans WHERE kind IN ('compute', 'collective', 'transfer') GROUP BY ALL")
 def event_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spans(spark, sf_dir).filter(F.col("kind").isin("compute", "collective", "transfer"))
-    return rows.groupBy("rank", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e") - F.col("s")).alias("length"))
+    work = traces.classify(traces.complete_events(trace_events(spark, sf_dir)))
+    return work.groupBy("rank", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dur").cast("long")).alias("length"))
 
 
 @query(f"WITH {SQL_SPANS} SELECT rank, step, s, e FROM spans WHERE kind = 'window'")
 def step_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans(spark, sf_dir).filter("kind = 'window'").select("rank", "step", "s", "e")
+    rows = traces.step_windows(traces.complete_events(trace_events(spark, sf_dir)), keys=("rank",))
+    return rows.withColumns({"s": F.col("s").cast("long"), "e": F.col("e").cast("long")})
 
 
 SQL_DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents), k AS (SELECT *, CASE WHEN n < 128 THEN 0 ELSE (n - 1) // 127 END AS f FROM d), a AS (SELECT doc_id AS doc, t, n, f, n - f * 127 AS tail FROM k)"
@@ -558,7 +568,7 @@ def state_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CANDIDATES = "c AS (SELECT 'checkpoint-' || CASE WHEN o_orderkey % 41 = 0 THEN 0 ELSE o_orderkey END AS checkpoint, o_orderkey AS step, md5(CAST(o_orderkey AS VARCHAR)) AS sha256, CASE WHEN o_orderkey % 5 = 0 THEN 4 ELSE 2 END AS world FROM orders)"
 
 
-@query(f"""WITH {SQL_CANDIDATES}, r AS (SELECT *, list_filter([CASE WHEN step < 1 THEN 'step' END, CASE WHEN checkpoint <> 'checkpoint-' || step THEN 'directory name' END, CASE WHEN world <> 2 THEN 'world size differs' END, CASE WHEN step >= 900 THEN 'no steps remain' END], lambda x: x IS NOT NULL) AS bad FROM c)
+@query(f"""WITH {SQL_CANDIDATES}, r AS (SELECT *, list_filter([CASE WHEN step < 1 THEN 'step' END, CASE WHEN checkpoint <> 'checkpoint-' || step THEN 'directory name' END, CASE WHEN world <> 2 THEN 'world size differs' END, CASE WHEN step >= 900 THEN 'no steps remain' END, CASE WHEN step % 41 <> 0 THEN CASE step % 13 WHEN 0 THEN 'storage size' WHEN 1 THEN 'storage missing' WHEN 2 THEN 'storage content' END END], lambda x: x IS NOT NULL) AS bad FROM c)
 SELECT CASE WHEN len(bad) = 0 THEN 'eligible' ELSE 'rejected' END AS status, array_to_string(bad, ', ') AS reasons, count(*) AS n, max(step) AS last FROM r GROUP BY ALL""")
 def checkpoint_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checkpoint_inspection(spark, sf_dir)
@@ -581,11 +591,13 @@ def checkpoint_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("width"), F.lit("64")).alias("config"),
         files.alias("files"),
     )
-    nothing = spark.sql("SELECT '' AS checkpoint, '' AS path, '' AS reason WHERE false")
-    return checkpoints.inspect(markers, nothing, checkpoints.compatibility_rules(2, 900, {"width": "64"}))
+    there = markers.filter(key % 41 != 0).select("checkpoint", "step", F.explode("files").alias("f")).filter("NOT (step % 13 = 1 AND f.path LIKE '%distcp')")
+    found = there.select("checkpoint", "f.path", F.when((F.col("step") % 13 == 0) & (F.col("f.path") == ".metadata"), 2).otherwise(F.col("f.bytes")).alias("bytes"), F.when(F.col("step") % 13 == 2, "y").otherwise(F.col("f.sha256")).alias("sha256"))
+    mismatches = checkpoints.storage_mismatches(markers.filter(key % 41 != 0), found)
+    return checkpoints.inspect(markers, mismatches, checkpoints.compatibility_rules(2, 900, {"width": "64"}))
 
 
-@query(f"WITH {SQL_CANDIDATES} SELECT step, checkpoint, sha256 FROM c WHERE checkpoint = 'checkpoint-' || step AND world = 2 AND step BETWEEN 1 AND 899 ORDER BY step DESC LIMIT 1")
+@query(f"WITH {SQL_CANDIDATES} SELECT step, checkpoint, sha256 FROM c WHERE checkpoint = 'checkpoint-' || step AND world = 2 AND step % 13 > 2 AND step BETWEEN 1 AND 899 ORDER BY step DESC LIMIT 1")
 def checkpoint_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoints.select(checkpoint_inspection(spark, sf_dir))
 
@@ -621,6 +633,100 @@ def seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", uniform_draw(F.lit(5), F.col("doc_id")).alias("u"))
 
 
+SQL_FLUSHES = f"""WITH {SQL_JOURNALS}, k AS (SELECT run, rank, count(*) AS n FROM j GROUP BY ALL), s AS (SELECT *, n = max(n) OVER (PARTITION BY run) AS ended FROM k)"""
+
+
+@query(SQL_FLUSHES + """ SELECT run, rank, CASE WHEN ended THEN (n + 31) // 32 ELSE n // 32 END AS flushes, CASE WHEN ended THEN n ELSE n // 32 * 32 END AS rows, 0::BIGINT AS refused,
+ least(n, 32) AS peak_buffered_rows, CASE WHEN ended THEN n ELSE n // 32 * 32 END - 1 AS last_step, ended AS complete FROM s WHERE ended OR n >= 32""")
+def bounded_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals read as a stream and let go through buffers of 32 rows a rank; ranks that stop short of their run's end keep the rest."""
+    from .streaming import flushing
+
+    path = f"{written_journals(spark, sf_dir)}/*"
+    told = scratch.stored(rank_journal.journal_status(spark, path))
+    runs = told.groupBy("run").agg((F.max("last_step") + 1).alias("steps"))
+    out, provider = scratch.new_folder(spark, "flushed"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, STATE_STORE)
+    try:
+        write = flushing.bounded_flush(rank_journal.stream_rows(spark, path), runs, 32).writeStream.format("parquet").option("path", out)
+        write.option("checkpointLocation", scratch.new_folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    history = flushing.flush_history(spark.read.parquet(out))
+    return history.withColumn("run", F.expr(RUN_NAME))
+
+
+def resumed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs (run, parent, customer, start_step): each resumes the customer's order before it.
+
+    Every fourth starts anew, some name a run that isn't there, and the orders of every tenth customer go round in a circle.
+    """
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    whole = Window.partitionBy("o_custkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(own).alias("before"), F.max("o_orderkey").over(whole).alias("last"), (F.row_number().over(own) - 1).cast("long").alias("position"))
+    key = F.col("o_orderkey")
+    parent = F.when(F.col("o_custkey") % 10 == 7, F.coalesce("before", "last")).when(key % 4 == 0, F.lit(None)).when(key % 23 == 5, -key).otherwise(F.col("before"))
+    return rows.select(key.alias("run"), parent.alias("parent"), F.col("o_custkey").alias("customer"), (F.col("position") * 2).alias("start_step"))
+
+
+SQL_RUNS = """WITH o AS (SELECT o_custkey AS customer, o_orderkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p FROM orders),
+b AS (SELECT *, customer % 10 = 7 AS circle, CASE WHEN p = 0 OR run % 4 = 0 OR run % 23 = 5 THEN 1 ELSE 0 END AS starts, run % 4 <> 0 AND run % 23 = 5 AS lost FROM o),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY customer ORDER BY p) AS part FROM b),
+l AS (SELECT run, customer, p, circle, first_value(run) OVER w AS origin, first_value(p) OVER w AS p0, first_value(lost) OVER w AS lost, string_agg(run::VARCHAR, '>') OVER (PARTITION BY customer, part ORDER BY p ROWS UNBOUNDED PRECEDING) AS path FROM g WINDOW w AS (PARTITION BY customer, part ORDER BY p))"""
+
+
+@query(SQL_RUNS + """ SELECT run, CASE WHEN NOT circle THEN origin END AS origin, CASE WHEN NOT circle THEN p - p0 END AS depth, CASE WHEN NOT circle THEN path END AS path, CASE WHEN circle THEN 'cycle' WHEN lost THEN 'parent missing' ELSE 'whole' END AS status FROM l""")
+def recovery_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.lineage(resumed_runs(spark, sf_dir).select("run", "parent")).withColumn("path", F.array_join("path", ">"))
+
+
+@query(SQL_RUNS + """, h AS (SELECT r.run, s.run AS source, unnest(range(2 * s.p, 2 * s.p + CASE WHEN s.run = r.run THEN 4 ELSE 2 END)) AS step FROM l r JOIN l s ON r.customer = s.customer AND s.origin = r.origin AND s.p <= r.p WHERE NOT r.circle),
+t AS (SELECT run, step, (source + step) % 17 = 0 AS gone, (source + step) % 11 = 0 AS other FROM h), e AS (SELECT run, min(step) AS lo, max(step) AS hi FROM t WHERE NOT gone GROUP BY run),
+d AS (SELECT t.run, step, gone, other FROM t JOIN e ON t.run = e.run AND step BETWEEN lo AND hi)
+SELECT run, count(*) AS steps, count(*) FILTER (gone) AS missing, count(*) FILTER (other AND NOT gone) AS differing, min(step) FILTER (gone OR other) AS first_step, coalesce(min_by(CASE WHEN gone THEN 'row' ELSE 'loss_sum' END, step) FILTER (gone OR other), '') AS paths, count(*) FILTER (gone OR other) = 0 AS equal FROM d GROUP BY run""")
+def recovery_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the whole history of each resumed run first leaves what its customer's run would have been without a stop."""
+    runs = scratch.stored(resumed_runs(spark, sf_dir))
+    truth = (F.col("customer") * 1000 + F.col("step")).cast("double")
+    rows = runs.select("run", "customer", F.explode(F.sequence(F.col("start_step"), F.col("start_step") + 3)).alias("step"))
+    at = F.col("run") + F.col("step")
+    rows = rows.filter(at % 17 != 0).select("run", F.lit(0).alias("rank"), "step", F.when(at % 11 == 0, truth + 1).otherwise(truth).alias("loss_sum"), F.lit(64).alias("local_tokens"))
+    steps = runs.groupBy("customer").agg((F.max("start_step") + 3).alias("last"))
+    references = steps.select("customer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("step")).select("customer", F.lit(0).alias("rank"), "step", truth.alias("loss_sum"), F.lit(64).alias("local_tokens"))
+    pieces = lineage.stretches(lineage.lineage(runs.select("run", "parent")), runs.select("run", "start_step"))
+    histories = lineage.stitched(rows, pieces).join(runs.select("run", "customer"), "run")
+    found = lineage.first_differences(histories, references, ("local_tokens", "loss_sum"), "customer")
+    return found.withColumn("paths", F.coalesce(F.array_join("paths", ","), F.lit("")))
+
+
+@query(f"WITH {SQL_DOCS}, w AS (SELECT doc, n, unnest(range(0, f + CASE WHEN tail >= 2 THEN 1 ELSE 0 END)) AS piece FROM a) SELECT row_number() OVER (ORDER BY doc, piece) - 1 AS sample_id, doc, least(128, n - piece * 127) AS length FROM w")
+def corpus_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus written with its seals, opened with all of them checked, and read."""
+    path = scratch.new_folder(spark, "corpus")
+    sinks.write_corpus(contents(spark, sf_dir).withColumnRenamed("doc_id", "doc"), path)
+    return sealed_corpus.SealedCorpus(spark, path).rows().select("sample_id", "doc", "length")
+
+
+@query(f"""WITH {SQL_PLAN}, s AS (SELECT step, rank, count(*) AS "count", max(length - 1) AS width FROM plan WHERE id % 5 <> 0 GROUP BY ALL)
+SELECT step, rank, "count", width, CASE WHEN rank = 1 THEN CASE WHEN "count" > 2 THEN 'batch' ELSE 'width' END WHEN "count" < 2 THEN 'batch' ELSE 'width' END AS reason FROM s WHERE (rank = 0 AND ("count" < 2 OR width NOT BETWEEN 60 AND 120)) OR (rank = 1 AND ("count" > 2 OR width > 110))""")
+def domain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealt groups outside of what their rank was calibrated for."""
+    ranks = spark.sql("SELECT * FROM VALUES (0L, 'observed_isolated', 2L, 3L, 60L, 120L), (1L, 'observed_isolated', 1L, 2L, 1L, 110L) AS t(rank, evidence, min_batch, max_batch, min_width, max_width)")
+    return fleet.domain_violations(planning.group_shapes(dealt(spark, sf_dir).filter("id % 5 <> 0")), ranks)
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, sha256('{"evidence":"declared","note":"part ' || p_partkey || '","ranks":[{"domain":{"max_batch":' || p_size || ',"max_width":128,"min_batch":1,"min_width":2},"model":{"linear":8,"max_samples":5,"overhead":20,"quadratic":' || p_partkey || '}},{"model":{"quadratic":0.5}}],"schema_version":1,"units":"proxy"}') AS sha256, p_partkey, p_size FROM part)
+SELECT id, sha256, 0::BIGINT AS rank, p_partkey::DOUBLE AS quadratic, 5::BIGINT AS max_samples, p_size::BIGINT AS max_batch, true AS has_domain FROM r UNION ALL SELECT id, sha256, 1, 0.5, 8, NULL, false FROM r""")
+def fleet_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles with names in any order: their canonical hash, and the models and domains of their ranks."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit('{ "units": "proxy", "schema_version": 1, "ranks": [{"model": {"quadratic": '), key, F.lit(', "overhead": 20, "max_samples": 5, "linear": 8}, "domain": {"min_width": 2, "max_batch": '), size, F.lit(', "min_batch": 1, "max_width": 128}}, {"model": {"quadratic": 0.5}}], "note": "part '), key, F.lit('", "evidence":"declared"}'))
+    profiles = fleet.checked_profiles(fleet.parsed_profiles(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))))
+    models = fleet.rank_models(profiles.withColumn("key", F.struct("id", "sha256")), "key")
+    return models.select("key.id", "key.sha256", "rank", "quadratic", "max_samples", "max_batch", "has_domain")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 

@@ -32,6 +32,14 @@ RANK_MODEL = _struct(rank=_LONG, quadratic=_DOUBLE, linear=_DOUBLE, overhead=_DO
 CALIBRATION = _struct(rank=_LONG, batch=_LONG, width=_LONG, repeat=_LONG, ms=_DOUBLE)
 SPAN = _struct(rank=_LONG, kind=_STRING, s=_DOUBLE, e=_DOUBLE)
 DOMAIN = _struct(rank=_LONG, min_batch=_LONG, max_batch=_LONG, min_width=_LONG, max_width=_LONG)
+#: Cost profiles of fleets; the workload stays a text, since only its equality counts.
+PROFILE = T.StructType(
+    [
+        *_struct(schema_version=_LONG, evidence=_STRING, units=_STRING, scope=_STRING, workload=_STRING).fields,
+        T.StructField("hardware", T.ArrayType(T.MapType(_STRING, _STRING))),
+        T.StructField("ranks", T.ArrayType(_struct(model=T.StructType(RANK_MODEL.fields[1:]), domain=T.StructType(DOMAIN.fields[1:])))),
+    ]
+)
 CORPUS_INDEX = _struct(sample_id=_LONG, doc=_LONG, offset=_LONG, length=_LONG)
 CHECKPOINT_FILE = _struct(path=_STRING, bytes=_LONG, sha256=_STRING)
 CHECKPOINT = T.StructType(

@@ -199,7 +199,7 @@ class StatusReader(RowReader):
         except (ValueError, KeyError, TypeError, OSError) as e:
             status, rows, marker, error = "invalid", 0, {}, str(e)
         failure = of_rank(partition.root, FAILURE_FILE, partition.rank)
-        yield partition.root, partition.rank, status, rows, marker.get("start_step"), marker.get("last_step"), marker.get("bytes"), error, failure.read_text() if failure.exists() else None, partition.completed
+        yield partition.root, partition.rank, status, rows, marker.get("start_step"), marker.get("last_step"), marker.get("bytes"), marker.get("flushes"), error, failure.read_text() if failure.exists() else None, partition.completed
 
 
 class RowStream(DataSourceStreamReader):
@@ -385,7 +385,7 @@ class RankJournalStatus(DataSource):
         return "rank_journal_status"
 
     def schema(self) -> str:
-        return "run string, rank bigint, status string, rows bigint, start_step bigint, last_step bigint, bytes bigint, error string, failure string, completed boolean"
+        return "run string, rank bigint, status string, rows bigint, start_step bigint, last_step bigint, bytes bigint, flushes bigint, error string, failure string, completed boolean"
 
     def reader(self, schema) -> StatusReader:
         return StatusReader(self.options["path"])
@@ -404,7 +404,7 @@ def committed_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def journal_status(spark: SparkSession, path: str) -> DataFrame:
-    """(run, rank, status, rows, start_step, last_step, bytes, error, failure, completed) of each journal."""
+    """(run, rank, status, rows, start_step, last_step, bytes, flushes, error, failure, completed) of each journal."""
     return registered(spark).read.format("rank_journal_status").option("path", path).load()
 
 

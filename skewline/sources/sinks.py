@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from ..guards import require
 from ..operators import corpus as corpus_ops
 from ..operators.journals import MAX_ROW_BYTES
+from . import sealed_corpus
 from .files import MARKER_FILE, METRICS_FILE
 
 MAX_MESSAGE = 16_384
@@ -55,7 +56,7 @@ def write_json(path: str | Path, value: object) -> None:
 
 
 def write_corpus(docs: DataFrame, path: str, max_length: int = 128, min_length: int = 2) -> dict:
-    """Windows and index as Parquet, then the sealed manifest: a corpus without one doesn't count."""
+    """Windows in ranges of ids, accounts and hashes of files, then the sealed manifest: a corpus without one doesn't count."""
     spark = docs.sparkSession
     accounts = corpus_ops.accounting(docs, max_length, min_length, "doc")
     require(accounts.filter("samples > 0").limit(1).count() > 0, "no windows in the documents")
@@ -63,12 +64,12 @@ def write_corpus(docs: DataFrame, path: str, max_length: int = 128, min_length:
     first = corpus_ops.offsets(accounts.select("doc", "samples", "bytes"), "doc", "samples").withColumnRenamed("offset", "first_sample")
     windows = windows.join(first.select("doc", "first_sample"), "doc")
     rows = windows.selectExpr("first_sample + piece AS sample_id", "doc", "length", "tokens")
-    rows.write.mode("errorifexists").parquet(f"{path}/windows")
+    sealed_corpus.lay_out(rows, path)
     accounts.write.mode("errorifexists").parquet(f"{path}/documents")
     stored = spark.read.parquet(f"{path}/documents")
     totals = corpus_ops.totals(stored).first().asDict()
-    manifest = {"schema_version": 1, "max_length": max_length, "min_length": min_length, **totals, "corpus_sha256": corpus_ops.identity(stored).first()[0]}
-    manifest["sha256"] = hashlib.sha256(json.dumps(manifest, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    manifest = {"schema_version": 1, "max_length": max_length, "min_length": min_length, **totals, "corpus_sha256": corpus_ops.identity(stored).first()[0], "files_sha256": sealed_corpus.seal(spark, path)}
+    manifest["sha256"] = sealed_corpus.content_sha256(manifest)
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
     return manifest
 
