@@ -92,7 +92,7 @@ def bounded_flush(rows: DataFrame, runs: DataFrame, every: int = 32, max_age_ms:
 
     `runs`: (run, steps), a table; a run that it doesn't name, or whose steps are null, has no end. Rows travel as texts, so
     nulls and longs stay exact. A refused row has a null `flush`. With `every` 0 a rank holds all its rows until its end
-    or their age lets them go. Rows of a null run or rank are a key of their own; a null step is refused by failing the query.
+    or their age lets them go. With `max_age_ms` run the stream by a processing-time trigger. Rows of a null run or rank are a key of their own; a null step is refused by failing the query.
     """
     require(every >= 0 and (max_age_ms is None or max_age_ms > 0), "flush after a number of rows of 0 or more, and an age above 0")
     given = rows.select("run", "rank", F.assert_true(F.col("step").isNotNull(), "a row has no step").alias("_known"), "step", F.to_json(F.struct(*rows.columns)).alias("payload"))
