@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, written
 from .quality_rules import labelled_sample
 from .tokenization import texts_of
 
@@ -48,6 +49,10 @@ MIN_STEPS = 4000
 MIN_Z = 3.5
 FULL_Z = 14.0
 Z_POWER = 4
+#: Documents of a slot, at least, for it to be used.
+LEAST_DOCS = 4
+#: Documents whose features a task holds at a time.
+ROWS = 256
 #: Lengths of the beginnings of stems, in bytes.
 BEGINNINGS = (4, 5, 6, 7)
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -88,11 +93,15 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def telling(slots: np.ndarray, grade: np.ndarray, grades: np.ndarray, top: int) -> np.ndarray:
+    """How far each slot is used, from 0 to 1; `grade` is that of each feature's document."""
+    return usefulness([np.bincount(slots[grade == g], minlength=1 << HASH_BITS) for g in range(top + 1)], [int((grades == g).sum()) for g in range(top + 1)])
+
+
+def usefulness(counts: list[np.ndarray], docs: list[int]) -> np.ndarray:
     """How far each slot is used, from 0 to 1: by the most standard errors by which its document frequencies differ between two
-    neighbouring grades, or between the documents on either side of a threshold. `grade` is that of each feature's document.
+    neighbouring grades, or between the documents on either side of a threshold. `counts` and `docs` are by grade.
     """
-    counts = [np.bincount(slots[grade == g], minlength=1 << HASH_BITS) for g in range(top + 1)]
-    docs = [int((grades == g).sum()) for g in range(top + 1)]
+    top = len(docs) - 1
     most = np.zeros(1 << HASH_BITS)
     sides = [(range(k), range(k, top + 1)) for k in range(1, top + 1)] + [((k - 1,), (k,)) for k in range(1, top + 1)]
     for low, high in sides:
@@ -100,7 +109,7 @@ def telling(slots: np.ndarray, grade: np.ndarray, grades: np.ndarray, top: int)
         n, m = max(1, sum(docs[g] for g in high)), max(1, sum(docs[g] for g in low))
         p = (a + b + 1) / (n + m + 2)
         z = (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-        most = np.maximum(most, np.abs(z) * (a + b >= 4))
+        most = np.maximum(most, np.abs(z) * (a + b >= LEAST_DOCS))
     return np.where(most >= MIN_Z, np.minimum(1, (most / FULL_Z) ** Z_POWER), 0)
 
 
@@ -121,10 +130,11 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -60, 60)))
 
 
-def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades: np.ndarray, rows: np.ndarray | None = None, top: int = TOP_GRADE, epochs: int = 16, batch: int = 64, rate: float = 0.3, ridge: float = 1e-6, seed: int = 5) -> Ordinal:
+def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades: np.ndarray, rows: np.ndarray | None = None, top: int = TOP_GRADE, epochs: int = 16, batch: int = 64, rate: float = 0.3, ridge: float = 1e-6, seed: int = 5, use: np.ndarray | None = None) -> Ordinal:
     """Maximum likelihood by adaptive gradient steps; thresholds are a first one and positive gaps, so they stay ordered.
 
     `slots` and `values` hold the documents' features end to end, `sizes` of them each; `rows` is the order to learn in.
+    `use`: how far slots are used, where that is known already.
     """
     weights, squares = np.zeros(1 << HASH_BITS), np.full(1 << HASH_BITS, 1e-8)
     if len(set(grades.tolist())) < 2:
@@ -133,7 +143,7 @@ def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades
     cuts = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(top) * 1e-3)
     free, free_squares = np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))]), np.full(top, 1e-8)
     random = np.random.default_rng(seed)
-    use = telling(slots, np.repeat(grades.astype(np.int8), sizes), grades, top)
+    use = telling(slots, np.repeat(grades.astype(np.int8), sizes), grades, top) if use is None else use.copy()
     use[_REPEAT] = 1
     kept = use[slots] > 0
     sizes = np.bincount(np.repeat(np.arange(len(grades), dtype=np.int32), sizes)[kept], minlength=len(grades))
@@ -170,26 +180,92 @@ def fit_ordinal(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, grades
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """Features are worked out by the executors; the driver gets those of the bounded sample."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t) for t in texts_of(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.astype("<i4").tobytes() for s, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary())], names=["doc_id", "grade", "slots", "shares"])
-
+    """Features of the bounded sample are worked out and counted by the executors, and a task learns from those that tell grades apart; the driver gets weights."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     chosen = labelled_sample(docs, labels, sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    data = chosen.select("doc_id", grade.alias("grade"), "text").mapInArrow(compute, f"doc_id {kind}, grade int, slots binary, shares binary").toArrow()
+    rows = written(chosen.select("doc_id", grade.alias("grade"), "text").mapInArrow(_featured, f"doc_id {kind}, grade int, key long, slots binary, shares binary"))
+    docs_of = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
+    if len(docs_of) < 2:
+        dropped(rows)
+        return fit_ordinal(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    names = [f"n{g}" for g in range(TOP_GRADE + 1)]
+    counts = rows.select("grade", "slots").mapInArrow(_frequencies, "slot int, " + ", ".join(f"{n} long" for n in names))
+    counts = counts.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).filter(F.expr(" + ".join(names)) >= LEAST_DOCS).toArrow()
+    frequencies = np.zeros((len(names), 1 << HASH_BITS), np.int64)
+    for g, n in enumerate(names):
+        frequencies[g, counts.column("slot").to_numpy()] = counts.column(n).to_numpy()
+    use = usefulness(list(frequencies), [docs_of.get(g, 0) for g in range(TOP_GRADE + 1)])
+    use[_REPEAT] = 1
+    del counts, frequencies
+    used = np.packbits(use > 0)
+
+    def telling_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.unpackbits(used).astype(bool)
+        for batch in batches:
+            slots = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(3)]
+            shares = [np.frombuffer(x.as_buffer(), "<f4") for x in batch.column(4)]
+            kept = [some[x] for x in slots]
+            both = [pa.array([v[k].tobytes() for v, k in zip(a, kept, strict=True)], pa.binary()) for a in (slots, shares)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *both], names=batch.schema.names)
+
+    at = np.flatnonzero(use)
+    how_far = use[at]
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = pa.Table.from_batches(batches)
+        whole = np.zeros(1 << HASH_BITS)
+        whole[at] = how_far
+        model = _fitted(data, whole)
+        slots = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([slots, -1 - np.arange(len(model.cuts))])), pa.array(np.concatenate([model.weights[slots].astype(float), model.cuts]))], names=["slot", "value"])
+
+    told = rows.mapInArrow(telling_ones, rows.schema).repartition(1).mapInArrow(learned, "slot long, value double").toArrow()
+    dropped(rows)
+    slots, values = told.column("slot").to_numpy(), told.column("value").to_numpy()
+    weights, cuts = np.zeros(1 << HASH_BITS, np.float32), np.zeros(TOP_GRADE)
+    weights[slots[slots >= 0]] = values[slots >= 0]
+    cuts[-1 - slots[slots < 0]] = values[slots < 0]
+    return Ordinal(weights, cuts)
+
+
+def _fitted(data: pa.Table, use: np.ndarray) -> Ordinal:
     grades = data.column("grade").to_numpy().astype(np.int64)
     # The features stay where Arrow has them; only the rows' order is sorted, for the same steps on every run.
-    key = pa.array([xxhash.xxh64_intdigest(bytes(x.as_buffer())) for x in data.column("slots")], pa.uint64())
+    key = pa.array(data.column("key").to_numpy().view(np.uint64))
     order = pc.sort_indices(pa.table([data.column("doc_id"), data.column("grade"), key], names=["a", "b", "c"]), [("a", "ascending"), ("b", "ascending"), ("c", "ascending")]).to_numpy()
     sizes = pc.binary_length(data.column("slots")).to_numpy().astype(np.int64) // 4
-    flat = lambda name, kind: np.concatenate([np.frombuffer(c.buffers()[2], kind)[int(_starts(c)[0]) // 4 : int(_starts(c)[-1]) // 4] for c in data.column(name).chunks if len(c)] or [np.zeros(0, kind)])
+    flat = lambda name, kind: np.concatenate([np.frombuffer(c.buffers()[2], kind)[int(_starts(c)[0]) // 4 : int(_starts(c)[-1]) // 4] for c in data.column(name).chunks if len(c) and c.buffers()[2]] or [np.zeros(0, kind)])
     slots, values = flat("slots", "<i4"), flat("shares", "<f4")
-    del data
-    return fit_ordinal(slots, values, sizes, grades, order)
+    return fit_ordinal(slots, values, sizes, grades, order, use=use)
+
+
+def _starts(chunk: pa.Array) -> np.ndarray:
+    """Offsets of a binary array's values, the last one's end included."""
+    return np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots and values of each text as bytes, and a hash of the slots."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(lo, ROWS)
+            slots, shares = [], []
+            for s, v in map(features, texts_of(batch.column(2))):
+                slots.append(s.astype("<i4").tobytes())
+                shares.append(v.astype("<f4").tobytes())
+            key = np.array([xxhash.xxh64_intdigest(x) for x in slots], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key), pa.array(slots, pa.binary()), pa.array(shares, pa.binary())], names=["doc_id", "grade", "key", "slots", "shares"])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each slot of a task, with the number of its documents of each grade."""
+    counts = np.zeros((TOP_GRADE + 1, 1 << HASH_BITS), np.int64)
+    for batch in batches:
+        for grade, slots in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts[grade, np.frombuffer(slots.as_buffer(), "<i4")] += 1  # a text has a slot once
+    at = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(c[at]) for c in counts)], names=["slot", *(f"n{g}" for g in range(TOP_GRADE + 1))])
 
 
 def _starts(chunk: pa.Array) -> np.ndarray:

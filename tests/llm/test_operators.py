@@ -789,6 +789,20 @@ def test_lm_spelling_is_proper_and_learned(spark):
     assert (2.0**first).sum() <= 1
 
 
+def test_classifier_learns_in_a_task(spark, monkeypatch):
+    """The sample's features, some 12 KB a document, don't pass through the driver; the model is that of a fit over all features."""
+    from skewline.llm import quality_classifier
+
+    docs = [(i, f"fair words number {i}" if i % 2 else f"bad stuff bad {i} stuff!") for i in range(200)]
+    frame, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, 0) for i, _ in docs], "doc_id long, quality int, toxic int")
+    found = [quality_classifier.features(t.encode()) for _, t in docs]
+    grades, sizes = np.array([2 * (i % 2) for i, _ in docs]), np.array([len(s) for s, _ in found])
+    want = quality_classifier.fit_ordinal(np.concatenate([s for s, _ in found]).astype(np.int32), np.concatenate([v for _, v in found]).astype(np.float32), sizes, grades, np.arange(len(docs)))
+    monkeypatch.setattr(quality_classifier, "fit_ordinal", None)
+    got = quality_classifier.fit(frame, labels)
+    assert want.weights.any() and np.array_equal(got.weights, want.weights) and np.array_equal(got.cuts, want.cuts)
+
+
 def test_stages_and_queries(spark, tmp_path):
     import corpus_pipeline
     from skewline.llm.queries import oracle_sql, queries
