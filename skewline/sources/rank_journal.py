@@ -4,7 +4,7 @@ A run's directory has for each rank `metrics-rank<r>.jsonl`, to which rows are a
 marker of what is committed: rows, bytes and their SHA-256. Bytes behind a marker don't count. `manifest.json` makes a run
 complete: then each marker must be the manifest's, say so, and leave no bytes behind it; `attempt.json` tells of one that isn't.
 
-    spark.read.format("rank_journal").option("path", "runs/*").load()              # committed rows, a task a journal
+    spark.read.format("rank_journal").option("path", "runs/*").load()              # committed rows, a task a journal or, of many, some
     spark.read.format("rank_journal_status").option("path", "runs/*").load()       # a row a journal, bad ones told
     spark.readStream.format("rank_journal").option("path", "runs/*").load()        # rows as markers come, each once
     spark.readStream.format("rank_journal_progress").option("path", "runs/*").load()  # a row for each marker that moved
@@ -28,9 +28,11 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.json
@@ -45,6 +47,10 @@ from .files import ATTEMPT_FILE, FAILURE_FILE, MANIFEST_FILE, MARKER_FILE, METRI
 from .sinks import journal_lines, marker_fields, write_json
 
 BLOCK = 1 << 20
+#: Up to so many journals have a task each; of more, a task reads up to `A_TASK`, since most of a short journal's time is its task's.
+TASKS, A_TASK = 256, 64
+#: Files that are made durable at a time.
+THREADS = 16
 _ARROW = pa.schema([(f.name, {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in RANK_METRICS.fields])
 _ROWS = pa.schema([*_ARROW, ("run", pa.string())])
 
@@ -109,7 +115,7 @@ def parsed(lines: bytes, rank: int, first_step: int) -> pa.Table:
 
 
 @dataclass
-class Journal(InputPartition):
+class Journal:
     """A rank's journal of a run, or its stretch of a stream; `recorded`: the manifest's marker if the run is complete."""
 
     root: str = ""
@@ -160,6 +166,19 @@ class Journal(InputPartition):
             yield from table.append_column("run", pa.array([self.root] * len(table), pa.string())).cast(_ROWS).to_batches()
 
 
+@dataclass
+class Journals(InputPartition):
+    """Journals that one task reads, one after the other."""
+
+    some: list[Journal]
+
+
+def dealt(found: list[Journal]) -> list[Journals]:
+    """All journals as tasks; an empty one if there are none."""
+    tasks = min(len(found), max(TASKS, -(-len(found) // A_TASK)))
+    return [Journals(found[i::tasks]) for i in range(tasks)] or [Journals([])]
+
+
 def run_journals(pattern: str) -> list[Journal]:
     """Journals of the directories that fit a pattern: those of the ranks that the manifest or attempt tells, else those that are there."""
     out = []
@@ -179,27 +198,28 @@ class RowReader(DataSourceReader):
         self.pattern = pattern
 
     def partitions(self) -> Sequence[InputPartition]:
-        return run_journals(self.pattern) or [Journal()]
+        return dealt(run_journals(self.pattern))
 
-    def read(self, partition: Journal) -> Iterator[pa.RecordBatch]:
-        if partition.root:
-            yield from partition.with_run(partition.committed())
+    def read(self, partition: Journals) -> Iterator[pa.RecordBatch]:
+        for journal in partition.some:
+            yield from journal.with_run(journal.committed())
 
 
 class StatusReader(RowReader):
-    def read(self, partition: Journal) -> Iterator[tuple]:
-        if not partition.root:
-            return
+    def read(self, partition: Journals) -> Iterator[tuple]:
+        return map(self.told, partition.some)
+
+    def told(self, journal: Journal) -> tuple:
         status, rows, marker, error = "no_committed_metrics", 0, {}, None
         try:
-            marker = known_marker(partition.root, partition.rank) or {}
-            rows = sum(len(t) for t in partition.committed())
+            marker = known_marker(journal.root, journal.rank) or {}
+            rows = sum(len(t) for t in journal.committed())
             if marker:
                 status = "complete" if marker["complete"] else "partial"
         except (ValueError, KeyError, TypeError, OSError) as e:
             status, rows, marker, error = "invalid", 0, {}, str(e)
-        failure = of_rank(partition.root, FAILURE_FILE, partition.rank)
-        yield partition.root, partition.rank, status, rows, marker.get("start_step"), marker.get("last_step"), marker.get("bytes"), marker.get("flushes"), error, failure.read_text() if failure.exists() else None, partition.completed
+        failure = of_rank(journal.root, FAILURE_FILE, journal.rank)
+        return journal.root, journal.rank, status, rows, marker.get("start_step"), marker.get("last_step"), marker.get("bytes"), marker.get("flushes"), error, failure.read_text() if failure.exists() else None, journal.completed
 
 
 class RowStream(DataSourceStreamReader):
@@ -226,11 +246,11 @@ class RowStream(DataSourceStreamReader):
             require(first == first_before and size >= size_before and rows >= rows_before, f"{root}: the journal of rank {rank} was replaced")
             if rows > rows_before:
                 out.append(Journal(root, int(rank), start=size_before, end=size, first_step=first + rows_before, rows=rows - rows_before))
-        return out or [Journal()]
+        return dealt(out)
 
-    def read(self, partition: Journal) -> Iterator[pa.RecordBatch]:
-        if partition.root:
-            yield from partition.with_run(partition.tables())
+    def read(self, partition: Journals) -> Iterator[pa.RecordBatch]:
+        for journal in partition.some:
+            yield from journal.with_run(journal.tables())
 
 
 def extend(root: str | Path, rank: int, rows: list[dict]) -> dict:
@@ -288,18 +308,19 @@ class ProgressStream(RowStream):
             if before != [size, rows, first, complete]:
                 same = first == first_before and size >= size_before and rows >= rows_before
                 out.append(Journal(root, int(rank), complete, start=size_before if same else size, end=size, first_step=first + rows_before, rows=rows - rows_before))
-        return out or [Journal()]
+        return dealt(out)
 
-    def read(self, partition: Journal) -> Iterator[tuple]:
-        if not partition.root:
-            return
-        error = None if partition.rows >= 0 else "the journal was replaced"
+    def read(self, partition: Journals) -> Iterator[tuple]:
+        return map(self.told, partition.some)
+
+    def told(self, journal: Journal) -> tuple:
+        error = None if journal.rows >= 0 else "the journal was replaced"
         try:
-            for _ in partition.tables() if error is None else ():
+            for _ in journal.tables() if error is None else ():
                 pass
         except (ValueError, OSError) as e:
             error = str(e)
-        yield partition.root, partition.rank, partition.first_step + partition.rows - 1, error is None, partition.completed, error
+        return journal.root, journal.rank, journal.first_step + journal.rows - 1, error is None, journal.completed, error
 
 
 @dataclass
@@ -312,21 +333,43 @@ class BatchWriter(DataSourceArrowWriter):
         self.root = root.removeprefix("file:").rstrip("/")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        journals: dict[tuple[str, int], list[dict]] = {}
-        for batch in iterator:
-            for row in batch.to_pylist():
-                run = row.pop("run", None)
-                journals.setdefault((f"{self.root}/{run}" if run is not None else self.root, row["rank"]), []).append({k: v for k, v in row.items() if v is not None})
-        return Written([(root, extend(root, rank, rows)) for (root, rank), rows in sorted(journals.items())])
+        """The task's rows are held as Arrow has them; only a few journals' at a time become Python's."""
+        batches = [b for b in iterator if len(b)]
+        if not batches:
+            return Written()
+        table = pa.Table.from_batches(batches).combine_chunks()
+        del batches
+        keys = [c for c in ("run", "rank") if c in table.column_names]
+        table = table.sort_by([(c, "ascending") for c in keys])
+        new = np.zeros(len(table) - 1, bool)
+        for c in keys:
+            codes = pc.fill_null(pc.dictionary_encode(table[c]).combine_chunks().indices, -1).to_numpy(zero_copy_only=False)
+            new |= np.diff(codes) != 0
+        ends = [0, *(np.flatnonzero(new) + 1).tolist(), len(table)]
+
+        def extended(start: int, end: int) -> tuple[str, dict]:
+            rows = table.slice(start, end - start)
+            run, rank = rows["run"][0].as_py() if "run" in keys else None, rows["rank"][0].as_py()
+            root = f"{self.root}/{run}" if run is not None else self.root
+            dicts = (rows.drop_columns(["run"]) if "run" in keys else rows).to_pylist()
+            return root, extend(root, rank, [{k: v for k, v in row.items() if v is not None} for row in dicts])
+
+        with ThreadPoolExecutor(THREADS) as pool:
+            return Written(list(pool.map(extended, ends[:-1], ends[1:])))
 
     def commit(self, messages: list) -> None:
         found = [x for m in messages if m is not None for x in m.markers]
         names = [(root, m["rank"]) for root, m in found]
         require(len(set(names)) == len(names), "rows of a rank were in more than one task; deal them by_rank")
-        for root, marker in found:
+
+        def publish(told: tuple[str, dict]) -> None:
+            root, marker = told
             if known_marker(root, marker["rank"]) != marker:
                 write_json(of_rank(root, MARKER_FILE, marker["rank"]), marker)
 
+        with ThreadPoolExecutor(THREADS) as pool:
+            list(pool.map(publish, found))
+
     def abort(self, messages: list) -> None:
         """Nothing to undo: bytes behind a marker don't count."""
 

@@ -413,3 +413,16 @@ def test_inspect_run(spark, tmp_path):
     main(["inspect-run", path, "--out", f"{tmp_path}/b"])
     got = json.loads((tmp_path / "b/inspect-run.json").read_text())
     assert (got["status"], got.get("durable_through_step"), [r["status"] for r in got["ranks"]]) == ("partial", None, ["complete", "no_committed_metrics"])
+
+
+def test_many_journals_share_tasks(tmp_path):
+    """A task a journal costs more than its rows where journals are short: of many, a task takes some, and none is left out."""
+    for run in range(50):
+        (tmp_path / f"run{run}").mkdir()
+        for rank in range(7):
+            (tmp_path / f"run{run}" / f"progress-rank{rank}.json").write_text("{}")
+    tasks = rank_journal.RowReader(f"{tmp_path}/*").partitions()
+    dealt = sorted((j.root, j.rank) for t in tasks for j in t.some)
+    assert len(tasks) == rank_journal.TASKS and dealt == sorted((f"{tmp_path}/run{run}", rank) for run in range(50) for rank in range(7))
+    few = rank_journal.RowReader(f"{tmp_path}/run1").partitions()
+    assert [len(t.some) for t in few] == [1] * 7
