@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -789,6 +790,38 @@ def test_lm_spelling_is_proper_and_learned(spark):
     assert (2.0**first).sum() <= 1
 
 
+def test_lm_rare_words_travel_packed(spark, monkeypatch):
+    """Rare words go to shards and back a block at a time, not a row for each text and word; what comes back, by force."""
+    from skewline.llm import context_mixing as c
+
+    rng = random.Random(3)
+    texts = [" ".join(["a", "b", *(f"{rng.choice('xyz')}{rng.randrange(40)}" for _ in range(rng.randint(0, 12)))]) for _ in range(60)]
+    held = [rng.random() < 0.3 for _ in texts]
+    split, book, _ = lm_parts(texts, held, 2)
+    sent = spark.sparkContext.broadcast(book)
+    code = c.byte_code([b"x1", b"y2"])
+    blank = c.Speller(code, c.Slots(np.zeros(c.SLOTS, np.int8), np.zeros(c.SLOTS, np.uint8)), c.Mixer.blank(c.GATES, len(c.TABLE_BITS)))
+    rows = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, held_out boolean").repartition(3).cache()
+    monkeypatch.setattr(c, "BLOCK_BYTES", 300)
+
+    def made(left, row, block, told):
+        n = len(row["rare"])
+        return pa.table({"word": pa.array(row["rare"], pa.binary()), "times": pa.array(told.times, pa.int64()), "own": pa.array(told.spelled[1][:n]), "other": pa.array(told.spelled[0][:n]), "ids": pa.array([left.column("ids").to_pylist()[0]] * n, pa.list_(pa.int64()))})
+
+    want = Counter(w for t, h in zip(split, held) if not h for w in t)
+    for bits in (0, 3):
+        got = c.told_blocks(c.blocks_of(rows, sent), bits, sent, spark.sparkContext.broadcast(blank), made, "word binary, times long, own double, other double, ids array<long>").collect()
+        assert len({tuple(r["ids"]) for r in got}) > 3
+        for r in got:
+            word = bytes(r["word"])
+            spelled = blank.log2_words([word], False)[0]
+            assert r["times"] == want[word]
+            assert abs(r["own"] - spelled * any(word in split[i] and not held[i] for i in r["ids"])) < 1e-5
+            assert abs(r["other"] - spelled * any(word in split[i] and held[i] for i in r["ids"])) < 1e-5
+    plan = c.lm_scores(rows.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 3
+
+
 def test_classifier_learns_in_a_task(spark, monkeypatch):
     """The sample's features, some 12 KB a document, don't pass through the driver; the model is that of a fit over all features."""
     from skewline.llm import quality_classifier
