@@ -822,6 +822,57 @@ def test_lm_rare_words_travel_packed(spark, monkeypatch):
     assert "Join" not in plan and plan.count("Exchange") == 3
 
 
+def test_lm_work_is_done_once(monkeypatch):
+    """A word after a word is looked up once for all blocks of a task, a beginning that words share is spelled once, and a bit's counts
+    in its passage come from one count a bit."""
+    from skewline.llm import context_mixing as c
+
+    texts = ["a b a c", "a b b", "c a b a c"]
+    split, book, block = lm_parts(texts, [False] * 3, 5)
+    row = {"sizes": [len(t) for t in split], "held": [False] * 3, "symbols": c.squeezed(block.symbols), "rare": b""}
+    looked, whole, spelled, path = [], c.bit_slots, [], c.paths
+    monkeypatch.setattr(c, "paths", lambda book, symbols: looked.append(len(symbols)) or path(book, symbols))
+    monkeypatch.setattr(c, "quantized_table", lambda parts, *_: parts)
+
+    class Blocks:
+        def mapInArrow(self, work, _):
+            return list(work(iter([pa.RecordBatch.from_pylist([row]), pa.RecordBatch.from_pylist([row])])))
+
+    class Sent:
+        value = book
+
+    parts = c.after_table(Blocks(), 1, Sent)
+    assert sum(looked) == len({pair for t in split for pair in zip([None, *t], t)})
+    total = sum(int(c.expanded(raw[1:], f"<i{raw[0]}").sum()) for part in parts for raw in part.column("raw").to_pylist())
+    assert total == 2 * sum(int(book.depth[book.number[w]]) for t in split for w in t)
+    words = [b"ab", b"abc", b"abcd" * 9000, b"abcd" * 9000 + b"e", b"b", b"ab\0", b"x" * 30, b"x" * 29 + b"y"]
+    code = c.byte_code([b"abcd", b"xy"])
+    rng = np.random.default_rng(4)
+    speller = c.Speller(code, c.Slots(rng.integers(-50, 50, c.SLOTS).astype(np.int8), rng.integers(0, 60, c.SLOTS).astype(np.uint8)), c.Mixer.blank(c.GATES, len(c.TABLE_BITS)))
+    alone = [[speller.log2_words([w], own)[0] for w in words] for own in (False, True)]
+    monkeypatch.setattr(c, "bit_slots", lambda code, hashes, data: spelled.append(len(data)) or whole(code, hashes, data))
+    assert np.allclose([speller.log2_words(words[::-1], own)[::-1] for own in (False, True)], alone, rtol=1e-9)
+    spelled.clear()
+    speller.log2_words([b"begin", b"beginner", b"begun"], False)
+    assert sum(spelled) == len("begin ") + len("ner ") + len("un ")
+    keys = rng.integers(0, 30, 500)
+    assert c.earlier(keys).tolist() == [int((keys[:i] == k).sum()) for i, k in enumerate(keys)]
+
+
+def test_lm_word_counts_by_force(spark, monkeypatch):
+    """Words counted in Arrow, folded and let go now and then, against a plain count; nulls, blanks of all kinds and repeats."""
+    from skewline.llm import context_mixing as c
+
+    rng = random.Random(8)
+    texts = [None, "", " \t ", "\u00a0 A a\x0bb", *(" ".join(f"W{rng.randrange(300)}" for _ in range(rng.randint(0, 50))) for _ in range(400))]
+    want = Counter(w for t in texts for w in [*lower(t or "").encode().split(), c.END])
+    assert c.listed(pa.array([b"a", b"\xc2\xa0", b"bc"])) == [b"a", b"\xc2\xa0", b"bc"] and c.listed(pa.array([], pa.binary())) == []
+    for most in (20, 250_000):
+        monkeypatch.setattr(c, "FLUSH_WORDS", most)
+        got = c.word_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()
+        assert len(got) == len(want) and {bytes(r["word"]): r["n"] for r in got} == want
+
+
 def test_classifier_learns_in_a_task(spark, monkeypatch):
     """The sample's features, some 12 KB a document, don't pass through the driver; the model is that of a fit over all features."""
     from skewline.llm import quality_classifier
